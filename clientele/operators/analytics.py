@@ -30,3 +30,145 @@ def top_companies(counts: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("email").orderBy(F.col("n_real").desc(), F.col("company_key").asc())
     return (counts.withColumn("rank", F.row_number().over(w).cast("long"))
                   .filter(F.col("rank") <= k))
+
+
+# ---------------------------------------------------------------------------
+# Labels (P22-P28)
+# ---------------------------------------------------------------------------
+
+def _map_literal(d: dict) -> "F.Column":
+    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+
+
+def source_tag_label(src):
+    """Table tag -- known label, else the source itself, else ``Reference``."""
+    from .. import schemas
+    from ..functions.text import nullif_empty
+    return F.coalesce(F.try_element_at(_map_literal(schemas.SOURCE_TAG_LABEL), src),
+                      nullif_empty(src), F.lit("Reference"))
+
+
+def badge_label(src):
+    """Badge label; an empty source reads ``reference`` (lower case)."""
+    return (F.when(src == "technology_partner", "Tech Partner")
+             .when(src == "case_study", "Case Study")
+             .when(src.isin("reference_list", "reference"), "Reference")
+             .when(src == "logo", "Logo")
+             .when(src == "testimonial", "Testimonial")
+             .when(src == "blog", "Blog")
+             .when(src == "job_listing", "Job Listing")
+             .otherwise(F.coalesce(F.when(src != "", src), F.lit("reference"))))
+
+
+def badge_text(n, label):
+    """``N Label`` with a naive plural ``s``."""
+    return F.concat(n.cast("string"), F.lit(" "), label, F.when(n > 1, F.lit("s")).otherwise(F.lit("")))
+
+
+def evidence_preview(note, width: int = 100):
+    """P25: first ``width`` characters, ``...`` when longer."""
+    note = F.coalesce(note, F.lit(""))
+    return F.concat(F.substring(note, 1, width), F.when(F.length(note) > width, F.lit("...")).otherwise(F.lit("")))
+
+
+def place(country, language):
+    """First non-empty of country and language."""
+    from ..functions.text import first_nonempty
+    return first_nonempty(country, language)
+
+
+def count_caption(n_match, n_total, q: str):
+    """``N of M clients`` while searching, ``M clients`` otherwise."""
+    if q:
+        return F.format_string("%d of %d clients", n_match, n_total)
+    return F.format_string("%d clients", n_total)
+
+
+def run_summary(n_real, n_partners):
+    """Run summary line."""
+    return F.format_string("Extracted %d clients + %d technology partners", n_real, n_partners)
+
+
+def repo_summary(n_companies, n_clients):
+    """Repository summary line."""
+    return F.format_string("%d companies, %d clients", n_companies, n_clients)
+
+
+# ---------------------------------------------------------------------------
+# Aggregations over the clean client rows
+# ---------------------------------------------------------------------------
+
+def source_badges(clients: DataFrame) -> DataFrame:
+    """Count per badge label; order by count desc, then first appearance.
+
+    The window runs over (company, label) groups -- at most a handful of
+    labels per company -- so it is bounded however large a company is."""
+    from pyspark.sql import Window
+    g = (clients.withColumn("label", badge_label(F.col("source")))
+                .groupBy("email", "company_key", "label")
+                .agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord")))
+    w = Window.partitionBy("email", "company_key").orderBy(F.col("n").desc(), F.col("first_ord").asc())
+    return (g.withColumn("badge", badge_text(F.col("n"), F.col("label")))
+             .withColumn("badge_rank", F.row_number().over(w).cast("long"))
+             .drop("first_ord"))
+
+
+def distinct_facets(clients: DataFrame) -> DataFrame:
+    """A5/F8: distinct non-empty industries and countries of real clients (case-sensitive)."""
+    real = clients.filter(~F.col("is_partner"))
+    return (real.groupBy("email", "company_key")
+                .agg(F.count_distinct(F.when(F.col("industry") != "", F.col("industry"))).alias("n_industries"),
+                     F.count_distinct(F.when(F.col("country") != "", F.col("country"))).alias("n_countries"))
+                .withColumn("show_countries", F.col("n_countries") > 0))
+
+
+def repo_totals(clients: DataFrame) -> DataFrame:
+    """Companies and distinct lower-cased real client names per tenant."""
+    lname = F.when(~F.col("is_partner"), F.lower(F.col("name")))
+    return (clients.groupBy("email")
+                   .agg(F.count_distinct("company_key").alias("n_companies"),
+                        F.count_distinct(lname).alias("n_clients"))
+                   .withColumn("summary", repo_summary(F.col("n_companies"), F.col("n_clients"))))
+
+
+def client_search(clients: DataFrame, q: str) -> DataFrame:
+    """Clients matching q in name, industry, country or note; caption per company."""
+    ql = q.lower()
+
+    def has(c):
+        return F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(ql))
+    hit = F.lit(True) if not ql else (has("name") | has("industry") | has("country") | has("ai_note"))
+    g = (clients.withColumn("hit", hit)
+                .groupBy("email", "company_key")
+                .agg(F.count_if(F.col("hit") & ~F.col("is_partner")).alias("n_match"),
+                     F.count_if(F.col("hit") & F.col("is_partner")).alias("n_match_partners"),
+                     F.count_if(~F.col("is_partner")).alias("n_total")))
+    return g.withColumn("caption", count_caption(F.col("n_match"), F.col("n_total"), ql))
+
+
+def client_table(clients: DataFrame, start: int = 1) -> DataFrame:
+    """W2/SO2/P22/P25: display rows, numbered per section (clients, then partners).
+
+    Numbering is the skew-safe row number over (company, section)."""
+    t = ordinal(clients, ["email", "company_key", "is_partner"], [F.col("ord")], "row_no")
+    return t.select("email", "company_key", "is_partner",
+                    (F.col("row_no") + F.lit(start - 1)).alias("row_no"), "name", "industry", "country",
+                    source_tag_label(F.col("source")).alias("tag"),
+                    evidence_preview(F.col("ai_note")).alias("note_preview"))
+
+
+def company_documents(clients: DataFrame, chunk_size: int = 1000) -> DataFrame:
+    """Ordered client arrays per company as JSON documents.
+
+    A company may hold a third of all clients, so its document is split
+    into chunks of at most ``chunk_size`` mention positions; every
+    ``collect_list`` is bounded by the chunk, never by the company."""
+    chunk = F.floor((F.col("pos") - 1) / F.lit(chunk_size)).cast("long")
+    rec = F.struct("pos", F.struct("name", "industry", "country", "source", "ai_note", "confidence").alias("c"))
+    g = (clients.withColumn("chunk", chunk)
+                .groupBy("email", "company_key", "chunk")
+                .agg(F.array_sort(F.collect_list(rec)).alias("items")))
+    doc = F.to_json(F.struct(F.col("company_key").alias("key"), F.col("chunk"),
+                             F.transform("items", lambda x: x["c"]).alias("clients")))
+    return g.select("email", "company_key", "chunk", F.size("items").cast("long").alias("n_clients"),
+                    doc.alias("document"))

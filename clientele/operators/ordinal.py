@@ -16,8 +16,8 @@ holding a third of all rows that task becomes the job.  Here instead:
    partition, so the offset table has at most one row per partition: its
    broadcast is bounded by the partition count, never by the data.
 
-One exchange (the range shuffle) for the data itself; everything else
-moves per-partition summaries.
+One exchange (the range shuffle) for the data itself, reused by the
+summary branch; everything else moves per-partition summaries.
 """
 
 from __future__ import annotations
@@ -80,8 +80,12 @@ def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str
     out_schema = T.StructType(ranged.schema.fields + [T.StructField(_LRANK, T.LongType(), False)])
     local = ranged.mapInPandas(_local_rank(list(by)), out_schema)
 
-    # rows per (partition, key), then rows of the same key in earlier partitions
-    counts = ranged.groupBy(_PID, *by).agg(F.count(F.lit(1)).alias("_ord_cnt"))
+    # Rows per (partition, key), then rows of the same key in earlier
+    # partitions.  The counts come from the *same* plan as the numbered rows,
+    # so both consumers share one range exchange (one partitioner, one set
+    # of sampled bounds); a differently pruned copy would sample its own
+    # bounds and disagree.
+    counts = local.groupBy(_PID, *by).agg(F.max(_LRANK).alias("_ord_cnt"))
     w = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (counts.withColumn("_ord_prior", F.sum("_ord_cnt").over(w))
                      .filter(F.col("_ord_prior") > 0)

@@ -42,3 +42,100 @@ def top_companies(spark, sf):
     counts = analytics.company_counts(_clean(spark, sf))
     return analytics.top_companies(counts, 3).select(
         "email", "company_key", "n_real", "n_partners", "n_total", "rank")
+
+
+def _clean_pos(spark, sf):
+    return clients.clean_clients(fx.client_rows(spark, sf, with_pos=True))
+
+
+def _recs(spark, sf, with_pos=True):
+    return clients.drop_blank(clients.flatten(clients.records(
+        clients.with_company(fx.client_rows(spark, sf, with_pos=with_pos)))))
+
+
+REC_COLS = ("email", "company_key", "pos", "name", "industry", "country", "source", "ai_note", "confidence")
+
+
+@query("client_records")
+def client_records(spark, sf):
+    """P15 + F2: client rows as records with defaults (confidence 80 when missing)."""
+    r = _recs(spark, sf)
+    return r.filter(F.col("source") != "technology_partner").select(*REC_COLS)
+
+
+@query("partner_records")
+def partner_records(spark, sf):
+    """P16 + F2: partner rows with the fixed industry / source / confidence."""
+    r = _recs(spark, sf)
+    return r.filter(F.col("source") == "technology_partner").select(*REC_COLS)
+
+
+@query("clients_union")
+def clients_union(spark, sf):
+    """SO1: clients then partners, one row each, with the section order key."""
+    r = _recs(spark, sf)
+    return r.select("email", "company_key",
+                    F.when(F.col("source") == "technology_partner", 1).otherwise(0).cast("long").alias("section"),
+                    "pos", "name", "source")
+
+
+@query("clients_dedupe")
+def clients_dedupe(spark, sf):
+    """F2 + A2: keep-first per lower-cased name inside a company."""
+    return _clean_pos(spark, sf).select("email", "company_key", "name", "source", "pos")
+
+
+@query("company_documents")
+def company_documents(spark, sf):
+    """A9 + S9: ordered client arrays per company, JSON-encoded, chunked."""
+    return analytics.company_documents(_clean_pos(spark, sf))
+
+
+@query("real_partner_split")
+def real_partner_split(spark, sf):
+    """F7 + A3 + P28: real vs partner counts and the run summary line."""
+    c = analytics.company_counts(_clean(spark, sf))
+    return c.select("email", "company_key", "n_real", "n_partners",
+                    analytics.run_summary(F.col("n_real"), F.col("n_partners")).alias("summary"))
+
+
+@query("source_badges")
+def source_badges(spark, sf):
+    """P23 + A4 + T2 + P24: badge counts ordered by count, then first appearance."""
+    return analytics.source_badges(_clean(spark, sf)).select(
+        "email", "company_key", "label", "n", "badge", "badge_rank")
+
+
+@query("source_tags")
+def source_tags(spark, sf):
+    """Table tag per source value, with client counts."""
+    c = _clean(spark, sf)
+    return (c.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+             .withColumn("tag", analytics.source_tag_label(F.col("source"))))
+
+
+@query("industry_country_counts")
+def industry_country_counts(spark, sf):
+    """F8 + A5: distinct non-empty industries / countries of real clients."""
+    return analytics.distinct_facets(_clean(spark, sf))
+
+
+@query("repo_totals")
+def repo_totals(spark, sf):
+    """A6 + P28: companies and distinct client names per tenant."""
+    return analytics.repo_totals(_clean(spark, sf))
+
+
+CLIENT_Q = "building"
+
+
+@query("client_search")
+def client_search(spark, sf):
+    """F6 + P27: per-company client search with the count caption."""
+    return analytics.client_search(_clean(spark, sf), CLIENT_Q)
+
+
+@query("client_table")
+def client_table(spark, sf):
+    """W2 + SO2 + P22 + P25: numbered display rows per section."""
+    return analytics.client_table(_clean(spark, sf))

@@ -108,3 +108,80 @@ SELECT * FROM (
   SELECT email, company_key, n_real, n_partners, n_total,
     row_number() OVER (PARTITION BY email ORDER BY n_real DESC, company_key ASC) AS rank
   FROM counts) WHERE rank <= 3""")
+
+REC_COLS = "email, company_key, CAST(pos AS BIGINT) AS pos, name, industry, country, source, ai_note, confidence"
+
+SQL["client_records"] = with_ctes(CLIENT_ROWS, RECS, body=f"""
+SELECT {REC_COLS} FROM nonblank WHERE source <> 'technology_partner'""")
+
+SQL["partner_records"] = with_ctes(CLIENT_ROWS, RECS, body=f"""
+SELECT {REC_COLS} FROM nonblank WHERE source = 'technology_partner'""")
+
+SQL["clients_union"] = with_ctes(CLIENT_ROWS, RECS, body="""
+SELECT email, company_key, CAST(CASE WHEN source = 'technology_partner' THEN 1 ELSE 0 END AS BIGINT) AS section,
+  CAST(pos AS BIGINT) AS pos, name, source FROM nonblank""")
+
+SQL["clients_dedupe"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body="""
+SELECT email, company_key, name, source, CAST(pos AS BIGINT) AS pos FROM clean""")
+
+SQL["company_documents"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body="""
+SELECT email, company_key, chunk, CAST(count(*) AS BIGINT) AS n_clients,
+  to_json({'key': company_key, 'chunk': chunk,
+           'clients': list({'name': name, 'industry': industry, 'country': country, 'source': source,
+                            'ai_note': ai_note, 'confidence': confidence} ORDER BY pos)})::VARCHAR AS document
+FROM (SELECT *, CAST((pos - 1) // 1000 AS BIGINT) AS chunk FROM clean)
+GROUP BY email, company_key, chunk""")
+
+SQL["real_partner_split"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, COMPANY_COUNTS, body="""
+SELECT email, company_key, n_real, n_partners,
+  format('Extracted {} clients + {} technology partners', n_real, n_partners) AS summary FROM counts""")
+
+BADGE_LABEL = """CASE WHEN source = 'technology_partner' THEN 'Tech Partner' WHEN source = 'case_study' THEN 'Case Study'
+  WHEN source IN ('reference_list', 'reference') THEN 'Reference' WHEN source = 'logo' THEN 'Logo'
+  WHEN source = 'testimonial' THEN 'Testimonial' WHEN source = 'blog' THEN 'Blog'
+  WHEN source = 'job_listing' THEN 'Job Listing' ELSE coalesce(nullif(source, ''), 'reference') END"""
+
+SQL["source_badges"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body=f"""
+SELECT email, company_key, label, n,
+  concat(n, ' ', label, CASE WHEN n > 1 THEN 's' ELSE '' END) AS badge,
+  row_number() OVER (PARTITION BY email, company_key ORDER BY n DESC, first_pos ASC) AS badge_rank
+FROM (SELECT email, company_key, {BADGE_LABEL} AS label, count(*) AS n, min(pos) AS first_pos
+      FROM clean GROUP BY ALL)""")
+
+TAG_LABEL = """coalesce(CASE source WHEN 'case_study' THEN 'Case Study' WHEN 'reference_list' THEN 'Reference'
+  WHEN 'reference' THEN 'Reference' WHEN 'logo' THEN 'Logo' WHEN 'testimonial' THEN 'Testimonial' WHEN 'blog' THEN 'Blog'
+  WHEN 'job_listing' THEN 'Job Listing' WHEN 'technology_partner' THEN 'Tech Partner' END, nullif(source, ''), 'Reference')"""
+
+SQL["source_tags"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body=f"""
+SELECT source, count(*) AS n, {TAG_LABEL} AS tag FROM clean GROUP BY source""")
+
+SQL["industry_country_counts"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body="""
+SELECT email, company_key, count(DISTINCT nullif(industry, '')) AS n_industries,
+  count(DISTINCT nullif(country, '')) AS n_countries, count(DISTINCT nullif(country, '')) > 0 AS show_countries
+FROM clean WHERE NOT is_partner GROUP BY email, company_key""")
+
+SQL["repo_totals"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body="""
+SELECT email, n_companies, n_clients, format('{} companies, {} clients', n_companies, n_clients) AS summary
+FROM (SELECT email, count(DISTINCT company_key) AS n_companies,
+        count(DISTINCT CASE WHEN NOT is_partner THEN lower(name) END) AS n_clients FROM clean GROUP BY email)""")
+
+
+def _has(col: str, q: str) -> str:
+    return f"contains(lower(coalesce({col}, '')), '{q}')"
+
+
+CLIENT_Q = "building"
+_HIT = " OR ".join(_has(c, CLIENT_Q) for c in ("name", "industry", "country", "ai_note"))
+
+SQL["client_search"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body=f"""
+SELECT email, company_key, n_match, n_match_partners, n_total, format('{{}} of {{}} clients', n_match, n_total) AS caption
+FROM (SELECT email, company_key, count(*) FILTER (WHERE ({_HIT}) AND NOT is_partner) AS n_match,
+        count(*) FILTER (WHERE ({_HIT}) AND is_partner) AS n_match_partners,
+        count(*) FILTER (WHERE NOT is_partner) AS n_total FROM clean GROUP BY email, company_key)""")
+
+SQL["client_table"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body=f"""
+SELECT email, company_key, is_partner,
+  row_number() OVER (PARTITION BY email, company_key, is_partner ORDER BY pos) AS row_no,
+  name, industry, country, {TAG_LABEL} AS tag,
+  concat(substring(coalesce(ai_note, ''), 1, 100), CASE WHEN length(coalesce(ai_note, '')) > 100 THEN '...' ELSE '' END) AS note_preview
+FROM clean""")
