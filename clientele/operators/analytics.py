@@ -172,3 +172,65 @@ def company_documents(clients: DataFrame, chunk_size: int = 1000) -> DataFrame:
                              F.transform("items", lambda x: x["c"]).alias("clients")))
     return g.select("email", "company_key", "chunk", F.size("items").cast("long").alias("n_clients"),
                     doc.alias("document"))
+
+
+# ---------------------------------------------------------------------------
+# Company level
+# ---------------------------------------------------------------------------
+
+def facets(companies: DataFrame, column: str) -> DataFrame:
+    """A7/SO3: distinct non-empty values of a company column per tenant, plus ``all``."""
+    vals = (companies.filter(F.col(column) != "").select("email", F.col(column).alias("facet")).distinct())
+    alls = companies.select("email").distinct().withColumn("facet", F.lit("all"))
+    return vals.unionByName(alls).distinct()
+
+
+def facet_filter(companies: DataFrame, column: str, value: str) -> DataFrame:
+    """equality on a facet column; ``all`` means no filter."""
+    if value == "all":
+        return companies
+    return companies.filter(F.col(column) == F.lit(value))
+
+
+def company_search(companies: DataFrame, clients: DataFrame, q: str) -> DataFrame:
+    """Q in the company name, or in the name of any of its clients.
+
+    The client half is a left-semi join against the matching clients only
+    (the exploded form of ``some()``); an empty q keeps every company."""
+    ql = q.lower()
+    if not ql:
+        return companies
+    by_name = companies.filter(F.contains(F.lower(F.col("company_name")), F.lit(ql)))
+    hits = clients.filter(F.contains(F.lower(F.col("name")), F.lit(ql))).select("email", "company_key")
+    by_client = companies.join(hits, ["email", "company_key"], "left_semi")
+    return by_name.unionByName(by_client).distinct()
+
+
+def repository_overview(companies: DataFrame, clients: DataFrame, facet_col: str = "detected_country",
+                        facet: str = "all", q: str = "") -> DataFrame:
+    """Facet filter, search, real-client counts, ranking and the place line."""
+    c = company_search(facet_filter(companies, facet_col, facet), clients, q)
+    counts = (clients.groupBy("email", "company_key")
+                     .agg(F.count_if(~F.col("is_partner")).alias("n_real")))
+    j = (c.join(counts, ["email", "company_key"], "left")
+          .withColumn("n_real", F.coalesce(F.col("n_real"), F.lit(0)).cast("long"))
+          .withColumn("place", place(F.col("detected_country"), F.col("detected_language"))))
+    return ordinal(j, ["email"], [F.col("n_real").desc(), F.col("company_key").asc()], "rank")
+
+
+def company_detail(clients: DataFrame, q: str = "") -> DataFrame:
+    """One summary row per company -- badges in order, distinct industry /
+    country counts and the search caption.  The badge list per company is
+    bounded by the number of labels."""
+    b = source_badges(clients)
+    badges = (b.groupBy("email", "company_key")
+               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("badge_rank", "badge"))),
+                                             lambda x: x["badge"]), " | ").alias("badges")))
+    d = distinct_facets(clients)
+    s = client_search(clients, q).select("email", "company_key", "n_total", "caption")
+    return (badges.join(s, ["email", "company_key"], "left")
+                  .join(d, ["email", "company_key"], "left")
+                  .select("email", "company_key", "badges", "n_total",
+                          F.coalesce("n_industries", F.lit(0)).cast("long").alias("n_industries"),
+                          F.coalesce("n_countries", F.lit(0)).cast("long").alias("n_countries"),
+                          "caption"))

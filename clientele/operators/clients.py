@@ -85,3 +85,15 @@ def clean_clients(rows: DataFrame) -> DataFrame:
     c = drop_blank(flatten(records(with_company(rows))))
     out = dedupe_clients(c)
     return out.withColumn("is_partner", is_partner(F.col("source")))
+
+
+def companies(rows: DataFrame) -> DataFrame:
+    """Company table of the repository: one row per (tenant, netloc) with its
+    identity, default name (P8) and locale (P5/P6)."""
+    c = with_company(rows.select("email", "netloc").distinct())
+    c = c.withColumn("tld", urls.tld(F.col("domain")))
+    c = urls.with_locale(c)
+    return c.select("email", "company_key", "netloc", "domain", "tld",
+                    urls.default_company_name(F.col("domain")).alias("company_name"),
+                    F.col("language").alias("detected_language"),
+                    F.col("country").alias("detected_country"))

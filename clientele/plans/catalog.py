@@ -139,3 +139,103 @@ def client_search(spark, sf):
 def client_table(spark, sf):
     """W2 + SO2 + P22 + P25: numbered display rows per section."""
     return analytics.client_table(_clean(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Company level
+# ---------------------------------------------------------------------------
+
+from ..functions import urls  # noqa: E402
+from ..sources.tables import table  # noqa: E402
+
+
+def _companies(spark, sf):
+    return clients.companies(fx.client_rows(spark, sf))
+
+
+@query("url_parts")
+def url_parts(spark, sf):
+    """P1-P4 + P7 over crawled page URLs and repository netlocs (scheme-less)."""
+    pages = table(spark, sf, "pages").select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("raw"))
+    comps = (fx.client_rows(spark, sf).select(
+        F.concat(F.lit("company-"), F.col("company_id").cast("string")).alias("id"), F.col("netloc").alias("raw"))
+        .distinct())
+    u = urls.company_identity(pages.unionByName(comps), "raw")
+    return u.select("id", "url_norm", "netloc", "domain", "tld", "company_key")
+
+
+def _domains(spark, sf):
+    pages = table(spark, sf, "pages").select(
+        urls.strip_www(urls.netloc(urls.normalize_url(F.col("url")))).alias("domain"))
+    comps = fx.client_rows(spark, sf).select(urls.strip_www(F.col("netloc")).alias("domain"))
+    return pages.unionByName(comps).distinct()
+
+
+@query("company_names")
+def company_names(spark, sf):
+    """Default company names (main path: dashes to spaces; no-key path: kept)."""
+    return _domains(spark, sf).select(
+        "domain", urls.default_company_name(F.col("domain")).alias("company_name"),
+        urls.default_company_name(F.col("domain"), dash_to_space=False).alias("company_name_nokey"))
+
+
+@query("locale_lookup")
+def locale_lookup(spark, sf):
+    """P4-P6 + J1: language and country by TLD with their defaults."""
+    d = _domains(spark, sf).withColumn("tld", urls.tld(F.col("domain")))
+    return urls.with_locale(d).select("domain", "tld", "language", "country")
+
+
+@query("tenant_key")
+def tenant_key(spark, sf):
+    """Tenant keys of the write log with their row and company counts."""
+    log = fx.upsert_log(spark, sf).withColumn("tenant", urls.tenant_key(F.col("email")))
+    return log.groupBy("tenant").agg(F.count(F.lit(1)).alias("n_rows"),
+                                     F.count_distinct("company_key").alias("n_companies"))
+
+
+@query("facets")
+def facets(spark, sf):
+    """A7 + SO3: facet values (detected country) per tenant, plus ``all``."""
+    return analytics.facets(_companies(spark, sf), "detected_country")
+
+
+FACET = "Germany"
+
+
+@query("facet_filter")
+def facet_filter(spark, sf):
+    """companies whose detected country is the chosen facet."""
+    return analytics.facet_filter(_companies(spark, sf), "detected_country", FACET).select(
+        "email", "company_key", "company_name", "detected_country")
+
+
+COMPANY_Q = "customer#000000123"
+
+
+@query("company_search")
+def company_search(spark, sf):
+    """F5 + J4: companies whose name or any client name contains q."""
+    return analytics.company_search(_companies(spark, sf), _clean(spark, sf), COMPANY_Q).select(
+        "email", "company_key", "company_name")
+
+
+@query("company_search_count")
+def company_search_count(spark, sf):
+    """Number of companies per tenant after the search."""
+    hits = analytics.company_search(_companies(spark, sf), _clean(spark, sf), COMPANY_Q)
+    return hits.groupBy("email").agg(F.count(F.lit(1)).alias("n_companies"))
+
+
+@query("repository_overview")
+def repository_overview(spark, sf):
+    """The sidebar -- facet 'all', no query; ranked with place line."""
+    ov = analytics.repository_overview(_companies(spark, sf), _clean(spark, sf))
+    return ov.select("email", "company_key", "company_name", "place", "n_real", "rank")
+
+
+@query("company_detail")
+def company_detail(spark, sf):
+    """Per company -- ordered badges, distinct counts, search caption."""
+    return analytics.company_detail(_clean(spark, sf), CLIENT_Q)

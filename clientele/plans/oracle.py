@@ -185,3 +185,112 @@ SELECT email, company_key, is_partner,
   name, industry, country, {TAG_LABEL} AS tag,
   concat(substring(coalesce(ai_note, ''), 1, 100), CASE WHEN length(coalesce(ai_note, '')) > 100 THEN '...' ELSE '' END) AS note_preview
 FROM clean""")
+
+# ---------------------------------------------------------------------------
+# Company level
+# ---------------------------------------------------------------------------
+from .. import schemas  # noqa: E402
+
+
+def title_case(x: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '(\\p{{L}}+|[^\\p{{L}}]+)'), "
+            f"lambda t: concat(upper(left(t, 1)), lower(substr(t, 2)))), '')")
+
+
+def default_name(domain: str, dash_to_space: bool = True) -> str:
+    first = f"string_split({domain}, '.')[1]"
+    if dash_to_space:
+        first = f"replace({first}, '-', ' ')"
+    return title_case(first)
+
+
+def tld(domain: str) -> str:
+    return f"lower(string_split({domain}, '.')[-1])"
+
+
+def _values(d: dict) -> str:
+    return ", ".join(f"('{k}', '{v}')" for k, v in sorted(d.items()))
+
+
+LOCALE = f"""lang_map(tld, map_language) AS (VALUES {_values(schemas.TLD_LANGUAGE)}),
+country_map(tld, map_country) AS (VALUES {_values(schemas.TLD_COUNTRY)})"""
+
+COMPANIES = f"""companies AS (
+SELECT c.email, c.company_key, c.domain, {default_name('c.domain')} AS company_name,
+  coalesce(l.map_language, 'english') AS detected_language, coalesce(m.map_country, '') AS detected_country
+FROM (SELECT DISTINCT email, {ckey('netloc')} AS company_key, ltrim(netloc, 'w.') AS domain FROM client_rows) c
+LEFT JOIN lang_map l ON l.tld = {tld('c.domain')} LEFT JOIN country_map m ON m.tld = {tld('c.domain')}
+)"""
+
+DOMAINS = f"""domains AS (
+SELECT DISTINCT ltrim(regexp_extract(CASE WHEN regexp_matches({ustrip('url')}, '^https?://') THEN {ustrip('url')}
+    ELSE concat('https://', {ustrip('url')}) END, '^https?://([^/?#]*)', 1), 'w.') AS domain FROM pages
+UNION SELECT DISTINCT ltrim(netloc, 'w.') FROM client_rows
+)"""
+
+SQL["url_parts"] = with_ctes(CLIENT_ROWS, f"""u AS (
+SELECT concat('page-', page_id) AS id, url AS raw FROM pages
+UNION ALL SELECT DISTINCT concat('company-', company_id), netloc FROM client_rows
+), n AS (
+SELECT id, CASE WHEN regexp_matches(s, '^https?://') THEN s ELSE concat('https://', s) END AS url_norm
+FROM (SELECT id, {ustrip('raw')} AS s FROM u)
+), h AS (SELECT *, regexp_extract(url_norm, '^https?://([^/?#]*)', 1) AS netloc FROM n),
+d AS (SELECT *, ltrim(netloc, 'w.') AS domain FROM h)""", body=f"""
+SELECT id, url_norm, netloc, domain, {tld('domain')} AS tld, regexp_replace(domain, '[^a-z0-9.-]', '', 'g') AS company_key FROM d""")
+
+SQL["company_names"] = with_ctes(CLIENT_ROWS, DOMAINS, body=f"""
+SELECT domain, {default_name('domain')} AS company_name, {default_name('domain', False)} AS company_name_nokey FROM domains""")
+
+SQL["locale_lookup"] = with_ctes(CLIENT_ROWS, DOMAINS, LOCALE, body=f"""
+SELECT d.domain, {tld('d.domain')} AS tld, coalesce(l.map_language, 'english') AS language,
+  coalesce(m.map_country, '') AS country
+FROM domains d LEFT JOIN lang_map l ON l.tld = {tld('d.domain')} LEFT JOIN country_map m ON m.tld = {tld('d.domain')}""")
+
+SQL["tenant_key"] = with_ctes(UPSERT_LOG, body=f"""
+SELECT lower({ustrip('email')}) AS tenant, count(*) AS n_rows, count(DISTINCT company_key) AS n_companies
+FROM upsert_log GROUP BY 1""")
+
+SQL["facets"] = with_ctes(CLIENT_ROWS, LOCALE, COMPANIES, body="""
+SELECT DISTINCT email, detected_country AS facet FROM companies WHERE detected_country <> ''
+UNION SELECT DISTINCT email, 'all' FROM companies""")
+
+SQL["facet_filter"] = with_ctes(CLIENT_ROWS, LOCALE, COMPANIES, body="""
+SELECT email, company_key, company_name, detected_country FROM companies WHERE detected_country = 'Germany'""")
+
+COMPANY_Q = "customer#000000123"
+SEARCH = f"""hits AS (
+SELECT * FROM companies c WHERE contains(lower(c.company_name), '{COMPANY_Q}')
+  OR EXISTS (SELECT 1 FROM clean k WHERE k.email = c.email AND k.company_key = c.company_key
+             AND contains(lower(k.name), '{COMPANY_Q}'))
+)"""
+
+SQL["company_search"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, LOCALE, COMPANIES, SEARCH, body="""
+SELECT email, company_key, company_name FROM hits""")
+
+SQL["company_search_count"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, LOCALE, COMPANIES, SEARCH, body="""
+SELECT email, count(*) AS n_companies FROM hits GROUP BY email""")
+
+SQL["repository_overview"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, LOCALE, COMPANIES, body="""
+SELECT c.email, c.company_key, c.company_name,
+  coalesce(nullif(c.detected_country, ''), nullif(c.detected_language, ''), '') AS place,
+  coalesce(k.n_real, 0) AS n_real,
+  row_number() OVER (PARTITION BY c.email ORDER BY coalesce(k.n_real, 0) DESC, c.company_key) AS rank
+FROM companies c LEFT JOIN (SELECT email, company_key, count(*) FILTER (WHERE NOT is_partner) AS n_real
+                            FROM clean GROUP BY ALL) k USING (email, company_key)""")
+
+SQL["company_detail"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, f"""badges AS (
+SELECT email, company_key, string_agg(badge, ' | ' ORDER BY badge_rank) AS badges FROM (
+  SELECT email, company_key, concat(n, ' ', label, CASE WHEN n > 1 THEN 's' ELSE '' END) AS badge,
+    row_number() OVER (PARTITION BY email, company_key ORDER BY n DESC, first_pos) AS badge_rank
+  FROM (SELECT email, company_key, {BADGE_LABEL} AS label, count(*) AS n, min(pos) AS first_pos
+        FROM clean GROUP BY ALL)) GROUP BY ALL
+), stats AS (
+SELECT email, company_key, count(*) FILTER (WHERE NOT is_partner) AS n_total,
+  count(*) FILTER (WHERE NOT is_partner AND ({_HIT})) AS n_match,
+  count(DISTINCT CASE WHEN NOT is_partner THEN nullif(industry, '') END) AS n_industries,
+  count(DISTINCT CASE WHEN NOT is_partner THEN nullif(country, '') END) AS n_countries
+FROM clean GROUP BY ALL
+)""", body="""
+SELECT b.email, b.company_key, b.badges, s.n_total, s.n_industries, s.n_countries,
+  format('{} of {} clients', s.n_match, s.n_total) AS caption
+FROM badges b JOIN stats s USING (email, company_key)""")
