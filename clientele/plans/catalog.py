@@ -239,3 +239,77 @@ def repository_overview(spark, sf):
 def company_detail(spark, sf):
     """Per company -- ordered badges, distinct counts, search caption."""
     return analytics.company_detail(_clean(spark, sf), CLIENT_Q)
+
+
+# ---------------------------------------------------------------------------
+# Page path
+# ---------------------------------------------------------------------------
+
+from ..functions import html as H  # noqa: E402
+from ..operators import context  # noqa: E402
+
+
+@query("url_dedupe")
+def url_dedupe(spark, sf):
+    """A1 + W1: first candidate per (host, url)."""
+    return context.dedupe_urls(fx.page_candidates(spark, sf)).select("netloc", "url", "type", "seq")
+
+
+def _capped(spark, sf):
+    return context.cap_pages(context.dedupe_urls(fx.page_candidates(spark, sf)))
+
+
+@query("page_cap_then_http")
+def page_cap_then_http(spark, sf):
+    """W5 + T3 + F1: first 15 unique candidates per host, then the http check."""
+    return context.http_only(_capped(spark, sf)).select("netloc", "url", "type", "seq", "rank")
+
+
+@query("candidate_fallback")
+def candidate_fallback(spark, sf):
+    """F9 + J3: repository companies without candidates fetch their own homepage."""
+    cands = context.dedupe_urls(fx.page_candidates(spark, sf))
+    comps = (fx.client_rows(spark, sf).select("netloc")
+             .unionByName(fx.page_candidates(spark, sf).select("netloc")))
+    return context.with_fallback(cands, comps)
+
+
+def _fetched(spark, sf):
+    return context.fetch(_capped(spark, sf), table(spark, sf, "pages"))
+
+
+@query("fetch_status")
+def fetch_status(spark, sf):
+    """J2 + S1 + P30 + S11: one status row per capped candidate."""
+    return _fetched(spark, sf).select("netloc", "seq", "url", "type", "status", "final_url", "n_chars")
+
+
+@query("fetch_status_counts")
+def fetch_status_counts(spark, sf):
+    """Fetch outcomes per host and status."""
+    return context.fetch_counts(_fetched(spark, sf))
+
+
+@query("page_text")
+def page_text(spark, sf):
+    """Readable text of every crawled page (8,000-char cap)."""
+    p = table(spark, sf, "pages").select("page_id", "html")
+    t = p.select("page_id", H.page_text(F.col("html")).alias("text"))
+    return t.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def _blocks(spark, sf):
+    pages = context.cap_pages(fx.doc_pages(spark, sf, with_seq=False), company="company_key", order="doc_id")
+    return context.context_blocks(pages, order="doc_id")
+
+
+@query("context_blocks")
+def context_blocks(spark, sf):
+    """W4 + P21 + W3 + T4: page blocks under the 35,000-char budget."""
+    return _blocks(spark, sf).select("company_key", "page_no", "url", "block_chars", "prior_chars", "kept_chars")
+
+
+@query("context_text")
+def context_text(spark, sf):
+    """The ordered, budgeted request context per company."""
+    return context.context_text(_blocks(spark, sf)).select("company_key", "n_pages", "context_chars", "context")

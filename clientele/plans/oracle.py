@@ -294,3 +294,78 @@ FROM clean GROUP BY ALL
 SELECT b.email, b.company_key, b.badges, s.n_total, s.n_industries, s.n_countries,
   format('{} of {} clients', s.n_match, s.n_total) AS caption
 FROM badges b JOIN stats s USING (email, company_key)""")
+
+# ---------------------------------------------------------------------------
+# Page path
+# ---------------------------------------------------------------------------
+DEDUPED = """deduped AS (
+SELECT netloc, url, type, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY netloc, url ORDER BY seq) AS rn FROM page_candidates
+  WHERE coalesce(url <> '', false)) WHERE rn = 1
+)"""
+CAPPED = """capped AS (
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY netloc ORDER BY seq) AS rank FROM deduped) WHERE rank <= 15
+)"""
+
+SQL["url_dedupe"] = with_ctes(PAGE_CANDIDATES, DEDUPED, body="SELECT netloc, url, type, seq FROM deduped")
+
+SQL["page_cap_then_http"] = with_ctes(PAGE_CANDIDATES, DEDUPED, CAPPED, body="""
+SELECT netloc, url, type, seq, rank FROM capped WHERE starts_with(url, 'http')""")
+
+SQL["candidate_fallback"] = with_ctes(CLIENT_ROWS, PAGE_CANDIDATES, DEDUPED, body="""
+SELECT netloc, url, type, seq, false AS is_fallback FROM deduped
+UNION ALL
+SELECT netloc, concat('https://', netloc), 'homepage', CAST(0 AS BIGINT), true
+FROM (SELECT netloc FROM client_rows UNION SELECT netloc FROM page_candidates)
+WHERE netloc NOT IN (SELECT netloc FROM deduped)""")
+
+_DROPPED = ("script", "style", "nav", "footer", "head", "noscript", "svg", "iframe")
+
+
+def page_text_sql(html: str, max_chars: int = 8000) -> str:
+    s = f"regexp_replace({html}, '(?is)<!--.*?-->|<!doctype[^>]*>', chr(1), 'g')"
+    for tag in _DROPPED:
+        s = f"regexp_replace({s}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', chr(1), 'g')"
+    s = f"regexp_replace({s}, '(?s)</?[a-zA-Z][^>]*>', chr(1), 'g')"
+    dec = "p"
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"),
+                    ("&amp;", "&")):
+        dec = f"replace({dec}, '{ent}', '{ch}')"
+    parts = f"list_filter(list_transform(string_split({s}, chr(1)), lambda p: {ustrip(dec)}), lambda p: p <> '')"
+    t = f"regexp_replace(array_to_string({parts}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"substring({t}, 1, {max_chars})"
+
+
+SQL["fetch_status"] = with_ctes(PAGE_CANDIDATES, DEDUPED, CAPPED, f"""fetched AS (
+SELECT c.netloc, c.seq, c.url, c.type,
+  CASE WHEN NOT starts_with(c.url, 'http') THEN 'skipped' WHEN p.url IS NOT NULL THEN 'ok' ELSE 'failed' END AS status,
+  p.url AS final_url, CASE WHEN p.url IS NOT NULL THEN {page_text_sql('p.html')} END AS text
+FROM capped c LEFT JOIN pages p ON c.url = p.url AND starts_with(c.url, 'http')
+)""", body="SELECT netloc, seq, url, type, status, final_url, CAST(length(text) AS BIGINT) AS n_chars FROM fetched")
+
+SQL["fetch_status_counts"] = SQL["fetch_status"].replace(
+    "SELECT netloc, seq, url, type, status, final_url, CAST(length(text) AS BIGINT) AS n_chars FROM fetched",
+    "SELECT netloc, status, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars "
+    "FROM fetched GROUP BY netloc, status")
+
+SQL["page_text"] = f"""
+SELECT page_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT page_id, {page_text_sql('html')} AS text FROM pages)"""
+
+BLOCKS = """blocks AS (
+SELECT *, substring(block, 1, 35000 - prior_chars) AS kept FROM (
+  SELECT *, CAST(coalesce(sum(block_chars) OVER (PARTITION BY company_key ORDER BY page_no
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_chars FROM (
+    SELECT *, CAST(length(block) AS BIGINT) AS block_chars FROM (
+      SELECT company_key, seq AS page_no, url,
+        concat(chr(10), chr(10), repeat('=', 60), chr(10), 'PAGE ', seq, ' | ', url, ' | type: ', type, chr(10),
+               repeat('=', 60), chr(10), coalesce(text, '')) AS block
+      FROM doc_pages WHERE seq <= 15)))
+WHERE prior_chars < 35000
+)"""
+
+SQL["context_blocks"] = with_ctes(DOC_PAGES, BLOCKS, body="""
+SELECT company_key, page_no, url, block_chars, prior_chars, CAST(length(kept) AS BIGINT) AS kept_chars FROM blocks""")
+
+SQL["context_text"] = with_ctes(DOC_PAGES, BLOCKS, body="""
+SELECT company_key, count(*) AS n_pages, CAST(length(string_agg(kept, '' ORDER BY page_no)) AS BIGINT) AS context_chars,
+  coalesce(string_agg(kept, '' ORDER BY page_no), '') AS context FROM blocks GROUP BY company_key""")
