@@ -10,12 +10,13 @@ from ..functions import urls
 from ..functions.text import ustrip
 from .dedupe import keep_first
 
-PARTNER = F.lit(schemas.PARTNER_SOURCE)
+def _partner() -> Column:
+    return F.lit(schemas.PARTNER_SOURCE)
 
 
 def is_partner(source: Column) -> Column:
     """partner rows are the ones whose source is ``technology_partner``."""
-    return F.coalesce(source == PARTNER, F.lit(False))
+    return F.coalesce(source == _partner(), F.lit(False))
 
 
 def client_record(name: Column, industry: Column, country: Column, source_type: Column,
@@ -36,7 +37,7 @@ def partner_record(name: Column, role: Column) -> Column:
         ustrip(name).alias("name"),
         F.lit(schemas.PARTNER_INDUSTRY).alias("industry"),
         F.lit("").alias("country"),
-        PARTNER.alias("source"),
+        _partner().alias("source"),
         F.coalesce(role, F.lit("")).alias("ai_note"),
         F.lit(schemas.PARTNER_CONFIDENCE).cast("long").alias("confidence"))
 
@@ -53,7 +54,7 @@ def records(rows: DataFrame) -> DataFrame:
     Partner rows (source ``technology_partner``) take the partner mapping;
     the section order (clients first) is part of ``ord``.
     """
-    partner = F.col("source_type") == PARTNER
+    partner = F.col("source_type") == _partner()
     rec = F.when(partner, partner_record(F.col("name"), F.col("evidence"))).otherwise(
         client_record(F.col("name"), F.col("industry"), F.col("country"), F.col("source_type"),
                       F.col("evidence"), F.col("confidence")))

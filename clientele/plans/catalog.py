@@ -313,3 +313,138 @@ def context_blocks(spark, sf):
 def context_text(spark, sf):
     """The ordered, budgeted request context per company."""
     return context.context_text(_blocks(spark, sf)).select("company_key", "n_pages", "context_chars", "context")
+
+
+# ---------------------------------------------------------------------------
+# Replies and requests
+# ---------------------------------------------------------------------------
+
+from .. import schemas  # noqa: E402
+from ..functions import replies as R  # noqa: E402
+from ..operators import udfs  # noqa: E402
+
+
+def _parsed(spark, sf):
+    r = fx.model_replies(spark, sf)
+    return (r.withColumn("json_text", R.first_json_object(F.col("reply")))
+             .withColumn("v", R.decode(F.col("json_text"))))
+
+
+@query("reply_json")
+def reply_json(spark, sf):
+    """P10 + P11 + P12: fence strip, greedy object cut, JSON decode."""
+    p = _parsed(spark, sf)
+    return p.select("reply_id", "json_text", F.col("v").isNotNull().alias("parsed_ok"),
+                    R.field(F.col("v"), "name").alias("name"),
+                    R.parse_error(F.col("json_text"), F.col("v")).alias("error"))
+
+
+@query("reply_defaults")
+def reply_defaults(spark, sf):
+    """P12 + P15 (Q9): defaults only for missing keys; explicit null stays null."""
+    p = _parsed(spark, sf).filter(F.col("v").isNotNull())
+    v = F.col("v")
+    state = (F.when(~R.has_key(v, "confidence"), F.lit("missing"))
+              .when(R.is_null_value(v, "confidence"), F.lit("null")).otherwise(F.lit("set")))
+    return p.select("reply_id",
+                    F.coalesce(R.field(v, "name"), F.lit("")).alias("name"),
+                    R.get_or_default(v, "industry", "").alias("industry"),
+                    R.get_or_default(v, "country", "").alias("country"),
+                    R.get_or_default(v, "source_type", schemas.DEFAULT_CLIENT_SOURCE).alias("source"),
+                    R.get_or_default(v, "confidence", schemas.DEFAULT_CONFIDENCE, "bigint").alias("confidence"),
+                    state.alias("confidence_state"))
+
+
+def _responses(spark, sf):
+    r = fx.model_responses(spark, sf)
+    api_err = R.reply_error(F.col("http_status"), F.col("body"))
+    text = F.when(api_err.isNull(), R.reply_text(F.col("body")))
+    return (r.withColumn("api_error", api_err).withColumn("text", text)
+             .withColumn("json_text", R.first_json_object(F.col("text")))
+             .withColumn("v", R.decode(F.col("json_text"))))
+
+
+@query("reply_errors")
+def reply_errors(spark, sf):
+    """P13 + P14 + P11: API failures (status text cut to 300, envelope message)
+    and decode failures, one row per failed reply."""
+    r = _responses(spark, sf)
+    err = F.coalesce(F.col("api_error"), R.parse_error(F.col("json_text"), F.col("v")))
+    stage = F.when(F.col("api_error").isNotNull(), F.lit("api")).otherwise(F.lit("parse"))
+    return (r.withColumn("error", err).filter(F.col("error").isNotNull())
+             .select("reply_id", stage.alias("stage"), "error"))
+
+
+@query("reply_text")
+def reply_text(spark, sf):
+    """Text of the successful envelopes (text blocks only, in order)."""
+    r = _responses(spark, sf).filter(F.col("api_error").isNull())
+    return r.select("reply_id", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _discovery_requests(spark, sf):
+    comps = _companies(spark, sf)
+    url = F.concat(F.lit("https://"), F.col("netloc"))
+    prompt = R.discovery_prompt(url, F.col("domain"), F.col("detected_language"))
+    return comps.select("company_key", F.lit("discovery").alias("kind"),
+                        F.lit(schemas.DISCOVERY_MAX_TOKENS).cast("long").alias("max_tokens"),
+                        F.lit(True).alias("use_search"), prompt.alias("prompt"))
+
+
+def _analysis_requests(spark, sf):
+    ctx = context.context_text(_blocks(spark, sf))
+    domain = F.concat(F.col("company_key"), F.lit(".example.com"))
+    prompt = R.analysis_prompt(urls.default_company_name(domain), domain, F.col("n_pages"), F.col("context"))
+    return ctx.select("company_key", F.lit("analysis").alias("kind"),
+                      F.lit(schemas.ANALYSIS_MAX_TOKENS).cast("long").alias("max_tokens"),
+                      F.lit(False).alias("use_search"), prompt.alias("prompt"))
+
+
+@query("request_rows")
+def request_rows(spark, sf):
+    """P18 + P19 + P20: discovery requests per repository company and analysis
+    requests per company context, as JSON bodies."""
+    d = _discovery_requests(spark, sf).withColumn(
+        "body", R.request_body(F.col("prompt"), schemas.DISCOVERY_MAX_TOKENS, True))
+    a = _analysis_requests(spark, sf).withColumn(
+        "body", R.request_body(F.col("prompt"), schemas.ANALYSIS_MAX_TOKENS, False))
+    return d.unionByName(a).select("company_key", "kind", "max_tokens", "use_search",
+                                   F.length("prompt").cast("long").alias("prompt_chars"), "body")
+
+
+def _customer_requests(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    prompt = F.format_string("Extract the clients named in the reply about %s (%s).", "c_name", "c_mktsegment")
+    return c.select(F.col("c_custkey").alias("request_id"),
+                    R.request_body(prompt, schemas.ANALYSIS_MAX_TOKENS, False).alias("body"))
+
+
+@query("request_reply_join")
+def request_reply_join(spark, sf):
+    """Requests joined with their replies; a missing reply is an error row."""
+    reqs = _customer_requests(spark, sf)
+    j = udfs.replies_from_table(reqs, fx.model_responses(spark, sf))
+    err = F.when(~F.col("has_reply"), F.lit("no reply")).otherwise(
+        R.reply_error(F.col("http_status"), F.col("reply_body")))
+    return j.select("request_id", "has_reply", "http_status", err.alias("error"))
+
+
+@query("model_step")
+def model_step(spark, sf):
+    """U2 + P13 + P29: a pluggable model function over request batches; the
+    stamp is taken once on the driver and passed as a literal."""
+    import datetime as _dt
+    stamp = _dt.datetime.now().replace(microsecond=0).isoformat()
+    out = udfs.complete(_customer_requests(spark, sf), udfs.echo_model)
+    text = R.reply_text(F.col("reply_body"))
+    v = R.decode(R.first_json_object(text))
+    return out.select("request_id", "http_status",
+                      F.try_variant_get(v, "$.clients[0].name", "string").alias("first_client"),
+                      F.lit(stamp).alias("scraped_at"))
+
+
+@query("page_text_fallback")
+def page_text_fallback(spark, sf):
+    """The parser-based page text for every page (compared with P9 in tests)."""
+    p = table(spark, sf, "pages").select("page_id", "html")
+    return p.select("page_id", udfs.page_text_udf(F.col("html")).alias("text"))

@@ -369,3 +369,105 @@ SELECT company_key, page_no, url, block_chars, prior_chars, CAST(length(kept) AS
 SQL["context_text"] = with_ctes(DOC_PAGES, BLOCKS, body="""
 SELECT company_key, count(*) AS n_pages, CAST(length(string_agg(kept, '' ORDER BY page_no)) AS BIGINT) AS context_chars,
   coalesce(string_agg(kept, '' ORDER BY page_no), '') AS context FROM blocks GROUP BY company_key""")
+
+# ---------------------------------------------------------------------------
+# Replies and requests
+# ---------------------------------------------------------------------------
+from ..functions import replies as _R  # noqa: E402
+
+
+def sq(s: str = "") -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def first_json(x: str) -> str:
+    fence = "'```json|```'"
+    return f"nullif(regexp_extract({ustrip(f'regexp_replace({x}, {fence}, {sq()}, {sq(chr(103))})')}, '(?s)\\{{.*\\}}', 0), '')"
+
+
+PARSED = f"""parsed AS (
+SELECT reply_id, j, coalesce(json_valid(j), false) AS ok FROM (SELECT reply_id, {first_json('reply')} AS j FROM model_replies)
+)"""
+
+PARSE_ERROR = ("CASE WHEN j IS NULL THEN 'No JSON found in response' "
+               "WHEN NOT json_valid(j) THEN 'Invalid JSON in response' END")
+
+SQL["reply_json"] = with_ctes(MODEL_REPLIES, PARSED, body=f"""
+SELECT reply_id, j AS json_text, ok AS parsed_ok, CASE WHEN ok THEN json_extract_string(j, '$.name') END AS name,
+  {PARSE_ERROR} AS error FROM parsed""")
+
+
+def get_default(key: str, default: str) -> str:
+    return f"CASE WHEN json_type(j, '$.{key}') IS NULL THEN {default} ELSE json_extract_string(j, '$.{key}') END"
+
+
+SQL["reply_defaults"] = with_ctes(MODEL_REPLIES, PARSED, body=f"""
+SELECT reply_id, coalesce(json_extract_string(j, '$.name'), '') AS name,
+  {get_default('industry', "''")} AS industry, {get_default('country', "''")} AS country,
+  {get_default('source_type', "'reference_list'")} AS source,
+  CAST(CASE WHEN json_type(j, '$.confidence') IS NULL THEN 80
+            ELSE TRY_CAST(json_extract_string(j, '$.confidence') AS BIGINT) END AS BIGINT) AS confidence,
+  CASE WHEN json_type(j, '$.confidence') IS NULL THEN 'missing' WHEN json_type(j, '$.confidence') = 'NULL' THEN 'null'
+       ELSE 'set' END AS confidence_state
+FROM parsed WHERE ok""")
+
+RESPONSES = """responses AS (
+SELECT reply_id, http_status, body,
+  CASE WHEN http_status <> 200 THEN concat('Claude API ', http_status, ': ', substring(body, 1, 300))
+       WHEN json_valid(body) AND json_type(body, '$.error') IS NOT NULL
+         THEN coalesce(json_extract_string(body, '$.error.message'), 'Claude API error') END AS api_error
+FROM (SELECT reply_id, CASE WHEN reply_id % 19 = 0 THEN 529 ELSE 200 END AS http_status,
+        CASE WHEN reply_id % 19 = 0 THEN concat('overloaded ', repeat('.', 400))
+             WHEN reply_id % 17 = 0 THEN '{"type":"error","error":{"message":"rate limited"}}'
+             WHEN reply_id % 23 = 0 THEN '{"type":"error","error":{}}'
+             ELSE to_json({'content': [{'type': 'text', 'text': substring(reply, 1, 10)},
+                                       {'type': 'tool_use', 'text': NULL},
+                                       {'type': 'text', 'text': substring(reply, 11)}]})::VARCHAR END AS body
+      FROM model_replies)
+), texts AS (
+SELECT *, CASE WHEN api_error IS NULL THEN array_to_string(list_transform(list_filter(
+    from_json(body, '{"content":[{"type":"VARCHAR","text":"VARCHAR"}]}').content,
+    lambda b: b.type = 'text'), lambda b: coalesce(b.text, '')), '') END AS text
+FROM responses
+)"""
+
+SQL["reply_text"] = with_ctes(MODEL_REPLIES, RESPONSES, body="""
+SELECT reply_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM texts WHERE api_error IS NULL""")
+
+SQL["reply_errors"] = with_ctes(MODEL_REPLIES, RESPONSES, f"""p AS (SELECT *, {first_json('text')} AS j FROM texts)""",
+                                body=f"""
+SELECT reply_id, CASE WHEN api_error IS NOT NULL THEN 'api' ELSE 'parse' END AS stage,
+  coalesce(api_error, {PARSE_ERROR}) AS error FROM p WHERE coalesce(api_error, {PARSE_ERROR}) IS NOT NULL""")
+
+SQL["request_reply_join"] = with_ctes(MODEL_REPLIES, RESPONSES, body="""
+SELECT c.c_custkey AS request_id, r.reply_id IS NOT NULL AS has_reply, coalesce(r.http_status, 0) AS http_status,
+  CASE WHEN r.reply_id IS NULL THEN 'no reply' ELSE r.api_error END AS error
+FROM customer c LEFT JOIN responses r ON r.reply_id = c.c_custkey""")
+
+
+def body_sql(prompt: str, max_tokens: int, use_search: bool) -> str:
+    tools = ", 'tools': [{'type': 'web_search_20250305', 'name': 'web_search'}]" if use_search else ""
+    return (f"to_json({{'model': '{schemas.MODEL_NAME}', 'max_tokens': {max_tokens}, "
+            f"'messages': [{{'role': 'user', 'content': {prompt}}}]{tools}}})::VARCHAR")
+
+
+_DISC = f"printf({sq(_R.DISCOVERY_TEMPLATE)}, concat('https://', netloc), domain, detected_language)"
+_ANAL = (f"printf({sq(_R.ANALYSIS_TEMPLATE)}, {default_name(chr(39) + '.example.com' + chr(39))}, "
+         "concat(company_key, '.example.com'), CAST(n_pages AS INTEGER), context)")
+_ANAL = _ANAL.replace(default_name("'.example.com'"), default_name("concat(company_key, '.example.com')"))
+
+SQL["request_rows"] = with_ctes(
+    CLIENT_ROWS, LOCALE,
+    COMPANIES.replace("SELECT c.email,", "SELECT c.email, c.netloc,").replace(
+        "SELECT DISTINCT email, ", "SELECT DISTINCT email, netloc, "),
+    DOC_PAGES, BLOCKS,
+    """ctx AS (SELECT company_key, count(*) AS n_pages, string_agg(kept, '' ORDER BY page_no) AS context
+             FROM blocks GROUP BY company_key)""",
+    f"""reqs AS (
+SELECT company_key, 'discovery' AS kind, CAST(4000 AS BIGINT) AS max_tokens, true AS use_search, {_DISC} AS prompt,
+  true AS s FROM companies
+UNION ALL
+SELECT company_key, 'analysis', CAST(8000 AS BIGINT), false, {_ANAL}, false FROM ctx
+)""", body=f"""
+SELECT company_key, kind, max_tokens, use_search, CAST(length(prompt) AS BIGINT) AS prompt_chars,
+  CASE WHEN s THEN {body_sql('prompt', 4000, True)} ELSE {body_sql('prompt', 8000, False)} END AS body FROM reqs""")

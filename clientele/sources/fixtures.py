@@ -149,3 +149,22 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
               .when(k % 13 == 1, F.concat(F.lit("{\"name\":\""), F.col("c_name"), F.lit("\",\"confidence\":")))
               .otherwise(fenced))
     return c.select(k.alias("reply_id"), reply.alias("reply"))
+
+
+def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """API response envelopes around ``model_replies``: HTTP 529 for
+    reply_id % 19 = 0, an error document for % 17 = 0, an error without a
+    message for % 23 = 0, else content blocks (text, tool_use, text) whose
+    texts concatenate to the reply."""
+    r = model_replies(spark, sf_dir)
+    k = F.col("reply_id")
+    blocks = F.array(
+        F.struct(F.lit("text").alias("type"), F.substring("reply", 1, 10).alias("text")),
+        F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text")),
+        F.struct(F.lit("text").alias("type"), F.expr("substring(reply, 11)").alias("text")))
+    status = F.when(k % 19 == 0, F.lit(529)).otherwise(F.lit(200))
+    body = (F.when(k % 19 == 0, F.concat(F.lit("overloaded "), F.repeat(F.lit("."), 400)))
+             .when(k % 17 == 0, F.lit('{"type":"error","error":{"message":"rate limited"}}'))
+             .when(k % 23 == 0, F.lit('{"type":"error","error":{}}'))
+             .otherwise(F.to_json(F.struct(blocks.alias("content")))))
+    return r.select("reply_id", status.alias("http_status"), body.alias("body"))
