@@ -448,3 +448,110 @@ def page_text_fallback(spark, sf):
     """The parser-based page text for every page (compared with P9 in tests)."""
     p = table(spark, sf, "pages").select("page_id", "html")
     return p.select("page_id", udfs.page_text_udf(F.col("html")).alias("text"))
+
+
+# ---------------------------------------------------------------------------
+# Store (keyed state over the write log) and streaming
+# ---------------------------------------------------------------------------
+
+from ..sources import store as S  # noqa: E402
+from ..streaming import jobs as ST  # noqa: E402
+
+KEYS = ["email", "company_key"]
+ORDER = ["updated_at", "seq"]
+TS_FMT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
+def _fmt_ts(df):
+    return df.withColumn("updated_at", F.date_format("updated_at", TS_FMT))
+
+
+def _repo_state(spark, sf):
+    return S.apply_log(fx.upsert_log(spark, sf), KEYS, ORDER)
+
+
+@query("latest_upsert")
+def latest_upsert(spark, sf):
+    """Latest upsert per (tenant, company) by (updated_at, seq)."""
+    log = fx.upsert_log(spark, sf).filter(F.col("op") == "upsert")
+    return _fmt_ts(S.upsert_latest(log, KEYS, ORDER).select(*KEYS, "data", "updated_at", "seq"))
+
+
+@query("upsert_with_delete")
+def upsert_with_delete(spark, sf):
+    """S5 + S7: final repository state -- last operation per key wins, deletes remove."""
+    return _fmt_ts(_repo_state(spark, sf).select(*KEYS, "data", "updated_at", "seq"))
+
+
+@query("insert_if_absent")
+def insert_if_absent(spark, sf):
+    """S8 + J3: unique-key insert.  Keys written on the first day exist; later
+    upserts are inserts -- the first per new key is accepted, the rest rejected."""
+    log = fx.upsert_log(spark, sf).filter(F.col("op") == "upsert")
+    day1 = F.col("updated_at") < F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+    existing = log.filter(day1).select(*KEYS).distinct()
+    accepted, rejected = S.insert_if_absent(existing, log.filter(~day1), KEYS, ORDER)
+    n_rej = rejected.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rejected"))
+    # rejected: later writes to an accepted key, and every write to an existing key
+    return (accepted.join(n_rej, KEYS, "left")
+                    .select(*KEYS, "seq", F.coalesce("n_rejected", F.lit(0)).cast("long").alias("n_rejected")))
+
+
+TENANT = "user3@example.com"
+
+
+@query("tenant_scan")
+def tenant_scan(spark, sf):
+    """S3 + F3: one tenant's repository rows (key and document)."""
+    return S.tenant_scan(_repo_state(spark, sf), TENANT).select("company_key", "data")
+
+
+@query("point_lookup")
+def point_lookup(spark, sf):
+    """S4 + J5: batch lookups (the keys named by delete events) against the
+    final state; NULL where absent."""
+    lookups = (fx.upsert_log(spark, sf).filter(F.col("op") == "delete")
+               .select(F.col("seq").alias("lookup_id"), *KEYS))
+    r = S.point_lookup(_repo_state(spark, sf), lookups, KEYS, "data")
+    return r.select("lookup_id", *KEYS, "data", F.col("data").isNotNull().alias("found"))
+
+
+@query("settings_upsert")
+def settings_upsert(spark, sf):
+    """Settings (tenant, name) -> value, last write by sequence wins
+    (settings carry no timestamp)."""
+    log = fx.upsert_log(spark, sf)
+    ev = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("name"))
+    s = log.join(ev, "seq").select("email", "name", F.col("data").alias("value"), "seq")
+    return S.latest_per_key(s, ["email", "name"], ["seq"]).select("email", "name", "value")
+
+
+@query("contract_check")
+def contract_check(spark, sf):
+    """S10 + X11: NULLs in required columns, duplicate keys of the repository
+    state, and client sources outside the allowed set."""
+    repo = _repo_state(spark, sf)
+    v = S.contract_violations(repo, ["email", "company_key", "data"], KEYS)
+    allowed = list(schemas.CLIENT_SOURCE_TYPES) + [schemas.PARTNER_SOURCE]
+    rows = fx.client_rows(spark, sf)
+    extra = rows.agg(
+        F.count_if(~F.coalesce(F.col("source_type").isin(allowed), F.lit(False))).cast("long").alias("bad_source"),
+        F.count_if(F.col("confidence").isNull()).cast("long").alias("null_confidence"))
+    extra = extra.select(F.explode(F.array(
+        F.struct(F.lit("bad_source").alias("check"), F.col("bad_source").alias("n")),
+        F.struct(F.lit("null_confidence").alias("check"), F.col("null_confidence").alias("n")))).alias("x")
+    ).select("x.*")
+    return v.unionByName(extra)
+
+
+@query("stream_upsert")
+def stream_upsert(spark, sf):
+    """ST1: the write log as a stream, applied per micro-batch to the
+    snapshot store; returns the final state (equal to upsert_with_delete)."""
+    return _fmt_ts(ST.run_stream_upsert(spark, sf).select(*KEYS, "data", "updated_at", "seq"))
+
+
+@query("stream_dedupe")
+def stream_dedupe(spark, sf):
+    """ST2: stream dedupe of (user, event type) within a 40-day watermark."""
+    return ST.run_stream_dedupe(spark, sf).select("user_id", "event_type")

@@ -471,3 +471,55 @@ SELECT company_key, 'analysis', CAST(8000 AS BIGINT), false, {_ANAL}, false FROM
 )""", body=f"""
 SELECT company_key, kind, max_tokens, use_search, CAST(length(prompt) AS BIGINT) AS prompt_chars,
   CASE WHEN s THEN {body_sql('prompt', 4000, True)} ELSE {body_sql('prompt', 8000, False)} END AS body FROM reqs""")
+
+# ---------------------------------------------------------------------------
+# Store and streaming
+# ---------------------------------------------------------------------------
+TS = "strftime(updated_at, '%Y-%m-%d %H:%M:%S.%f')"
+STATE = """state AS (
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY email, company_key ORDER BY updated_at DESC, seq DESC) AS rn
+               FROM upsert_log) WHERE rn = 1 AND op <> 'delete'
+)"""
+
+SQL["latest_upsert"] = with_ctes(UPSERT_LOG, body=f"""
+SELECT email, company_key, data, {TS} AS updated_at, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY email, company_key ORDER BY updated_at DESC, seq DESC) AS rn
+  FROM upsert_log WHERE op = 'upsert') WHERE rn = 1""")
+
+SQL["upsert_with_delete"] = with_ctes(UPSERT_LOG, STATE, body=f"""
+SELECT email, company_key, data, {TS} AS updated_at, seq FROM state""")
+
+SQL["stream_upsert"] = SQL["upsert_with_delete"]
+
+SQL["insert_if_absent"] = with_ctes(UPSERT_LOG, body="""
+SELECT email, company_key, seq, CAST(n - 1 AS BIGINT) AS n_rejected FROM (
+  SELECT *, row_number() OVER (PARTITION BY email, company_key ORDER BY updated_at, seq) AS rn,
+         count(*) OVER (PARTITION BY email, company_key) AS n
+  FROM upsert_log WHERE op = 'upsert' AND updated_at >= TIMESTAMP '2024-01-02 00:00:00') u
+WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM upsert_log d WHERE d.op = 'upsert' AND d.updated_at < TIMESTAMP '2024-01-02 00:00:00'
+                             AND d.email = u.email AND d.company_key = u.company_key)""")
+
+SQL["tenant_scan"] = with_ctes(UPSERT_LOG, STATE, body="""
+SELECT company_key, data FROM state WHERE email = 'user3@example.com'""")
+
+SQL["point_lookup"] = with_ctes(UPSERT_LOG, STATE, body="""
+SELECT l.seq AS lookup_id, l.email, l.company_key, s.data, s.data IS NOT NULL AS found
+FROM upsert_log l LEFT JOIN state s USING (email, company_key) WHERE l.op = 'delete'""")
+
+SQL["settings_upsert"] = with_ctes(UPSERT_LOG, body="""
+SELECT email, name, value FROM (
+  SELECT l.email, e.event_type AS name, l.data AS value,
+         row_number() OVER (PARTITION BY l.email, e.event_type ORDER BY l.seq DESC) AS rn
+  FROM upsert_log l JOIN events e ON e.event_id = l.seq) WHERE rn = 1""")
+
+SQL["contract_check"] = with_ctes(UPSERT_LOG, STATE, CLIENT_ROWS, body="""
+SELECT 'null_email' AS "check", count(*) FILTER (WHERE email IS NULL) AS n FROM state
+UNION ALL SELECT 'null_company_key', count(*) FILTER (WHERE company_key IS NULL) FROM state
+UNION ALL SELECT 'null_data', count(*) FILTER (WHERE data IS NULL) FROM state
+UNION ALL SELECT 'duplicate_key', CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (
+  SELECT count(*) AS c FROM state GROUP BY email, company_key HAVING count(*) > 1)
+UNION ALL SELECT 'bad_source', count(*) FILTER (WHERE NOT coalesce(source_type IN ('case_study', 'reference_list', 'logo',
+  'testimonial', 'blog', 'job_listing', 'technology_partner'), false)) FROM client_rows
+UNION ALL SELECT 'null_confidence', count(*) FILTER (WHERE confidence IS NULL) FROM client_rows""")
+
+SQL["stream_dedupe"] = "SELECT DISTINCT user_id, event_type FROM events"
