@@ -555,3 +555,108 @@ def stream_upsert(spark, sf):
 def stream_dedupe(spark, sf):
     """ST2: stream dedupe of (user, event type) within a 40-day watermark."""
     return ST.run_stream_dedupe(spark, sf).select("user_id", "event_type")
+
+
+# ---------------------------------------------------------------------------
+# Extraction rules
+# ---------------------------------------------------------------------------
+
+from ..functions import extract as X  # noqa: E402
+
+
+def _pages(spark, sf):
+    return table(spark, sf, "pages").select("page_id", "url", "html")
+
+
+@query("page_types")
+def page_types(spark, sf):
+    """Page type of every crawled URL by its path keywords."""
+    return _pages(spark, sf).select("page_id", "url", urls.page_type(F.col("url")).alias("page_type"))
+
+
+@query("link_discovery")
+def link_discovery(spark, sf):
+    """Outlinks of every page in order, made absolute, same-host flag, type."""
+    p = _pages(spark, sf).select("page_id", "url", F.posexplode(H.hrefs(F.col("html"))).alias("i", "href"))
+    scheme = F.regexp_extract("url", r"^([a-zA-Z]+)://", 1)
+    host = urls.netloc(F.col("url"))
+    href = F.col("href")
+    absu = (F.when(href.rlike(r"^https?://"), href)
+             .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
+             .when(href.startswith("/"), F.concat(scheme, F.lit("://"), host, href)))
+    out = p.select("page_id", (F.col("i") + 1).cast("long").alias("link_pos"), "href", absu.alias("abs_url"), host.alias("host"))
+    return out.select("page_id", "link_pos", "href", "abs_url",
+                      (F.lower(urls.netloc(F.col("abs_url"))) == F.lower(F.col("host"))).alias("same_host"),
+                      F.when(F.col("abs_url").isNotNull(), urls.page_type(F.col("abs_url"))).alias("link_type"))
+
+
+def _list_names(spark, sf):
+    p = _pages(spark, sf).select("page_id", "url", F.posexplode(H.list_items(F.col("html"))).alias("i", "item"))
+    return (p.select("page_id", "url", (F.col("i") + 1).cast("long").alias("item_pos"),
+                     H.strip_tags(F.col("item")).alias("name"))
+             .filter(F.col("name") != ""))
+
+
+@query("list_names")
+def list_names(spark, sf):
+    """One candidate name per list item (tags stripped, entities decoded)."""
+    return _list_names(spark, sf).select("page_id", "item_pos", "name")
+
+
+@query("name_normalize")
+def name_normalize(spark, sf):
+    """Normalised spelling of every distinct client name."""
+    names = _clean(spark, sf).select("name").distinct()
+    return names.select("name", X.normalize_name(F.col("name")).alias("normalized"))
+
+
+@query("tech_partner_flag")
+def tech_partner_flag(spark, sf):
+    """Vendor flag for every distinct candidate name (list items and clients)."""
+    names = (_list_names(spark, sf).select("name")
+             .unionByName(_clean(spark, sf).select("name")).distinct())
+    return names.select("name", X.is_tech_vendor(F.col("name")).alias("is_vendor"))
+
+
+@query("name_exclusion")
+def name_exclusion(spark, sf):
+    """List-item candidates minus navigation words and the site's own name."""
+    n = _list_names(spark, sf)
+    own = urls.default_company_name(urls.strip_www(urls.netloc(F.col("url"))))
+    keep = ~X.is_stop_name(F.col("name")) & (F.lower(F.col("name")) != F.lower(own))
+    return n.filter(keep).select("page_id", "item_pos", "name")
+
+
+@query("country_guess")
+def country_guess(spark, sf):
+    """The client's country, else the company's TLD country."""
+    c = _clean(spark, sf).withColumn("tld", urls.tld(F.col("domain")))
+    return c.select("email", "company_key", "name", "country",
+                    urls.country_guess(F.col("country"), F.col("tld")).alias("country_guess"))
+
+
+@query("headline_clients")
+def headline_clients(spark, sf):
+    """Client named by each page's title headline (NULL when no pattern fits)."""
+    t = _pages(spark, sf).select("page_id", H.title(F.col("html")).alias("title"))
+    return t.select("page_id", "title", X.headline_client(F.col("title")).alias("client"))
+
+
+@query("logo_names")
+def logo_names(spark, sf):
+    """Image alt texts as logo-wall names (the crawled pages carry no images)."""
+    p = _pages(spark, sf).select("page_id", F.posexplode(H.image_alts(F.col("html"))).alias("i", "alt"))
+    return p.select("page_id", (F.col("i") + 1).cast("long").alias("pos"), ustrip_col("alt").alias("name")) \
+            .filter(F.col("name") != "")
+
+
+def ustrip_col(c):
+    from ..functions.text import ustrip
+    return ustrip(F.col(c))
+
+
+@query("evidence_sentences")
+def evidence_sentences(spark, sf):
+    """First sentence of each client's note that names the client."""
+    c = _clean(spark, sf)
+    return c.select("email", "company_key", "name", X.evidence_sentence(F.col("ai_note"), F.col("name")).alias("evidence"))

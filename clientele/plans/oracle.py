@@ -523,3 +523,105 @@ UNION ALL SELECT 'bad_source', count(*) FILTER (WHERE NOT coalesce(source_type I
 UNION ALL SELECT 'null_confidence', count(*) FILTER (WHERE confidence IS NULL) FROM client_rows""")
 
 SQL["stream_dedupe"] = "SELECT DISTINCT user_id, event_type FROM events"
+
+# ---------------------------------------------------------------------------
+# Extraction rules
+# ---------------------------------------------------------------------------
+from ..functions import extract as _X  # noqa: E402
+
+
+def url_path(u: str) -> str:
+    return f"regexp_extract({u}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+def page_type(u: str) -> str:
+    p = f"lower({url_path(u)})"
+    ref = "|".join(k.replace("-", "\\-") for k in schemas.REFERENCE_PATH_KEYWORDS)
+    return (f"CASE WHEN regexp_matches({p}, '/(case-stud(y|ies)|case_stud(y|ies))(/|$)') THEN 'case_study' "
+            f"WHEN regexp_matches({p}, '/({ref})(/|$)') THEN 'reference_list' "
+            f"WHEN regexp_matches({p}, '/(testimonials?)(/|$)') THEN 'testimonials' "
+            f"WHEN regexp_matches({p}, '/(blog|news|insights?)(/|$)') THEN 'blog_post' "
+            f"WHEN regexp_matches({p}, '/(jobs?|careers?|karriere|kariera)(/|$)') THEN 'job_listing' "
+            f"WHEN regexp_matches({p}, '/(partners?|technolog(y|ies))(/|$)') THEN 'partners' "
+            f"WHEN {p} = '' OR {p} = '/' THEN 'homepage' ELSE 'other' END")
+
+
+def decode_sql(x: str) -> str:
+    for ent, ch in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        x = f"replace({x}, '{ent}', '{ch}')"
+    return x
+
+
+def strip_tags_sql(x: str) -> str:
+    return ustrip(decode_sql(f"regexp_replace({x}, '(?s)</?[a-zA-Z][^>]*>', ' ', 'g')"))
+
+
+def normalize_sql(x: str) -> str:
+    s = f"regexp_replace({ustrip(x)}, '{_X.TRAILING_PUNCT}', '')"
+    return (f"CASE WHEN {s} = upper({s}) AND length(regexp_replace({s}, '[^\\p{{L}}]', '', 'g')) >= 5 "
+            f"THEN {title_case(s)} ELSE {s} END")
+
+
+SQL["page_types"] = f"SELECT page_id, url, {page_type('url')} AS page_type FROM pages"
+
+SQL["link_discovery"] = f"""
+WITH l AS (
+  SELECT page_id, url, unnest(generate_series(1, len(h))) AS link_pos, unnest(h) AS href
+  FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)
+), a AS (
+  SELECT *, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host,
+    CASE WHEN regexp_matches(href, '^https?://') THEN href
+         WHEN starts_with(href, '//') THEN concat(regexp_extract(url, '^([a-zA-Z]+)://', 1), ':', href)
+         WHEN starts_with(href, '/') THEN concat(regexp_extract(url, '^([a-zA-Z]+)://', 1), '://',
+                                                 regexp_extract(url, '^https?://([^/?#]*)', 1), href) END AS abs_url
+  FROM l
+)
+SELECT page_id, CAST(link_pos AS BIGINT) AS link_pos, href, abs_url,
+  lower(regexp_extract(abs_url, '^https?://([^/?#]*)', 1)) = lower(host) AS same_host,
+  CASE WHEN abs_url IS NOT NULL THEN {page_type('abs_url')} END AS link_type FROM a"""
+
+LIST_NAMES = f"""list_names AS (
+SELECT page_id, url, item_pos, name FROM (
+  SELECT page_id, url, CAST(item_pos AS BIGINT) AS item_pos, {strip_tags_sql('item')} AS name FROM (
+    SELECT page_id, url, unnest(generate_series(1, len(li))) AS item_pos, unnest(li) AS item
+    FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS li FROM pages)))
+WHERE name <> ''
+)"""
+
+SQL["list_names"] = with_ctes(LIST_NAMES, body="SELECT page_id, item_pos, name FROM list_names")
+
+SQL["name_normalize"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body=f"""
+SELECT name, {normalize_sql('name')} AS normalized FROM (SELECT DISTINCT name FROM clean)""")
+
+_VENDORS = ", ".join(f"'{v.lower()}'" for v in schemas.TECH_VENDORS)
+SQL["tech_partner_flag"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, LIST_NAMES, body=f"""
+SELECT name, coalesce(lower({normalize_sql('name')}) IN ({_VENDORS}), false) AS is_vendor
+FROM (SELECT name FROM list_names UNION SELECT name FROM clean)""")
+
+_STOP = ", ".join(f"'{w}'" for w in _X.STOP_NAMES)
+_OWN = default_name("ltrim(regexp_extract(url, '^https?://([^/?#]*)', 1), 'w.')")
+SQL["name_exclusion"] = with_ctes(LIST_NAMES, body=f"""
+SELECT page_id, item_pos, name FROM list_names
+WHERE NOT (lower({ustrip('name')}) IN ({_STOP})) AND lower(name) <> lower({_OWN})""")
+
+_CMAP = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in sorted(schemas.TLD_COUNTRY.items())) + "}"
+SQL["country_guess"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body=f"""
+SELECT email, company_key, name, country,
+  coalesce(nullif(country, ''), nullif({_CMAP}[{tld('domain')}], ''), '') AS country_guess FROM clean""")
+
+_TITLE = strip_tags_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
+_HEAD = ", ".join(f"nullif(regexp_extract(title, '{p}', 1), '')" for p in _X.HEADLINE_PATTERNS)
+SQL["headline_clients"] = f"""
+SELECT page_id, title, coalesce({_HEAD}) AS client FROM (SELECT page_id, {_TITLE} AS title FROM pages)"""
+
+SQL["logo_names"] = f"""
+SELECT page_id, CAST(pos AS BIGINT) AS pos, name FROM (
+  SELECT page_id, pos, {ustrip('alt')} AS name FROM (
+    SELECT page_id, unnest(generate_series(1, len(a))) AS pos, unnest(a) AS alt
+    FROM (SELECT page_id, regexp_extract_all(html, '(?is)<img\\b[^>]*\\balt="([^"]*)"', 1) AS a FROM pages)))
+WHERE name <> ''"""
+
+SQL["evidence_sentences"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body="""
+SELECT email, company_key, name,
+  list_filter(string_split(regexp_replace(coalesce(ai_note, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
+              lambda s: contains(lower(s), lower(name)))[1] AS evidence FROM clean""")
