@@ -660,3 +660,57 @@ def evidence_sentences(spark, sf):
     """First sentence of each client's note that names the client."""
     c = _clean(spark, sf)
     return c.select("email", "company_key", "name", X.evidence_sentence(F.col("ai_note"), F.col("name")).alias("evidence"))
+
+
+# ---------------------------------------------------------------------------
+# End-to-end jobs
+# ---------------------------------------------------------------------------
+
+from . import jobs  # noqa: E402
+
+SCRAPED_AT = "2024-02-01T00:00:00"
+
+
+def _e1_inputs(spark, sf):
+    """Companies = crawled hosts; discovery candidates = page_candidates."""
+    pc = fx.page_candidates(spark, sf)
+    inputs = pc.select(F.col("netloc").alias("input_url")).distinct()
+    ident = urls.company_identity(pc, "netloc").select(
+        "company_key", F.col("url"), "type", F.lit("").alias("description"), "seq")
+    return inputs, ident
+
+
+def _e1(spark, sf):
+    inputs, cands = _e1_inputs(spark, sf)
+    return jobs.build_repository(inputs, cands, table(spark, sf, "pages"), None, SCRAPED_AT)
+
+
+@query("build_repository")
+def build_repository(spark, sf):
+    """Every company's document, built from candidates, pages and replies."""
+    d = _e1(spark, sf)
+    return d.select("company_key", F.col("document.company_name").alias("company_name"),
+                    F.size("document.clients").cast("long").alias("n_clients"),
+                    F.size(F.filter("document.clients", lambda c: c["source"] == "technology_partner"))
+                    .cast("long").alias("n_partners"),
+                    F.size("document.sources_checked").cast("long").alias("n_sources"),
+                    F.col("document.error").alias("error"),
+                    F.to_json("document").alias("document"))
+
+
+@query("apply_results")
+def apply_results(spark, sf):
+    """E1 results upserted (tenant by key hash) into the repository state
+    of the write log, with the compat error policy."""
+    d = _e1(spark, sf).withColumn(
+        "email", F.concat(F.lit("user"), F.pmod(F.xxhash64("company_key"), F.lit(15)).cast("string"),
+                          F.lit("@example.com")))
+    repo = _repo_state(spark, sf)
+    out = jobs.apply_results(repo, d, "2024-02-01 00:00:00")
+    return _fmt_ts(out.select(*KEYS, "data", "updated_at", "seq"))
+
+
+@query("repository_export")
+def repository_export(spark, sf):
+    """A10: per-tenant {company_key: document} export, chunked."""
+    return jobs.repository_export(_repo_state(spark, sf))
