@@ -49,21 +49,32 @@ def with_company(rows: DataFrame) -> DataFrame:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """SO1: clients and partners as one typed record column ``rec``.
+    """SO1 + P15/P16: clients and partners in one record shape (flat columns).
 
     Partner rows (source ``technology_partner``) take the partner mapping;
-    the section order (clients first) is part of ``ord``.
+    the section order (clients first) is part of ``ord``.  Each field is
+    its own ``when``: a CASE over whole structs is re-expanded for every
+    field the plan reads (and for filters pushed into joins).
     """
     partner = F.col("source_type") == _partner()
-    rec = F.when(partner, partner_record(F.col("name"), F.col("evidence"))).otherwise(
-        client_record(F.col("name"), F.col("industry"), F.col("country"), F.col("source_type"),
-                      F.col("evidence"), F.col("confidence")))
     keep = [c for c in rows.columns if c not in
             ("name", "industry", "country", "source_type", "evidence", "confidence")]
-    return rows.select(*keep, rec.alias("rec"))
+    return rows.select(
+        *keep,
+        ustrip(F.col("name")).alias("name"),
+        F.when(partner, F.lit(schemas.PARTNER_INDUSTRY)).otherwise(F.coalesce("industry", F.lit(""))).alias("industry"),
+        F.when(partner, F.lit("")).otherwise(F.coalesce("country", F.lit(""))).alias("country"),
+        F.coalesce("source_type", F.lit(schemas.DEFAULT_CLIENT_SOURCE)).alias("source"),
+        F.coalesce("evidence", F.lit("")).alias("ai_note"),
+        F.when(partner, F.lit(schemas.PARTNER_CONFIDENCE).cast("long"))
+         .otherwise(F.coalesce(F.col("confidence").cast("long"),
+                               F.lit(schemas.DEFAULT_CONFIDENCE).cast("long"))).alias("confidence"))
 
 
 def flatten(recs: DataFrame) -> DataFrame:
+    """Records held in a struct column ``rec`` -> flat columns (no-op when flat)."""
+    if "rec" not in recs.columns:
+        return recs
     return recs.select(*[c for c in recs.columns if c != "rec"], "rec.*")
 
 

@@ -714,3 +714,44 @@ def apply_results(spark, sf):
 def repository_export(spark, sf):
     """A10: per-tenant {company_key: document} export, chunked."""
     return jobs.repository_export(_repo_state(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# S2 discovery decode, S9 document decode with quarantine
+# ---------------------------------------------------------------------------
+
+def _discovery_replies(spark, sf):
+    """One discovery reply per host, built from the candidates (the JSON a
+    model would return), split into chunks of 300 sequence numbers each."""
+    pc = fx.page_candidates(spark, sf)
+    pc = pc.withColumn("chunk", F.floor(F.col("seq") / F.lit(300)).cast("long"))
+    pages = F.array_sort(F.collect_list(F.struct("seq", "url", "type")))
+    g = pc.groupBy("netloc", "chunk").agg(pages.alias("p"))
+    doc = F.struct(urls.default_company_name(urls.strip_www(F.col("netloc"))).alias("company_name"),
+                   F.transform("p", lambda x: F.struct(x["url"].alias("url"),
+                                                       F.when(x["type"] != "partners", x["type"]).alias("type"))
+                               ).alias("pages"))
+    return g.select("netloc", "chunk", F.to_json(doc).alias("reply"))
+
+
+@query("discovery_candidates")
+def discovery_candidates(spark, sf):
+    """S2 + P30: candidates decoded from discovery replies, in reply order;
+    a missing type reads ``unknown``, a missing description ``''``."""
+    r = _discovery_replies(spark, sf)
+    x = r.select("netloc", "chunk", F.posexplode_outer(R.discovery_candidates(F.col("reply"))).alias("i", "c"))
+    return x.select("netloc", "chunk", (F.col("i") + 1).cast("long").alias("pos"), *R.candidate_defaults(F.col("c")))
+
+
+DATA_SCHEMA = "k INT"
+
+
+@query("repo_decode")
+def repo_decode(spark, sf):
+    """S9 decode: repository documents parsed with a declared schema; rows
+    that are not valid JSON objects go to quarantine instead of emptying
+    the whole repository (Q24 fixed)."""
+    st = _repo_state(spark, sf)
+    parsed = F.from_json(F.col("data"), DATA_SCHEMA)
+    ok = F.coalesce(F.try_parse_json(F.col("data")).isNotNull() & F.col("data").startswith("{"), F.lit(False))
+    return st.select(*KEYS, F.when(ok, parsed["k"]).alias("k"), (~ok).alias("quarantined"))

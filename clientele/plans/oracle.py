@@ -625,3 +625,19 @@ SQL["evidence_sentences"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body="""
 SELECT email, company_key, name,
   list_filter(string_split(regexp_replace(coalesce(ai_note, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
               lambda s: contains(lower(s), lower(name)))[1] AS evidence FROM clean""")
+
+SQL["discovery_candidates"] = with_ctes(PAGE_CANDIDATES, f"""r AS (
+SELECT netloc, chunk, to_json({{'company_name': {default_name("ltrim(netloc, 'w.')")},
+  'pages': list({{'url': url, 'type': CASE WHEN type <> 'partners' THEN type END}} ORDER BY seq)}})::VARCHAR AS reply
+FROM (SELECT *, CAST(floor(seq / 300) AS BIGINT) AS chunk FROM page_candidates) GROUP BY netloc, chunk
+)""", body="""
+SELECT netloc, chunk, CAST(pos AS BIGINT) AS pos, c.url AS url, coalesce(c.type, 'unknown') AS type,
+  coalesce(c.description, '') AS description FROM (
+  SELECT netloc, chunk, unnest(generate_series(1, len(p))) AS pos, unnest(p) AS c FROM (
+    SELECT netloc, chunk, from_json(reply, '{"pages":[{"url":"VARCHAR","type":"VARCHAR","description":"VARCHAR"}]}').pages AS p
+    FROM r))""")
+
+SQL["repo_decode"] = with_ctes(UPSERT_LOG, STATE, body="""
+SELECT email, company_key,
+  CASE WHEN coalesce(json_valid(data) AND starts_with(data, '{'), false) THEN TRY_CAST(json_extract(data, '$.k') AS INTEGER) END AS k,
+  NOT coalesce(json_valid(data) AND starts_with(data, '{'), false) AS quarantined FROM state""")
