@@ -81,10 +81,11 @@ def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str
     local = ranged.mapInPandas(_local_rank(list(by)), out_schema)
 
     # Rows per (partition, key), then rows of the same key in earlier
-    # partitions.  The counts come from the *same* plan as the numbered rows,
-    # so both consumers share one range exchange (one partitioner, one set
-    # of sampled bounds); a differently pruned copy would sample its own
-    # bounds and disagree.
+    # partitions.  The counts come from the *same* plan as the numbered
+    # rows (the pandas step cannot be column-pruned), so both consumers
+    # share one range exchange -- one partitioner, one set of sampled
+    # bounds.  A count taken from a differently pruned copy of the input
+    # would sample its own bounds and disagree (checked: it does).
     counts = local.groupBy(_PID, *by).agg(F.max(_LRANK).alias("_ord_cnt"))
     w = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (counts.withColumn("_ord_prior", F.sum("_ord_cnt").over(w))

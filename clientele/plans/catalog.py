@@ -156,7 +156,7 @@ def _companies(spark, sf):
 @query("url_parts")
 def url_parts(spark, sf):
     """P1-P4 + P7 over crawled page URLs and repository netlocs (scheme-less)."""
-    pages = table(spark, sf, "pages").select(
+    pages = table(spark, sf, "pages", balance_key="page_id").select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("raw"))
     comps = (fx.client_rows(spark, sf).select(
         F.concat(F.lit("company-"), F.col("company_id").cast("string")).alias("id"), F.col("netloc").alias("raw"))
@@ -166,7 +166,7 @@ def url_parts(spark, sf):
 
 
 def _domains(spark, sf):
-    pages = table(spark, sf, "pages").select(
+    pages = table(spark, sf, "pages", balance_key="page_id").select(
         urls.strip_www(urls.netloc(urls.normalize_url(F.col("url")))).alias("domain"))
     comps = fx.client_rows(spark, sf).select(urls.strip_www(F.col("netloc")).alias("domain"))
     return pages.unionByName(comps).distinct()
@@ -275,7 +275,7 @@ def candidate_fallback(spark, sf):
 
 
 def _fetched(spark, sf):
-    return context.fetch(_capped(spark, sf), table(spark, sf, "pages"))
+    return context.fetch(_capped(spark, sf), table(spark, sf, "pages", balance_key="page_id"))
 
 
 @query("fetch_status")
@@ -293,7 +293,7 @@ def fetch_status_counts(spark, sf):
 @query("page_text")
 def page_text(spark, sf):
     """Readable text of every crawled page (8,000-char cap)."""
-    p = table(spark, sf, "pages").select("page_id", "html")
+    p = table(spark, sf, "pages", balance_key="page_id").select("page_id", "html")
     t = p.select("page_id", H.page_text(F.col("html")).alias("text"))
     return t.withColumn("n_chars", F.length("text").cast("long"))
 
@@ -446,7 +446,7 @@ def model_step(spark, sf):
 @query("page_text_fallback")
 def page_text_fallback(spark, sf):
     """The parser-based page text for every page (compared with P9 in tests)."""
-    p = table(spark, sf, "pages").select("page_id", "html")
+    p = table(spark, sf, "pages", balance_key="page_id").select("page_id", "html")
     return p.select("page_id", udfs.page_text_udf(F.col("html")).alias("text"))
 
 
@@ -565,7 +565,7 @@ from ..functions import extract as X  # noqa: E402
 
 
 def _pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", "url", "html")
+    return table(spark, sf, "pages", balance_key="page_id").select("page_id", "url", "html")
 
 
 @query("page_types")
@@ -682,7 +682,7 @@ def _e1_inputs(spark, sf):
 
 def _e1(spark, sf):
     inputs, cands = _e1_inputs(spark, sf)
-    return jobs.build_repository(inputs, cands, table(spark, sf, "pages"), None, SCRAPED_AT)
+    return jobs.build_repository(inputs, cands, table(spark, sf, "pages", balance_key="page_id"), None, SCRAPED_AT)
 
 
 @query("build_repository")

@@ -37,7 +37,7 @@ def client_rows(spark: SparkSession, sf_dir: str, with_pos: bool = False) -> Dat
     company).  ``with_pos=True`` adds the dense 1-based ``pos`` -- a
     skew-safe distributed row number, only needed where a query shows it.
     """
-    l = table(spark, sf_dir, "lineitem").select(
+    l = table(spark, sf_dir, "lineitem", balance_key="l_orderkey").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -101,7 +101,7 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discovered candidates: every page once, again for page_id % 7 = 0, and a
     ``mailto:`` candidate for page_id % 11 = 0.  Expressed as one scan plus a
     bounded ``explode`` (no join)."""
-    pg = table(spark, sf_dir, "pages").select("page_id", "url")
+    pg = table(spark, sf_dir, "pages", balance_key="page_id").select("page_id", "url")
     pid = F.col("page_id")
     ks = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)),
                   lambda k: (k == 0) | ((k == 1) & (pid % 7 == 0)) | ((k == 2) & (pid % 11 == 0)))
@@ -123,7 +123,7 @@ def doc_pages(spark: SparkSession, sf_dir: str, with_seq: bool = True) -> DataFr
     ``with_seq=False`` leaves ``doc_id`` as the order column for operators
     that only need the first k pages (those use a window group limit).
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    d = table(spark, sf_dir, "documents", balance_key="doc_id").select("doc_id", "source", "lang", "text")
     out = d.select(
         F.col("source").alias("company_key"),
         F.col("doc_id"),

@@ -7,9 +7,33 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+# A table smaller than this is never worth a shuffle to spread its scan.
+BALANCE_MIN_BYTES = 1 << 20
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read ``{sf_dir}/{name}.parquet``; projection and filters push into the scan."""
+
+def table(spark: SparkSession, sf_dir: str, name: str, balance_key: str | None = None) -> DataFrame:
+    """Read ``{sf_dir}/{name}.parquet``; projection and filters push into the scan.
+
+    ``balance_key``: for fact tables whose per-row work is heavy.  When the
+    scan yields fewer splits than the cluster's default parallelism (a big
+    table written as a few row groups), hash-repartition on the key so the
+    pipelined work behind the scan uses every core.  At cluster scale a
+    large table has far more splits than cores and this is a no-op."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if balance_key:
+        df = balance(df, balance_key)
+    return df
+
+
+def balance(df: DataFrame, key: str) -> DataFrame:
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    have = df.rdd.getNumPartitions()
+    if have >= want:
+        return df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < BALANCE_MIN_BYTES:
+        return df
+    return df.repartition(want, key)
