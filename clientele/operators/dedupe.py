@@ -14,7 +14,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def keep_first(df: DataFrame, keys: Sequence[str | Column], order: Column) -> DataFrame:
-    """First row (by ``order``) of every ``keys`` group; all columns kept."""
+    """First row (by ``order``) of every ``keys`` group; all columns kept.
+
+    Key columns are taken from the grouping, not from the packed row, so a
+    later filter on a key is pushed below the aggregation."""
+    if all(isinstance(k, str) for k in keys):
+        rest = [c for c in df.columns if c not in keys]
+        row = F.struct(*[F.col(f"`{c}`") for c in rest])
+        g = df.groupBy(*keys).agg(F.min_by(row, order).alias("_kf"))
+        return g.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_kf.`{c}`").alias(c) for c in df.columns])
     key_cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     return df.groupBy(*key_cols).agg(F.min_by(row, order).alias("_kf")).select("_kf.*")

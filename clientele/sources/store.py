@@ -37,9 +37,11 @@ def latest_per_key(log: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
 
     ``max_by`` is a declarative aggregate: combined map-side, so a hot key
     ships one row per map task."""
-    row = F.struct(*[F.col(f"`{c}`") for c in log.columns])
-    return (log.groupBy(*keys).agg(F.max_by(row, F.struct(*[F.col(c) for c in order])).alias("_l"))
-               .select("_l.*"))
+    rest = [c for c in log.columns if c not in keys]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    g = log.groupBy(*keys).agg(F.max_by(row, F.struct(*[F.col(c) for c in order])).alias("_l"))
+    # keys from the grouping (not the packed row): filters on them push below
+    return g.select(*[F.col(f"`{c}`") if c in keys else F.col(f"_l.`{c}`").alias(c) for c in log.columns])
 
 
 def apply_log(log: DataFrame, keys: Sequence[str], order: Sequence[str], target: DataFrame | None = None,
