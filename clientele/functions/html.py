@@ -52,16 +52,22 @@ def page_text(html: Column, max_chars: int = 8000) -> Column:
     return F.substring(t, 1, max_chars)
 
 
+def _occurrences(hay: Column, needle: str) -> Column:
+    """Occurrences of a literal, by length difference (no regex, no arrays)."""
+    return (F.length(hay) - F.length(F.replace(hay, F.lit(needle), F.lit("")))) / F.lit(len(needle))
+
+
 def needs_parser(html: Column) -> Column:
     """True when the native recipe may differ from a real parser: an entity
-    outside the decoded set, or unequal open/close counts of a dropped element."""
+    outside the decoded set, or unequal open/close counts of a dropped
+    element.  Counting uses plain ``replace`` so the check stays cheap
+    next to the text extraction itself."""
     known = "|".join(e[1:-1] for e, _ in ENTITIES)
     other_entity = html.rlike(rf"&(?!(?:{known});)[a-zA-Z#][a-zA-Z0-9]*;")
+    low = F.lower(html)
     unbalanced = F.lit(False)
     for tag in DROPPED:
-        opens = F.size(F.regexp_extract_all(html, F.lit(rf"(?i)<{tag}\b"), 0))
-        closes = F.size(F.regexp_extract_all(html, F.lit(rf"(?i)</{tag}\s*>"), 0))
-        unbalanced = unbalanced | (opens != closes)
+        unbalanced = unbalanced | (_occurrences(low, f"<{tag}") != _occurrences(low, f"</{tag}"))
     return F.coalesce(other_entity | unbalanced, F.lit(False))
 
 

@@ -48,16 +48,18 @@ def fetch(cands: DataFrame, pages: DataFrame, company: str = "netloc") -> DataFr
     """Join capped candidates with the crawled pages on URL.
 
     Status per candidate: ``skipped`` (not http), ``ok`` (page present; text
-    via P9), ``failed`` (no page).  Only ``url, html`` of the page table is
+    via P9 with the U1 fallback), ``failed`` (no page).  Only ``url, html`` of the page table is
     read and the html is dropped right after P9."""
     pg = pages.select(F.col("url").alias("_page_url"), F.col("html"))
     j = cands.join(pg, (F.col("url") == F.col("_page_url")) & F.col("url").startswith("http"), "left")
     status = (F.when(~F.col("url").startswith("http"), F.lit("skipped"))
                .when(F.col("_page_url").isNotNull(), F.lit("ok"))
                .otherwise(F.lit("failed")))
-    text = F.when(F.col("_page_url").isNotNull(), H.page_text(F.col("html"), schemas.PAGE_TEXT_CHARS))
+    from .udfs import page_text_routed
+    j = page_text_routed(j, "html", "_text")
+    text = F.when(F.col("_page_url").isNotNull(), F.col("_text"))
     return (j.withColumn("status", status)
-             .withColumn("text", text)
+             .withColumn("text", text).drop("_text")
              .withColumn("final_url", F.when(F.col("_page_url").isNotNull(), F.col("_page_url")))
              .withColumn("n_chars", F.length("text").cast("long"))
              .drop("_page_url", "html"))

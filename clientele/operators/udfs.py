@@ -61,13 +61,13 @@ def page_text_udf(html: pd.Series) -> pd.Series:
 def page_text_routed(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """P9 with the U1 fallback: flagged pages take the parser, the rest stay native.
 
-    The flag is a cheap native predicate; only flagged rows cross into
-    Python."""
-    flagged = H.needs_parser(F.col(html_col))
-    base = pages.withColumn("_needs_parser", flagged)
-    native = base.filter(~F.col("_needs_parser")).withColumn(out, H.page_text(F.col(html_col)))
-    parsed = base.filter(F.col("_needs_parser")).withColumn(out, page_text_udf(F.col(html_col)))
-    return native.unionByName(parsed).drop("_needs_parser")
+    One pass.  The UDF receives ``html`` only for flagged rows (NULL
+    otherwise), so unflagged pages cross into Python as Arrow nulls and
+    only the flagged HTML is shipped."""
+    flagged = pages.withColumn("_needs_parser", H.needs_parser(F.col(html_col)))
+    parsed = page_text_udf(F.when(F.col("_needs_parser"), F.col(html_col)))
+    text = F.when(F.col("_needs_parser"), parsed).otherwise(H.page_text(F.col(html_col)))
+    return flagged.withColumn(out, text).drop("_needs_parser")
 
 
 # ---------------------------------------------------------------------------

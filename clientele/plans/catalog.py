@@ -292,9 +292,10 @@ def fetch_status_counts(spark, sf):
 
 @query("page_text")
 def page_text(spark, sf):
-    """Readable text of every crawled page (8,000-char cap)."""
+    """P9 + U1: readable text of every crawled page (8,000-char cap); pages
+    the native recipe cannot model take the parser fallback."""
     p = table(spark, sf, "pages", balance_key="page_id").select("page_id", "html")
-    t = p.select("page_id", H.page_text(F.col("html")).alias("text"))
+    t = udfs.page_text_routed(p).select("page_id", "text")
     return t.withColumn("n_chars", F.length("text").cast("long"))
 
 

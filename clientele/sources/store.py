@@ -169,8 +169,10 @@ class SnapshotTable:
         """Write ``state`` as the next snapshot; returns its version."""
         vs = self.versions()
         nxt = (vs[-1][0] + 1) if vs else 1
+        # Spread on (bucket, key), not bucket alone: a tenant holding a third
+        # of the table must not funnel its bucket through one writer task.
         (state.withColumn("bucket", bucket_of(F.col(self.bucket_col), self.buckets))
-              .repartition("bucket")
+              .repartition("bucket", *self.keys)
               .write.mode("overwrite").partitionBy("bucket").parquet(self._path(nxt, batch_id)))
         fs, jvm = self._fs()
         fs.create(jvm.org.apache.hadoop.fs.Path(self._path(nxt, batch_id), COMMIT_MARKER), True).close()
