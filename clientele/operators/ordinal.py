@@ -5,9 +5,9 @@ holding a third of all rows that task becomes the job.  Here instead:
 
 1. range-partition on ``(by, order)`` -- the sampled bounds cut a hot key
    across many partitions -- and sort within each partition;
-2. number rows per key inside each partition (vectorised, one pass over
-   Arrow batches; the partition is already sorted, so this is a
-   run-length count);
+2. number rows per key inside each partition (``mapInArrow``: one pass
+   over Arrow batches reading only the key columns; the partition is
+   already sorted, so this is a run-length count);
 3. count rows per ``(partition, key)`` on the JVM side (partial
    aggregation, tiny output) and turn the counts into the number of rows
    of the same key in *earlier* partitions with a window over that small
@@ -22,10 +22,9 @@ summary branch; everything else moves per-partition summaries.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 _PID = "_ord_pid"
@@ -33,33 +32,40 @@ _LRANK = "_ord_lrank"
 
 
 def _local_rank(by: Sequence[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per-partition run-length numbering over Arrow batches.
+
+    Only the key columns are read (vectorised equality of each row with the
+    previous one); every other column passes through as Arrow arrays, never
+    converted to Python objects."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def run(batches):
         prev_key = None     # key of the last row of the previous batch
         prev_count = 0      # its running count inside this partition
-        for pdf in batches:
-            n = len(pdf)
+        for b in batches:
+            n = b.num_rows
             if n == 0:
-                yield pdf.assign(**{_LRANK: np.zeros(0, dtype="int64")})
+                yield b.append_column(_LRANK, pa.array(np.zeros(0, dtype="int64")))
                 continue
-            keys = pdf[list(by)]
-            shifted = keys.shift(1)
-            same = (keys.eq(shifted) | (keys.isna() & shifted.isna())).all(axis=1).to_numpy()
-            if prev_key is not None:
-                first = tuple(keys.iloc[0])
-                same[0] = all((a == b) or (pd.isna(a) and pd.isna(b)) for a, b in zip(first, prev_key))
-            else:
-                same[0] = False
-            starts = ~same
+            same = np.ones(n, dtype=bool)
+            for c in by:
+                col = b.column(c)
+                cur, prev = col.slice(1), col.slice(0, n - 1)
+                eq = pc.fill_null(pc.equal(cur, prev), False)
+                both_null = pc.and_(pc.is_null(cur), pc.is_null(prev))
+                same[1:] &= pc.or_(eq, both_null).to_numpy(zero_copy_only=False)
+            first = tuple(b.column(c)[0].as_py() for c in by)
+            same[0] = prev_key is not None and first == prev_key
             idx = np.arange(n, dtype="int64")
-            run_start = np.maximum.accumulate(np.where(starts, idx, 0))
+            run_start = np.maximum.accumulate(np.where(~same, idx, 0))
             rank = idx - run_start + 1
             if same[0]:
                 # rows continuing the previous batch's key, up to the first new key
-                cont = run_start == 0
-                rank = np.where(cont, rank + prev_count, rank)
-            prev_key = tuple(keys.iloc[n - 1])
+                rank = np.where(run_start == 0, rank + prev_count, rank)
+            prev_key = tuple(b.column(c)[n - 1].as_py() for c in by)
             prev_count = int(rank[n - 1])
-            yield pdf.assign(**{_LRANK: rank})
+            yield b.append_column(_LRANK, pa.array(rank))
     return run
 
 
@@ -78,7 +84,7 @@ def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str
                 .withColumn(_PID, F.spark_partition_id()))
 
     out_schema = T.StructType(ranged.schema.fields + [T.StructField(_LRANK, T.LongType(), False)])
-    local = ranged.mapInPandas(_local_rank(list(by)), out_schema)
+    local = ranged.mapInArrow(_local_rank(list(by)), out_schema)
 
     # Rows per (partition, key), then rows of the same key in earlier
     # partitions.  The counts come from the *same* plan as the numbered

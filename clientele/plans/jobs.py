@@ -25,6 +25,7 @@ from ..operators import context, udfs
 from ..operators.dedupe import keep_first
 from ..sources import store as S
 from ..functions.text import ustrip
+from ..session import ensure_checkpoint_dir
 
 
 def company_inputs(inputs: DataFrame, url_col: str = "input_url") -> DataFrame:
@@ -180,7 +181,12 @@ def build_repository(inputs: DataFrame, candidates: DataFrame, pages: DataFrame,
     description, seq; ``replies``: request_id, http_status, reply_body
     (None = the offline rule-based step)."""
     comps = company_inputs(inputs)
-    fetched = fetched_pages(comps, candidates, pages)
+    # Materialisation point (the fetched-pages table): three consumers read
+    # it, and a reliable checkpoint in the shared ``spark.checkpoint.dir``
+    # cuts the lineage, so a lost executor re-reads the table instead of
+    # re-fetching and re-parsing.  Bounded: <= 15 pages x 8,000 chars per company.
+    ensure_checkpoint_dir(inputs.sparkSession)
+    fetched = fetched_pages(comps, candidates, pages).checkpoint(eager=True)
     if replies is None:
         reqs = analysis_requests(comps, fetched)
         replies = udfs.replies_from_table(reqs, rule_based_replies(fetched, pages)).drop("has_reply")
