@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from ..sources.store import SnapshotTable
+from ..sources.store import LogTable
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
@@ -40,12 +40,14 @@ def as_upsert_log(events: DataFrame) -> DataFrame:
         F.col("ts").alias("updated_at"))
 
 
-def stream_upsert(spark: SparkSession, log_stream: DataFrame, store: SnapshotTable,
+def stream_upsert(spark: SparkSession, log_stream: DataFrame, store: LogTable,
                   checkpoint: str) -> None:
-    """ST1: every micro-batch is applied to the snapshot store with last
-    write wins (``updated_at``, then ``seq``); deletes remove keys."""
+    """ST1: every micro-batch is appended to the merge-on-read store (O(batch)
+    per micro-batch); reads resolve last write wins (``updated_at``, then
+    ``seq``) and deletes remove keys.  A replayed batch id rewrites its own
+    folder, so the sink is idempotent."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        store.apply(batch, batch_id)
+        store.append(batch, batch_id)
 
     q = (log_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
                    .trigger(availableNow=True).start())
@@ -68,7 +70,7 @@ def stream_dedupe(spark: SparkSession, stream: DataFrame, keys: list[str], ts_co
 
 def run_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _scratch(spark, "repo")
-    store = SnapshotTable(spark, f"{base}/table", ["email", "company_key"], ["updated_at", "seq"])
+    store = LogTable(spark, f"{base}/table", ["email", "company_key"], ["updated_at", "seq"])
     stream_upsert(spark, as_upsert_log(events_stream(spark, sf_dir)), store, f"{base}/_checkpoint")
     return store.read()
 

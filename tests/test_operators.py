@@ -102,3 +102,22 @@ def test_snapshot_table_versions_and_idempotent_batches(spark, tmp_path):
     assert state == {("a@x", "k1"): "v3"}
     assert [r.data for r in st.scan("a@x").collect()] == ["v3"]
     assert [v for v, _ in st.versions()] == [1, 2]
+
+
+def test_log_table_merge_on_read(spark, tmp_path):
+    lt = S.LogTable(spark, str(tmp_path / "log"), ["email", "company_key"], ["updated_at", "seq"], buckets=4)
+    schema = "seq long, email string, company_key string, op string, data string, updated_at int"
+    b0 = spark.createDataFrame([(1, "a@x", "k1", "upsert", "v1", 1), (2, "b@x", "k2", "upsert", "v2", 1)], schema)
+    b1 = spark.createDataFrame([(3, "a@x", "k1", "upsert", "v3", 2), (4, "b@x", "k2", "delete", None, 2)], schema)
+    b2 = spark.createDataFrame([(5, "a@x", "k9", "upsert", "v9", 3), (6, "a@x", "k1", "upsert", "old", 0)], schema)
+    lt.append(b0, 0)
+    lt.append(b1, 1)
+    lt.append(b1, 1)                              # replay: same folder, same result
+    want = {("a@x", "k1"): "v3"}
+    assert {(r.email, r.company_key): r.data for r in lt.read().collect()} == want
+    assert lt.compact() == 1
+    lt.append(b2, 2)                              # late, older write to k1 loses
+    want = {("a@x", "k1"): "v3", ("a@x", "k9"): "v9"}
+    assert {(r.email, r.company_key): r.data for r in lt.read().collect()} == want
+    assert {r.company_key for r in lt.scan("a@x").collect()} == {"k1", "k9"}
+    assert lt.scan("b@x").count() == 0
