@@ -16,8 +16,10 @@ holding a third of all rows that task becomes the job.  Here instead:
    partition, so the offset table has at most one row per partition: its
    broadcast is bounded by the partition count, never by the data.
 
-One exchange (the range shuffle) for the data itself, reused by the
-summary branch; everything else moves per-partition summaries.
+One exchange (the range shuffle) for the data itself; the numbered rows
+are checkpointed once and both the summary and the final join read them,
+so the result never depends on two samplings agreeing.  Everything else
+moves per-partition summaries.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..session import ensure_checkpoint_dir
+
 _PID = "_ord_pid"
 _LRANK = "_ord_lrank"
 
@@ -84,14 +88,17 @@ def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str
                 .withColumn(_PID, F.spark_partition_id()))
 
     out_schema = T.StructType(ranged.schema.fields + [T.StructField(_LRANK, T.LongType(), False)])
-    local = ranged.mapInArrow(_local_rank(list(by)), out_schema)
-
-    # Rows per (partition, key), then rows of the same key in earlier
-    # partitions.  The counts come from the *same* plan as the numbered
-    # rows (the pandas step cannot be column-pruned), so both consumers
-    # share one range exchange -- one partitioner, one set of sampled
-    # bounds.  A count taken from a differently pruned copy of the input
-    # would sample its own bounds and disagree (checked: it does).
+    # Materialise the numbered rows once (reliable checkpoint in the shared
+    # spark.checkpoint.dir).  The per-partition counts and the final rows
+    # must come from ONE range partitioning: two executions of the range
+    # exchange each sample their own bounds, and on a cluster (randomised
+    # shuffle-fetch order) the samples -- hence the partitions -- can
+    # differ.  Reading both from the checkpoint makes the result
+    # independent of exchange reuse and cuts the lineage for lost executors.
+    ensure_checkpoint_dir(spark)
+    local = ranged.mapInArrow(_local_rank(list(by)), out_schema).checkpoint(eager=True)
+
+    # rows per (partition, key), then rows of the same key in earlier partitions
     counts = local.groupBy(_PID, *by).agg(F.max(_LRANK).alias("_ord_cnt"))
     w = Window.partitionBy(*by).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (counts.withColumn("_ord_prior", F.sum("_ord_cnt").over(w))
