@@ -646,14 +646,10 @@ def headline_clients(spark, sf):
 @query("logo_names")
 def logo_names(spark, sf):
     """Image alt texts as logo-wall names (the crawled pages carry no images)."""
-    p = _pages(spark, sf).select("page_id", F.posexplode(H.image_alts(F.col("html"))).alias("i", "alt"))
-    return p.select("page_id", (F.col("i") + 1).cast("long").alias("pos"), ustrip_col("alt").alias("name")) \
-            .filter(F.col("name") != "")
-
-
-def ustrip_col(c):
     from ..functions.text import ustrip
-    return ustrip(F.col(c))
+    p = _pages(spark, sf).select("page_id", F.posexplode(H.image_alts(F.col("html"))).alias("i", "alt"))
+    return (p.select("page_id", (F.col("i") + 1).cast("long").alias("pos"), ustrip(F.col("alt")).alias("name"))
+             .filter(F.col("name") != ""))
 
 
 @query("evidence_sentences")

@@ -52,3 +52,14 @@ def test_row_numbers_restart_per_section(spark):  # Q14 / W2
     got = {r.name: r.row_no for r in A.client_table(df).collect()}
     assert got == {"a": 1, "b": 2, "p": 1}
     assert {r.name: r.row_no for r in A.client_table(df, start=2).collect()} == {"a": 2, "b": 3, "p": 2}
+
+
+def test_distinct_facets_exact_and_approx_agree_on_small_sets(spark):  # A5
+    schema = "email string, company_key string, is_partner boolean, industry string, country string"
+    rows = [("u", "k", False, "IT", "SI"), ("u", "k", False, "IT", ""), ("u", "k", False, "it", "AT"),
+            ("u", "k", True, "Vendor", "US"), ("u", "k", False, "", None)]
+    df = spark.createDataFrame(rows, schema)
+    exact = A.distinct_facets(df).first()
+    approx = A.distinct_facets(df, approx=True).first()
+    assert (exact.n_industries, exact.n_countries) == (2, 2)
+    assert (approx.n_industries, approx.n_countries) == (2, 2)
