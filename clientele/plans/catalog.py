@@ -691,7 +691,7 @@ def build_repository(spark, sf):
                     F.size(F.filter("document.clients", lambda c: c["source"] == "technology_partner"))
                     .cast("long").alias("n_partners"),
                     F.size("document.sources_checked").cast("long").alias("n_sources"),
-                    F.col("document.error").alias("error"),
+                    F.col("document.error").alias("error"), "n_bad_names",
                     F.to_json("document").alias("document"))
 
 

@@ -100,10 +100,14 @@ def rule_based_replies(fetched: DataFrame, pages: DataFrame) -> DataFrame:
     return g.select(F.col("company_key").alias("reply_id"), F.lit(200).alias("http_status"), env.alias("body"))
 
 
-def decode_results(replies: DataFrame) -> DataFrame:
+def decode_results(replies: DataFrame, strict_null: bool = False) -> tuple[DataFrame, DataFrame]:
     """P13/P14/P10-P12 -> P15/P16 -> SO1 -> F2 -> A2: clean client rows per
     reply plus the per-reply error.  ``replies``: request_id, http_status,
-    reply_body."""
+    reply_body.
+
+    Q8: a name that is JSON null or not a string drops its row and is
+    counted in ``n_bad_names``; ``strict_null=True`` instead fails the whole
+    reply, as the reference does (its ``.strip()`` raises)."""
     api_err = R.reply_error(F.col("http_status"), F.col("reply_body"))
     text = F.when(api_err.isNull(), R.reply_text(F.col("reply_body")))
     obj = R.first_json_object(text)
@@ -113,13 +117,19 @@ def decode_results(replies: DataFrame) -> DataFrame:
 
     def items(key: str, section: int) -> DataFrame:
         arr = F.try_variant_get(F.col("_v"), f"$.{key}", "array<variant>")
+        raw = F.variant_get(F.col("item"), "$.name", "variant")
         return (d.filter(F.col("error").isNull())
                  .select("request_id", F.posexplode_outer(arr).alias("pos", "item"))
                  .filter(F.col("item").isNotNull())
-                 .withColumn("section", F.lit(section)))
+                 .withColumn("section", F.lit(section))
+                 .withColumn("bad_name", F.coalesce(raw.isNotNull() & (F.schema_of_variant(raw) != "STRING"),
+                                                    F.lit(False))))
 
     it = F.col("item")
-    cl = items("clients", 0).select(
+    ci, pi = items("clients", 0), items("technology_partners", 1)
+    bad = (ci.select("request_id", "bad_name").unionByName(pi.select("request_id", "bad_name"))
+             .groupBy("request_id").agg(F.count_if("bad_name").cast("long").alias("n_bad_names")))
+    cl = ci.filter(~F.col("bad_name")).select(
         "request_id", "section", "pos",
         ustrip(R.get_or_default(it, "name", "")).alias("name"),
         R.get_or_default(it, "industry", "").alias("industry"),
@@ -127,19 +137,22 @@ def decode_results(replies: DataFrame) -> DataFrame:
         R.get_or_default(it, "source_type", schemas.DEFAULT_CLIENT_SOURCE).alias("source"),
         R.get_or_default(it, "evidence", "").alias("ai_note"),
         R.get_or_default(it, "confidence", schemas.DEFAULT_CONFIDENCE, "bigint").alias("confidence"))
-    pt = items("technology_partners", 1).select(
+    pt = pi.filter(~F.col("bad_name")).select(
         "request_id", "section", "pos",
         ustrip(R.get_or_default(it, "name", "")).alias("name"),
         F.lit(schemas.PARTNER_INDUSTRY).alias("industry"), F.lit("").alias("country"),
         F.lit(schemas.PARTNER_SOURCE).alias("source"),
         R.get_or_default(it, "role", "").alias("ai_note"),
         F.lit(schemas.PARTNER_CONFIDENCE).cast("long").alias("confidence"))
-    recs = cl.unionByName(pt)
-    # Q8 (fixed): a NULL name drops the row instead of failing the company
-    recs = recs.filter(F.col("name").isNotNull() & (F.col("name") != ""))
+    recs = cl.unionByName(pt).filter(F.col("name") != "")        # F2
+    errors = (d.select("request_id", "error").join(bad, "request_id", "left")
+               .withColumn("n_bad_names", F.coalesce("n_bad_names", F.lit(0)).cast("long")))
+    if strict_null:
+        errors = errors.withColumn("error", F.coalesce(
+            "error", F.when(F.col("n_bad_names") > 0, F.lit("client name is not a string"))))
+        recs = recs.join(errors.filter(F.col("n_bad_names") > 0).select("request_id"), "request_id", "left_anti")
     clean = keep_first(recs.withColumn("name_key", F.lower("name")), ["request_id", "name_key"],
                        F.struct("section", "pos"))
-    errors = d.select("request_id", "error")
     return clean, errors
 
 
@@ -158,7 +171,7 @@ def build_documents(companies: DataFrame, fetched: DataFrame, clean: DataFrame,
                .agg(F.array_sort(F.collect_list(F.struct(F.struct("section", "pos").alias("o"), rec.alias("c"))))
                     .alias("items"))
                .select("company_key", F.transform("items", lambda x: x["c"]).alias("clients")))
-    err = errors.select(F.col("request_id").alias("company_key"), "error")
+    err = errors.select(F.col("request_id").alias("company_key"), "error", "n_bad_names")
     j = (companies.join(src, "company_key", "left").join(cl, "company_key", "left").join(err, "company_key", "left"))
     empty_clients = F.array().cast(schemas.COMPANY_DOCUMENT["clients"].dataType)
     doc = F.struct(
@@ -172,11 +185,12 @@ def build_documents(companies: DataFrame, fetched: DataFrame, clean: DataFrame,
         F.lit(scraped_at).alias("scraped_at"),
         F.lit(True).alias("ai_cleaned"),
         F.when(F.col("sources_checked").isNotNull(), F.col("error")).alias("error"))
-    return j.select("company_key", doc.alias("document"))
+    return j.select("company_key", doc.alias("document"),
+                    F.coalesce("n_bad_names", F.lit(0)).cast("long").alias("n_bad_names"))
 
 
 def build_repository(inputs: DataFrame, candidates: DataFrame, pages: DataFrame,
-                     replies: DataFrame | None, scraped_at: str) -> DataFrame:
+                     replies: DataFrame | None, scraped_at: str, strict_null: bool = False) -> DataFrame:
     """E1.  ``inputs``: input_url; ``candidates``: company_key, url, type,
     description, seq; ``replies``: request_id, http_status, reply_body
     (None = the offline rule-based step)."""
@@ -190,7 +204,10 @@ def build_repository(inputs: DataFrame, candidates: DataFrame, pages: DataFrame,
     if replies is None:
         reqs = analysis_requests(comps, fetched)
         replies = udfs.replies_from_table(reqs, rule_based_replies(fetched, pages)).drop("has_reply")
-    clean, errors = decode_results(replies)
+        # second materialisation point (the replies table; one row per company),
+        # read by the record, error and bad-name branches of the decode
+        replies = replies.checkpoint(eager=True)
+    clean, errors = decode_results(replies, strict_null)
     return build_documents(comps, fetched, clean, errors, scraped_at)
 
 

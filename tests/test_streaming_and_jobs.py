@@ -59,3 +59,18 @@ def test_error_policy(spark):
     keep = J.apply_results(repo, res, "2024-02-01 00:00:00", on_error="keep").first()
     assert '"error":"boom"' in over.data                      # Q7 compat: overwritten
     assert keep.data == '{"ok":1}'
+
+
+def test_null_names_dropped_and_counted(spark):  # Q8
+    import json
+    reply = {"clients": [{"name": "Acme"}, {"name": None}, {"name": 7}, {"industry": "x"}, {"name": " acme "}],
+             "technology_partners": [{"name": "SAP", "role": "ERP"}, {"name": "acme"}]}
+    env = json.dumps({"content": [{"type": "text", "text": json.dumps(reply)}]})
+    df = spark.createDataFrame([(1, 200, env)], "request_id long, http_status int, reply_body string")
+    clean, errors = J.decode_results(df)
+    names = sorted((r.name, r.source) for r in clean.collect())
+    assert names == [("Acme", "reference_list"), ("SAP", "technology_partner")]   # dedupe keeps the client
+    e = errors.first()
+    assert e.error is None and e.n_bad_names == 2
+    clean_s, errors_s = J.decode_results(df, strict_null=True)
+    assert clean_s.count() == 0 and errors_s.first().error == "client name is not a string"
