@@ -25,6 +25,22 @@ DEFAULT_CONF = {
 }
 
 
+# SQL settings the results depend on; applied to any session the library runs in.
+REQUIRED_SQL_CONF = {
+    # JSON objects with a repeated key keep the last value (as Python's json.loads
+    # does) instead of failing to parse.
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Apply the library's required SQL settings to a session."""
+    for k, v in REQUIRED_SQL_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
+
+
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "clientele") -> SparkSession:
     """Build (or reuse) a session with the library defaults.
@@ -41,6 +57,7 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = builder.config("spark.driver.memory", "16g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    prepare(spark)
     ensure_checkpoint_dir(spark)
     return spark
 

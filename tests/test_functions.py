@@ -146,3 +146,9 @@ def test_page_type(spark):  # X1
         "https://a.si/", "https://a.si/reference", "https://a.si/case-studies/x", "https://a.si/blog/p",
         "https://a.si/careers", "https://a.si/partners", "https://a.si/about")]
     assert got == ["homepage", "reference_list", "case_study", "blog_post", "job_listing", "partners", "other"]
+
+
+def test_duplicate_keys_last_wins(spark):  # P12: same as Python's json.loads
+    df = spark.createDataFrame([('x {"name":"a","name":"b"} y',)], "r string")
+    v = R.decode(R.first_json_object(F.col("r")))
+    assert df.select(R.field(v, "name").alias("n")).first().n == "b"
