@@ -231,11 +231,20 @@ def company_detail(clients: DataFrame, q: str = "") -> DataFrame:
     badges = (b.groupBy("email", "company_key")
                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("badge_rank", "badge"))),
                                              lambda x: x["badge"]), " | ").alias("badges")))
-    d = distinct_facets(clients)
-    s = client_search(clients, q).select("email", "company_key", "n_total", "caption")
-    return (badges.join(s, ["email", "company_key"], "left")
-                  .join(d, ["email", "company_key"], "left")
+    # counts, distinct industries / countries and the search hits in one pass
+    ql = q.lower()
+
+    def has(c):
+        return F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(ql))
+    hit = F.lit(True) if not ql else (has("name") | has("industry") | has("country") | has("ai_note"))
+    real = ~F.col("is_partner")
+    stats = (clients.groupBy("email", "company_key")
+                    .agg(F.count_if(real).alias("n_total"),
+                         F.count_if(real & hit).alias("n_match"),
+                         F.count_distinct(F.when(real & (F.col("industry") != ""), F.col("industry"))).alias("n_industries"),
+                         F.count_distinct(F.when(real & (F.col("country") != ""), F.col("country"))).alias("n_countries")))
+    return (badges.join(stats, ["email", "company_key"], "left")
                   .select("email", "company_key", "badges", "n_total",
                           F.coalesce("n_industries", F.lit(0)).cast("long").alias("n_industries"),
                           F.coalesce("n_countries", F.lit(0)).cast("long").alias("n_countries"),
-                          "caption"))
+                          count_caption(F.col("n_match"), F.col("n_total"), ql).alias("caption")))
