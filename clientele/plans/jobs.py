@@ -237,6 +237,9 @@ def repository_export(repo: DataFrame, chunk_size: int = 1000) -> DataFrame:
     n = ordinal(repo, ["email"], [F.col("company_key")], "_n")
     g = (n.withColumn("chunk", F.floor((F.col("_n") - 1) / F.lit(chunk_size)).cast("long"))
           .groupBy("email", "chunk")
-          .agg(F.map_from_entries(F.collect_list(F.struct("company_key", F.parse_json("data")))).alias("m"),
+          # entries sorted by key (as strings), then parsed: deterministic JSON text
+          .agg(F.map_from_entries(F.transform(
+                   F.array_sort(F.collect_list(F.struct("company_key", "data"))),
+                   lambda x: F.struct(x["company_key"], F.parse_json(x["data"])))).alias("m"),
                F.count(F.lit(1)).alias("n_companies")))
     return g.select("email", "chunk", "n_companies", F.to_json("m").alias("export"))

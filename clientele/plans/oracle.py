@@ -641,3 +641,9 @@ SQL["repo_decode"] = with_ctes(UPSERT_LOG, STATE, body="""
 SELECT email, company_key,
   CASE WHEN coalesce(json_valid(data) AND starts_with(data, '{'), false) THEN TRY_CAST(json_extract(data, '$.k') AS INTEGER) END AS k,
   NOT coalesce(json_valid(data) AND starts_with(data, '{'), false) AS quarantined FROM state""")
+
+SQL["repository_export"] = with_ctes(UPSERT_LOG, STATE, body="""
+SELECT email, chunk, count(*) AS n_companies,
+  to_json(map_from_entries(list({'key': company_key, 'value': json(data)} ORDER BY company_key)))::VARCHAR AS export
+FROM (SELECT *, CAST((row_number() OVER (PARTITION BY email ORDER BY company_key) - 1) // 1000 AS BIGINT) AS chunk FROM state)
+GROUP BY email, chunk""")
