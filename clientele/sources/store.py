@@ -233,13 +233,18 @@ class LogTable:
         fs, jvm = self._fs()
         fs.create(jvm.org.apache.hadoop.fs.Path(path, COMMIT_MARKER), True).close()
 
-    def append(self, log: DataFrame, batch_id: int) -> None:
-        """Write one batch of upserts/deletes (idempotent per ``batch_id``)."""
+    def append(self, log: DataFrame, batch_id: int, compact_every: int | None = None) -> None:
+        """Write one batch of upserts/deletes (idempotent per ``batch_id``).
+
+        With ``compact_every=k`` the log is folded into a snapshot after
+        every k-th batch, so a read never merges more than k batches."""
         path = f"{self.base}/log/batch={batch_id}"
         (log.withColumn("bucket", bucket_of(F.col(self.bucket_col), self.buckets))
             .repartition("bucket", *self.keys)
             .write.mode("overwrite").partitionBy("bucket").parquet(path))
         self._mark(path)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            self.compact()
 
     def _state(self, tenant: str | None = None) -> DataFrame | None:
         snaps = self._committed("", "snap=")

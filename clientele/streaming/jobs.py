@@ -41,13 +41,14 @@ def as_upsert_log(events: DataFrame) -> DataFrame:
 
 
 def stream_upsert(spark: SparkSession, log_stream: DataFrame, store: LogTable,
-                  checkpoint: str) -> None:
+                  checkpoint: str, compact_every: int = 20) -> None:
     """ST1: every micro-batch is appended to the merge-on-read store (O(batch)
     per micro-batch); reads resolve last write wins (``updated_at``, then
     ``seq``) and deletes remove keys.  A replayed batch id rewrites its own
-    folder, so the sink is idempotent."""
+    folder, so the sink is idempotent; every ``compact_every`` batches the log
+    is folded into a snapshot."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        store.append(batch, batch_id)
+        store.append(batch, batch_id, compact_every)
 
     q = (log_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
                    .trigger(availableNow=True).start())

@@ -121,3 +121,13 @@ def test_log_table_merge_on_read(spark, tmp_path):
     assert {(r.email, r.company_key): r.data for r in lt.read().collect()} == want
     assert {r.company_key for r in lt.scan("a@x").collect()} == {"k1", "k9"}
     assert lt.scan("b@x").count() == 0
+
+
+def test_log_table_auto_compaction(spark, tmp_path):
+    lt = S.LogTable(spark, str(tmp_path / "log2"), ["email", "company_key"], ["updated_at", "seq"], buckets=2)
+    schema = "seq long, email string, company_key string, op string, data string, updated_at int"
+    for b in range(5):
+        df = spark.createDataFrame([(b, "a@x", f"k{b % 2}", "upsert", f"v{b}", b)], schema)
+        lt.append(df, b, compact_every=2)
+    assert lt._committed("", "snap=") == [1, 3]
+    assert {r.company_key: r.data for r in lt.read().collect()} == {"k0": "v4", "k1": "v3"}
