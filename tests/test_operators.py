@@ -131,3 +131,15 @@ def test_log_table_auto_compaction(spark, tmp_path):
         lt.append(df, b, compact_every=2)
     assert lt._committed("", "snap=") == [1, 3]
     assert {r.company_key: r.data for r in lt.read().collect()} == {"k0": "v4", "k1": "v3"}
+
+
+def test_balance_only_spreads_large_narrow_scans(spark):
+    from clientele.sources.tables import balance, table
+    want = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, numPartitions=want + 2)
+    assert balance(wide, "id") is wide                                   # enough splits: untouched
+    tiny = table(spark, "/root/testdata/sf0.001", "nation")
+    assert balance(tiny, "n_nationkey") is tiny                         # tiny table: never shuffled
+    big = table(spark, "/root/testdata/sf0.1", "lineitem")
+    spread = balance(big, "l_orderkey")
+    assert spread is not big and spread.rdd.getNumPartitions() == want  # one-row-group fact table
