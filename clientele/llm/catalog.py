@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from clientele.llm import line_dedup
+from clientele.llm import license_scan, line_dedup, simhash, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op2_license_scan": license_scan.op2_license_scan,
+    "op3_simhash_dedup": simhash.op3_simhash_dedup,
+    "op7_topk_search": topk.op7_topk_search,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
+    "op7_topk_search": topk.SQL,
 }
