@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from clientele.llm import license_scan, line_dedup, simhash, topk
+from clientele.llm import license_scan, line_dedup, simhash, substring_dedup, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_license_scan": license_scan.op2_license_scan,
     "op3_simhash_dedup": simhash.op3_simhash_dedup,
+    "op5_substring_dedup": substring_dedup.op5_substring_dedup,
     "op7_topk_search": topk.op7_topk_search,
 }
 
