@@ -48,3 +48,24 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def worker_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker, for values that every
+    task would compute anew (the package travels by value, so its module
+    globals do not outlive a task)."""
+    import sys
+    import types
+    home = sys.modules.setdefault("clientele_worker_cache", types.ModuleType("clientele_worker_cache"))
+    return home.__dict__.setdefault(name, {})
+
+
+def ship(spark: SparkSession, value):
+    """Broadcast a value whose class travels by value too; ``shipped`` opens it."""
+    from pyspark import cloudpickle
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def shipped(sent):
+    import pickle
+    return pickle.loads(sent.value)
