@@ -1,7 +1,8 @@
 """Operator 6 -- mixing to target weights by soft domain membership.
 
 Domains are the classes of the label table (``clean``, ``low`` quality, ``toxic``).
-A multinomial logistic classifier over hashed word presence and word shapes gives
+A multinomial logistic classifier over hashed presence of words, their first four
+bytes and their shapes gives
 every document a posterior p over the domains.  With n its words and r its rate
 (expected copies), a domain's expected total is E_d = sum r n p_d.  The rates solve
 
@@ -64,7 +65,8 @@ def features(text: bytes) -> tuple[int, np.ndarray]:
             pair = cache.get(w)
             if pair is None:
                 shape = REPEAT.sub(rb"\1", w.translate(SHAPE))[:32]
-                pair = zlib.crc32(w.lower().strip(b".,;:!?()[]\"'")) % BUCKETS, zlib.crc32(shape, 77) % BUCKETS
+                word = w.lower().strip(b".,;:!?()[]\"'")
+                pair = zlib.crc32(word) % BUCKETS, zlib.crc32(word[:4], 99) % BUCKETS, zlib.crc32(shape, 77) % BUCKETS
                 if len(cache) > 300_000:
                     cache.clear()
                 if len(w) < 64:
@@ -85,14 +87,20 @@ class Classifier:
         return z / z.sum()
 
 
-def fit(rows: list[tuple[int, np.ndarray]], n_classes: int, least_df: int = 4, rounds: int = 120, rate: float = 0.05, l2: float = 2e-4) -> Classifier:
-    """Full-batch logistic regression with Adam over buckets of ``least_df`` documents or more."""
+def fit(rows: list[tuple[int, np.ndarray]], n_classes: int, least_df: int = 4, least_z: float = 5.0, rounds: int = 200, rate: float = 0.1,
+        l2: float = 3e-4, balance: float = 0.25) -> Classifier:
+    """Full-batch logistic regression with Adam, over the buckets that stand in ``least_df``
+    documents or more and whose presence tells some class apart (``least_z`` deviations)."""
     weight, bias = np.zeros((BUCKETS, n_classes)), np.zeros(n_classes)
     if not rows:
         bias[0] = 50.0
         return Classifier(weight, bias)
-    df = np.bincount(np.concatenate([x for _, x in rows] or [[]]).astype(int), minlength=BUCKETS)
-    used = np.flatnonzero(df >= least_df)
+    seen = np.stack([np.bincount(np.concatenate([x for c, x in rows if c == k] or [[]]).astype(int), minlength=BUCKETS) for k in range(n_classes)], axis=1)
+    df, of = seen.sum(axis=1, keepdims=True), np.bincount([c for c, _ in rows], minlength=n_classes)
+    share = of / len(rows)
+    # signed root of each bucket's chi-square against each class
+    z = (seen - df * share) / np.sqrt(np.maximum(df * share * (1 - share) * (1 - df / (len(rows) + 1)), 1e-9))
+    used = np.flatnonzero((df[:, 0] >= least_df) & (np.abs(z).max(axis=1) >= least_z))
     place = np.full(BUCKETS, -1)
     place[used] = np.arange(len(used))
     held = [place[x][place[x] >= 0] for _, x in rows]
@@ -100,8 +108,8 @@ def fit(rows: list[tuple[int, np.ndarray]], n_classes: int, least_df: int = 4, r
     col = np.concatenate(held).astype(int)
     row = np.repeat(np.arange(len(rows)), size)
     y = np.eye(n_classes)[[c for c, _ in rows]]
-    share = y.sum(axis=0).clip(1)
-    importance = (len(rows) / n_classes / share)[y.argmax(axis=1)][:, None]
+    share = of.clip(1)
+    importance = ((len(rows) / n_classes / share) ** balance)[y.argmax(axis=1)][:, None]
     w, b = np.zeros((len(used), n_classes)), np.zeros(n_classes)
     m = [np.zeros_like(w), np.zeros_like(b)]
     v = [np.zeros_like(w), np.zeros_like(b)]
