@@ -4,9 +4,9 @@ Component x of a vector becomes the integer weight floor(64 x); the score of a
 candidate is the integer inner product with the query.  Dimensions are terms:
 a candidate block keeps, for each dimension, its postings (candidate, weight)
 with a non-zero weight; a query row is the sparse list of its own non-zero
-dimensions.  For each dimension the queries that hold it scatter query weight
-times posting weight into a dense score array (queries x candidates); partition
-selection takes the k best of the block, and a ranked window merges the blocks.
+dimensions.  Term after term a query scatters its weight times the posting weights
+into a dense score array over the block's candidates; partition selection takes the
+k best of the block, and a ranked window merges the blocks.
 The search is exhaustive: every candidate is scored, nothing is pruned.
 
 Scale.  Queries and candidates are packed into blocks of fixed size; one task
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from clientele.llm.common import table
 
-Q_BLOCK, C_BLOCK, Q_STEP = 1024, 8192, 128
+Q_BLOCK, C_BLOCK = 1024, 8192
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -54,45 +54,53 @@ def _matrix(t: pa.Table) -> np.ndarray:
     return out
 
 
-def _score(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Dense scores (queries x candidates), one dimension after another."""
-    dims = min(q.shape[1], c.shape[1])
-    q, c = q[:, :dims], c[:, :dims]
-    bound = float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * max(dims, 1)
-    kind = np.int32 if bound < 2 ** 31 else np.int64
-    scores = np.zeros((len(q), len(c)), kind)
-    for d in range(dims):
-        terms, postings = np.flatnonzero(q[:, d]), np.flatnonzero(c[:, d])
-        part = q[terms, d].astype(kind)[:, None] * c[postings, d].astype(kind)[None, :]
-        if len(postings) == len(c):
-            scores[terms] += part
-        else:
-            scores[np.ix_(terms, postings)] += part
-    return scores
+class Postings:
+    """A candidate block by dimension: the candidates that hold it, with their weights.
+    A dimension that most candidates hold is kept for all of them, zeros included."""
+
+    def __init__(self, c: np.ndarray):
+        self.most = float(np.abs(c.astype(float)).max(initial=0))
+        self.n, self.columns = len(c), np.ascontiguousarray(c.T)
+        self.held = [np.flatnonzero(x) for x in self.columns]
+        self.cast: dict = {}
+
+    def scores(self, dims: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """One sparse query's dense score array, one term after another."""
+        bound = self.most * float(np.abs(weights.astype(float)).max(initial=0)) * max(len(dims), 1)
+        kind = np.int32 if bound < 2 ** 31 else np.int64
+        if kind not in self.cast:
+            self.cast[kind] = self.columns.astype(kind), np.empty(self.n, kind)
+        columns, part = self.cast[kind]
+        out = np.zeros(self.n, kind)
+        for d, w in zip(dims.tolist(), weights.astype(kind)):
+            at = self.held[d]
+            if 4 * len(at) >= self.n:
+                np.multiply(columns[d], w, out=part)
+                out += part
+            else:
+                out[at] += columns[d, at] * w
+        return out
 
 
 def _best(k: int):
     def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
         c_id = candidates["vec_id"].to_numpy()
         order = np.argsort(c_id, kind="stable")
-        c_id, c = c_id[order], _matrix(candidates)[order]
-        q_id, q = queries["vec_id"].to_numpy(), _matrix(queries)
+        c_id, block = c_id[order], Postings(_matrix(candidates)[order])
+        q_id, q = queries["vec_id"].to_numpy(), _matrix(queries)[:, : len(block.columns)]
         out = [[], [], []]
-        for at in range(0, len(q_id), Q_STEP):
-            scores = _score(q[at: at + Q_STEP], c)
-            own = q_id[at: at + Q_STEP, None] == c_id[None, :]
-            for row, mine, query in zip(scores, own, q_id[at: at + Q_STEP]):
-                there = np.flatnonzero(~mine) if mine.any() else np.arange(len(row))
-                s = row[there].astype(np.int64)
-                if len(s) > k:  # the k-th score, all above it, and of its ties the smallest ids
-                    kth = -np.partition(-s, k - 1)[k - 1] if s.min(initial=0) > np.iinfo(np.int64).min else np.sort(s)[-k]
-                    above = np.flatnonzero(s > kth)
-                    pick = np.r_[above, np.flatnonzero(s == kth)[: k - len(above)]]
-                else:
-                    pick = np.arange(len(s))
-                out[0].append(np.full(len(pick), query))
-                out[1].append(c_id[there[pick]])
-                out[2].append(s[pick])
+        for query, row in zip(q_id, q):
+            dims = np.flatnonzero(row)
+            s = block.scores(dims, row[dims])
+            lo, hi = np.searchsorted(c_id, query, "left"), np.searchsorted(c_id, query, "right")
+            s, ids = (np.delete(s, slice(lo, hi)), np.delete(c_id, slice(lo, hi))) if lo < hi else (s, c_id)
+            pick = np.arange(len(s))
+            if len(s) > k:  # the k-th score, all above it, and of its ties the smallest ids
+                kth = np.partition(s, len(s) - k)[len(s) - k]
+                above = np.flatnonzero(s > kth)
+                pick = np.r_[above, np.flatnonzero(s == kth)[: k - len(above)]]
+            for x, y in zip(out, (np.full(len(pick), query), ids[pick], s[pick].astype(np.int64))):
+                x.append(y)
         flat = [np.concatenate(x) if x else np.empty(0, np.int64) for x in out]
         return pa.table([pa.array(x, pa.int64()) for x in flat], names=["query_id", "vec_id", "score"])
     return run
