@@ -45,11 +45,11 @@ def text_nodes(html: Column) -> Column:
     return F.filter(parts, lambda p: p != F.lit(""))
 
 
-def page_text(html: Column, max_chars: int = 8000) -> Column:
-    """Readable text of a page, at most ``max_chars`` characters."""
+def page_text(html: Column, max_chars: int | None = None) -> Column:
+    """Readable text of a page, whole unless ``max_chars`` is given (T4)."""
     t = F.array_join(text_nodes(html), "\n")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return F.substring(t, 1, max_chars)
+    return t if max_chars is None else F.substring(t, 1, max_chars)
 
 
 def _occurrences(hay: Column, needle: str) -> Column:
@@ -78,7 +78,7 @@ def hrefs(html: Column) -> Column:
 
 def list_items(html: Column) -> Column:
     """Inner markup of every list item, in page order."""
-    return F.regexp_extract_all(html, F.lit(r"(?is)<li[^>]*>(.*?)</li>"), 1)
+    return F.regexp_extract_all(html, F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), 1)
 
 
 def image_alts(html: Column) -> Column:

@@ -50,14 +50,9 @@ def source_tag_label(src):
 
 def badge_label(src):
     """Badge label; an empty source reads ``reference`` (lower case)."""
-    return (F.when(src == "technology_partner", "Tech Partner")
-             .when(src == "case_study", "Case Study")
-             .when(src.isin("reference_list", "reference"), "Reference")
-             .when(src == "logo", "Logo")
-             .when(src == "testimonial", "Testimonial")
-             .when(src == "blog", "Blog")
-             .when(src == "job_listing", "Job Listing")
-             .otherwise(F.coalesce(F.when(src != "", src), F.lit("reference"))))
+    from .. import schemas
+    from ..functions.text import nullif_empty
+    return F.coalesce(F.try_element_at(_map_literal(schemas.SOURCE_TAG_LABEL), src), nullif_empty(src), F.lit("reference"))
 
 
 def badge_text(n, label):

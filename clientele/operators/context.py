@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import schemas
 from ..functions import html as H
 from .dedupe import keep_first
+from .ordinal import ordinal
 
 
 def dedupe_urls(cands: DataFrame, company: str = "netloc") -> DataFrame:
@@ -45,21 +46,19 @@ def with_fallback(cands: DataFrame, companies: DataFrame, company: str = "netloc
 
 
 def fetch(cands: DataFrame, pages: DataFrame, company: str = "netloc") -> DataFrame:
-    """Join capped candidates with the crawled pages on URL.
+    """Join the candidates with the crawled pages on URL.
 
-    Status per candidate: ``skipped`` (not http), ``ok`` (page present; text
-    via P9 with the U1 fallback), ``failed`` (no page).  Only ``url, html`` of the page table is
-    read and the html is dropped right after P9."""
+    Status per candidate: ``skipped`` (not http), ``ok`` (page present; whole text
+    by P9), ``failed`` (no page).  Only ``url, html`` of the page table is read and
+    the html is dropped right after P9."""
     pg = pages.select(F.col("url").alias("_page_url"), F.col("html"))
     j = cands.join(pg, (F.col("url") == F.col("_page_url")) & F.col("url").startswith("http"), "left")
     status = (F.when(~F.col("url").startswith("http"), F.lit("skipped"))
                .when(F.col("_page_url").isNotNull(), F.lit("ok"))
                .otherwise(F.lit("failed")))
-    from .udfs import page_text_routed
-    j = page_text_routed(j, "html", "_text")
-    text = F.when(F.col("_page_url").isNotNull(), F.col("_text"))
     return (j.withColumn("status", status)
-             .withColumn("text", text).drop("_text")
+             .withColumn("type", F.coalesce("type", F.lit("unknown")))
+             .withColumn("text", F.when(F.col("_page_url").isNotNull(), H.page_text(F.col("html"))))
              .withColumn("final_url", F.when(F.col("_page_url").isNotNull(), F.col("_page_url")))
              .withColumn("n_chars", F.length("text").cast("long"))
              .drop("_page_url", "html"))
@@ -72,35 +71,48 @@ def fetch_counts(fetched: DataFrame, company: str = "netloc") -> DataFrame:
                         F.coalesce(F.sum("n_chars"), F.lit(0)).cast("long").alias("chars")))
 
 
+def block_head(page_no: Column, url: Column, ptype: Column) -> Column:
+    """The head of one page's block; a missing url or type reads as its default."""
+    rule = F.lit(schemas.BLOCK_RULE)
+    return F.concat(F.lit("\n\n"), rule, F.lit("\nPAGE "), page_no.cast("string"), F.lit(" | "), F.coalesce(url, F.lit("")),
+                    F.lit(" | type: "), F.coalesce(ptype, F.lit("unknown")), F.lit("\n"), rule, F.lit("\n"))
+
+
 def page_block(page_no: Column, url: Column, ptype: Column, text: Column) -> Column:
     """One page's block in the analysis request."""
-    rule = F.lit(schemas.BLOCK_RULE)
-    return F.concat(F.lit("\n\n"), rule, F.lit("\nPAGE "), page_no.cast("string"), F.lit(" | "), url,
-                    F.lit(" | type: "), ptype, F.lit("\n"), rule, F.lit("\n"), F.coalesce(text, F.lit("")))
+    return F.concat(block_head(page_no, url, ptype), F.coalesce(text, F.lit("")))
 
 
 def context_blocks(fetched: DataFrame, company: str = "company_key", order: str = "seq",
                    budget: int = schemas.CONTEXT_CHARS) -> DataFrame:
-    """Number fetched pages, build blocks, apply the running budget.
-
-    The budget is pushed *below* the concatenation: a block whose preceding
-    blocks already fill the budget is dropped, the last one is cut.  The
-    window runs over at most ``PAGES_PER_COMPANY`` rows per company."""
-    w = Window.partitionBy(company).orderBy(F.col(order))
-    b = (fetched.withColumn("page_no", F.row_number().over(w).cast("long"))
-                .withColumn("block", page_block(F.col("page_no"), F.col("url"), F.col("type"), F.col("text")))
-                .withColumn("block_chars", F.length("block").cast("long")))
-    wp = w.rowsBetween(Window.unboundedPreceding, -1)
-    b = b.withColumn("prior_chars", F.coalesce(F.sum("block_chars").over(wp), F.lit(0)).cast("long"))
-    b = b.filter(F.col("prior_chars") < budget)
-    return (b.withColumn("kept", F.expr(f"substring(block, 1, {budget} - prior_chars)"))
-             .withColumn("kept_chars", F.length("kept").cast("long")))
-
-
-def context_text(blocks: DataFrame, company: str = "company_key") -> DataFrame:
-    """Ordered concatenation of the kept blocks (bounded: at most 15 per company)."""
-    return (blocks.groupBy(company)
-                  .agg(F.count(F.lit(1)).alias("n_pages"),
-                       F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "kept"))),
-                                                lambda x: x["kept"]), "").alias("context"))
-                  .withColumn("context_chars", F.length("context").cast("long")))
+    """Number the pages of a company and lay their blocks end to end in
+    parts of ``budget`` characters.  A block that crosses an edge has a piece in each
+    part, so no text is lost, however much there is.
+
+    Only keys and lengths are numbered and summed, by the skew-safe ordinal: a
+    company may hold a third of all pages.  One row per piece: ``piece_from``
+    (1-based, in the block) and ``piece_chars``."""
+    keys = fetched.select(company, order, "url", "type", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("_text_chars"))
+    b = ordinal(keys, [company], [F.col(order)], "page_no")
+    head = block_head(F.col("page_no"), F.col("url"), F.col("type"))
+    b = b.withColumn("block_chars", F.length(head).cast("long") + F.col("_text_chars")).drop("_text_chars")
+    b = ordinal(b, [company], [F.col("page_no")], "_end", weight="block_chars")
+    b = b.withColumn("start_char", F.col("_end") - F.col("block_chars"))
+    b = b.withColumn("part", F.explode(F.sequence(F.expr(f"start_char div {budget}"), F.expr(f"(_end - 1) div {budget}"))))
+    lo = F.greatest(F.col("start_char"), F.col("part") * budget)
+    hi = F.least(F.col("_end"), (F.col("part") + 1) * budget)
+    return (b.withColumn("piece_from", lo - F.col("start_char") + 1).withColumn("piece_chars", hi - lo).drop("_end"))
+
+
+def context_text(fetched: DataFrame, blocks: DataFrame, company: str = "company_key", order: str = "seq") -> DataFrame:
+    """The ordered text of every (company, part).  A collected group holds at most
+    one budget of characters."""
+    text = fetched.select(company, order, F.col("text").alias("_text"))
+    j = blocks.join(text, [company, order])
+    block = page_block(F.col("page_no"), F.col("url"), F.col("type"), F.col("_text"))
+    j = j.withColumn("piece", F.substring(block, F.col("piece_from").cast("int"), F.col("piece_chars").cast("int")))
+    return (j.groupBy(company, "part")
+             .agg(F.count(F.lit(1)).alias("n_pages"),
+                  F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", "piece"))),
+                                           lambda x: x["piece"]), "").alias("context"))
+             .withColumn("context_chars", F.length("context").cast("long")))

@@ -35,8 +35,8 @@ _PID = "_ord_pid"
 _LRANK = "_ord_lrank"
 
 
-def _local_rank(by: Sequence[str]):
-    """Per-partition run-length numbering over Arrow batches.
+def _local_rank(by: Sequence[str], weight: str | None = None):
+    """Per-partition run-length numbering (or running sum of ``weight``) over Arrow batches.
 
     Only the key columns are read (vectorised equality of each row with the
     previous one); every other column passes through as Arrow arrays, never
@@ -63,7 +63,9 @@ def _local_rank(by: Sequence[str]):
             same[0] = prev_key is not None and first == prev_key
             idx = np.arange(n, dtype="int64")
             run_start = np.maximum.accumulate(np.where(~same, idx, 0))
-            rank = idx - run_start + 1
+            w = np.ones(n, dtype="int64") if weight is None else b.column(weight).to_numpy(zero_copy_only=False).astype("int64")
+            total = np.cumsum(w)
+            rank = total - total[run_start] + w[run_start]
             if same[0]:
                 # rows continuing the previous batch's key, up to the first new key
                 rank = np.where(run_start == 0, rank + prev_count, rank)
@@ -74,8 +76,9 @@ def _local_rank(by: Sequence[str]):
 
 
 def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str = "pos",
-            num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1-based position of each row inside its ``by`` group.
+            num_partitions: int | None = None, weight: str | None = None) -> DataFrame:
+    """Add ``name`` = 1-based position of each row inside its ``by`` group, or with
+    ``weight`` (a non-negative integer column) the running sum up to and with the row.
 
     ``order`` must be a total order inside each group (ties would make the
     numbering depend on the shuffle).  The result is not sorted.
@@ -96,7 +99,7 @@ def ordinal(df: DataFrame, by: Sequence[str], order: Sequence[Column], name: str
     # differ.  Reading both from the checkpoint makes the result
     # independent of exchange reuse and cuts the lineage for lost executors.
     ensure_checkpoint_dir(spark)
-    local = ranged.mapInArrow(_local_rank(list(by)), out_schema).checkpoint(eager=True)
+    local = ranged.mapInArrow(_local_rank(list(by), weight), out_schema).checkpoint(eager=True)
 
     # rows per (partition, key), then rows of the same key in earlier partitions
     counts = local.groupBy(_PID, *by).agg(F.max(_LRANK).alias("_ord_cnt"))

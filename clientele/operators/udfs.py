@@ -43,7 +43,7 @@ class _TextParser(HTMLParser):
                 self.parts.append(s)
 
 
-def html_to_text(html: str | None, max_chars: int = schemas.PAGE_TEXT_CHARS) -> str | None:
+def html_to_text(html: str | None, max_chars: int | None = None) -> str | None:
     if html is None:
         return None
     p = _TextParser()

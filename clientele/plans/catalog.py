@@ -156,7 +156,7 @@ def _companies(spark, sf):
 @query("url_parts")
 def url_parts(spark, sf):
     """P1-P4 + P7 over crawled page URLs and repository netlocs (scheme-less)."""
-    pages = table(spark, sf, "pages", balance_key="page_id").select(
+    pages = table(spark, sf, "pages").select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("raw"))
     comps = (fx.client_rows(spark, sf).select(
         F.concat(F.lit("company-"), F.col("company_id").cast("string")).alias("id"), F.col("netloc").alias("raw"))
@@ -166,7 +166,7 @@ def url_parts(spark, sf):
 
 
 def _domains(spark, sf):
-    pages = table(spark, sf, "pages", balance_key="page_id").select(
+    pages = table(spark, sf, "pages").select(
         urls.strip_www(urls.netloc(urls.normalize_url(F.col("url")))).alias("domain"))
     comps = fx.client_rows(spark, sf).select(urls.strip_www(F.col("netloc")).alias("domain"))
     return pages.unionByName(comps).distinct()
@@ -275,12 +275,12 @@ def candidate_fallback(spark, sf):
 
 
 def _fetched(spark, sf):
-    return context.fetch(_capped(spark, sf), table(spark, sf, "pages", balance_key="page_id"))
+    return context.fetch(context.dedupe_urls(fx.page_candidates(spark, sf)), table(spark, sf, "pages"))
 
 
 @query("fetch_status")
 def fetch_status(spark, sf):
-    """J2 + S1 + P30 + S11: one status row per capped candidate."""
+    """J2 + S1 + P30 + S11: one status row per unique candidate."""
     return _fetched(spark, sf).select("netloc", "seq", "url", "type", "status", "final_url", "n_chars")
 
 
@@ -292,28 +292,26 @@ def fetch_status_counts(spark, sf):
 
 @query("page_text")
 def page_text(spark, sf):
-    """P9 + U1: readable text of every crawled page (8,000-char cap); pages
-    the native recipe cannot model take the parser fallback."""
-    p = table(spark, sf, "pages", balance_key="page_id").select("page_id", "html")
-    t = udfs.page_text_routed(p).select("page_id", "text")
+    """Whole readable text of every crawled page."""
+    t = table(spark, sf, "pages").select("page_id", H.page_text(F.col("html")).alias("text"))
     return t.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def _blocks(spark, sf):
-    pages = context.cap_pages(fx.doc_pages(spark, sf, with_seq=False), company="company_key", order="doc_id")
-    return context.context_blocks(pages, order="doc_id")
+    pages = fx.doc_pages(spark, sf)
+    return pages, context.context_blocks(pages, order="doc_id")
 
 
 @query("context_blocks")
 def context_blocks(spark, sf):
-    """W4 + P21 + W3 + T4: page blocks under the 35,000-char budget."""
-    return _blocks(spark, sf).select("company_key", "page_no", "url", "block_chars", "prior_chars", "kept_chars")
+    """W4 + P21 + W3 + T4: page blocks laid out in parts of 35,000 characters."""
+    return _blocks(spark, sf)[1].select("company_key", "page_no", "part", "url", "block_chars", "start_char", "piece_chars")
 
 
 @query("context_text")
 def context_text(spark, sf):
-    """The ordered, budgeted request context per company."""
-    return context.context_text(_blocks(spark, sf)).select("company_key", "n_pages", "context_chars", "context")
+    """The ordered request context per company, in parts."""
+    return context.context_text(*_blocks(spark, sf), order="doc_id").select("company_key", "part", "n_pages", "context_chars", "context")
 
 
 # ---------------------------------------------------------------------------
@@ -387,16 +385,18 @@ def _discovery_requests(spark, sf):
     comps = _companies(spark, sf)
     url = F.concat(F.lit("https://"), F.col("netloc"))
     prompt = R.discovery_prompt(url, F.col("domain"), F.col("detected_language"))
-    return comps.select("company_key", F.lit("discovery").alias("kind"),
+    return comps.select("company_key", F.lit(0).cast("long").alias("part"), F.lit("discovery").alias("kind"),
                         F.lit(schemas.DISCOVERY_MAX_TOKENS).cast("long").alias("max_tokens"),
                         F.lit(True).alias("use_search"), prompt.alias("prompt"))
 
 
 def _analysis_requests(spark, sf):
-    ctx = context.context_text(_blocks(spark, sf))
+    pages, blocks = _blocks(spark, sf)
+    fetched = pages.groupBy("company_key").agg(F.count(F.lit(1)).alias("n_fetched"))
+    ctx = context.context_text(pages, blocks, order="doc_id").join(fetched, "company_key")
     domain = F.concat(F.col("company_key"), F.lit(".example.com"))
-    prompt = R.analysis_prompt(urls.default_company_name(domain), domain, F.col("n_pages"), F.col("context"))
-    return ctx.select("company_key", F.lit("analysis").alias("kind"),
+    prompt = R.analysis_prompt(urls.default_company_name(domain), domain, F.col("n_fetched"), F.col("context"))
+    return ctx.select("company_key", "part", F.lit("analysis").alias("kind"),
                       F.lit(schemas.ANALYSIS_MAX_TOKENS).cast("long").alias("max_tokens"),
                       F.lit(False).alias("use_search"), prompt.alias("prompt"))
 
@@ -404,12 +404,12 @@ def _analysis_requests(spark, sf):
 @query("request_rows")
 def request_rows(spark, sf):
     """P18 + P19 + P20: discovery requests per repository company and analysis
-    requests per company context, as JSON bodies."""
+    requests per part of a company's context, as JSON bodies."""
     d = _discovery_requests(spark, sf).withColumn(
         "body", R.request_body(F.col("prompt"), schemas.DISCOVERY_MAX_TOKENS, True))
     a = _analysis_requests(spark, sf).withColumn(
         "body", R.request_body(F.col("prompt"), schemas.ANALYSIS_MAX_TOKENS, False))
-    return d.unionByName(a).select("company_key", "kind", "max_tokens", "use_search",
+    return d.unionByName(a).select("company_key", "part", "kind", "max_tokens", "use_search",
                                    F.length("prompt").cast("long").alias("prompt_chars"), "body")
 
 
@@ -447,7 +447,7 @@ def model_step(spark, sf):
 @query("page_text_fallback")
 def page_text_fallback(spark, sf):
     """The parser-based page text for every page (compared with P9 in tests)."""
-    p = table(spark, sf, "pages", balance_key="page_id").select("page_id", "html")
+    p = table(spark, sf, "pages").select("page_id", "html")
     return p.select("page_id", udfs.page_text_udf(F.col("html")).alias("text"))
 
 
@@ -566,7 +566,7 @@ from ..functions import extract as X  # noqa: E402
 
 
 def _pages(spark, sf):
-    return table(spark, sf, "pages", balance_key="page_id").select("page_id", "url", "html")
+    return table(spark, sf, "pages").select("page_id", "url", "html")
 
 
 @query("page_types")
@@ -679,7 +679,7 @@ def _e1_inputs(spark, sf):
 
 def _e1(spark, sf):
     inputs, cands = _e1_inputs(spark, sf)
-    return jobs.build_repository(inputs, cands, table(spark, sf, "pages", balance_key="page_id"), None, SCRAPED_AT)
+    return jobs.build_repository(inputs, cands, table(spark, sf, "pages"), None, SCRAPED_AT)
 
 
 @query("build_repository")

@@ -5,14 +5,13 @@ its two model calls into materialisable steps (requests -> replies ->
 results) so each can be restarted on its own:
 
     companies --P1-P7--> identity, locale
-    discovery candidates --A1--> unique --F9--> fallback --W5--> first 15
+    discovery candidates --A1--> unique --F9--> fallback
       --J2/P9--> fetched text (S11 status)        [html dropped right after P9]
-      --W4/W3/A8--> budgeted context --P19/P20--> analysis request
+      --W4/W3/A8--> context in parts --P19/P20--> analysis requests
     replies (J6 table, or U2 model step) --P10-P12--> decoded
       --P15/P16/SO1--> records --F2/A2--> clean clients --A9--> document
 
-Every group that is collected is bounded: pages per company by the
-15-page cap, clients per company by the reply size.
+Request texts are collected per part, whose size is fixed.
 """
 
 from __future__ import annotations
@@ -32,13 +31,16 @@ def company_inputs(inputs: DataFrame, url_col: str = "input_url") -> DataFrame:
     """Identity and locale of each input URL."""
     c = urls.company_identity(inputs, url_col)
     c = urls.with_locale(c)
+    # two URLs of one company are one company: the last one wins, in the order of the URLs
+    c = S.latest_per_key(c, ["company_key"], ["url_norm", url_col])
     return c.select(url_col, "url_norm", "netloc", "domain", "tld", "company_key",
                     F.col("language").alias("detected_language"), F.col("country").alias("detected_country"),
                     urls.default_company_name(F.col("domain")).alias("default_name"))
 
 
 def fetched_pages(companies: DataFrame, candidates: DataFrame, pages: DataFrame) -> DataFrame:
-    """A1 -> F9 -> W5 -> J2/P9: the fetched pages of every company, in order.
+    """A1 -> F9 -> J2/P9: the fetched pages of every company, in the order of ``seq``
+    (the fallback page stands alone).
 
     ``candidates``: ``company_key, url, type, description, seq``."""
     uniq = keep_first(candidates.filter(F.coalesce(F.col("url") != "", F.lit(False))),
@@ -48,36 +50,48 @@ def fetched_pages(companies: DataFrame, candidates: DataFrame, pages: DataFrame)
                    .select("company_key", "url", F.lit("homepage").alias("type"),
                            F.lit("direct input").alias("description"), F.lit(0).cast("long").alias("seq")))
     cands = uniq.select("company_key", "url", "type", "description", "seq").unionByName(fb)
-    capped = context.cap_pages(cands, company="company_key")
-    return context.fetch(capped, pages, company="company_key")
+    return context.fetch(cands, pages, company="company_key")
 
 
-def analysis_requests(companies: DataFrame, fetched: DataFrame) -> DataFrame:
-    """One analysis request per company with fetched pages."""
+def page_parts(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pages that were fetched, and their pieces by part of the request text."""
     ok = fetched.filter(F.col("status") == "ok").withColumn("url", F.col("final_url"))
-    blocks = context.context_blocks(ok, company="company_key", order="rank")
-    ctx = context.context_text(blocks, company="company_key")
+    return ok, context.context_blocks(ok, company="company_key", order="seq")
+
+
+def request_id(company: Column, part: Column) -> Column:
+    return F.concat_ws("#", company, part.cast("string"))
+
+
+def analysis_requests(companies: DataFrame, fetched: DataFrame, parts: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One analysis request per part of a company's fetched text."""
+    ok, blocks = parts or page_parts(fetched)
+    ctx = context.context_text(ok, blocks, company="company_key", order="seq")
     n_ok = ok.groupBy("company_key").agg(F.count(F.lit(1)).alias("n_fetched"))
     j = ctx.join(n_ok, "company_key").join(companies.select("company_key", "default_name", "domain"), "company_key")
     prompt = R.analysis_prompt(F.col("default_name"), F.col("domain"), F.col("n_fetched"), F.col("context"))
-    return j.select(F.col("company_key").alias("request_id"),
+    return j.select(request_id(F.col("company_key"), F.col("part")).alias("request_id"),
+                    "company_key", "part",
                     R.request_body(prompt, schemas.ANALYSIS_MAX_TOKENS, False).alias("body"))
 
 
-def rule_based_replies(fetched: DataFrame, pages: DataFrame) -> DataFrame:
+def rule_based_replies(fetched: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """Offline stand-in for the analysis model (X3-X10): candidate names from
     list items, logo alts and headlines of each company's fetched pages,
     normalised, split into clients and vendors, stop words and the own
-    name removed, with an evidence sentence; emitted as the JSON reply a
-    model would give (so the decode path is the same)."""
-    ok = fetched.filter(F.col("status") == "ok").select("company_key", "rank", "final_url", "type", "text")
+    name removed, with an evidence sentence; emitted as the JSON replies a
+    model would give (so the decode path is the same), one per request: a page
+    answers in the part where its block starts."""
+    first = blocks.where(F.col("piece_from") == 1).select("company_key", "seq", "part")
+    ok = (fetched.filter(F.col("status") == "ok").select("company_key", "seq", "final_url", "type", "text")
+                 .join(first, ["company_key", "seq"]))
     html = pages.select(F.col("url").alias("final_url"), "html")
     j = ok.join(html, "final_url")
     items = F.concat(
         F.transform(H.list_items(F.col("html")), lambda x: H.strip_tags(x)),
         H.image_alts(F.col("html")),
         F.array(X.headline_client(H.title(F.col("html")))))
-    c = (j.select("company_key", "rank", "type", "text", F.posexplode(items).alias("i", "raw"))
+    c = (j.select("company_key", "part", "seq", "type", "text", F.posexplode(items).alias("i", "raw"))
           .withColumn("name", X.normalize_name(F.col("raw")))
           .filter(F.col("name").isNotNull() & (F.col("name") != "") & ~X.is_stop_name(F.col("name"))))
     c = c.filter(F.lower(F.col("name")) != F.lower(urls.default_company_name(F.col("company_key"))))
@@ -89,21 +103,22 @@ def rule_based_replies(fetched: DataFrame, pages: DataFrame) -> DataFrame:
                       src.alias("source_type"),
                       F.coalesce(X.evidence_sentence(F.col("text"), F.col("name")), F.lit("")).alias("evidence"))
     partner = F.struct(F.col("name"), F.lit("technology partner").alias("role"))
-    order = F.struct("rank", "i")
-    g = c.groupBy("company_key").agg(
+    order = F.struct("seq", "i")
+    g = c.groupBy("company_key", "part").agg(
         F.array_sort(F.collect_list(F.when(~F.col("vendor"), F.struct(order.alias("o"), client.alias("c"))))).alias("cl"),
         F.array_sort(F.collect_list(F.when(F.col("vendor"), F.struct(order.alias("o"), partner.alias("p"))))).alias("pl"))
     doc = F.struct(F.transform("cl", lambda x: x["c"]).alias("clients"),
                    F.transform("pl", lambda x: x["p"]).alias("technology_partners"))
     reply = F.concat(F.lit("```json\n"), F.to_json(doc), F.lit("\n```"))
     env = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), reply.alias("text"))).alias("content")))
-    return g.select(F.col("company_key").alias("reply_id"), F.lit(200).alias("http_status"), env.alias("body"))
+    return g.select(request_id(F.col("company_key"), F.col("part")).alias("reply_id"), F.lit(200).alias("http_status"), env.alias("body"))
 
 
 def decode_results(replies: DataFrame, strict_null: bool = False) -> tuple[DataFrame, DataFrame]:
     """P13/P14/P10-P12 -> P15/P16 -> SO1 -> F2 -> A2: clean client rows per
-    reply plus the per-reply error.  ``replies``: request_id, http_status,
-    reply_body.
+    company plus the company's error.  ``replies``: request_id, http_status,
+    reply_body, and where a company has several parts company_key and part; without
+    them the request is the company.  ``request_id`` of both results is the company.
 
     Q8: a name that is JSON null or not a string drops its row and is
     counted in ``n_bad_names``; ``strict_null=True`` instead fails the whole
@@ -112,6 +127,9 @@ def decode_results(replies: DataFrame, strict_null: bool = False) -> tuple[DataF
     text = F.when(api_err.isNull(), R.reply_text(F.col("reply_body")))
     obj = R.first_json_object(text)
     v = R.decode(obj)
+    if "company_key" not in replies.columns:
+        replies = replies.withColumn("company_key", F.col("request_id")).withColumn("part", F.lit(0).cast("long"))
+    replies = replies.withColumn("request_id", F.col("company_key"))
     d = (replies.withColumn("api_error", api_err).withColumn("_obj", obj).withColumn("_v", v)
                 .withColumn("error", F.coalesce(F.col("api_error"), R.parse_error(F.col("_obj"), F.col("_v")))))
 
@@ -119,7 +137,7 @@ def decode_results(replies: DataFrame, strict_null: bool = False) -> tuple[DataF
         arr = F.try_variant_get(F.col("_v"), f"$.{key}", "array<variant>")
         raw = F.variant_get(F.col("item"), "$.name", "variant")
         return (d.filter(F.col("error").isNull())
-                 .select("request_id", F.posexplode_outer(arr).alias("pos", "item"))
+                 .select("request_id", "part", F.posexplode_outer(arr).alias("pos", "item"))
                  .filter(F.col("item").isNotNull())
                  .withColumn("section", F.lit(section))
                  .withColumn("bad_name", F.coalesce(raw.isNotNull() & (F.schema_of_variant(raw) != "STRING"),
@@ -130,7 +148,7 @@ def decode_results(replies: DataFrame, strict_null: bool = False) -> tuple[DataF
     bad = (ci.select("request_id", "bad_name").unionByName(pi.select("request_id", "bad_name"))
              .groupBy("request_id").agg(F.count_if("bad_name").cast("long").alias("n_bad_names")))
     cl = ci.filter(~F.col("bad_name")).select(
-        "request_id", "section", "pos",
+        "request_id", "section", "part", "pos",
         ustrip(R.get_or_default(it, "name", "")).alias("name"),
         R.get_or_default(it, "industry", "").alias("industry"),
         R.get_or_default(it, "country", "").alias("country"),
@@ -138,21 +156,22 @@ def decode_results(replies: DataFrame, strict_null: bool = False) -> tuple[DataF
         R.get_or_default(it, "evidence", "").alias("ai_note"),
         R.get_or_default(it, "confidence", schemas.DEFAULT_CONFIDENCE, "bigint").alias("confidence"))
     pt = pi.filter(~F.col("bad_name")).select(
-        "request_id", "section", "pos",
+        "request_id", "section", "part", "pos",
         ustrip(R.get_or_default(it, "name", "")).alias("name"),
         F.lit(schemas.PARTNER_INDUSTRY).alias("industry"), F.lit("").alias("country"),
         F.lit(schemas.PARTNER_SOURCE).alias("source"),
         R.get_or_default(it, "role", "").alias("ai_note"),
         F.lit(schemas.PARTNER_CONFIDENCE).cast("long").alias("confidence"))
     recs = cl.unionByName(pt).filter(F.col("name") != "")        # F2
-    errors = (d.select("request_id", "error").join(bad, "request_id", "left")
+    errors = (d.groupBy("request_id").agg(F.min_by("error", F.when(F.col("error").isNotNull(), F.col("part"))).alias("error"))
+               .join(bad, "request_id", "left")
                .withColumn("n_bad_names", F.coalesce("n_bad_names", F.lit(0)).cast("long")))
     if strict_null:
         errors = errors.withColumn("error", F.coalesce(
             "error", F.when(F.col("n_bad_names") > 0, F.lit("client name is not a string"))))
         recs = recs.join(errors.filter(F.col("n_bad_names") > 0).select("request_id"), "request_id", "left_anti")
     clean = keep_first(recs.withColumn("name_key", F.lower("name")), ["request_id", "name_key"],
-                       F.struct("section", "pos"))
+                       F.struct("section", "part", "pos"))
     return clean, errors
 
 
@@ -164,11 +183,11 @@ def build_documents(companies: DataFrame, fetched: DataFrame, clean: DataFrame,
     analysis -> empty clients with the error."""
     src = (fetched.filter(F.col("status") == "ok")
                   .groupBy("company_key")
-                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "final_url"))),
+                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "final_url"))),
                                    lambda x: x["final_url"]).alias("sources_checked")))
     rec = F.struct("name", "industry", "country", "source", "ai_note", "confidence")
     cl = (clean.groupBy(F.col("request_id").alias("company_key"))
-               .agg(F.array_sort(F.collect_list(F.struct(F.struct("section", "pos").alias("o"), rec.alias("c"))))
+               .agg(F.array_sort(F.collect_list(F.struct(F.struct("section", "part", "pos").alias("o"), rec.alias("c"))))
                     .alias("items"))
                .select("company_key", F.transform("items", lambda x: x["c"]).alias("clients")))
     err = errors.select(F.col("request_id").alias("company_key"), "error", "n_bad_names")
@@ -198,12 +217,14 @@ def build_repository(inputs: DataFrame, candidates: DataFrame, pages: DataFrame,
     # Materialisation point (the fetched-pages table): three consumers read
     # it, and a reliable checkpoint in the shared ``spark.checkpoint.dir``
     # cuts the lineage, so a lost executor re-reads the table instead of
-    # re-fetching and re-parsing.  Bounded: <= 15 pages x 8,000 chars per company.
+    # re-fetching and re-parsing.
     ensure_checkpoint_dir(inputs.sparkSession)
     fetched = fetched_pages(comps, candidates, pages).checkpoint(eager=True)
     if replies is None:
-        reqs = analysis_requests(comps, fetched)
-        replies = udfs.replies_from_table(reqs, rule_based_replies(fetched, pages)).drop("has_reply")
+        ok, blocks = page_parts(fetched)
+        reqs = analysis_requests(comps, fetched, (ok, blocks))
+        replies = udfs.replies_from_table(reqs, rule_based_replies(fetched, pages, blocks)).drop("has_reply")
+        replies = replies.join(reqs.select("request_id", "company_key", "part"), "request_id")
         # second materialisation point (the replies table; one row per company),
         # read by the record, error and bad-name branches of the decode
         replies = replies.checkpoint(eager=True)
@@ -232,14 +253,17 @@ def repository_export(repo: DataFrame, chunk_size: int = 1000) -> DataFrame:
     """A10: ``{company_key: document}`` per tenant, as JSON, for export.
 
     A tenant may own a third of the repository, so its map is cut into
-    chunks of ``chunk_size`` companies (skew-safe numbering by key)."""
+    chunks of ``chunk_size`` companies (skew-safe numbering by key).  A row
+    whose document is not valid JSON is left out of the map and counted in
+    ``n_quarantined``."""
     from ..operators.ordinal import ordinal
     n = ordinal(repo, ["email"], [F.col("company_key")], "_n")
+    good = F.try_parse_json("data").isNotNull()
     g = (n.withColumn("chunk", F.floor((F.col("_n") - 1) / F.lit(chunk_size)).cast("long"))
           .groupBy("email", "chunk")
           # entries sorted by key (as strings), then parsed: deterministic JSON text
           .agg(F.map_from_entries(F.transform(
-                   F.array_sort(F.collect_list(F.struct("company_key", "data"))),
-                   lambda x: F.struct(x["company_key"], F.parse_json(x["data"])))).alias("m"),
-               F.count(F.lit(1)).alias("n_companies")))
-    return g.select("email", "chunk", "n_companies", F.to_json("m").alias("export"))
+                   F.array_sort(F.collect_list(F.when(good, F.struct("company_key", "data")))),
+                   lambda x: F.struct(x["company_key"], F.try_parse_json(x["data"])))).alias("m"),
+               F.count_if(good).alias("n_companies"), F.count_if(~good).alias("n_quarantined")))
+    return g.select("email", "chunk", "n_companies", "n_quarantined", F.to_json("m").alias("export"))

@@ -40,7 +40,7 @@ JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_
 
 UPSERT_LOG = """upsert_log AS (
 SELECT event_id AS seq, concat('user', user_id % 15, '@example.com') AS email, concat('co-', user_id, '.si') AS company_key,
-  CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, props AS data, ts AS updated_at FROM events
+  CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, CASE WHEN event_id % 29 = 0 THEN left(props, length(props) - 1) ELSE props END AS data, ts AS updated_at FROM events
 )"""
 
 PAGE_CANDIDATES = """page_candidates AS (
@@ -54,7 +54,7 @@ WHERE k.k = 0 OR (k.k = 1 AND page_id % 7 = 0) OR (k.k = 2 AND page_id % 11 = 0)
 
 DOC_PAGES = """doc_pages AS (
 SELECT source AS company_key, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS seq,
-  concat('https://', source, '.example.com/', doc_id) AS url, lang AS type, substring(text, 1, 8000) AS text FROM documents
+  concat('https://', source, '.example.com/', doc_id) AS url, lang AS type, text FROM documents
 )"""
 
 MODEL_REPLIES = """model_replies AS (
@@ -322,7 +322,7 @@ WHERE netloc NOT IN (SELECT netloc FROM deduped)""")
 _DROPPED = ("script", "style", "nav", "footer", "head", "noscript", "svg", "iframe")
 
 
-def page_text_sql(html: str, max_chars: int = 8000) -> str:
+def page_text_sql(html: str) -> str:
     s = f"regexp_replace({html}, '(?is)<!--.*?-->|<!doctype[^>]*>', chr(1), 'g')"
     for tag in _DROPPED:
         s = f"regexp_replace({s}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', chr(1), 'g')"
@@ -332,15 +332,14 @@ def page_text_sql(html: str, max_chars: int = 8000) -> str:
                     ("&amp;", "&")):
         dec = f"replace({dec}, '{ent}', '{ch}')"
     parts = f"list_filter(list_transform(string_split({s}, chr(1)), lambda p: {ustrip(dec)}), lambda p: p <> '')"
-    t = f"regexp_replace(array_to_string({parts}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"
-    return f"substring({t}, 1, {max_chars})"
+    return f"regexp_replace(array_to_string({parts}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
-SQL["fetch_status"] = with_ctes(PAGE_CANDIDATES, DEDUPED, CAPPED, f"""fetched AS (
+SQL["fetch_status"] = with_ctes(PAGE_CANDIDATES, DEDUPED, f"""fetched AS (
 SELECT c.netloc, c.seq, c.url, c.type,
   CASE WHEN NOT starts_with(c.url, 'http') THEN 'skipped' WHEN p.url IS NOT NULL THEN 'ok' ELSE 'failed' END AS status,
   p.url AS final_url, CASE WHEN p.url IS NOT NULL THEN {page_text_sql('p.html')} END AS text
-FROM capped c LEFT JOIN pages p ON c.url = p.url AND starts_with(c.url, 'http')
+FROM deduped c LEFT JOIN pages p ON c.url = p.url AND starts_with(c.url, 'http')
 )""", body="SELECT netloc, seq, url, type, status, final_url, CAST(length(text) AS BIGINT) AS n_chars FROM fetched")
 
 SQL["fetch_status_counts"] = SQL["fetch_status"].replace(
@@ -351,24 +350,27 @@ SQL["fetch_status_counts"] = SQL["fetch_status"].replace(
 SQL["page_text"] = f"""
 SELECT page_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT page_id, {page_text_sql('html')} AS text FROM pages)"""
 
-BLOCKS = """blocks AS (
-SELECT *, substring(block, 1, 35000 - prior_chars) AS kept FROM (
-  SELECT *, CAST(coalesce(sum(block_chars) OVER (PARTITION BY company_key ORDER BY page_no
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS prior_chars FROM (
-    SELECT *, CAST(length(block) AS BIGINT) AS block_chars FROM (
-      SELECT company_key, seq AS page_no, url,
-        concat(chr(10), chr(10), repeat('=', 60), chr(10), 'PAGE ', seq, ' | ', url, ' | type: ', type, chr(10),
-               repeat('=', 60), chr(10), coalesce(text, '')) AS block
-      FROM doc_pages WHERE seq <= 15)))
-WHERE prior_chars < 35000
+BLOCKS = """laid AS (
+SELECT *, CAST(sum(block_chars) OVER (PARTITION BY company_key ORDER BY page_no) - block_chars AS BIGINT) AS start_char FROM (
+  SELECT *, CAST(length(block) AS BIGINT) AS block_chars FROM (
+    SELECT company_key, seq AS page_no, url,
+      concat(chr(10), chr(10), repeat('=', 60), chr(10), 'PAGE ', seq, ' | ', url, ' | type: ', type, chr(10),
+             repeat('=', 60), chr(10), coalesce(text, '')) AS block
+    FROM doc_pages))
+), cut AS (
+SELECT *, unnest(generate_series(start_char // 35000, (start_char + block_chars - 1) // 35000)) AS part FROM laid
+), blocks AS (
+SELECT * EXCLUDE (block), substring(block, greatest(part * 35000 - start_char, 0) + 1,
+         least(start_char + block_chars, (part + 1) * 35000) - greatest(start_char, part * 35000)) AS piece FROM cut
 )"""
+CTX = """ctx AS (SELECT company_key, part, count(*) AS n_pages, string_agg(piece, '' ORDER BY page_no) AS context
+             FROM blocks GROUP BY company_key, part)"""
 
 SQL["context_blocks"] = with_ctes(DOC_PAGES, BLOCKS, body="""
-SELECT company_key, page_no, url, block_chars, prior_chars, CAST(length(kept) AS BIGINT) AS kept_chars FROM blocks""")
+SELECT company_key, page_no, part, url, block_chars, start_char, CAST(length(piece) AS BIGINT) AS piece_chars FROM blocks""")
 
-SQL["context_text"] = with_ctes(DOC_PAGES, BLOCKS, body="""
-SELECT company_key, count(*) AS n_pages, CAST(length(string_agg(kept, '' ORDER BY page_no)) AS BIGINT) AS context_chars,
-  coalesce(string_agg(kept, '' ORDER BY page_no), '') AS context FROM blocks GROUP BY company_key""")
+SQL["context_text"] = with_ctes(DOC_PAGES, BLOCKS, CTX, body="""
+SELECT company_key, part, n_pages, CAST(length(context) AS BIGINT) AS context_chars, context FROM ctx""")
 
 # ---------------------------------------------------------------------------
 # Replies and requests
@@ -413,10 +415,10 @@ FROM parsed WHERE ok""")
 
 RESPONSES = """responses AS (
 SELECT reply_id, http_status, body,
-  CASE WHEN http_status <> 200 THEN concat('Claude API ', http_status, ': ', substring(body, 1, 300))
+  CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN concat('Model API ', http_status, ': ', substring(body, 1, 300))
        WHEN json_valid(body) AND json_type(body, '$.error') IS NOT NULL
-         THEN coalesce(json_extract_string(body, '$.error.message'), 'Claude API error') END AS api_error
-FROM (SELECT reply_id, CASE WHEN reply_id % 19 = 0 THEN 529 ELSE 200 END AS http_status,
+         THEN coalesce(json_extract_string(body, '$.error.message'), 'Model API error') END AS api_error
+FROM (SELECT reply_id, CASE WHEN reply_id % 19 = 0 THEN 529 WHEN reply_id % 5 = 0 THEN 201 ELSE 200 END AS http_status,
         CASE WHEN reply_id % 19 = 0 THEN concat('overloaded ', repeat('.', 400))
              WHEN reply_id % 17 = 0 THEN '{"type":"error","error":{"message":"rate limited"}}'
              WHEN reply_id % 23 = 0 THEN '{"type":"error","error":{}}'
@@ -446,14 +448,14 @@ FROM customer c LEFT JOIN responses r ON r.reply_id = c.c_custkey""")
 
 
 def body_sql(prompt: str, max_tokens: int, use_search: bool) -> str:
-    tools = ", 'tools': [{'type': 'web_search_20250305', 'name': 'web_search'}]" if use_search else ""
+    tools = ", 'tools': [{'type': 'web_search', 'name': 'web_search'}]" if use_search else ""
     return (f"to_json({{'model': '{schemas.MODEL_NAME}', 'max_tokens': {max_tokens}, "
             f"'messages': [{{'role': 'user', 'content': {prompt}}}]{tools}}})::VARCHAR")
 
 
 _DISC = f"printf({sq(_R.DISCOVERY_TEMPLATE)}, concat('https://', netloc), domain, detected_language)"
 _ANAL = (f"printf({sq(_R.ANALYSIS_TEMPLATE)}, {default_name(chr(39) + '.example.com' + chr(39))}, "
-         "concat(company_key, '.example.com'), CAST(n_pages AS INTEGER), context)")
+         "concat(company_key, '.example.com'), CAST(n_fetched AS INTEGER), context)")
 _ANAL = _ANAL.replace(default_name("'.example.com'"), default_name("concat(company_key, '.example.com')"))
 
 SQL["request_rows"] = with_ctes(
@@ -461,15 +463,14 @@ SQL["request_rows"] = with_ctes(
     COMPANIES.replace("SELECT c.email,", "SELECT c.email, c.netloc,").replace(
         "SELECT DISTINCT email, ", "SELECT DISTINCT email, netloc, "),
     DOC_PAGES, BLOCKS,
-    """ctx AS (SELECT company_key, count(*) AS n_pages, string_agg(kept, '' ORDER BY page_no) AS context
-             FROM blocks GROUP BY company_key)""",
+    CTX, "fetched AS (SELECT company_key, count(*) AS n_fetched FROM doc_pages GROUP BY company_key)",
     f"""reqs AS (
-SELECT company_key, 'discovery' AS kind, CAST(4000 AS BIGINT) AS max_tokens, true AS use_search, {_DISC} AS prompt,
+SELECT company_key, CAST(0 AS BIGINT) AS part, 'discovery' AS kind, CAST(4000 AS BIGINT) AS max_tokens, true AS use_search, {_DISC} AS prompt,
   true AS s FROM companies
 UNION ALL
-SELECT company_key, 'analysis', CAST(8000 AS BIGINT), false, {_ANAL}, false FROM ctx
+SELECT company_key, part, 'analysis', CAST(8000 AS BIGINT), false, {_ANAL}, false FROM ctx JOIN fetched USING (company_key)
 )""", body=f"""
-SELECT company_key, kind, max_tokens, use_search, CAST(length(prompt) AS BIGINT) AS prompt_chars,
+SELECT company_key, part, kind, max_tokens, use_search, CAST(length(prompt) AS BIGINT) AS prompt_chars,
   CASE WHEN s THEN {body_sql('prompt', 4000, True)} ELSE {body_sql('prompt', 8000, False)} END AS body FROM reqs""")
 
 # ---------------------------------------------------------------------------
@@ -584,7 +585,7 @@ LIST_NAMES = f"""list_names AS (
 SELECT page_id, url, item_pos, name FROM (
   SELECT page_id, url, CAST(item_pos AS BIGINT) AS item_pos, {strip_tags_sql('item')} AS name FROM (
     SELECT page_id, url, unnest(generate_series(1, len(li))) AS item_pos, unnest(li) AS item
-    FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<li[^>]*>(.*?)</li>', 1) AS li FROM pages)))
+    FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1) AS li FROM pages)))
 WHERE name <> ''
 )"""
 
@@ -643,7 +644,8 @@ SELECT email, company_key,
   NOT coalesce(json_valid(data) AND starts_with(data, '{'), false) AS quarantined FROM state""")
 
 SQL["repository_export"] = with_ctes(UPSERT_LOG, STATE, body="""
-SELECT email, chunk, count(*) AS n_companies,
-  to_json(map_from_entries(list({'key': company_key, 'value': json(data)} ORDER BY company_key)))::VARCHAR AS export
+SELECT email, chunk, count(*) FILTER (json_valid(data)) AS n_companies, count(*) FILTER (NOT json_valid(data)) AS n_quarantined,
+  coalesce(to_json(map_from_entries(list({'key': company_key, 'value': CASE WHEN json_valid(data) THEN json(data) END} ORDER BY company_key)
+    FILTER (json_valid(data))))::VARCHAR, '{}') AS export
 FROM (SELECT *, CAST((row_number() OVER (PARTITION BY email ORDER BY company_key) - 1) // 1000 AS BIGINT) AS chunk FROM state)
 GROUP BY email, chunk""")

@@ -51,16 +51,17 @@ PARTNER_CONFIDENCE = 99
 DEFAULT_CONFIDENCE = 80
 DEFAULT_CLIENT_SOURCE = "reference_list"
 
-PAGES_PER_COMPANY = 15        # candidate cap, applied before the http check
-PAGE_TEXT_CHARS = 8000        # per-page text cap
-CONTEXT_CHARS = 35000         # whole-request text budget
+PAGES_PER_COMPANY = 15        # candidate cap (T3), only where it is asked for
+CONTEXT_CHARS = 35000         # text in one request; more text makes more requests
 ERROR_TEXT_CHARS = 300        # HTTP error body cut
 NOTE_PREVIEW_CHARS = 100      # evidence preview in the client table
 BLOCK_RULE = "=" * 60         # page block header rule
 
 DISCOVERY_MAX_TOKENS = 4000
 ANALYSIS_MAX_TOKENS = 8000
-MODEL_NAME = "claude-sonnet-4-20250514"
+MODEL_NAME = "default"
+SEARCH_TOOL = ("web_search", "web_search")
+SERVICE_LABEL = "Model API"
 NO_JSON_ERROR = "No JSON found in response"
 
 # Path keywords that mark a reference / client page (discovery hint list).
@@ -94,6 +95,16 @@ DISCOVERY_REPLY = T.StructType([
     T.StructField("pages", T.ArrayType(PAGE_CANDIDATE)),
 ])
 
+ANALYSIS_REPLY = T.StructType([
+    T.StructField("clients", T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()), T.StructField("industry", T.StringType()),
+        T.StructField("country", T.StringType()), T.StructField("source_type", T.StringType()),
+        T.StructField("evidence", T.StringType()), T.StructField("confidence", T.LongType())]))),
+    T.StructField("technology_partners", T.ArrayType(T.StructType([
+        T.StructField("name", T.StringType()), T.StructField("role", T.StringType())]))),
+    T.StructField("summary", T.StringType()),
+])
+
 COMPANY_DOCUMENT = T.StructType([
     T.StructField("key", T.StringType()),
     T.StructField("company_name", T.StringType()),

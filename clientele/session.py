@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -15,13 +17,11 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
-    "spark.sql.exchange.reuse": "true",          # operators.ordinal relies on it
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
 
@@ -42,40 +42,44 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
-                app_name: str = "clientele") -> SparkSession:
+                app_name: str = "clientele", driver_memory: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the library defaults.
 
-    On a cluster the master and partition count come from the submit
-    configuration; locally they default to ``local[*]`` / 8.
-    """
+    Master, partition count and memory come from the submit configuration
+    unless they are passed; without any master it is ``local[*]``."""
     builder = SparkSession.builder.appName(app_name)
     if master or not os.environ.get("SPARK_MASTER"):
         builder = builder.master(master or "local[*]")
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-    builder = builder.config("spark.driver.memory", "16g")
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     prepare(spark)
-    ensure_checkpoint_dir(spark)
+    if spark.sparkContext.master.startswith("local["):
+        ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this must be set by the deployment (a shared file
-    system).  Only when it is unset -- tests and local runs -- do we pick a
-    scratch folder of our own.
-    """
+    On a cluster the deployment must set it (a shared file system); it is an
+    error when it does not.  Only a local master, where one machine is the whole
+    cluster, gets a scratch folder, which is deleted when Python ends."""
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="clientele-ckpt-")
+    atexit.register(shutil.rmtree, local, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", local)
     sc.setCheckpointDir(local)
     return local

@@ -37,7 +37,7 @@ def client_rows(spark: SparkSession, sf_dir: str, with_pos: bool = False) -> Dat
     company).  ``with_pos=True`` adds the dense 1-based ``pos`` -- a
     skew-safe distributed row number, only needed where a query shows it.
     """
-    l = table(spark, sf_dir, "lineitem", balance_key="l_orderkey").select(
+    l = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
@@ -87,21 +87,30 @@ def client_rows(spark: SparkSession, sf_dir: str, with_pos: bool = False) -> Dat
 
 def upsert_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write/delete log keyed by (email, company_key); ``seq`` breaks ties."""
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props", "ts")
-    return e.select(
+    return as_upsert_log(table(spark, sf_dir, "events"))
+
+
+def as_upsert_log(events: DataFrame) -> DataFrame:
+    """``upsert_log`` of a batch or a stream of events."""
+    return events.select(
         F.col("event_id").alias("seq"),
         F.concat(F.lit("user"), (F.col("user_id") % 15).cast("string"), F.lit("@example.com")).alias("email"),
         F.concat(F.lit("co-"), F.col("user_id").cast("string"), F.lit(".si")).alias("company_key"),
         F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("upsert")).alias("op"),
-        F.col("props").alias("data"),
+        written(F.col("event_id"), F.col("props")).alias("data"),
         F.col("ts").alias("updated_at"))
 
 
+def written(event_id: Column, props: Column) -> Column:
+    """The stored document: every 29th write is cut short (S9, A10 quarantine)."""
+    return F.when(event_id % 29 == 0, F.left(props, F.length(props) - 1)).otherwise(props)
+
+
 def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Discovered candidates: every page once, again for page_id % 7 = 0, and a
     ``mailto:`` candidate for page_id % 11 = 0.  Expressed as one scan plus a
     bounded ``explode`` (no join)."""
-    pg = table(spark, sf_dir, "pages", balance_key="page_id").select("page_id", "url")
+    pg = table(spark, sf_dir, "pages").select("page_id", "url")
     pid = F.col("page_id")
     ks = F.filter(F.array(F.lit(0), F.lit(1), F.lit(2)),
                   lambda k: (k == 0) | ((k == 1) & (pid % 7 == 0)) | ((k == 2) & (pid % 11 == 0)))
@@ -117,22 +126,15 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (pid * 3 + F.col("k")).alias("seq"))
 
 
-def doc_pages(spark: SparkSession, sf_dir: str, with_seq: bool = True) -> DataFrame:
-    """Fetched page text per company (``source``), ``seq`` by ``doc_id``.
-
-    ``with_seq=False`` leaves ``doc_id`` as the order column for operators
-    that only need the first k pages (those use a window group limit).
-    """
-    d = table(spark, sf_dir, "documents", balance_key="doc_id").select("doc_id", "source", "lang", "text")
-    out = d.select(
+def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched pages per company (``source``) with their whole text, in the order of ``doc_id``."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return d.select(
         F.col("source").alias("company_key"),
         F.col("doc_id"),
         F.concat(F.lit("https://"), F.col("source"), F.lit(".example.com/"), F.col("doc_id").cast("string")).alias("url"),
         F.col("lang").alias("type"),
-        F.substring("text", 1, 8000).alias("text"))
-    if with_seq:
-        out = ordinal(out, ["company_key"], [F.col("doc_id")], "seq")
-    return out
+        F.col("text"))
 
 
 def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,7 +155,7 @@ def model_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """API response envelopes around ``model_replies``: HTTP 529 for
-    reply_id % 19 = 0, an error document for % 17 = 0, an error without a
+    reply_id % 19 = 0 (201 for % 5 = 0), an error document for % 17 = 0, an error without a
     message for % 23 = 0, else content blocks (text, tool_use, text) whose
     texts concatenate to the reply."""
     r = model_replies(spark, sf_dir)
@@ -162,7 +164,7 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("text").alias("type"), F.substring("reply", 1, 10).alias("text")),
         F.struct(F.lit("tool_use").alias("type"), F.lit(None).cast("string").alias("text")),
         F.struct(F.lit("text").alias("type"), F.expr("substring(reply, 11)").alias("text")))
-    status = F.when(k % 19 == 0, F.lit(529)).otherwise(F.lit(200))
+    status = F.when(k % 19 == 0, F.lit(529)).when(k % 5 == 0, F.lit(201)).otherwise(F.lit(200))
     body = (F.when(k % 19 == 0, F.concat(F.lit("overloaded "), F.repeat(F.lit("."), 400)))
              .when(k % 17 == 0, F.lit('{"type":"error","error":{"message":"rate limited"}}'))
              .when(k % 23 == 0, F.lit('{"type":"error","error":{}}'))

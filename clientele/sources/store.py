@@ -1,27 +1,21 @@
-"""Repository store: versioned Parquet snapshots with keyed upsert / delete
-(S3-S10).
+"""Repository store: keyed upsert / delete over an append-only log.
 
-The reference keeps one row per ``(email, company_key)`` in a SQL table
-and replaces it on every scrape.  Here a table is a directory of complete
-snapshots ``v=<n>``; a write computes the next state with DataFrame
-operators and commits it as a new snapshot (never reading and
-overwriting the same path in one job).  Each snapshot is partitioned by
-a hash bucket of the tenant, so a tenant scan or point lookup reads one
-bucket (partition pruning) and pushes the equality filters into the
-Parquet scan.  ``MERGE INTO`` needs a table format that is not available
-here; the operators below are the DataFrame form of the same semantics.
+The reference keeps one row per ``(email, company_key)`` in a SQL table and
+replaces it on every scrape.  Here writes append to a log of plain Parquet files
+partitioned by a hash bucket of the tenant, and a read resolves the last write per
+key with one aggregation.  A tenant scan or point lookup reads one bucket
+(partition pruning) and pushes the equality filters into the Parquet scan.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.dedupe import keep_first
 
 DEFAULT_BUCKETS = 64
-COMMIT_MARKER = "_COMMITTED"   # written after the snapshot's files are complete
 
 
 def bucket_of(col: Column, buckets: int = DEFAULT_BUCKETS) -> Column:
@@ -74,15 +68,12 @@ def insert_if_absent(existing: DataFrame, rows: DataFrame, keys: Sequence[str],
     ``(accepted, rejected)``."""
     first = keep_first(rows, list(keys), F.struct(*[F.col(c) for c in order]))
     accepted = first.join(existing.select(*keys), list(keys), "left_anti")
-    rejected = rows.join(accepted.select(*keys, *order), [*keys, *order], "left_anti")
+    won = accepted.select(*[F.col(c).alias(f"_won_{c}") for c in [*keys, *order]])
+    same = [F.col(c).eqNullSafe(F.col(f"_won_{c}")) for c in [*keys, *order]]
+    rejected = rows.join(won, same, "left_anti")
     return accepted, rejected
 
 
-def delete_keys(target: DataFrame, keys_df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Remove the given keys."""
-    return target.join(keys_df.select(*keys).distinct(), list(keys), "left_anti")
-
-
 def tenant_scan(repo: DataFrame, email: str, buckets: int | None = DEFAULT_BUCKETS) -> DataFrame:
     """One tenant's rows; with a ``bucket`` column the bucket
     predicate prunes partitions before the equality filter."""
@@ -115,175 +106,20 @@ def contract_violations(df: DataFrame, not_null: Sequence[str], pk: Sequence[str
 
 
 # ---------------------------------------------------------------------------
-# Snapshot table
+# The stored form: an append-only log as plain bucketed Parquet
 # ---------------------------------------------------------------------------
 
-class SnapshotTable:
-    """A keyed table stored as complete Parquet snapshots under ``base``.
-
-    ``base`` must be on a file system every executor sees (the cluster's
-    shared storage); versions are listed through the Hadoop FS API."""
-
-    def __init__(self, spark: SparkSession, base: str, keys: Sequence[str], order: Sequence[str],
-                 bucket_col: str = "email", buckets: int = DEFAULT_BUCKETS):
-        self.spark, self.base, self.keys, self.order = spark, base.rstrip("/"), list(keys), list(order)
-        self.bucket_col, self.buckets = bucket_col, buckets
-
-    # -- versions ---------------------------------------------------------
-    def _fs(self):
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
-
-    def versions(self) -> list[tuple[int, int]]:
-        """Committed ``(version, batch_id)`` pairs, oldest first."""
-        fs, jvm = self._fs()
-        root = jvm.org.apache.hadoop.fs.Path(self.base)
-        if not fs.exists(root):
-            return []
-        out = []
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if not name.startswith("v="):
-                continue
-            if not fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), COMMIT_MARKER)):
-                continue  # an unfinished write: ignored, overwritten by the next commit
-            v, _, b = name[2:].partition("-b=")
-            out.append((int(v), int(b) if b else -1))
-        return sorted(out)
-
-    def _path(self, version: int, batch_id: int) -> str:
-        return f"{self.base}/v={version:08d}" + (f"-b={batch_id}" if batch_id >= 0 else "")
-
-    def read(self, schema=None) -> DataFrame | None:
-        vs = self.versions()
-        if not vs:
-            return None if schema is None else self.spark.createDataFrame([], schema)
-        v, b = vs[-1]
-        return self.spark.read.parquet(self._path(v, b)).drop("bucket")
-
-    def committed_batch(self, batch_id: int) -> bool:
-        return any(b == batch_id for _, b in self.versions())
-
-    def commit(self, state: DataFrame, batch_id: int = -1) -> int:
-        """Write ``state`` as the next snapshot; returns its version."""
-        vs = self.versions()
-        nxt = (vs[-1][0] + 1) if vs else 1
-        # Spread on (bucket, key), not bucket alone: a tenant holding a third
-        # of the table must not funnel its bucket through one writer task.
-        (state.withColumn("bucket", bucket_of(F.col(self.bucket_col), self.buckets))
-              .repartition("bucket", *self.keys)
-              .write.mode("overwrite").partitionBy("bucket").parquet(self._path(nxt, batch_id)))
-        fs, jvm = self._fs()
-        fs.create(jvm.org.apache.hadoop.fs.Path(self._path(nxt, batch_id), COMMIT_MARKER), True).close()
-        return nxt
-
-    # -- operations -------------------------------------------------------
-    def apply(self, log: DataFrame, batch_id: int = -1, op_col: str = "op") -> int | None:
-        """Upsert/delete a log batch; idempotent per ``batch_id`` (a replayed
-        micro-batch is skipped)."""
-        if batch_id >= 0 and self.committed_batch(batch_id):
-            return None
-        cur = self.read()
-        state = apply_log(log, self.keys, self.order, cur, op_col=op_col)
-        return self.commit(state, batch_id)
-
-    def scan(self, tenant: str) -> DataFrame | None:
-        vs = self.versions()
-        if not vs:
-            return None
-        v, b = vs[-1]
-        df = self.spark.read.parquet(self._path(v, b))
-        return tenant_scan(df, tenant, self.buckets).drop("bucket")
-
-
-class LogTable:
-    """Merge-on-read keyed table for incremental writers (ST1).
-
-    A write appends its rows as ``log/batch=<id>/bucket=<b>/`` -- O(batch),
-    never O(table) -- and a replayed batch id rewrites the same folder, so
-    writes are idempotent.  A read resolves last write wins per key over
-    the latest compacted snapshot plus the newer batches (one ``max_by``
-    aggregation, bucket-pruned for a tenant).  ``compact()`` folds the log
-    into ``snap=<last batch>``; older batches are then skipped by the
-    ``batch`` partition filter."""
-
-    def __init__(self, spark: SparkSession, base: str, keys: Sequence[str], order: Sequence[str],
-                 bucket_col: str = "email", buckets: int = DEFAULT_BUCKETS, op_col: str = "op"):
-        self.spark, self.base, self.keys, self.order = spark, base.rstrip("/"), list(keys), list(order)
-        self.bucket_col, self.buckets, self.op_col = bucket_col, buckets, op_col
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        return jvm.org.apache.hadoop.fs.Path(self.base).getFileSystem(self.spark._jsc.hadoopConfiguration()), jvm
-
-    def _committed(self, sub: str, prefix: str) -> list[int]:
-        fs, jvm = self._fs()
-        root = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{sub}" if sub else self.base)
-        if not fs.exists(root):
-            return []
-        out = []
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if name.startswith(prefix) and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), COMMIT_MARKER)):
-                out.append(int(name[len(prefix):]))
-        return sorted(out)
-
-    def _mark(self, path: str) -> None:
-        fs, jvm = self._fs()
-        fs.create(jvm.org.apache.hadoop.fs.Path(path, COMMIT_MARKER), True).close()
-
-    def append(self, log: DataFrame, batch_id: int, compact_every: int | None = None) -> None:
-        """Write one batch of upserts/deletes (idempotent per ``batch_id``).
-
-        With ``compact_every=k`` the log is folded into a snapshot after
-        every k-th batch, so a read never merges more than k batches."""
-        path = f"{self.base}/log/batch={batch_id}"
-        (log.withColumn("bucket", bucket_of(F.col(self.bucket_col), self.buckets))
-            .repartition("bucket", *self.keys)
-            .write.mode("overwrite").partitionBy("bucket").parquet(path))
-        self._mark(path)
-        if compact_every and (batch_id + 1) % compact_every == 0:
-            self.compact()
-
-    def _state(self, tenant: str | None = None) -> DataFrame | None:
-        snaps = self._committed("", "snap=")
-        upto = snaps[-1] if snaps else -1
-        batches = [b for b in self._committed("log", "batch=") if b > upto]
-        bucket_filter = None
-        if tenant is not None:
-            bucket_filter = (F.col("bucket") == bucket_of(F.lit(tenant), self.buckets)) & \
-                            (F.col(self.bucket_col) == F.lit(tenant))
-        target = None
-        if snaps:
-            target = self.spark.read.parquet(f"{self.base}/snap={upto}")
-            if bucket_filter is not None:
-                target = target.filter(bucket_filter)
-            target = target.drop("bucket")
-        if not batches:
-            return target
-        log = self.spark.read.parquet(f"{self.base}/log").filter(F.col("batch").isin(batches))
-        if bucket_filter is not None:
-            log = log.filter(bucket_filter)
-        log = log.drop("batch", "bucket")
-        return apply_log(log, self.keys, self.order, target, op_col=self.op_col)
-
-    def read(self) -> DataFrame | None:
-        return self._state()
+def append_log(batch: DataFrame, path: str, batch_id: int, buckets: int = DEFAULT_BUCKETS) -> None:
+    """Append one batch of upserts and deletes under ``path``, partitioned by batch
+    and tenant bucket.  Rows are gathered by bucket first, so a batch writes one
+    file per bucket (Spark may split a hot one); a replayed batch replaces its own
+    folder.  Nothing is resolved at write time: deletes stay in the log with their
+    order values, so a late, older upsert can never bring a key back."""
+    (batch.withColumn("bucket", bucket_of(F.col("email"), buckets))
+          .hint("rebalance", "bucket")
+          .write.mode("overwrite").partitionBy("bucket").parquet(f"{path.rstrip('/')}/batch={int(batch_id)}"))
 
-    def scan(self, tenant: str) -> DataFrame | None:
-        """S3 on the merged view: bucket partition pruning on both layers."""
-        return self._state(tenant)
 
-    def compact(self) -> int | None:
-        """Fold the committed log into a snapshot; returns its batch id."""
-        batches = self._committed("log", "batch=")
-        if not batches:
-            return None
-        state = self._state()
-        path = f"{self.base}/snap={batches[-1]}"
-        (state.withColumn("bucket", bucket_of(F.col(self.bucket_col), self.buckets))
-              .repartition("bucket", *self.keys)
-              .write.mode("overwrite").partitionBy("bucket").parquet(path))
-        self._mark(path)
-        return batches[-1]
+def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The whole log; a filter on ``bucket`` prunes folders."""
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])).option("basePath", path).parquet(path)

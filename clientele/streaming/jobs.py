@@ -15,47 +15,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
-from ..sources.store import LogTable
+from ..sources import fixtures
+from ..sources.store import append_log, apply_log, read_log
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/clientele-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def events_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The ``events`` table as a file stream (schema taken from the batch table)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-                 .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
-
-
-def as_upsert_log(events: DataFrame) -> DataFrame:
-    """Same derivation as ``fixtures.upsert_log``, on a stream."""
-    return events.select(
-        F.col("event_id").alias("seq"),
-        F.concat(F.lit("user"), (F.col("user_id") % 15).cast("string"), F.lit("@example.com")).alias("email"),
-        F.concat(F.lit("co-"), F.col("user_id").cast("string"), F.lit(".si")).alias("company_key"),
-        F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("upsert")).alias("op"),
-        F.col("props").alias("data"),
-        F.col("ts").alias("updated_at"))
-
-
-def stream_upsert(spark: SparkSession, log_stream: DataFrame, store: LogTable,
-                  checkpoint: str, compact_every: int = 20) -> None:
-    """ST1: every micro-batch is appended to the merge-on-read store (O(batch)
-    per micro-batch); reads resolve last write wins (``updated_at``, then
-    ``seq``) and deletes remove keys.  A replayed batch id rewrites its own
-    folder, so the sink is idempotent; every ``compact_every`` batches the log
-    is folded into a snapshot."""
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        store.append(batch, batch_id, compact_every)
-
-    q = (log_stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-                   .trigger(availableNow=True).start())
+def events_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
+    """An ``events`` table as a file stream, whether it is one file or a folder
+    (schema taken from the batch table)."""
+    schema = spark.read.parquet(path).schema
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop).isDirectory()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if folder:
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", hadoop.getName()).parquet(str(hadoop.getParent().toString()))
+
+
+def stream_upsert(log_stream: DataFrame, path: str, checkpoint: str) -> None:
+    """ST1: every micro-batch is appended to the log (O(batch) work); reads
+    resolve last write wins (``updated_at``, then ``seq``) and deletes.  A
+    replayed batch id replaces its own folder, so the sink is idempotent."""
+    q = (log_stream.writeStream.foreachBatch(lambda batch, batch_id: append_log(batch, path, batch_id))
+                   .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def stream_dedupe(spark: SparkSession, stream: DataFrame, keys: list[str], ts_col: str,
+def stream_dedupe(stream: DataFrame, keys: list[str], ts_col: str,
                   watermark: str, out_dir: str, checkpoint: str) -> None:
     """ST2: drop repeats of ``keys`` seen within the watermark.  The
     watermark bounds the state; it rejects ``timestamp_ntz``, so the
@@ -69,15 +58,29 @@ def stream_dedupe(spark: SparkSession, stream: DataFrame, keys: list[str], ts_co
     q.awaitTermination()
 
 
+ARRIVALS = 4  # micro-batches of the registered query
+
+
+def arrivals(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """The events as they arrive: dealt into files by a hash of the event id, so
+    every micro-batch holds events of the whole period and late ones are common."""
+    events = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    part = F.pmod(F.xxhash64("event_id"), F.lit(ARRIVALS)).cast("int")
+    for i in range(ARRIVALS):  # one write after another: arrival order is file order
+        events.where(part == i).write.mode("append").parquet(folder)
+    return folder
+
+
 def run_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _scratch(spark, "repo")
-    store = LogTable(spark, f"{base}/table", ["email", "company_key"], ["updated_at", "seq"])
-    stream_upsert(spark, as_upsert_log(events_stream(spark, sf_dir)), store, f"{base}/_checkpoint")
-    return store.read()
+    stream = fixtures.as_upsert_log(events_stream(spark, arrivals(spark, sf_dir, f"{base}/arrivals"), max_files=1))
+    stream_upsert(stream, f"{base}/log", f"{base}/_checkpoint")
+    log = read_log(spark, f"{base}/log", stream.schema).drop("bucket", "batch")
+    return apply_log(log, ["email", "company_key"], ["updated_at", "seq"])
 
 
 def run_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _scratch(spark, "dedupe")
-    stream_dedupe(spark, events_stream(spark, sf_dir), ["user_id", "event_type"], "ts", "40 days",
+    stream_dedupe(events_stream(spark, f"{sf_dir.rstrip('/')}/events.parquet"), ["user_id", "event_type"], "ts", "40 days",
                   f"{base}/out", f"{base}/_checkpoint")
     return spark.read.parquet(f"{base}/out")

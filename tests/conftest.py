@@ -13,7 +13,7 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from clientele.session import get_session
-    s = get_session(master="local[4]", shuffle_partitions=4)
+    s = get_session(master="local[4]", shuffle_partitions=4, driver_memory="8g")
     yield s
     s.stop()
 

@@ -71,8 +71,8 @@ def test_reply_text_and_errors(spark):  # P13 / P14
     got = df.select(R.reply_text(F.col("b")).alias("t"), R.reply_error(F.col("s"), F.col("b")).alias("e")).collect()
     assert got[0].t == "ab" and got[0].e is None
     assert got[1].e == "boom"
-    assert got[2].e == "Claude API error"
-    assert got[3].e == "Claude API 529: " + "x" * 300
+    assert got[2].e == "Model API error"
+    assert got[3].e == "Model API 529: " + "x" * 300
 
 
 def test_headline_examples():

@@ -46,4 +46,6 @@ def test_routed_uses_parser_for_flagged(spark):
 
 def test_text_cap(spark):
     long = "<p>" + "x" * 9000 + "</p>"
-    assert native(spark, [long])[0] == "x" * 8000
+    assert native(spark, [long])[0] == "x" * 9000          # whole by default
+    df = spark.createDataFrame([(long,)], "html string")
+    assert df.select(H.page_text(F.col("html"), 8000).alias("t")).first().t == "x" * 8000

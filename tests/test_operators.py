@@ -90,56 +90,35 @@ def test_insert_if_absent(spark):
     assert sorted(tuple(r) for r in rej.collect()) == [("u", "a", 1), ("u", "b", 3)]
 
 
-def test_snapshot_table_versions_and_idempotent_batches(spark, tmp_path):
-    st = S.SnapshotTable(spark, str(tmp_path / "repo"), ["email", "company_key"], ["updated_at", "seq"], buckets=4)
-    schema = "seq long, email string, company_key string, op string, data string, updated_at int"
-    b0 = spark.createDataFrame([(1, "a@x", "k1", "upsert", "v1", 1), (2, "b@x", "k2", "upsert", "v2", 1)], schema)
-    b1 = spark.createDataFrame([(3, "a@x", "k1", "upsert", "v3", 2), (4, "b@x", "k2", "delete", None, 2)], schema)
-    assert st.apply(b0, 0) == 1
-    assert st.apply(b1, 1) == 2
-    assert st.apply(b1, 1) is None          # replayed micro-batch skipped
-    state = {(r.email, r.company_key): r.data for r in st.read().collect()}
-    assert state == {("a@x", "k1"): "v3"}
-    assert [r.data for r in st.scan("a@x").collect()] == ["v3"]
-    assert [v for v, _ in st.versions()] == [1, 2]
-
-
-def test_log_table_merge_on_read(spark, tmp_path):
-    lt = S.LogTable(spark, str(tmp_path / "log"), ["email", "company_key"], ["updated_at", "seq"], buckets=4)
-    schema = "seq long, email string, company_key string, op string, data string, updated_at int"
-    b0 = spark.createDataFrame([(1, "a@x", "k1", "upsert", "v1", 1), (2, "b@x", "k2", "upsert", "v2", 1)], schema)
-    b1 = spark.createDataFrame([(3, "a@x", "k1", "upsert", "v3", 2), (4, "b@x", "k2", "delete", None, 2)], schema)
-    b2 = spark.createDataFrame([(5, "a@x", "k9", "upsert", "v9", 3), (6, "a@x", "k1", "upsert", "old", 0)], schema)
-    lt.append(b0, 0)
-    lt.append(b1, 1)
-    lt.append(b1, 1)                              # replay: same folder, same result
-    want = {("a@x", "k1"): "v3"}
-    assert {(r.email, r.company_key): r.data for r in lt.read().collect()} == want
-    assert lt.compact() == 1
-    lt.append(b2, 2)                              # late, older write to k1 loses
-    want = {("a@x", "k1"): "v3", ("a@x", "k9"): "v9"}
-    assert {(r.email, r.company_key): r.data for r in lt.read().collect()} == want
-    assert {r.company_key for r in lt.scan("a@x").collect()} == {"k1", "k9"}
-    assert lt.scan("b@x").count() == 0
-
-
-def test_log_table_auto_compaction(spark, tmp_path):
-    lt = S.LogTable(spark, str(tmp_path / "log2"), ["email", "company_key"], ["updated_at", "seq"], buckets=2)
-    schema = "seq long, email string, company_key string, op string, data string, updated_at int"
-    for b in range(5):
-        df = spark.createDataFrame([(b, "a@x", f"k{b % 2}", "upsert", f"v{b}", b)], schema)
-        lt.append(df, b, compact_every=2)
-    assert lt._committed("", "snap=") == [1, 3]
-    assert {r.company_key: r.data for r in lt.read().collect()} == {"k0": "v4", "k1": "v3"}
-
-
-def test_balance_only_spreads_large_narrow_scans(spark):
-    from clientele.sources.tables import balance, table
-    want = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=want + 2)
-    assert balance(wide, "id") is wide                                   # enough splits: untouched
-    tiny = table(spark, "/root/testdata/sf0.001", "nation")
-    assert balance(tiny, "n_nationkey") is tiny                         # tiny table: never shuffled
-    big = table(spark, "/root/testdata/sf0.1", "lineitem")
-    spread = balance(big, "l_orderkey")
-    assert spread is not big and spread.rdd.getNumPartitions() == want  # one-row-group fact table
+LOG = "seq long, email string, company_key string, op string, data string, updated_at int"
+
+
+def test_insert_if_absent_null_order(spark):
+    existing = spark.createDataFrame([], "email string, company_key string")
+    rows = spark.createDataFrame([("u", "b", None)], "email string, company_key string, seq int")
+    acc, rej = S.insert_if_absent(existing, rows, ["email", "company_key"], ["seq"])
+    assert acc.count() == 1 and rej.count() == 0
+
+
+def test_log_keeps_deletes_and_replays(spark, tmp_path):
+    path, keys, order = str(tmp_path / "log"), ["email", "company_key"], ["updated_at", "seq"]
+    batches = [[(1, "a@x", "k1", "upsert", "v1", 1), (2, "b@x", "k2", "upsert", "v2", 1)],
+               [(3, "a@x", "k1", "upsert", "v3", 2), (4, "b@x", "k2", "delete", None, 5)],
+               [(5, "a@x", "k9", "upsert", "v9", 3), (6, "a@x", "k1", "upsert", "old", 0), (7, "b@x", "k2", "upsert", "late", 3)]]
+    schema = spark.createDataFrame([], LOG).schema
+
+    def state():
+        log = S.read_log(spark, path, spark.createDataFrame([], LOG).schema)
+        return log, {(r.email, r.company_key): r.data for r in S.apply_log(log.drop("bucket", "batch"), keys, order).collect()}
+    for i, rows in enumerate(batches):
+        S.append_log(spark.createDataFrame(rows, schema), path, i, buckets=4)
+    want = {("a@x", "k1"): "v3", ("a@x", "k9"): "v9"}     # the late upsert does not bring k2 back
+    assert state()[1] == want
+    S.append_log(spark.createDataFrame(batches[1], schema), path, 1, buckets=4)   # replay
+    log, got = state()
+    assert got == want and log.count() == 7
+    scan = S.tenant_scan(log, "b@x", 4)
+    assert scan.count() == 3
+    assert "PartitionFilters: [isnotnull(bucket" in scan._jdf.queryExecution().executedPlan().toString()
+
+
