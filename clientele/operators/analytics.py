@@ -7,9 +7,15 @@ from pyspark.sql import DataFrame, functions as F
 from .ordinal import ordinal
 
 
-def company_counts(clients: DataFrame) -> DataFrame:
-    """A3: real / partner / total counts per company (one pass, conditional counts)."""
-    return (clients.groupBy("email", "company_key")
+def every_company(companies: DataFrame, figures: DataFrame) -> DataFrame:
+    """The company table with its figures; a company without any has zeros."""
+    j = companies.select("email", "company_key").join(figures, ["email", "company_key"], "left")
+    return j.fillna(0, [c for c, t in figures.dtypes if t == "bigint"])
+
+
+def company_counts(clients: DataFrame, companies: DataFrame) -> DataFrame:
+    """A3: real / partner / total counts of every company (one pass, conditional counts)."""
+    return every_company(companies, clients.groupBy("email", "company_key")
                    .agg(F.count_if(~F.col("is_partner")).alias("n_real"),
                         F.count_if(F.col("is_partner")).alias("n_partners"),
                         F.count(F.lit(1)).alias("n_total")))
@@ -108,49 +114,53 @@ def source_badges(clients: DataFrame) -> DataFrame:
              .drop("first_ord"))
 
 
-def distinct_facets(clients: DataFrame, approx: bool = False) -> DataFrame:
-    """A5/F8: distinct non-empty industries and countries of real clients (case-sensitive).
+def distinct_facets(clients: DataFrame, companies: DataFrame, approx: bool = False) -> DataFrame:
+    """A5/F8: distinct non-empty industries and countries of every company's real clients
+    (case-sensitive).
 
     ``approx=True`` uses HyperLogLog sketches (``approx_count_distinct``):
     one pass, no per-value shuffle, for dashboards over very large
     repositories where an estimate is acceptable."""
     real = clients.filter(~F.col("is_partner"))
     cd = (lambda c: F.approx_count_distinct(c)) if approx else (lambda c: F.count_distinct(c))
-    return (real.groupBy("email", "company_key")
+    return (every_company(companies, real.groupBy("email", "company_key")
                 .agg(cd(F.when(F.col("industry") != "", F.col("industry"))).alias("n_industries"),
-                     cd(F.when(F.col("country") != "", F.col("country"))).alias("n_countries"))
+                     cd(F.when(F.col("country") != "", F.col("country"))).alias("n_countries")))
                 .withColumn("show_countries", F.col("n_countries") > 0))
 
 
-def repo_totals(clients: DataFrame) -> DataFrame:
-    """Companies and distinct lower-cased real client names per tenant."""
-    lname = F.when(~F.col("is_partner"), F.lower(F.col("name")))
-    return (clients.groupBy("email")
-                   .agg(F.count_distinct("company_key").alias("n_companies"),
-                        F.count_distinct(lname).alias("n_clients"))
+def repo_totals(names: DataFrame, companies: DataFrame) -> DataFrame:
+    """Companies and distinct lower-cased real client names per tenant.
+    ``names``: ``clients.distinct_names``."""
+    n = names.filter(~F.col("is_partner")).groupBy("email").agg(F.count_distinct("name_key").alias("n_clients"))
+    return (companies.groupBy("email").agg(F.count(F.lit(1)).alias("n_companies"))
+                   .join(n, "email", "left").fillna(0, ["n_clients"])
                    .withColumn("summary", repo_summary(F.col("n_companies"), F.col("n_clients"))))
 
 
 def client_search(clients: DataFrame, q: str) -> DataFrame:
     """Clients matching q in name, industry, country or note; caption per company."""
-    ql = q.lower()
-
-    def has(c):
-        return F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(ql))
-    hit = F.lit(True) if not ql else (has("name") | has("industry") | has("country") | has("ai_note"))
-    g = (clients.withColumn("hit", hit)
+    g = (clients.withColumn("hit", client_hit(q))
                 .groupBy("email", "company_key")
                 .agg(F.count_if(F.col("hit") & ~F.col("is_partner")).alias("n_match"),
                      F.count_if(F.col("hit") & F.col("is_partner")).alias("n_match_partners"),
                      F.count_if(~F.col("is_partner")).alias("n_total")))
-    return g.withColumn("caption", count_caption(F.col("n_match"), F.col("n_total"), ql))
+    return g.withColumn("caption", count_caption(F.col("n_match"), F.col("n_total"), q))
+
+
+def client_hit(q: str):
+    """q in a client's name, industry, country or note."""
+    def has(c):
+        return F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(q.lower()))
+    return F.lit(True) if not q else (has("name") | has("industry") | has("country") | has("ai_note"))
 
 
-def client_table(clients: DataFrame, start: int = 1) -> DataFrame:
-    """W2/SO2/P22/P25: display rows, numbered per section (clients, then partners).
+def client_table(clients: DataFrame, start: int = 1, q: str = "") -> DataFrame:
+    """F6/W2/SO2/P22/P25: the rows that match ``q``, then numbered per section (clients,
+    then partners).
 
     Numbering is the skew-safe row number over (company, section)."""
-    t = ordinal(clients, ["email", "company_key", "is_partner"], [F.col("ord")], "row_no")
+    t = ordinal(clients.filter(client_hit(q)), ["email", "company_key", "is_partner"], [F.col("ord")], "row_no")
     return t.select("email", "company_key", "is_partner",
                     (F.col("row_no") + F.lit(start - 1)).alias("row_no"), "name", "industry", "country",
                     source_tag_label(F.col("source")).alias("tag"),
@@ -192,54 +202,56 @@ def facet_filter(companies: DataFrame, column: str, value: str) -> DataFrame:
     return companies.filter(F.col(column) == F.lit(value))
 
 
-def company_search(companies: DataFrame, clients: DataFrame, q: str) -> DataFrame:
-    """Q in the company name, or in the name of any of its clients.
+def name_hits(names: DataFrame, q: str) -> DataFrame:
+    """Per company: real clients, and whether any name holds q (one aggregation)."""
+    hit = F.contains(F.col("name_key"), F.lit(q.lower())) if q else F.lit(True)
+    return names.groupBy("email", "company_key").agg(F.count_if(~F.col("is_partner")).alias("n_real"), F.max(hit).alias("hit"))
 
-    The client half is a left-semi join against the matching clients only
-    (the exploded form of ``some()``); an empty q keeps every company."""
-    ql = q.lower()
-    if not ql:
-        return companies
-    by_name = companies.filter(F.contains(F.lower(F.col("company_name")), F.lit(ql)))
-    hits = clients.filter(F.contains(F.lower(F.col("name")), F.lit(ql))).select("email", "company_key")
-    by_client = companies.join(hits, ["email", "company_key"], "left_semi")
-    return by_name.unionByName(by_client).distinct()
+
+def company_search(companies: DataFrame, names: DataFrame, q: str) -> DataFrame:
+    """Q in the company name, or in the name of any of its clients; every
+    company with its ``n_real``.  An empty q keeps every company.
+    ``names``: ``clients.distinct_names``, read once."""
+    j = (companies.join(name_hits(names, q), ["email", "company_key"], "left")
+                  .withColumn("n_real", F.coalesce("n_real", F.lit(0)).cast("long")))
+    if not q:
+        return j.drop("hit")
+    return j.filter(F.contains(F.lower(F.col("company_name")), F.lit(q.lower())) | F.coalesce("hit", F.lit(False))).drop("hit")
 
 
-def repository_overview(companies: DataFrame, clients: DataFrame, facet_col: str = "detected_country",
+def repository_overview(companies: DataFrame, names: DataFrame, facet_col: str = "detected_country",
                         facet: str = "all", q: str = "") -> DataFrame:
     """Facet filter, search, real-client counts, ranking and the place line."""
-    c = company_search(facet_filter(companies, facet_col, facet), clients, q)
-    counts = (clients.groupBy("email", "company_key")
-                     .agg(F.count_if(~F.col("is_partner")).alias("n_real")))
-    j = (c.join(counts, ["email", "company_key"], "left")
-          .withColumn("n_real", F.coalesce(F.col("n_real"), F.lit(0)).cast("long"))
-          .withColumn("place", place(F.col("detected_country"), F.col("detected_language"))))
+    j = (company_search(facet_filter(companies, facet_col, facet), names, q)
+         .withColumn("place", place(F.col("detected_country"), F.col("detected_language"))))
     return ordinal(j, ["email"], [F.col("n_real").desc(), F.col("company_key").asc()], "rank")
 
 
-def company_detail(clients: DataFrame, q: str = "") -> DataFrame:
-    """One summary row per company -- badges in order, distinct industry /
-    country counts and the search caption.  The badge list per company is
-    bounded by the number of labels."""
-    b = source_badges(clients)
-    badges = (b.groupBy("email", "company_key")
-               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("badge_rank", "badge"))),
-                                             lambda x: x["badge"]), " | ").alias("badges")))
-    # counts, distinct industries / countries and the search hits in one pass
-    ql = q.lower()
+def company_detail(clients: DataFrame, companies: DataFrame, q: str = "") -> DataFrame:
+    """One summary row per company -- badges in order, distinct industry / country
+    counts and the search caption; companies without clients included.
 
-    def has(c):
-        return F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(ql))
-    hit = F.lit(True) if not ql else (has("name") | has("industry") | has("country") | has("ai_note"))
+    One pass over the clients: counts per (company, label, industry, country) are
+    folded into the company's figures.  The badge list of a company holds its
+    distinct source labels."""
+    from pyspark.sql import Window
     real = ~F.col("is_partner")
-    stats = (clients.groupBy("email", "company_key")
-                    .agg(F.count_if(real).alias("n_total"),
-                         F.count_if(real & hit).alias("n_match"),
-                         F.count_distinct(F.when(real & (F.col("industry") != ""), F.col("industry"))).alias("n_industries"),
-                         F.count_distinct(F.when(real & (F.col("country") != ""), F.col("country"))).alias("n_countries")))
-    return (badges.join(stats, ["email", "company_key"], "left")
-                  .select("email", "company_key", "badges", "n_total",
-                          F.coalesce("n_industries", F.lit(0)).cast("long").alias("n_industries"),
-                          F.coalesce("n_countries", F.lit(0)).cast("long").alias("n_countries"),
-                          count_caption(F.col("n_match"), F.col("n_total"), ql).alias("caption")))
+    g = (clients.withColumn("label", badge_label(F.col("source")))
+                .groupBy("email", "company_key", "label",
+                         F.when(real, F.nullif("industry", F.lit(""))).alias("industry"),
+                         F.when(real, F.nullif("country", F.lit(""))).alias("country"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"),
+                     F.count_if(real).alias("n_total"), F.count_if(real & client_hit(q)).alias("n_match")))
+    by_label = (g.groupBy("email", "company_key", "label")
+                 .agg(F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"), F.sum("n_total").alias("n_total"),
+                      F.sum("n_match").alias("n_match"), F.collect_set("industry").alias("industries"), F.collect_set("country").alias("countries")))
+    w = Window.partitionBy("email", "company_key").orderBy(F.col("n").desc(), F.col("first_ord").asc())
+    badge = F.struct(F.row_number().over(w).alias("badge_rank"), badge_text(F.col("n"), F.col("label")).alias("badge"))
+    out = (by_label.withColumn("b", badge).groupBy("email", "company_key")
+                   .agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["badge"]), " | ").alias("badges"),
+                        F.sum("n_total").alias("n_total"), F.sum("n_match").alias("n_match"),
+                        F.size(F.array_distinct(F.flatten(F.collect_list("industries")))).cast("long").alias("n_industries"),
+                        F.size(F.array_distinct(F.flatten(F.collect_list("countries")))).cast("long").alias("n_countries")))
+    return (every_company(companies, out).fillna("", ["badges"])
+            .select("email", "company_key", "badges", "n_total", "n_industries", "n_countries",
+                    count_caption(F.col("n_match"), F.col("n_total"), q).alias("caption")))

@@ -19,29 +19,6 @@ def is_partner(source: Column) -> Column:
     return F.coalesce(source == _partner(), F.lit(False))
 
 
-def client_record(name: Column, industry: Column, country: Column, source_type: Column,
-                  evidence: Column, confidence: Column) -> Column:
-    """A client from a reply row; defaults for missing fields."""
-    return F.struct(
-        ustrip(name).alias("name"),
-        F.coalesce(industry, F.lit("")).alias("industry"),
-        F.coalesce(country, F.lit("")).alias("country"),
-        F.coalesce(source_type, F.lit(schemas.DEFAULT_CLIENT_SOURCE)).alias("source"),
-        F.coalesce(evidence, F.lit("")).alias("ai_note"),
-        F.coalesce(confidence.cast("long"), F.lit(schemas.DEFAULT_CONFIDENCE).cast("long")).alias("confidence"))
-
-
-def partner_record(name: Column, role: Column) -> Column:
-    """A technology partner with its fixed industry, source and confidence."""
-    return F.struct(
-        ustrip(name).alias("name"),
-        F.lit(schemas.PARTNER_INDUSTRY).alias("industry"),
-        F.lit("").alias("country"),
-        _partner().alias("source"),
-        F.coalesce(role, F.lit("")).alias("ai_note"),
-        F.lit(schemas.PARTNER_CONFIDENCE).cast("long").alias("confidence"))
-
-
 def with_company(rows: DataFrame) -> DataFrame:
     """Company identity of a raw mention: ``netloc`` -> ``domain`` -> ``company_key``."""
     return (rows.withColumn("domain", urls.strip_www(F.col("netloc")))
@@ -71,13 +48,6 @@ def records(rows: DataFrame) -> DataFrame:
                                F.lit(schemas.DEFAULT_CONFIDENCE).cast("long"))).alias("confidence"))
 
 
-def flatten(recs: DataFrame) -> DataFrame:
-    """Records held in a struct column ``rec`` -> flat columns (no-op when flat)."""
-    if "rec" not in recs.columns:
-        return recs
-    return recs.select(*[c for c in recs.columns if c != "rec"], "rec.*")
-
-
 def drop_blank(clients: DataFrame) -> DataFrame:
     """names that are empty after strip are dropped."""
     return clients.filter(F.col("name") != F.lit(""))
@@ -92,17 +62,32 @@ def dedupe_clients(clients: DataFrame, company_cols=("email", "company_key")) ->
     return keep_first(keyed, [*company_cols, "name_key"], F.col("ord"))
 
 
-def clean_clients(rows: DataFrame) -> DataFrame:
-    """Raw mentions -> one deduped client row per (tenant, company, name)."""
-    c = drop_blank(flatten(records(with_company(rows))))
+def clean_clients(rows: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """Raw mentions -> one deduped client row per (tenant, company, name).
+
+    ``columns``: the record columns that are read later; the others are dropped
+    before the keep-first aggregation, which would carry them whole."""
+    c = drop_blank(records(with_company(rows)))
+    if columns is not None:
+        c = c.select("email", "company_key", "name", "source", "ord", *columns)
     out = dedupe_clients(c)
     return out.withColumn("is_partner", is_partner(F.col("source")))
 
 
+def distinct_names(rows: DataFrame) -> DataFrame:
+    """F2 + A2 for counting: ``email, company_key, name_key, is_partner``.  Clients
+    precede partners, so a name counts as a partner only if all its mentions are."""
+    c = with_company(rows).withColumn("name", ustrip(F.col("name"))).filter(F.col("name") != "")
+    return (c.groupBy("email", "company_key", F.lower("name").alias("name_key"))
+             .agg(F.min(is_partner(F.col("source_type"))).alias("is_partner")))
+
+
 def companies(rows: DataFrame) -> DataFrame:
-    """Company table of the repository: one row per (tenant, netloc) with its
-    identity, default name (P8) and locale (P5/P6)."""
+    """Company table of the repository: one row per (tenant, company key) with its
+    identity, default name (P8) and locale (P5/P6); of several hosts with one key
+    the last one stands, as a repeated write replaces the row."""
     c = with_company(rows.select("email", "netloc").distinct())
+    c = c.groupBy("email", "company_key").agg(F.max(F.struct("netloc", "domain")).alias("_c")).select("email", "company_key", "_c.*")
     c = c.withColumn("tld", urls.tld(F.col("domain")))
     c = urls.with_locale(c)
     return c.select("email", "company_key", "netloc", "domain", "tld",

@@ -24,23 +24,34 @@ def query(name: str):
     return deco
 
 
-def _clean(spark, sf):
-    return clients.clean_clients(fx.client_rows(spark, sf))
+def _clean(spark, sf, *columns):
+    """Deduped clients with these record columns (besides name and source)."""
+    return clients.clean_clients(fx.client_rows(spark, sf), columns)
+
+
+def _names(spark, sf):
+    return clients.distinct_names(fx.client_names(spark, sf))
+
+
+def _companies(spark, sf):
+    return clients.companies(fx.company_rows(spark, sf))
+
+
+def _counts(spark, sf):
+    return analytics.company_counts(_names(spark, sf), _companies(spark, sf))
 
 
 @query("companies_ranked")
 def companies_ranked(spark, sf):
     """Flagship: companies ranked per tenant by distinct real clients."""
-    counts = analytics.company_counts(_clean(spark, sf))
-    return analytics.rank_companies(counts).select(
+    return analytics.rank_companies(_counts(spark, sf)).select(
         "email", "company_key", "n_real", "n_partners", "n_total", "rank")
 
 
 @query("top_companies")
 def top_companies(spark, sf):
     """Top 3 companies per tenant (T1 + limit as a window group limit)."""
-    counts = analytics.company_counts(_clean(spark, sf))
-    return analytics.top_companies(counts, 3).select(
+    return analytics.top_companies(_counts(spark, sf), 3).select(
         "email", "company_key", "n_real", "n_partners", "n_total", "rank")
 
 
@@ -49,8 +60,8 @@ def _clean_pos(spark, sf):
 
 
 def _recs(spark, sf, with_pos=True):
-    return clients.drop_blank(clients.flatten(clients.records(
-        clients.with_company(fx.client_rows(spark, sf, with_pos=with_pos)))))
+    return clients.drop_blank(clients.records(
+        clients.with_company(fx.client_rows(spark, sf, with_pos=with_pos))))
 
 
 REC_COLS = ("email", "company_key", "pos", "name", "industry", "country", "source", "ai_note", "confidence")
@@ -94,8 +105,7 @@ def company_documents(spark, sf):
 @query("real_partner_split")
 def real_partner_split(spark, sf):
     """F7 + A3 + P28: real vs partner counts and the run summary line."""
-    c = analytics.company_counts(_clean(spark, sf))
-    return c.select("email", "company_key", "n_real", "n_partners",
+    return _counts(spark, sf).select("email", "company_key", "n_real", "n_partners",
                     analytics.run_summary(F.col("n_real"), F.col("n_partners")).alias("summary"))
 
 
@@ -117,13 +127,13 @@ def source_tags(spark, sf):
 @query("industry_country_counts")
 def industry_country_counts(spark, sf):
     """F8 + A5: distinct non-empty industries / countries of real clients."""
-    return analytics.distinct_facets(_clean(spark, sf))
+    return analytics.distinct_facets(_clean(spark, sf, "industry", "country"), _companies(spark, sf))
 
 
 @query("repo_totals")
 def repo_totals(spark, sf):
     """A6 + P28: companies and distinct client names per tenant."""
-    return analytics.repo_totals(_clean(spark, sf))
+    return analytics.repo_totals(_names(spark, sf), _companies(spark, sf))
 
 
 CLIENT_Q = "building"
@@ -132,13 +142,19 @@ CLIENT_Q = "building"
 @query("client_search")
 def client_search(spark, sf):
     """F6 + P27: per-company client search with the count caption."""
-    return analytics.client_search(_clean(spark, sf), CLIENT_Q)
+    return analytics.client_search(_clean(spark, sf, "industry", "country", "ai_note"), CLIENT_Q)
 
 
 @query("client_table")
 def client_table(spark, sf):
     """W2 + SO2 + P22 + P25: numbered display rows per section."""
-    return analytics.client_table(_clean(spark, sf))
+    return analytics.client_table(_clean(spark, sf, "industry", "country", "ai_note"))
+
+
+@query("client_table_search")
+def client_table_search(spark, sf):
+    """F6 + W2: the rows that match the search, numbered per section."""
+    return analytics.client_table(_clean(spark, sf, "industry", "country", "ai_note"), q=CLIENT_Q)
 
 
 # ---------------------------------------------------------------------------
@@ -149,18 +165,13 @@ from ..functions import urls  # noqa: E402
 from ..sources.tables import table  # noqa: E402
 
 
-def _companies(spark, sf):
-    return clients.companies(fx.client_rows(spark, sf))
-
-
 @query("url_parts")
 def url_parts(spark, sf):
     """P1-P4 + P7 over crawled page URLs and repository netlocs (scheme-less)."""
     pages = table(spark, sf, "pages").select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("raw"))
-    comps = (fx.client_rows(spark, sf).select(
+    comps = fx.company_rows(spark, sf).select(
         F.concat(F.lit("company-"), F.col("company_id").cast("string")).alias("id"), F.col("netloc").alias("raw"))
-        .distinct())
     u = urls.company_identity(pages.unionByName(comps), "raw")
     return u.select("id", "url_norm", "netloc", "domain", "tld", "company_key")
 
@@ -168,7 +179,7 @@ def url_parts(spark, sf):
 def _domains(spark, sf):
     pages = table(spark, sf, "pages").select(
         urls.strip_www(urls.netloc(urls.normalize_url(F.col("url")))).alias("domain"))
-    comps = fx.client_rows(spark, sf).select(urls.strip_www(F.col("netloc")).alias("domain"))
+    comps = fx.company_rows(spark, sf).select(urls.strip_www(F.col("netloc")).alias("domain"))
     return pages.unionByName(comps).distinct()
 
 
@@ -217,28 +228,28 @@ COMPANY_Q = "customer#000000123"
 @query("company_search")
 def company_search(spark, sf):
     """F5 + J4: companies whose name or any client name contains q."""
-    return analytics.company_search(_companies(spark, sf), _clean(spark, sf), COMPANY_Q).select(
+    return analytics.company_search(_companies(spark, sf), _names(spark, sf), COMPANY_Q).select(
         "email", "company_key", "company_name")
 
 
 @query("company_search_count")
 def company_search_count(spark, sf):
     """Number of companies per tenant after the search."""
-    hits = analytics.company_search(_companies(spark, sf), _clean(spark, sf), COMPANY_Q)
+    hits = analytics.company_search(_companies(spark, sf), _names(spark, sf), COMPANY_Q)
     return hits.groupBy("email").agg(F.count(F.lit(1)).alias("n_companies"))
 
 
 @query("repository_overview")
 def repository_overview(spark, sf):
     """The sidebar -- facet 'all', no query; ranked with place line."""
-    ov = analytics.repository_overview(_companies(spark, sf), _clean(spark, sf))
+    ov = analytics.repository_overview(_companies(spark, sf), _names(spark, sf))
     return ov.select("email", "company_key", "company_name", "place", "n_real", "rank")
 
 
 @query("company_detail")
 def company_detail(spark, sf):
     """Per company -- ordered badges, distinct counts, search caption."""
-    return analytics.company_detail(_clean(spark, sf), CLIENT_Q)
+    return analytics.company_detail(_clean(spark, sf, "industry", "country", "ai_note"), _companies(spark, sf), CLIENT_Q)
 
 
 # ---------------------------------------------------------------------------
@@ -269,7 +280,7 @@ def page_cap_then_http(spark, sf):
 def candidate_fallback(spark, sf):
     """F9 + J3: repository companies without candidates fetch their own homepage."""
     cands = context.dedupe_urls(fx.page_candidates(spark, sf))
-    comps = (fx.client_rows(spark, sf).select("netloc")
+    comps = (fx.company_rows(spark, sf).select("netloc")
              .unionByName(fx.page_candidates(spark, sf).select("netloc")))
     return context.with_fallback(cands, comps)
 
@@ -433,15 +444,13 @@ def request_reply_join(spark, sf):
 @query("model_step")
 def model_step(spark, sf):
     """U2 + P13 + P29: a pluggable model function over request batches; the
-    stamp is taken once on the driver and passed as a literal."""
-    import datetime as _dt
-    stamp = _dt.datetime.now().replace(microsecond=0).isoformat()
+    stamp is a parameter of the run."""
     out = udfs.complete(_customer_requests(spark, sf), udfs.echo_model)
     text = R.reply_text(F.col("reply_body"))
     v = R.decode(R.first_json_object(text))
     return out.select("request_id", "http_status",
                       F.try_variant_get(v, "$.clients[0].name", "string").alias("first_client"),
-                      F.lit(stamp).alias("scraped_at"))
+                      F.lit(SCRAPED_AT).alias("scraped_at"))
 
 
 @query("page_text_fallback")
@@ -522,8 +531,7 @@ def settings_upsert(spark, sf):
     """Settings (tenant, name) -> value, last write by sequence wins
     (settings carry no timestamp)."""
     log = fx.upsert_log(spark, sf)
-    ev = table(spark, sf, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("name"))
-    s = log.join(ev, "seq").select("email", "name", F.col("data").alias("value"), "seq")
+    s = log.select("email", F.col("event_type").alias("name"), F.col("data").alias("value"), "seq")
     return S.latest_per_key(s, ["email", "name"], ["seq"]).select("email", "name", "value")
 
 
@@ -631,7 +639,7 @@ def name_exclusion(spark, sf):
 @query("country_guess")
 def country_guess(spark, sf):
     """The client's country, else the company's TLD country."""
-    c = _clean(spark, sf).withColumn("tld", urls.tld(F.col("domain")))
+    c = _clean(spark, sf, "country", "domain").withColumn("tld", urls.tld(F.col("domain")))
     return c.select("email", "company_key", "name", "country",
                     urls.country_guess(F.col("country"), F.col("tld")).alias("country_guess"))
 
@@ -655,7 +663,7 @@ def logo_names(spark, sf):
 @query("evidence_sentences")
 def evidence_sentences(spark, sf):
     """First sentence of each client's note that names the client."""
-    c = _clean(spark, sf)
+    c = _clean(spark, sf, "ai_note")
     return c.select("email", "company_key", "name", X.evidence_sentence(F.col("ai_note"), F.col("name")).alias("evidence"))
 
 

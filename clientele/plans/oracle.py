@@ -38,6 +38,14 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON
 JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN part p ON l.l_partkey = p.p_partkey JOIN supplier s ON l.l_suppkey = s.s_suppkey
 )"""
 
+COMPANY_ROWS = """company_rows AS (
+SELECT s_suppkey AS company_id, concat('www.', CASE WHEN s_suppkey % 5 = 0 THEN 'w' ELSE '' END, 'supplier-', s_suppkey, '.',
+    CASE s_suppkey % 6 WHEN 0 THEN 'si' WHEN 1 THEN 'de' WHEN 2 THEN 'at' WHEN 3 THEN 'br' WHEN 4 THEN 'uk' ELSE 'com' END) AS netloc,
+  concat('user', s_suppkey % 10, '@example.com') AS email FROM supplier
+UNION ALL
+SELECT s_suppkey, concat('www.idle-', s_suppkey, '.si'), concat('user', s_suppkey % 10, '@example.com') FROM supplier WHERE s_suppkey % 7 = 0
+)"""
+
 UPSERT_LOG = """upsert_log AS (
 SELECT event_id AS seq, concat('user', user_id % 15, '@example.com') AS email, concat('co-', user_id, '.si') AS company_key,
   CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, CASE WHEN event_id % 29 = 0 THEN left(props, length(props) - 1) ELSE props END AS data, ts AS updated_at FROM events
@@ -90,10 +98,12 @@ def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
-COMPANY_COUNTS = """counts AS (
-SELECT email, company_key, count(*) FILTER (WHERE NOT is_partner) AS n_real,
-  count(*) FILTER (WHERE is_partner) AS n_partners, count(*) AS n_total
-FROM clean GROUP BY email, company_key
+KEYS = f"""company_keys AS (SELECT DISTINCT email, {ckey('netloc')} AS company_key FROM company_rows)"""
+
+COMPANY_COUNTS = COMPANY_ROWS + ",\n" + KEYS + """, counts AS (
+SELECT k.email, k.company_key, count(*) FILTER (WHERE NOT is_partner) AS n_real,
+  count(*) FILTER (WHERE is_partner) AS n_partners, count(is_partner) AS n_total
+FROM company_keys k LEFT JOIN clean c USING (email, company_key) GROUP BY ALL
 )"""
 
 SQL: dict[str, str] = {}
@@ -155,15 +165,16 @@ TAG_LABEL = """coalesce(CASE source WHEN 'case_study' THEN 'Case Study' WHEN 're
 SQL["source_tags"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body=f"""
 SELECT source, count(*) AS n, {TAG_LABEL} AS tag FROM clean GROUP BY source""")
 
-SQL["industry_country_counts"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body="""
+SQL["industry_country_counts"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, COMPANY_ROWS, KEYS, body="""
 SELECT email, company_key, count(DISTINCT nullif(industry, '')) AS n_industries,
   count(DISTINCT nullif(country, '')) AS n_countries, count(DISTINCT nullif(country, '')) > 0 AS show_countries
-FROM clean WHERE NOT is_partner GROUP BY email, company_key""")
+FROM company_keys LEFT JOIN (SELECT * FROM clean WHERE NOT is_partner) USING (email, company_key) GROUP BY email, company_key""")
 
-SQL["repo_totals"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body="""
+SQL["repo_totals"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, COMPANY_ROWS, KEYS, body="""
 SELECT email, n_companies, n_clients, format('{} companies, {} clients', n_companies, n_clients) AS summary
 FROM (SELECT email, count(DISTINCT company_key) AS n_companies,
-        count(DISTINCT CASE WHEN NOT is_partner THEN lower(name) END) AS n_clients FROM clean GROUP BY email)""")
+        count(DISTINCT CASE WHEN NOT is_partner THEN lower(name) END) AS n_clients
+      FROM company_keys LEFT JOIN clean USING (email, company_key) GROUP BY email)""")
 
 
 def _has(col: str, q: str) -> str:
@@ -186,6 +197,8 @@ SELECT email, company_key, is_partner,
   concat(substring(coalesce(ai_note, ''), 1, 100), CASE WHEN length(coalesce(ai_note, '')) > 100 THEN '...' ELSE '' END) AS note_preview
 FROM clean""")
 
+SQL["client_table_search"] = SQL["client_table"] + f" WHERE {_HIT}"
+
 # ---------------------------------------------------------------------------
 # Company level
 # ---------------------------------------------------------------------------
@@ -215,22 +228,22 @@ def _values(d: dict) -> str:
 LOCALE = f"""lang_map(tld, map_language) AS (VALUES {_values(schemas.TLD_LANGUAGE)}),
 country_map(tld, map_country) AS (VALUES {_values(schemas.TLD_COUNTRY)})"""
 
-COMPANIES = f"""companies AS (
+COMPANIES = COMPANY_ROWS + f""", companies AS (
 SELECT c.email, c.company_key, c.domain, {default_name('c.domain')} AS company_name,
   coalesce(l.map_language, 'english') AS detected_language, coalesce(m.map_country, '') AS detected_country
-FROM (SELECT DISTINCT email, {ckey('netloc')} AS company_key, ltrim(netloc, 'w.') AS domain FROM client_rows) c
+FROM (SELECT DISTINCT email, {ckey('netloc')} AS company_key, ltrim(netloc, 'w.') AS domain FROM company_rows) c
 LEFT JOIN lang_map l ON l.tld = {tld('c.domain')} LEFT JOIN country_map m ON m.tld = {tld('c.domain')}
 )"""
 
-DOMAINS = f"""domains AS (
+DOMAINS = COMPANY_ROWS + f""", domains AS (
 SELECT DISTINCT ltrim(regexp_extract(CASE WHEN regexp_matches({ustrip('url')}, '^https?://') THEN {ustrip('url')}
     ELSE concat('https://', {ustrip('url')}) END, '^https?://([^/?#]*)', 1), 'w.') AS domain FROM pages
-UNION SELECT DISTINCT ltrim(netloc, 'w.') FROM client_rows
+UNION SELECT DISTINCT ltrim(netloc, 'w.') FROM company_rows
 )"""
 
-SQL["url_parts"] = with_ctes(CLIENT_ROWS, f"""u AS (
+SQL["url_parts"] = with_ctes(COMPANY_ROWS, f"""u AS (
 SELECT concat('page-', page_id) AS id, url AS raw FROM pages
-UNION ALL SELECT DISTINCT concat('company-', company_id), netloc FROM client_rows
+UNION ALL SELECT concat('company-', company_id), netloc FROM company_rows
 ), n AS (
 SELECT id, CASE WHEN regexp_matches(s, '^https?://') THEN s ELSE concat('https://', s) END AS url_norm
 FROM (SELECT id, {ustrip('raw')} AS s FROM u)
@@ -238,10 +251,10 @@ FROM (SELECT id, {ustrip('raw')} AS s FROM u)
 d AS (SELECT *, ltrim(netloc, 'w.') AS domain FROM h)""", body=f"""
 SELECT id, url_norm, netloc, domain, {tld('domain')} AS tld, regexp_replace(domain, '[^a-z0-9.-]', '', 'g') AS company_key FROM d""")
 
-SQL["company_names"] = with_ctes(CLIENT_ROWS, DOMAINS, body=f"""
+SQL["company_names"] = with_ctes(DOMAINS, body=f"""
 SELECT domain, {default_name('domain')} AS company_name, {default_name('domain', False)} AS company_name_nokey FROM domains""")
 
-SQL["locale_lookup"] = with_ctes(CLIENT_ROWS, DOMAINS, LOCALE, body=f"""
+SQL["locale_lookup"] = with_ctes(DOMAINS, LOCALE, body=f"""
 SELECT d.domain, {tld('d.domain')} AS tld, coalesce(l.map_language, 'english') AS language,
   coalesce(m.map_country, '') AS country
 FROM domains d LEFT JOIN lang_map l ON l.tld = {tld('d.domain')} LEFT JOIN country_map m ON m.tld = {tld('d.domain')}""")
@@ -250,11 +263,11 @@ SQL["tenant_key"] = with_ctes(UPSERT_LOG, body=f"""
 SELECT lower({ustrip('email')}) AS tenant, count(*) AS n_rows, count(DISTINCT company_key) AS n_companies
 FROM upsert_log GROUP BY 1""")
 
-SQL["facets"] = with_ctes(CLIENT_ROWS, LOCALE, COMPANIES, body="""
+SQL["facets"] = with_ctes(LOCALE, COMPANIES, body="""
 SELECT DISTINCT email, detected_country AS facet FROM companies WHERE detected_country <> ''
 UNION SELECT DISTINCT email, 'all' FROM companies""")
 
-SQL["facet_filter"] = with_ctes(CLIENT_ROWS, LOCALE, COMPANIES, body="""
+SQL["facet_filter"] = with_ctes(LOCALE, COMPANIES, body="""
 SELECT email, company_key, company_name, detected_country FROM companies WHERE detected_country = 'Germany'""")
 
 COMPANY_Q = "customer#000000123"
@@ -278,7 +291,7 @@ SELECT c.email, c.company_key, c.company_name,
 FROM companies c LEFT JOIN (SELECT email, company_key, count(*) FILTER (WHERE NOT is_partner) AS n_real
                             FROM clean GROUP BY ALL) k USING (email, company_key)""")
 
-SQL["company_detail"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, f"""badges AS (
+SQL["company_detail"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, COMPANY_ROWS, KEYS, f"""badges AS (
 SELECT email, company_key, string_agg(badge, ' | ' ORDER BY badge_rank) AS badges FROM (
   SELECT email, company_key, concat(n, ' ', label, CASE WHEN n > 1 THEN 's' ELSE '' END) AS badge,
     row_number() OVER (PARTITION BY email, company_key ORDER BY n DESC, first_pos) AS badge_rank
@@ -291,9 +304,10 @@ SELECT email, company_key, count(*) FILTER (WHERE NOT is_partner) AS n_total,
   count(DISTINCT CASE WHEN NOT is_partner THEN nullif(country, '') END) AS n_countries
 FROM clean GROUP BY ALL
 )""", body="""
-SELECT b.email, b.company_key, b.badges, s.n_total, s.n_industries, s.n_countries,
-  format('{} of {} clients', s.n_match, s.n_total) AS caption
-FROM badges b JOIN stats s USING (email, company_key)""")
+SELECT k.email, k.company_key, coalesce(b.badges, '') AS badges, coalesce(s.n_total, 0) AS n_total,
+  coalesce(s.n_industries, 0) AS n_industries, coalesce(s.n_countries, 0) AS n_countries,
+  format('{} of {} clients', coalesce(s.n_match, 0), coalesce(s.n_total, 0)) AS caption
+FROM company_keys k LEFT JOIN badges b USING (email, company_key) LEFT JOIN stats s USING (email, company_key)""")
 
 # ---------------------------------------------------------------------------
 # Page path
@@ -312,11 +326,11 @@ SQL["url_dedupe"] = with_ctes(PAGE_CANDIDATES, DEDUPED, body="SELECT netloc, url
 SQL["page_cap_then_http"] = with_ctes(PAGE_CANDIDATES, DEDUPED, CAPPED, body="""
 SELECT netloc, url, type, seq, rank FROM capped WHERE starts_with(url, 'http')""")
 
-SQL["candidate_fallback"] = with_ctes(CLIENT_ROWS, PAGE_CANDIDATES, DEDUPED, body="""
+SQL["candidate_fallback"] = with_ctes(COMPANY_ROWS, PAGE_CANDIDATES, DEDUPED, body="""
 SELECT netloc, url, type, seq, false AS is_fallback FROM deduped
 UNION ALL
 SELECT netloc, concat('https://', netloc), 'homepage', CAST(0 AS BIGINT), true
-FROM (SELECT netloc FROM client_rows UNION SELECT netloc FROM page_candidates)
+FROM (SELECT netloc FROM company_rows UNION SELECT netloc FROM page_candidates)
 WHERE netloc NOT IN (SELECT netloc FROM deduped)""")
 
 _DROPPED = ("script", "style", "nav", "footer", "head", "noscript", "svg", "iframe")
@@ -459,7 +473,7 @@ _ANAL = (f"printf({sq(_R.ANALYSIS_TEMPLATE)}, {default_name(chr(39) + '.example.
 _ANAL = _ANAL.replace(default_name("'.example.com'"), default_name("concat(company_key, '.example.com')"))
 
 SQL["request_rows"] = with_ctes(
-    CLIENT_ROWS, LOCALE,
+    LOCALE,
     COMPANIES.replace("SELECT c.email,", "SELECT c.email, c.netloc,").replace(
         "SELECT DISTINCT email, ", "SELECT DISTINCT email, netloc, "),
     DOC_PAGES, BLOCKS,

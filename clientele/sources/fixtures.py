@@ -4,6 +4,7 @@ The reference keeps its data in a row store fed one web request at a
 time; these views stand in for that data at scale, built from the given
 tables so that work grows with them:
 
+* ``company_rows``     the company table (from ``supplier``)
 * ``client_rows``      one raw client mention (company = supplier, client = customer)
 * ``upsert_log``       repository write / delete log (from ``events``)
 * ``page_candidates``  discovered page candidates with duplicates and bad URLs (from ``pages``)
@@ -30,47 +31,70 @@ def client_order(prefix: str = "") -> Column:
     return F.struct(*[F.col(prefix + f) for f in CLIENT_ORDER_FIELDS])
 
 
-def client_rows(spark: SparkSession, sf_dir: str, with_pos: bool = False) -> DataFrame:
-    """One raw client mention per lineitem row.
+def _company(sk: Column) -> tuple[Column, Column]:
+    """(netloc, tenant) of a supplier."""
+    tld = (F.when(sk % 6 == 0, "si").when(sk % 6 == 1, "de").when(sk % 6 == 2, "at")
+             .when(sk % 6 == 3, "br").when(sk % 6 == 4, "uk").otherwise("com"))
+    netloc = F.concat(F.lit("www."), F.when(sk % 5 == 0, F.lit("w")).otherwise(F.lit("")),
+                      F.lit("supplier-"), sk.cast("string"), F.lit("."), tld)
+    return netloc, F.concat(F.lit("user"), (sk % 10).cast("string"), F.lit("@example.com"))
 
-    Carries ``ord`` (a struct giving the total order of mentions inside a
-    company).  ``with_pos=True`` adds the dense 1-based ``pos`` -- a
-    skew-safe distributed row number, only needed where a query shows it.
-    """
-    l = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+
+def company_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The company table: every supplier, and for every seventh one another company of
+    the same tenant that has no client at all."""
+    sk = F.col("s_suppkey")
+    netloc, email = _company(sk)
+    idle = F.concat(F.lit("www.idle-"), sk.cast("string"), F.lit(".si"))
+    both = F.when(sk % 7 == 0, F.array(netloc, idle)).otherwise(F.array(netloc))
+    return table(spark, sf_dir, "supplier").select(sk.alias("company_id"), F.explode(both).alias("netloc"), email.alias("email"))
+
+
+def _mentions(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *extra)
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
-    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    return l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
 
-    j = (l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-          .join(c, F.col("o_custkey") == F.col("c_custkey"))
-          .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
-          .join(p, F.col("l_partkey") == F.col("p_partkey"))
-          .join(s, F.col("l_suppkey") == F.col("s_suppkey")))
 
-    sk = F.col("s_suppkey")
-    tld = (F.when(sk % 6 == 0, "si").when(sk % 6 == 1, "de").when(sk % 6 == 2, "at")
-             .when(sk % 6 == 3, "br").when(sk % 6 == 4, "uk").otherwise("com"))
-    pk = F.col("l_partkey")
+def _name_and_source() -> tuple[Column, Column]:
+    pk, ln = F.col("l_partkey"), F.col("l_linenumber")
     name = (F.when(pk % 41 == 0, F.lit("   "))
               .when(pk % 3 == 0, F.upper("c_name"))
               .when(pk % 3 == 1, F.concat(F.lit("  "), F.col("c_name"), F.lit(" ")))
               .otherwise(F.col("c_name")))
-    ln = F.col("l_linenumber")
     source = (F.when(ln == 1, "case_study").when(ln == 2, "reference_list").when(ln == 3, "logo")
                 .when(ln == 4, "testimonial").when(ln == 5, "blog").when(ln == 6, "job_listing")
                 .otherwise("technology_partner"))
-    q = F.col("l_quantity")
+    return name, source
+
+
+def client_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mentions of ``client_rows`` with their company, name and source only: what
+    counts and searches need, without the joins behind the other columns."""
+    name, source = _name_and_source()
+    netloc, email = _company(F.col("l_suppkey"))
+    return _mentions(spark, sf_dir).select(netloc.alias("netloc"), email.alias("email"), name.alias("name"), source.alias("source_type"))
+
+
+def client_rows(spark: SparkSession, sf_dir: str, with_pos: bool = False) -> DataFrame:
+    """One raw client mention per lineitem row.
+
+    Carries ``ord`` (a struct giving the total order of mentions inside a
+    company).  ``with_pos=True`` adds the dense 1-based ``pos`` -- a skew-safe
+    distributed row number, only needed where a query shows it.
+    """
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")
+    j = (_mentions(spark, sf_dir, "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+         .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+         .join(p, F.col("l_partkey") == F.col("p_partkey")))
+    name, source = _name_and_source()
+    netloc, email = _company(F.col("l_suppkey"))
+    q, ln = F.col("l_quantity"), F.col("l_linenumber")
     out = j.select(
-        sk.alias("company_id"),
-        F.concat(F.lit("www."), F.when(sk % 5 == 0, F.lit("w")).otherwise(F.lit("")),
-                 F.lit("supplier-"), sk.cast("string"), F.lit("."), tld).alias("netloc"),
-        F.concat(F.lit("user"), (sk % 10).cast("string"), F.lit("@example.com")).alias("email"),
-        name.alias("name"),
+        F.col("l_suppkey").alias("company_id"),
+        netloc.alias("netloc"), email.alias("email"), name.alias("name"),
         F.when(q < 5, F.lit("")).otherwise(F.col("c_mktsegment")).alias("industry"),
         F.when(q > 45, F.lit("")).otherwise(F.col("n_name")).alias("country"),
         source.alias("source_type"),
@@ -98,7 +122,7 @@ def as_upsert_log(events: DataFrame) -> DataFrame:
         F.concat(F.lit("co-"), F.col("user_id").cast("string"), F.lit(".si")).alias("company_key"),
         F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("upsert")).alias("op"),
         written(F.col("event_id"), F.col("props")).alias("data"),
-        F.col("ts").alias("updated_at"))
+        F.col("ts").alias("updated_at"), "event_type")
 
 
 def written(event_id: Column, props: Column) -> Column:
