@@ -574,7 +574,7 @@ from ..functions import extract as X  # noqa: E402
 
 
 def _pages(spark, sf):
-    return table(spark, sf, "pages").select("page_id", "url", "html")
+    return fx.site_pages(spark, sf)
 
 
 @query("page_types")
@@ -653,7 +653,7 @@ def headline_clients(spark, sf):
 
 @query("logo_names")
 def logo_names(spark, sf):
-    """Image alt texts as logo-wall names (the crawled pages carry no images)."""
+    """Image alt texts as logo-wall names of the sites."""
     from ..functions.text import ustrip
     p = _pages(spark, sf).select("page_id", F.posexplode(H.image_alts(F.col("html"))).alias("i", "alt"))
     return (p.select("page_id", (F.col("i") + 1).cast("long").alias("pos"), ustrip(F.col("alt")).alias("name"))

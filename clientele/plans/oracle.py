@@ -577,12 +577,22 @@ def normalize_sql(x: str) -> str:
             f"THEN {title_case(s)} ELSE {s} END")
 
 
-SQL["page_types"] = f"SELECT page_id, url, {page_type('url')} AS page_type FROM pages"
+SITE_PAGES = """site_pages AS (
+SELECT page_id, CASE WHEN page_id % 9 < 7 THEN concat(regexp_extract(url, '^https?://[^/?#]*', 0),
+    ['/case-studies/shop', '/reference', '/blog/launch', '/karriere', '/partners', '/testimonials', '/'][(page_id % 9 + 1)::INT]) ELSE url END AS url,
+  replace(replace(html, '<title>', CASE page_id % 5 WHEN 0 THEN concat('<title>How Acme Foods ', page_id, ' grew ')
+      WHEN 1 THEN concat('<title>New shop for Nordica ', page_id, ' ') ELSE '<title>' END),
+    '<body>', CASE WHEN page_id % 3 = 0 THEN concat('<body><img src="l.png" alt=" Client ', page_id,
+      ' "><ul><li>SAP</li><li> Home</li><li><b>ACME</b> FOODS.</li></ul><a href="https://other.example.org/clients/">x</a>')
+      ELSE '<body>' END) AS html
+FROM pages)"""
+
+SQL["page_types"] = f"WITH {SITE_PAGES} SELECT page_id, url, {page_type('url')} AS page_type FROM site_pages"
 
 SQL["link_discovery"] = f"""
-WITH l AS (
+WITH {SITE_PAGES}, l AS (
   SELECT page_id, url, unnest(generate_series(1, len(h))) AS link_pos, unnest(h) AS href
-  FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM pages)
+  FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM site_pages)
 ), a AS (
   SELECT *, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host,
     CASE WHEN regexp_matches(href, '^https?://') THEN href
@@ -595,11 +605,11 @@ SELECT page_id, CAST(link_pos AS BIGINT) AS link_pos, href, abs_url,
   lower(regexp_extract(abs_url, '^https?://([^/?#]*)', 1)) = lower(host) AS same_host,
   CASE WHEN abs_url IS NOT NULL THEN {page_type('abs_url')} END AS link_type FROM a"""
 
-LIST_NAMES = f"""list_names AS (
+LIST_NAMES = SITE_PAGES + f""", list_names AS (
 SELECT page_id, url, item_pos, name FROM (
   SELECT page_id, url, CAST(item_pos AS BIGINT) AS item_pos, {strip_tags_sql('item')} AS name FROM (
     SELECT page_id, url, unnest(generate_series(1, len(li))) AS item_pos, unnest(li) AS item
-    FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1) AS li FROM pages)))
+    FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1) AS li FROM site_pages)))
 WHERE name <> ''
 )"""
 
@@ -627,13 +637,13 @@ SELECT email, company_key, name, country,
 _TITLE = strip_tags_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")
 _HEAD = ", ".join(f"nullif(regexp_extract(title, '{p}', 1), '')" for p in _X.HEADLINE_PATTERNS)
 SQL["headline_clients"] = f"""
-SELECT page_id, title, coalesce({_HEAD}) AS client FROM (SELECT page_id, {_TITLE} AS title FROM pages)"""
+WITH {SITE_PAGES} SELECT page_id, title, coalesce({_HEAD}) AS client FROM (SELECT page_id, {_TITLE} AS title FROM site_pages)"""
 
 SQL["logo_names"] = f"""
-SELECT page_id, CAST(pos AS BIGINT) AS pos, name FROM (
+WITH {SITE_PAGES} SELECT page_id, CAST(pos AS BIGINT) AS pos, name FROM (
   SELECT page_id, pos, {ustrip('alt')} AS name FROM (
     SELECT page_id, unnest(generate_series(1, len(a))) AS pos, unnest(a) AS alt
-    FROM (SELECT page_id, regexp_extract_all(html, '(?is)<img\\b[^>]*\\balt="([^"]*)"', 1) AS a FROM pages)))
+    FROM (SELECT page_id, regexp_extract_all(html, '(?is)<img\\b[^>]*\\balt="([^"]*)"', 1) AS a FROM site_pages)))
 WHERE name <> ''"""
 
 SQL["evidence_sentences"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body="""

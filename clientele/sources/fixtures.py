@@ -150,6 +150,26 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (pid * 3 + F.col("k")).alias("seq"))
 
 
+def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawled pages as company sites, so that every extraction rule meets cases that
+    fit and cases that do not: paths of the known page types, customer headlines, logo
+    images, list items that are vendors, navigation words and shouted names."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    k = F.col("page_id")
+    root = F.regexp_extract("url", r"^https?://[^/?#]*", 0)
+    path = (F.when(k % 9 == 0, "/case-studies/shop").when(k % 9 == 1, "/reference").when(k % 9 == 2, "/blog/launch")
+             .when(k % 9 == 3, "/karriere").when(k % 9 == 4, "/partners").when(k % 9 == 5, "/testimonials").when(k % 9 == 6, "/"))
+    headline = F.when(k % 5 == 0, F.concat(F.lit("<title>How Acme Foods "), k.cast("string"), F.lit(" grew "))) \
+                .when(k % 5 == 1, F.concat(F.lit("<title>New shop for Nordica "), k.cast("string"), F.lit(" "))) \
+                .otherwise(F.lit("<title>"))
+    extra = F.when(k % 3 == 0, F.concat(
+        F.lit('<body><img src="l.png" alt=" Client '), k.cast("string"),
+        F.lit(' "><ul><li>SAP</li><li> Home</li><li><b>ACME</b> FOODS.</li></ul><a href="https://other.example.org/clients/">x</a>'))) \
+        .otherwise(F.lit("<body>"))
+    return p.select("page_id", F.coalesce(F.concat(root, path), F.col("url")).alias("url"),
+                    F.replace(F.replace("html", F.lit("<title>"), headline), F.lit("<body>"), extra).alias("html"))
+
+
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetched pages per company (``source``) with their whole text, in the order of ``doc_id``."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")

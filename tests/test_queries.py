@@ -50,3 +50,14 @@ def test_query_matches_oracle(spark, duck, name):
     idx = [dcols.index(c) for c in cols]
     drows = sorted((tuple(norm(r[i]) for i in idx) for r in cur.fetchall()), key=repr)
     assert srows == drows
+
+
+def test_rules_meet_cases_that_fit_and_that_do_not(spark):
+    q = {n: E.queries()[n](spark, SF).collect() for n in (
+        "page_types", "headline_clients", "logo_names", "tech_partner_flag", "link_discovery", "repo_decode", "companies_ranked")}
+    assert {"case_study", "reference_list", "blog_post", "job_listing", "partners", "testimonials", "homepage"} <= {r.page_type for r in q["page_types"]}
+    assert {r.client is None for r in q["headline_clients"]} == {True, False}
+    assert q["logo_names"] and {r.is_vendor for r in q["tech_partner_flag"]} == {True, False}
+    assert {r.same_host for r in q["link_discovery"] if r.abs_url} == {True, False}
+    assert {r.quarantined for r in q["repo_decode"]} == {True, False}
+    assert {r.n_total == 0 for r in q["companies_ranked"]} == {True, False}
