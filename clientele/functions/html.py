@@ -1,16 +1,16 @@
 """HTML -> text and HTML field extraction (P9, X2, X4, X5), native expressions.
 
-``page_text`` follows the parse-tree rule of the reference: drop the
-elements ``script style nav footer head noscript svg iframe`` with their
-content, take every remaining text node, decode entities, strip it, drop
-empty ones, join with newlines, collapse 3+ newlines to 2 and cut.
-
-Text nodes are found by replacing comments, the doctype, dropped
-elements and every tag with a marker and splitting on it -- all JVM
-regexps and higher-order array functions, so the projection stays in
-codegen.  Pages the regexps cannot model (entities outside the decoded
-set, unbalanced dropped elements) are flagged by ``needs_parser`` and go
-to the parser-based pandas UDF (``operators.udfs.page_text_udf``).
+``page_text`` follows the parse-tree rule of the reference: drop the elements
+``script style nav footer head noscript svg iframe`` with their content, take every
+remaining text node, decode entities, strip it, drop empty ones, join with newlines
+and collapse 3+ newlines to 2.
+
+Ordinary pages need no parse: comments, the doctype, dropped elements and every tag
+become a marker, and the text is split on it.  Pages where that would go wrong
+(``irregular``: a dropped element that nests, repeats or lacks a tag, a ``>`` inside
+an attribute) are cut into tags and texts and folded in order, with the open elements
+of the dropped region as state.  Both are JVM expressions.  Named entities outside
+``ENTITIES`` stay as they are.
 """
 
 from __future__ import annotations
@@ -45,10 +45,50 @@ def text_nodes(html: Column) -> Column:
     return F.filter(parts, lambda p: p != F.lit(""))
 
 
+RAW = ("script", "style", "noscript", "iframe")       # their content is never markup
+NESTING = ("nav", "footer", "head", "svg")
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
+IN_HEAD = ("title", "meta", "link", "base", "template")
+CONTAINERS = ("html", "body", "main", "div", "section", "article", "aside", "header", "form", "table", "tr", "td")
+TAG = r"</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+COMMENT_OR_RAW = (r"(?is)<!--.*?(?:-->|\z)|<!doctype[^>]*>|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\z)")
+
+
+def _open_after(opened: Column, tag: Column) -> Column:
+    """The open elements of the dropped region after one more tag (empty: outside).
+
+    A closing tag closes what was opened inside it; one that closes an enclosing
+    container ends the region; anything but head content ends an open head."""
+    name = F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    none = F.array().cast("array<string>")
+    at = F.array_position(F.reverse(opened), name)
+    closed = (F.when(at > 0, F.slice(opened, F.lit(1), F.greatest(F.size(opened) - at.cast("int"), F.lit(0))))
+               .when(name.isin(*CONTAINERS), none).otherwise(opened))
+    enters = F.when(name.isin(*NESTING), F.array(name)).otherwise(none)
+    leaves_head = (F.get(opened, 0) == "head") & ~name.isin(*IN_HEAD)
+    grown = (F.when((F.size(opened) == 0) | leaves_head, enters).otherwise(F.concat(opened, F.array(name))))
+    alone = name.isin(*VOID) | tag.endswith("/>")
+    return F.when(tag.startswith("</"), closed).when(alone, F.when(leaves_head & (F.size(opened) > 0) & ~name.isin(*VOID), none).otherwise(opened)).otherwise(grown)
+
+
+def folded_text_nodes(html: Column) -> Column:
+    """``text_nodes`` by a fold over the page's tags and texts in order."""
+    tokens = F.regexp_extract_all(F.regexp_replace(html, COMMENT_OR_RAW, MARK), F.lit("(?s)" + TAG + r"|[^<\x01]+(?:<(?![a-zA-Z/!])[^<\x01]*)*|<"), 0)
+    empty = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, token: Column) -> Column:
+        tag = token.rlike(r"^</?[a-zA-Z]")
+        text = ustrip(decode_entities(token))
+        kept = ~tag & (F.size(state["open"]) == 0) & (text != "")
+        return F.struct(F.when(tag, _open_after(state["open"], token)).otherwise(state["open"]).alias("open"),
+                        F.when(kept, F.concat(state["out"], F.array(text))).otherwise(state["out"]).alias("out"))
+    return F.aggregate(tokens, empty, step, lambda state: state["out"])
+
+
 def page_text(html: Column, max_chars: int | None = None) -> Column:
     """Readable text of a page, whole unless ``max_chars`` is given (T4)."""
-    t = F.array_join(text_nodes(html), "\n")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    nodes = F.when(irregular(html), folded_text_nodes(html)).otherwise(text_nodes(html))
+    t = F.regexp_replace(F.array_join(nodes, "\n"), r"\n{3,}", "\n\n")
     return t if max_chars is None else F.substring(t, 1, max_chars)
 
 
@@ -57,18 +97,17 @@ def _occurrences(hay: Column, needle: str) -> Column:
     return (F.length(hay) - F.length(F.replace(hay, F.lit(needle), F.lit("")))) / F.lit(len(needle))
 
 
-def needs_parser(html: Column) -> Column:
-    """True when the native recipe may differ from a real parser: an entity
-    outside the decoded set, or unequal open/close counts of a dropped
-    element.  Counting uses plain ``replace`` so the check stays cheap
-    next to the text extraction itself."""
-    known = "|".join(e[1:-1] for e, _ in ENTITIES)
-    other_entity = html.rlike(rf"&(?!(?:{known});)[a-zA-Z#][a-zA-Z0-9]*;")
+def irregular(html: Column) -> Column:
+    """True when the marker recipe may differ from a parse.  Counting uses plain
+    ``replace``, so the check stays cheap next to the text extraction itself."""
     low = F.lower(html)
-    unbalanced = F.lit(False)
+    odd = html.rlike(r"=\s*(\"[^\"<]*>|'[^'<]*>)")
     for tag in DROPPED:
-        unbalanced = unbalanced | (_occurrences(low, f"<{tag}") != _occurrences(low, f"</{tag}"))
-    return F.coalesce(other_entity | unbalanced, F.lit(False))
+        opens = _occurrences(low, f"<{tag}")
+        odd = odd | (opens != _occurrences(low, f"</{tag}"))
+        if tag in NESTING and tag != "head":
+            odd = odd | (opens > 1)
+    return F.coalesce(odd, F.lit(False))
 
 
 def hrefs(html: Column) -> Column:

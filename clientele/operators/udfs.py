@@ -1,73 +1,12 @@
-"""The two Python surfaces (U1, U2).  Both are Arrow-batched; Spark
+"""The Python surface (U2): a pluggable model function over Arrow batches; Spark
 partitions the work, Python only sees one batch at a time."""
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
-
-from .. import schemas
-from ..functions import html as H
-
-_DROP = set(H.DROPPED)
-_BLANKS = re.compile(r"\n{3,}")
-
-
-class _TextParser(HTMLParser):
-    """Text nodes outside dropped elements; entities decoded by the parser."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.depth = 0
-        self.parts: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        if tag in _DROP:
-            self.depth += 1
-
-    def handle_startendtag(self, tag, attrs):
-        pass
-
-    def handle_endtag(self, tag):
-        if tag in _DROP and self.depth > 0:
-            self.depth -= 1
-
-    def handle_data(self, data):
-        if self.depth == 0:
-            s = data.strip()
-            if s:
-                self.parts.append(s)
-
-
-def html_to_text(html: str | None, max_chars: int | None = None) -> str | None:
-    if html is None:
-        return None
-    p = _TextParser()
-    p.feed(html)
-    p.close()
-    return _BLANKS.sub("\n\n", "\n".join(p.parts))[:max_chars]
-
-
-@F.pandas_udf(T.StringType())
-def page_text_udf(html: pd.Series) -> pd.Series:
-    """Parser-based page text for pages the native recipe cannot model."""
-    return html.map(html_to_text)
-
-
-def page_text_routed(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
-    """P9 with the U1 fallback: flagged pages take the parser, the rest stay native.
-
-    One pass.  The UDF receives ``html`` only for flagged rows (NULL
-    otherwise), so unflagged pages cross into Python as Arrow nulls and
-    only the flagged HTML is shipped."""
-    flagged = pages.withColumn("_needs_parser", H.needs_parser(F.col(html_col)))
-    parsed = page_text_udf(F.when(F.col("_needs_parser"), F.col(html_col)))
-    text = F.when(F.col("_needs_parser"), parsed).otherwise(H.page_text(F.col(html_col)))
-    return flagged.withColumn(out, text).drop("_needs_parser")
+from pyspark.sql import DataFrame, functions as F, types as T
 
 
 # ---------------------------------------------------------------------------

@@ -453,13 +453,6 @@ def model_step(spark, sf):
                       F.lit(SCRAPED_AT).alias("scraped_at"))
 
 
-@query("page_text_fallback")
-def page_text_fallback(spark, sf):
-    """The parser-based page text for every page (compared with P9 in tests)."""
-    p = table(spark, sf, "pages").select("page_id", "html")
-    return p.select("page_id", udfs.page_text_udf(F.col("html")).alias("text"))
-
-
 # ---------------------------------------------------------------------------
 # Store (keyed state over the write log) and streaming
 # ---------------------------------------------------------------------------

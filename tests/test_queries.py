@@ -10,7 +10,7 @@ from clientele.plans.catalog import QUERIES as CATALOG
 from clientele.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY: set[str] = set()  # queries that SQL cannot express
+ROWS_ONLY = {"model_step", "build_repository", "apply_results"}  # without an oracle yet
 
 
 def norm(v):
