@@ -50,14 +50,20 @@ MAX_TRUSTED = 50_000
 QUANTILE, SLACK, LEAST, PRIOR = 0.99, 1.2, 50, 100
 
 
-def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(4-gram at each byte and end of each text, offsets of the texts)."""
-    pad = bytes([START]) * (ORDER - 1)
-    raw = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8).astype(np.uint32)
+def slices(text: bytes) -> Iterator[bytes]:
+    """The text between its symbols; a long one in slices that share three bytes."""
+    whole = bytes([START]) * (ORDER - 1) + text + bytes([END])
+    for at in range(0, len(whole) - ORDER + 1, CHUNK):
+        yield whole[at: at + CHUNK + ORDER - 1]
+
+
+def grams_of(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(the 4-grams of each slice, where each slice's begin)."""
+    raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint32)
     grams = raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:]
-    size = np.array([len(t) + 1 for t in texts])
+    size = np.array([len(p) - 3 for p in parts])
     begin = np.cumsum(size + 3) - (size + 3)
-    if len(texts) > 1:  # without the grams that reach into the next text's padding
+    if len(parts) > 1:  # without the grams that reach into the next slice
         keep = np.ones(len(grams), bool)
         keep[(begin[1:, None] - 3 + np.arange(3)[None, :]).ravel()] = False
         grams = grams[keep]
@@ -97,7 +103,7 @@ def gram_counts(texts: DataFrame, ids: list[int]) -> DataFrame:
         for batch in batches:
             doc = batch.column(0).fill_null(-1).to_numpy()
             mine = np.isin(doc, wanted) & batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for part in _chunks((x.as_py(),) for x in batch.column(1).filter(pa.array(mine))):
+            for part in _chunks((p,) for x in batch.column(1).filter(pa.array(mine)) for p in slices(x.as_py())):
                 k, n = np.unique(grams_of([t for (t,) in part])[0], return_counts=True)
                 keys, at = np.unique(np.concatenate([keys, k]), return_inverse=True)
                 counts = np.bincount(at, np.concatenate([counts, n])).astype(np.int64)
@@ -187,7 +193,8 @@ def _scored(sent, tails: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shipped(sent)
         for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), (x.as_py() for x in batch.column(3)))
+            rows = ((*row, int(k == 0), p) for *row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3))
+                    for k, p in enumerate(slices(text.as_py())))
             for part in _chunks(rows):
                 grams, begin = grams_of([r[-1] for r in part])
                 keys, at = np.unique(grams, return_inverse=True)
@@ -197,7 +204,8 @@ def _scored(sent, tails: bool):
                     value = np.where(there, own, model.lower(keys))
                     sums = np.add.reduceat(value[at], begin)
                     size = np.diff(np.r_[begin, len(grams)])
-                    yield pa.RecordBatch.from_arrays([*ids, pa.array(size), pa.array(sums)], ["doc_id", "lang", "tag", "n", "ll"])
+                    copies = pa.array([r[3] for r in part], pa.int32())
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(size), pa.array(sums), copies], ["doc_id", "lang", "tag", "n", "ll", "copies"])
                 else:
                     out = np.flatnonzero(~there[at])
                     doc = np.searchsorted(begin, out, side="right") - 1
@@ -210,7 +218,7 @@ def _scored(sent, tails: bool):
 def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
     """(doc_id, lang, tag, n, perplexity): ``tag`` is the text's hash."""
     texts, sent = _texts(docs), ship(docs.sparkSession, model)
-    sums = texts.mapInArrow(_scored(sent, False), "doc_id long, lang string, tag long, n long, ll double").withColumn("copies", F.lit(1))
+    sums = texts.mapInArrow(_scored(sent, False), "doc_id long, lang string, tag long, n long, ll double, copies int")
     if not model.whole:
         tails = texts.mapInArrow(_scored(sent, True), "doc_id long, lang string, tag long, gram long, n long")
         more = tails.join(rest, "gram").select("doc_id", "lang", "tag", F.lit(0).cast("long").alias("n"), (F.col("n") * F.col("delta")).alias("ll"), F.lit(0).alias("copies"))

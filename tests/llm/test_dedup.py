@@ -52,7 +52,7 @@ def test_brute_force(spark, sample, which):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.lines(docs)))
     got = simhash.near_duplicates(df).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0"), "component_id").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.near_duplicates(docs)))
-    for limit in (substring_dedup.GROUP_LIMIT, 2):  # the second sends most groups the exact way for large ones
+    for limit in (substring_dedup.GROUP_LIMIT, *([2] if which == "edge" else [])):  # 2 sends most groups the exact way for large ones
         got = substring_dedup.dedup_substrings(df, bitmap_bits=20, group_limit=limit) \
             .select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.substrings(docs)))

@@ -136,7 +136,8 @@ def kneser_ney(texts, order=4):
 
 
 @pytest.mark.parametrize("head", [10, quality.HEAD])
-def test_kneser_ney(spark, head):
+def test_kneser_ney(spark, head, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 7)  # every text here counts as a long one
     texts = ["the stone and the river", "a river fälls", "the tall stones", ""]
     docs = frame(spark, list(enumerate(texts)) + [(9, "THE STONE!! zz"), (9, "THE STONE!! zz"), (None, "the river"), (10, None)])
     counts = quality.gram_counts(quality._texts(docs), [0, 1, 2, 3]).cache()
@@ -219,7 +220,9 @@ def test_block_max_wand_finds_all():
     texts = [(i, b" ".join(rng.choice(vocab[:rng.choice([10, 60])]) for _ in range(rng.randint(1, 30)))) for i in range(150)]
     idf = {w: rng.uniform(0.1, 4) for w in vocab}
     index = decontaminate.BlockMaxIndex(texts, idf, 15.0)
-    for _ in range(150):
+    dense = index.dense
+    for turn in range(300):
+        index.dense = dense if turn % 2 else None
         words = set(rng.sample(vocab, rng.randint(1, 40)))
         theta = rng.uniform(0.05, 1)
         scores = Counter()
