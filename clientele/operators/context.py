@@ -49,24 +49,29 @@ def fetch(cands: DataFrame, pages: DataFrame, company: str = "netloc") -> DataFr
     """Join the candidates with the crawled pages on URL.
 
     Status per candidate: ``skipped`` (not http), ``ok`` (page present; whole text
-    by P9), ``failed`` (no page).  Only ``url, html`` of the page table is read and
-    the html is dropped right after P9."""
-    pg = pages.select(F.col("url").alias("_page_url"), F.col("html"))
+    by P9), ``http`` (the page answered 400 or more, ``http_code``), ``failed`` (no
+    page).  ``http_status`` of the page table is optional.  Only the columns named
+    here are read and the html is dropped right after P9."""
+    code = F.col("http_status") if "http_status" in pages.columns else F.lit(200)
+    pg = pages.select(F.col("url").alias("_page_url"), "html", code.cast("int").alias("_code"))
     j = cands.join(pg, (F.col("url") == F.col("_page_url")) & F.col("url").startswith("http"), "left")
+    bad = F.coalesce(F.col("_code") >= 400, F.lit(False))
     status = (F.when(~F.col("url").startswith("http"), F.lit("skipped"))
+               .when(bad, F.lit("http"))
                .when(F.col("_page_url").isNotNull(), F.lit("ok"))
                .otherwise(F.lit("failed")))
     return (j.withColumn("status", status)
+             .withColumn("http_code", F.when(bad, F.col("_code")))
              .withColumn("type", F.coalesce("type", F.lit("unknown")))
-             .withColumn("text", F.when(F.col("_page_url").isNotNull(), H.page_text(F.col("html"))))
-             .withColumn("final_url", F.when(F.col("_page_url").isNotNull(), F.col("_page_url")))
+             .withColumn("text", F.when(F.col("status") == "ok", H.page_text(F.col("html"))))
+             .withColumn("final_url", F.when(F.col("status") == "ok", F.col("_page_url")))
              .withColumn("n_chars", F.length("text").cast("long"))
-             .drop("_page_url", "html"))
+             .drop("_page_url", "html", "_code"))
 
 
 def fetch_counts(fetched: DataFrame, company: str = "netloc") -> DataFrame:
-    """Outcomes per company and status."""
-    return (fetched.groupBy(company, "status")
+    """Outcomes per company, status and HTTP code."""
+    return (fetched.groupBy(company, "status", "http_code")
                    .agg(F.count(F.lit(1)).alias("n"),
                         F.coalesce(F.sum("n_chars"), F.lit(0)).cast("long").alias("chars")))
 

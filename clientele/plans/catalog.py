@@ -286,13 +286,13 @@ def candidate_fallback(spark, sf):
 
 
 def _fetched(spark, sf):
-    return context.fetch(context.dedupe_urls(fx.page_candidates(spark, sf)), table(spark, sf, "pages"))
+    return context.fetch(context.dedupe_urls(fx.page_candidates(spark, sf)), fx.crawl(spark, sf))
 
 
 @query("fetch_status")
 def fetch_status(spark, sf):
     """J2 + S1 + P30 + S11: one status row per unique candidate."""
-    return _fetched(spark, sf).select("netloc", "seq", "url", "type", "status", "final_url", "n_chars")
+    return _fetched(spark, sf).select("netloc", "seq", "url", "type", "status", "http_code", "final_url", "n_chars")
 
 
 @query("fetch_status_counts")

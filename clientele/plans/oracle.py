@@ -351,15 +351,16 @@ def page_text_sql(html: str) -> str:
 
 SQL["fetch_status"] = with_ctes(PAGE_CANDIDATES, DEDUPED, f"""fetched AS (
 SELECT c.netloc, c.seq, c.url, c.type,
-  CASE WHEN NOT starts_with(c.url, 'http') THEN 'skipped' WHEN p.url IS NOT NULL THEN 'ok' ELSE 'failed' END AS status,
-  p.url AS final_url, CASE WHEN p.url IS NOT NULL THEN {page_text_sql('p.html')} END AS text
-FROM deduped c LEFT JOIN pages p ON c.url = p.url AND starts_with(c.url, 'http')
-)""", body="SELECT netloc, seq, url, type, status, final_url, CAST(length(text) AS BIGINT) AS n_chars FROM fetched")
+  CASE WHEN NOT starts_with(c.url, 'http') THEN 'skipped' WHEN p.code >= 400 THEN 'http' WHEN p.url IS NOT NULL THEN 'ok' ELSE 'failed' END AS status,
+  CASE WHEN p.code >= 400 THEN p.code END AS http_code,
+  CASE WHEN p.code < 400 THEN p.url END AS final_url, CASE WHEN p.code < 400 THEN {page_text_sql('p.html')} END AS text
+FROM deduped c LEFT JOIN (SELECT *, CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 23 = 0 THEN 503 ELSE 200 END AS code FROM pages) p ON c.url = p.url AND starts_with(c.url, 'http')
+)""", body="SELECT netloc, seq, url, type, status, http_code, final_url, CAST(length(text) AS BIGINT) AS n_chars FROM fetched")
 
 SQL["fetch_status_counts"] = SQL["fetch_status"].replace(
-    "SELECT netloc, seq, url, type, status, final_url, CAST(length(text) AS BIGINT) AS n_chars FROM fetched",
-    "SELECT netloc, status, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars "
-    "FROM fetched GROUP BY netloc, status")
+    "SELECT netloc, seq, url, type, status, http_code, final_url, CAST(length(text) AS BIGINT) AS n_chars FROM fetched",
+    "SELECT netloc, status, http_code, count(*) AS n, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS chars "
+    "FROM fetched GROUP BY netloc, status, http_code")
 
 SQL["page_text"] = f"""
 SELECT page_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT page_id, {page_text_sql('html')} AS text FROM pages)"""

@@ -150,6 +150,13 @@ def page_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (pid * 3 + F.col("k")).alias("seq"))
 
 
+def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page table with the HTTP status of each fetch: some pages answered 404 or 503."""
+    k = F.col("page_id")
+    status = F.when(k % 17 == 0, 404).when(k % 23 == 0, 503).otherwise(200)
+    return table(spark, sf_dir, "pages").select("url", "html", status.alias("http_status"))
+
+
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawled pages as company sites, so that every extraction rule meets cases that
     fit and cases that do not: paths of the known page types, customer headlines, logo
