@@ -670,17 +670,16 @@ SCRAPED_AT = "2024-02-01T00:00:00"
 
 
 def _e1_inputs(spark, sf):
-    """Companies = crawled hosts; discovery candidates = page_candidates."""
-    pc = fx.page_candidates(spark, sf)
-    inputs = pc.select(F.col("netloc").alias("input_url")).distinct()
-    ident = urls.company_identity(pc, "netloc").select(
-        "company_key", F.col("url"), "type", F.lit("").alias("description"), "seq")
-    return inputs, ident
+    """Companies = crawled hosts; names and candidates from their discovery replies."""
+    replies = _discovery_replies(spark, sf)
+    inputs = replies.select(F.col("netloc").alias("input_url")).distinct()
+    of = replies.withColumn("company_key", urls.company_key(urls.strip_www(F.col("netloc"))))
+    return inputs, *jobs.discovery_results(of.select("company_key", "chunk", "reply"))
 
 
 def _e1(spark, sf):
-    inputs, cands = _e1_inputs(spark, sf)
-    return jobs.build_repository(inputs, cands, table(spark, sf, "pages"), None, SCRAPED_AT)
+    inputs, said, cands = _e1_inputs(spark, sf)
+    return jobs.build_repository(inputs, cands, fx.crawl(spark, sf), None, SCRAPED_AT, said=said)
 
 
 @query("build_repository")

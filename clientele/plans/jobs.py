@@ -53,6 +53,21 @@ def fetched_pages(companies: DataFrame, candidates: DataFrame, pages: DataFrame)
     return context.fetch(cands, pages, company="company_key")
 
 
+def discovery_results(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What discovery replies (``company_key, chunk, reply``) say.
+
+    Returns the companies' names and descriptions (first chunk that has one) and the
+    candidates in reply order.  A reply that does not decode gives neither: its
+    company keeps its default name and its own URL as the only page (F9)."""
+    d = replies.withColumn("_r", F.from_json(R.first_json_object(F.col("reply")), schemas.DISCOVERY_REPLY))
+    said = d.groupBy("company_key").agg(
+        *[F.min_by(F.col(f"_r.{c}"), F.when(F.col(f"_r.{c}") != "", F.col("chunk"))).alias(c) for c in ("company_name", "company_description")])
+    x = d.select("company_key", "chunk", F.posexplode("_r.pages").alias("i", "c"))
+    order = F.col("chunk") * F.lit(1 << 32) + F.col("i") + 1
+    cands = x.select("company_key", *R.candidate_defaults(F.col("c")), order.alias("seq"))
+    return said, cands
+
+
 def page_parts(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The pages that were fetched, and their pieces by part of the request text."""
     ok = fetched.filter(F.col("status") == "ok").withColumn("url", F.col("final_url"))
@@ -176,8 +191,9 @@ def decode_results(replies: DataFrame, strict_null: bool = False) -> tuple[DataF
 
 
 def build_documents(companies: DataFrame, fetched: DataFrame, clean: DataFrame, errors: DataFrame,
-                    scraped_at: str) -> DataFrame:
-    """The company document, one per input company.
+                    scraped_at: str, said: DataFrame | None = None) -> DataFrame:
+    """The company document, one per input company; name and description
+    come from the discovery (``said``) where it gave them.
 
     Zero fetched pages -> empty clients and no error (Q6); a failed
     analysis -> empty clients with the error."""
@@ -192,12 +208,14 @@ def build_documents(companies: DataFrame, fetched: DataFrame, clean: DataFrame,
                .select("company_key", F.transform("items", lambda x: x["c"]).alias("clients")))
     err = errors.select(F.col("request_id").alias("company_key"), "error", "n_bad_names")
     j = (companies.join(src, "company_key", "left").join(cl, "company_key", "left").join(err, "company_key", "left"))
+    none = F.lit(None).cast("string")
+    j = j.join(said, "company_key", "left") if said is not None else j.withColumn("company_name", none).withColumn("company_description", none)
     empty_clients = F.array().cast(schemas.COMPANY_DOCUMENT["clients"].dataType)
     doc = F.struct(
         F.col("company_key").alias("key"),
-        F.col("default_name").alias("company_name"),
+        F.coalesce("company_name", "default_name").alias("company_name"),
         F.col("domain").alias("company_domain"),
-        F.lit("").alias("company_description"),
+        F.coalesce("company_description", F.lit("")).alias("company_description"),
         F.col("detected_language"), F.col("detected_country"),
         F.coalesce(F.col("clients"), empty_clients).alias("clients"),
         F.coalesce(F.col("sources_checked"), F.array().cast("array<string>")).alias("sources_checked"),
@@ -209,10 +227,12 @@ def build_documents(companies: DataFrame, fetched: DataFrame, clean: DataFrame,
 
 
 def build_repository(inputs: DataFrame, candidates: DataFrame, pages: DataFrame,
-                     replies: DataFrame | None, scraped_at: str, strict_null: bool = False) -> DataFrame:
+                     replies: DataFrame | None, scraped_at: str, strict_null: bool = False,
+                     said: DataFrame | None = None) -> DataFrame:
     """E1.  ``inputs``: input_url; ``candidates``: company_key, url, type,
-    description, seq; ``replies``: request_id, http_status, reply_body
-    (None = the offline rule-based step)."""
+    description, seq; ``said``: company_key, company_name, company_description
+    (both as ``discovery_results`` gives them); ``replies``: request_id, http_status,
+    reply_body (None = the offline rule-based step)."""
     comps = company_inputs(inputs)
     # Materialisation point (the fetched-pages table): three consumers read
     # it, and a reliable checkpoint in the shared ``spark.checkpoint.dir``
@@ -229,7 +249,7 @@ def build_repository(inputs: DataFrame, candidates: DataFrame, pages: DataFrame,
         # read by the record, error and bad-name branches of the decode
         replies = replies.checkpoint(eager=True)
     clean, errors = decode_results(replies, strict_null)
-    return build_documents(comps, fetched, clean, errors, scraped_at)
+    return build_documents(comps, fetched, clean, errors, scraped_at, said)
 
 
 def apply_results(repo: DataFrame, results: DataFrame, stamp: str, on_error: str = "overwrite") -> DataFrame:

@@ -49,7 +49,7 @@ def test_build_repository_invariants(spark, sf):
 
 
 def test_analysis_context_is_whole_and_in_parts(spark, sf):
-    inputs, cands = C._e1_inputs(spark, sf)
+    inputs, _, cands = C._e1_inputs(spark, sf)
     comps = J.company_inputs(inputs)
     fetched = J.fetched_pages(comps, cands, spark.read.parquet(f"{sf}/pages.parquet"))
     ok, blocks = J.page_parts(fetched)
@@ -87,6 +87,19 @@ def test_two_urls_of_one_company(spark):
     assert len(docs) == 1 and [c.name for c in docs[0].document.clients] == ["Acme Corp"]
 
 
+def test_discovery_reaches_the_documents(spark):
+    replies = spark.createDataFrame([
+        ("x.si", 0, '```json\n{"company_name":"X Group","company_description":"Tools","pages":[{"url":"https://x.si/a"}]}\n```'),
+        ("y.si", 0, "no json at all")], "company_key string, chunk long, reply string")
+    said, cands = J.discovery_results(replies)
+    inputs = spark.createDataFrame([("x.si",), ("y.si",)], "input_url string")
+    pages = spark.createDataFrame([("https://x.si/a", "<p>a</p>"), ("https://y.si", "<ul><li>Acme Corp</li></ul>")], "url string, html string")
+    docs = {d.company_key: d.document for d in J.build_repository(inputs, cands, pages, None, "2024-01-01", said=said).collect()}
+    assert (docs["x.si"].company_name, docs["x.si"].company_description) == ("X Group", "Tools")
+    assert (docs["y.si"].company_name, docs["y.si"].company_description) == ("Y", "")
+    assert docs["y.si"].sources_checked == ["https://y.si"] and [c.name for c in docs["y.si"].clients] == ["Acme Corp"]
+
+
 def test_error_policy(spark):
     repo = spark.createDataFrame([("u", "k", '{"ok":1}', None, None)],
                                  "email string, company_key string, data string, updated_at timestamp_ntz, seq long")
