@@ -53,13 +53,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, for values that every
     task would compute anew (the package travels by value, so its module
-    globals do not outlive a task)."""
+    globals do not outlive a task).  A worker holds one operator's cache at a
+    time: asking for another name empties those before."""
     import sys
     import types
     home = sys.modules.setdefault("clientele_worker_cache", types.ModuleType("clientele_worker_cache"))
+    for other, held in home.__dict__.items():
+        if other != name and isinstance(held, dict) and not other.startswith("__"):
+            held.clear()
     return home.__dict__.setdefault(name, {})
 
 
+def release_caches() -> None:
+    """Give back what an operator that ran before in this worker has kept."""
+    worker_cache("")
+
+
 def ship(spark: SparkSession, value):
     """Broadcast a value whose class travels by value too; ``shipped`` opens it."""
     from pyspark import cloudpickle

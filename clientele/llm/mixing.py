@@ -67,7 +67,7 @@ def features(text: bytes) -> tuple[int, np.ndarray]:
                 shape = REPEAT.sub(rb"\1", w.translate(SHAPE))[:32]
                 word = w.lower().strip(b".,;:!?()[]\"'")
                 pair = zlib.crc32(word) % BUCKETS, zlib.crc32(word[:4], 99) % BUCKETS, zlib.crc32(shape, 77) % BUCKETS
-                if len(cache) > 300_000:
+                if len(cache) > 150_000:
                     cache.clear()
                 if len(w) < 64:
                     cache[w] = pair

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.common import ship, shipped, stage, table, utf8
+from clientele.llm.common import release_caches, ship, shipped, stage, table, utf8
 
 ORDER = 4
 START, END = 0xFF, 0xFE  # bytes that no UTF-8 text holds
@@ -98,6 +98,7 @@ def gram_counts(texts: DataFrame, ids: list[int]) -> DataFrame:
     sent = texts.sparkSession.sparkContext.broadcast(np.sort(np.array(ids, np.int64)).tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         wanted = np.frombuffer(sent.value, np.int64)
         keys, counts = np.empty(0, np.uint32), np.empty(0, np.int64)
         for batch in batches:
@@ -191,6 +192,7 @@ def _scored(sent, tails: bool):
     """Per document the sum with the broadcast part; or (tails) its counts of the
     4-grams beyond the head."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         model: Model = shipped(sent)
         for batch in batches:
             rows = ((*row, int(k == 0), p) for *row, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3))

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.common import stage, table, utf8
+from clientele.llm.common import release_caches, stage, table, utf8
 
 BUCKET_LIMIT = 100_000
 BRUTE = 256
@@ -74,6 +74,7 @@ def fingerprint(text: bytes, n: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): one row per document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             fps = [fingerprint(x.as_py(), shingle) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
