@@ -7,10 +7,11 @@ the last, so any run of words as long as an item lies whole in some passage.
 
 An item's BM25 score for a passage is divided by the item's score for itself, so
 1 means that every word of the item is there, and one threshold holds for all
-items.  Block-max WAND finds all items at or above it: cursors stand on posting
-lists in item order; the pivot is the first item that the lists' maxima allow; its
-blocks' maxima may rule the block out, and then the cursors leap over it.  A
-passage whose maxima together stay below the threshold is left at once.
+items.  Block-max WAND finds all items at or above it: a passage whose words'
+largest impacts together stay below the threshold is left at once; then the words'
+largest impacts per block of items rule out blocks; in a block that is left, cursors
+stand on the posting lists, and the pivot is the first item that the lists' maxima
+allow.
 
 A retrieved item is verified: its question (all but its last sentence; for a
 single sentence the first three quarters of its words) and its answer (the rest)
@@ -30,6 +31,7 @@ and repeated doc_ids are safe there.  Empty tables: nothing leaks.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -40,12 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.common import ship, shipped, stage, table, utf8
+from clientele.llm.common import release_caches, ship, shipped, stage, table, utf8
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SENTENCE = re.compile(rb"(?<=[.?!\n])\s*")
 K1, B = 1.2, 0.75
 BLOCK = 8
+DENSE = 1 << 22  # cells of a table of block maxima; larger ones are kept by word
 THRESHOLD, OVERLAP = 0.6, 0.6
 ITEMS_PER_INDEX = 20_000
 LONG = 1 << 22
@@ -91,50 +94,65 @@ class BlockMaxIndex:
             self.items.append(Item(item_id, grams(question), grams(answer), len(words)))
         self.longest = max((i.n_words for i in self.items), default=1)
         self.most = {w: max(x for _, x in p) for w, p in self.lists.items()}
-        self.blocks = {w: [(p[min(k + BLOCK, len(p)) - 1][0], max(x for _, x in p[k: k + BLOCK])) for k in range(0, len(p), BLOCK)] for w, p in self.lists.items()}
+        self.known = frozenset(self.most)
+        self.n_blocks = len(self.items) // BLOCK + 1
+        self.blocks = {}  # word -> (blocks that hold it, largest impact in each)
+        for w, p in self.lists.items():
+            top: dict[int, float] = {}
+            for item, x in p:
+                top[item // BLOCK] = max(top.get(item // BLOCK, 0.0), x)
+            self.blocks[w] = np.array(list(top), np.int64), np.array(list(top.values()))
+        self.row = {w: i for i, w in enumerate(self.lists)}
+        self.dense = None
+        if len(self.lists) * self.n_blocks <= DENSE:
+            self.dense = np.zeros((len(self.lists), self.n_blocks), np.float32)
+            for w, (b, x) in self.blocks.items():
+                self.dense[self.row[w], b] = x
 
     def search(self, words: set[bytes], threshold: float) -> list[tuple[int, float]]:
         """(item, score) of all items that score the threshold or more."""
         threshold -= 1e-9  # sums in another order
-        end = len(self.items)
-        lists = [(self.lists[w], self.most[w], self.blocks[w]) for w in words]
-        at = [0] * len(lists)
+        words = list(words)
+        if not words:
+            return []
+        if self.dense is not None:
+            bound = self.dense[[self.row[w] for w in words]].sum(axis=0)
+        else:
+            held, most = zip(*map(self.blocks.__getitem__, words))
+            bound = np.bincount(np.concatenate(held), np.concatenate(most), self.n_blocks)
+        live = bound >= threshold - 1e-4  # single precision
+        if not live.any():
+            return []
+        found = []
+        for b in np.flatnonzero(live).tolist():
+            found += self._pivots(words, b * BLOCK, (b + 1) * BLOCK, threshold)
+        return found
+
+    def _pivots(self, words: list[bytes], start: int, end: int, threshold: float) -> list[tuple[int, float]]:
+        """WAND over the items of one block."""
+        lists = [(self.lists[w], self.most[w]) for w in words]
+        at = [bisect.bisect_left(p, (start,)) for p, _ in lists]
         found = []
         while True:
-            here = sorted((lists[i][0][at[i]][0], i) for i in range(len(lists)) if at[i] < len(lists[i][0]))
+            here = sorted((lists[i][0][at[i]][0], i) for i in range(len(lists)) if at[i] < len(lists[i][0]) and lists[i][0][at[i]][0] < end)
             total, pivot = 0.0, None
-            for k, (item, i) in enumerate(here):
+            for item, i in here:
                 total += lists[i][1]
                 if total >= threshold:
                     pivot = item
                     break
             if pivot is None:
                 return found
-            while k + 1 < len(here) and here[k + 1][0] == pivot:
-                k += 1
-            bound, leap = 0.0, end
-            for item, i in here[: k + 1]:
-                b = at[i] // BLOCK
-                while b < len(lists[i][2]) and lists[i][2][b][0] < pivot:
-                    b += 1
-                if b < len(lists[i][2]):
-                    bound += lists[i][2][b][1]
-                    leap = min(leap, lists[i][2][b][0] + 1)
-            if k + 1 < len(here):
-                leap = min(leap, here[k + 1][0])
-            if bound < threshold:
-                to = max(leap, pivot + 1)  # no item before ``leap`` can reach it
-            else:
-                score = 0.0
-                for _, i in here[: k + 1]:
-                    self._seek(lists[i][0], at, i, pivot)
-                    if at[i] < len(lists[i][0]) and lists[i][0][at[i]][0] == pivot:
-                        score += lists[i][0][at[i]][1]
-                if score >= threshold:
-                    found.append((pivot, score))
-                to = pivot + 1
-            for _, i in here[: k + 1]:
-                self._seek(lists[i][0], at, i, to)
+            score = 0.0
+            for item, i in here:
+                if item > pivot:
+                    break
+                self._seek(lists[i][0], at, i, pivot)
+                if at[i] < len(lists[i][0]) and lists[i][0][at[i]][0] == pivot:
+                    score += lists[i][0][at[i]][1]
+                    at[i] += 1
+            if score >= threshold:
+                found.append((pivot, score))
 
     @staticmethod
     def _seek(postings: list, at: list[int], i: int, item: int) -> None:
@@ -147,15 +165,12 @@ class BlockMaxIndex:
         out: dict[int, tuple[float, float, float]] = {}
         most, step = self.most, self.longest
         for words in _stretches(text, 2 * step):
-            held = [(i, w) for i, w in enumerate(words) if w in most]
-            lo = 0
-            for start in range(0, max(1, len(words) - step), step):
-                while lo < len(held) and held[lo][0] < start:
-                    lo += 1
-                hi = lo
-                while hi < len(held) and held[hi][0] < start + 2 * step:
-                    hi += 1
-                terms = {w for _, w in held[lo:hi]}
+            held = [self.known.intersection(words[i: i + step]) for i in range(0, len(words), step)]
+            bound = [sum(map(most.__getitem__, x)) for x in held]
+            for k in range(max(1, len(held) - 1) if held else 0):
+                if sum(bound[k: k + 2]) < threshold - 1e-9:
+                    continue
+                terms, start = held[k].union(*held[k + 1: k + 2]), k * step
                 if sum(map(most.__getitem__, terms)) < threshold - 1e-9:
                     continue
                 hits = self.search(terms, threshold)
@@ -219,6 +234,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, overl
         sent = ship(spark, index)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            release_caches()
             index = shipped(sent)
             for batch in batches:
                 rows = [(doc, index.items[item].item_id, *found) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1))
@@ -238,6 +254,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = THRESHOL
         sent, place = ship(docs.sparkSession, index), docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, place=place) -> Iterator[pa.RecordBatch]:
+            release_caches()
             index = shipped(sent)
             for batch in batches:
                 texts = (x.as_py() for x in batch.column(place))
