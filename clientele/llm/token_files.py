@@ -43,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +53,11 @@ MAGIC = b"CLTOK001"
 HEADER = "<8sIIQQQ"
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 22
-CACHE = 400_000
+CACHE = 500_000       # pieces kept by the encoder, and half as many pre-tokens
 CUT = re.compile(r"(?<=\S) (?=\S)")
+# Fixed value: how the byte-level tokenizer splits a text.
+LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+LIMIT = "\u0250"
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -114,48 +118,90 @@ class TokenFile:
 
 
 class Encoder:
-    """The tokenizer with a cache over pieces between single spaces."""
+    """The tokenizer with caches over pieces between single spaces and over pre-tokens.
+
+    A new piece is split into pre-tokens, and new pre-tokens go through the library's
+    model."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(spec)
+        held = worker_cache(f"tokens-{zlib.crc32(spec.encode())}")
+        self.tokenizer = held.get("tokenizer") or held.setdefault("tokenizer", Tokenizer.from_str(spec))
+        self.pieces, self.words = held.setdefault("pieces", {}), held.setdefault("words", {})
         parsed = json.loads(spec)
         self.special = [t["content"] for t in parsed.get("added_tokens", [])]
         kind = parsed.get("pre_tokenizer") or {}
         # only where pre-tokens are known to end at such spaces
-        self.cut = parsed.get("normalizer") is None and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
-        self.cache = worker_cache(f"tokens-{zlib.crc32(spec.encode())}")
+        self.cut = (parsed.get("normalizer") is None and parsed.get("post_processor") is None and kind.get("type") == "ByteLevel"
+                    and kind.get("use_regex", True) and not kind.get("add_prefix_space"))
+        self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
+        rest = [b for b in range(256) if b not in plain]
+        self.letters = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}  # bytes as the model's letters
 
-    def _all(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    def _plain(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if not self.cut or any(s in text for s in self.special):
-            return np.frombuffer(self._all([text])[0], "<u4")
-        return np.frombuffer(b"".join(self._pieces(text)), "<u4")
-
-    def _pieces(self, text: str) -> Iterator[bytes]:
-        at, lead = 0, ""
+            return np.frombuffer(self._plain(text), "<u4")
+        return np.frombuffer(b"".join([b"".join(x) for x in self._stretches(text)]), "<u4")
+
+    def _word(self, word: str) -> bytes:
+        mapped = word.encode().decode("latin-1").translate(self.letters)
+        ids = [x.id for x in self.model.tokenize(mapped)]
+        packed = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
+        return packed
+
+    def _new(self, pieces: list[str]) -> None:
+        """Cache pieces that hold no space, as they stand behind one."""
+        get, word, cached, split = self.words.get, self._word, self.pieces, LATIN.findall
+        for piece in pieces:
+            if not piece.isascii() and max(piece) >= LIMIT:
+                # beyond the Latin letters two Unicode versions might class a character differently
+                cached[piece] = self._plain(" " + piece)
+                continue
+            text = " " + piece
+            core = text.rstrip(".,")
+            if core[1:].isalpha():  # a word and what ends it: no other split is possible
+                ids = get(core) or word(core)
+                if len(core) < len(text):
+                    end = text[len(core):]
+                    ids += get(end) or word(end)
+                cached[piece] = ids
+            else:
+                cached[piece] = b"".join([get(x) or word(x) for x in split(text)])
+        if len(self.words) > CACHE // 2:
+            self.words.clear()
+
+    def _stretches(self, text: str) -> Iterator[list[bytes]]:
+        """Encoded pieces, about a million characters of text at a time."""
+        at, lead, cached = 0, False, self.pieces
         while at < len(text):
             cut = CUT.search(text, at + (1 << 20)) if len(text) - at > 1 << 21 else None
             end = cut.start() if cut else len(text)
-            part = text[at:end]
+            part = text[at:end] if cut or at else text
+            if len(cached) > CACHE:
+                cached.clear()
             words = part.split(" ")
-            first, rest = lead + words[0], words[1:]
-            got = [self.cache.get(first), *map(self.cache.get, [" " + w for w in rest])]
+            first = [] if lead else [words.pop(0)]
+            got = list(map(cached.get, words))
             if None in got:
-                if "" in words or any(w != w.strip() for w, g in zip(words, got) if g is None):
+                missing = [i for i, x in enumerate(got) if x is None]
+                new = list(dict.fromkeys([words[i] for i in missing]))
+                if first == [""] or "" in new or any(w[0].isspace() or w[-1].isspace() for w in new) or (first and first[0][-1:].isspace()):
                     words = CUT.split(part)  # other white space beside a space
-                    first, rest = lead + words[0], words[1:]
-                keys = [first, *(" " + w for w in rest)]
-                new = [k for k in dict.fromkeys(keys) if k not in self.cache]
-                if len(self.cache) + len(new) > CACHE:
-                    self.cache.clear()
-                    new = list(dict.fromkeys(keys))
-                self.cache.update(zip(new, self._all(new)))
-                got = [self.cache[k] for k in keys]
-            yield from got
-            at, lead = end + 1, " "
+                    first = [] if lead else [words.pop(0)]
+                    missing, got = range(len(words)), [None] * len(words)
+                    new = [w for w in dict.fromkeys(words) if w not in cached]
+                self._new([w for w in new if " " not in w])
+                for w in new:
+                    if " " in w:
+                        cached[w] = self._plain(" " + w)
+                for i in missing:
+                    got[i] = cached[words[i]]
+            yield [self._plain(w) for w in first] + got
+            at, lead = end + 1, True
 
 
 def _written(spec: str, folder: str, bits: int, end_id: int, file_ids: int):
