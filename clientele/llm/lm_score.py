@@ -18,7 +18,7 @@ whole vocabulary.  A token outside the vocabulary has the shared entry's
 probability times its own share, (c + 1) over that sum for all such tokens and one
 unseen, so the model is a distribution over all texts.
 
-Scale.  The ``head`` most frequent tokens travel to the tasks (a fixed bound); all
+Scale.  At most ``head`` most frequent tokens travel to the tasks (a fixed bound); all
 other tokens are counted per document and joined with the sharded counts.  Partial
 counts are summed per task first.  Texts are read in pieces.
 
@@ -290,13 +290,29 @@ def _scored(sent, tails: bool):
     return run
 
 
+def frequent(counts: DataFrame, most: int) -> list:
+    """The most frequent tokens, ``most`` of them or as many fewer as share the last
+    step of counts (an eighth of a doubling), by falling count: a few hundred sums
+    find the count to start from, so only these rows reach the driver."""
+    step = F.floor(F.log2("n") * 8).cast("int")
+    total, least = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("tokens")).collect(), reverse=True):
+        total += r.tokens
+        if total > most:
+            break
+        least = r.step
+    if least is None:
+        return []
+    return sorted(counts.where(step >= least).collect(), key=lambda r: (-r.n, bytes(r.token)))
+
+
 def score(docs: DataFrame, vocab: int = VOCAB, dim: int = DIM, head: int = HEAD, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     spark, texts = docs.sparkSession, _texts(docs)
     counts = stage(token_counts(texts), "lm-counts")
     total = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = total.n or 0, total.v
-    top = counts.orderBy(F.desc("n"), "token").limit(head).collect()
+    top = frequent(counts, head)
     names = [bytes(r.token) for r in top]
     c = np.array([r.n for r in top], float)
     inside = min(vocab - 1, len(names))
