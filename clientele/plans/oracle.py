@@ -48,7 +48,7 @@ SELECT s_suppkey, concat('www.idle-', s_suppkey, '.si'), concat('user', s_suppke
 
 UPSERT_LOG = """upsert_log AS (
 SELECT event_id AS seq, concat('user', user_id % 15, '@example.com') AS email, concat('co-', user_id, '.si') AS company_key,
-  CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, CASE WHEN event_id % 29 = 0 THEN left(props, length(props) - 1) ELSE props END AS data, ts AS updated_at FROM events
+  CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op, CASE WHEN event_id % 7 = 0 THEN left(props, length(props) - 1) ELSE props END AS data, ts AS updated_at FROM events
 )"""
 
 PAGE_CANDIDATES = """page_candidates AS (
