@@ -53,7 +53,7 @@ MAGIC = b"CLTOK001"
 HEADER = "<8sIIQQQ"
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 22
-CACHE = 500_000       # pieces kept by the encoder, and half as many pre-tokens
+CACHE = 350_000       # pieces kept by the encoder, and half as many pre-tokens
 CUT = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: how the byte-level tokenizer splits a text.
 LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
