@@ -155,8 +155,8 @@ def find_places(text: bytes, automata: list[Automaton]) -> tuple[int, list[tuple
 def _find(text: bytes, opens: dict[bytes, list[Automaton]], reach: int):
     places, total, words = [], 0, []
     blocks = word_blocks(text)
-    block = next(blocks, [])
-    while block or words:
+    block = next(blocks, None)
+    while block is not None:  # a block may hold no word
         following = next(blocks, None)
         words += block
         ready = len(words) if following is None else max(0, len(words) - reach)

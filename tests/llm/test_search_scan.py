@@ -43,6 +43,15 @@ def test_templates():
     assert (n, found, covered) == (600003, [("r", 300000, 300003)], 3)
 
 
+def test_scan_of_blocks_without_words():
+    automata = [license_scan.compile_template("cc", "cc by")]
+    blank = b" " * license_scan.BLOCK
+    assert license_scan.find_places(blank + b" cc by", automata) == (2, [("cc", 0, 2)], 2)
+    assert license_scan.find_places(b"cc" + b"-" * 3 * license_scan.BLOCK + b"by" + blank + b"x", automata) == (3, [("cc", 0, 2)], 2)
+    assert license_scan.find_places(b"x " + 2 * blank + b"y", []) == (2, [], 0)
+    assert license_scan.find_places(blank, automata) == license_scan.find_places(b"", automata) == (0, [], 0)
+
+
 def test_scan_edges(spark):
     df = spark.createDataFrame([(None, None, 1), (1, "", 2), (1, "CC-BY", 3)], "doc_id long, text string, places int")
     rows = sorted(license_scan.scan(df, license_scan.BASE).collect(), key=lambda r: (r.n_words, r.doc_id or 0))
