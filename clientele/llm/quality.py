@@ -5,7 +5,8 @@ shouting, symbol noise and table debris are what it is to find) is trained on
 trusted text: documents that the label table calls good and not toxic.  A
 document is rejected when its perplexity per byte lies above the threshold of its
 language: ``quantile`` of the trusted documents' perplexities in that language,
-times ``slack``.  Both sides of that comparison are smoothed by ``prior`` bytes of
+times ``slack``.  Every trusted document counts here, whether or not the model was
+trained on it.  Both sides of that comparison are smoothed by ``prior`` bytes of
 the trusted mean, so a few odd bytes do not condemn a very short text.  A language with too few trusted documents (``least``) uses the
 threshold of all languages together.
 
@@ -17,9 +18,10 @@ and the ``head`` most frequent 4-grams are broadcast; a document's 4-grams beyon
 the head are counted per document and joined with the rest of the table, which
 is sharded by n-gram.  Nothing of the model is cut off.
 
-Trusted documents are the ``max_trusted`` labelled ones with the smallest hash of
-their doc_id (a documented bound on labelled rows; their ids are sent to the
-tasks, so no text is shuffled to train).
+The model is trained on the ``max_trusted`` trusted documents with the smallest hash
+of their doc_id (a documented bound; their ids are sent to the tasks, so no text is
+shuffled to train).  The mean, the quantiles and the ``least`` test take all trusted
+documents, by a join of the scores with the labels.
 
 Defined cases.  A null or empty text is scored as its end symbol alone.  A label
 that is null counts as no label; a document with several label rows is trusted
@@ -82,10 +84,15 @@ def _chunks(rows) -> Iterator[list]:
         yield held
 
 
+def trusted_docs(labels: DataFrame) -> DataFrame:
+    """(doc_id) of every document whose labels all call it good and not toxic."""
+    return labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
+        .agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0").select("doc_id")
+
+
 def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> list[int]:
-    ok = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
-        .agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0")
-    return [r.doc_id for r in ok.select("doc_id").orderBy(F.xxhash64("doc_id")).limit(max_trusted).collect()]
+    """The documents that the model is trained on."""
+    return [r.doc_id for r in trusted_docs(labels).orderBy(F.xxhash64("doc_id")).limit(max_trusted).collect()]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -232,14 +239,13 @@ def score(docs: DataFrame, model: Model, rest: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, least: int = LEAST, prior: int = PRIOR,
              max_trusted: int = MAX_TRUSTED, head: int = HEAD) -> DataFrame:
     """(doc_id, lang, tag, n, perplexity, smoothed, threshold, keep), one row per distinct document."""
-    spark = docs.sparkSession
     ids = trusted_ids(labels, max_trusted)
     counts = stage(gram_counts(_texts(docs), ids), "kn-grams")
     if counts.isEmpty():
         none = F.lit(None).cast("double")
         return _texts(docs).select("doc_id", "lang", "tag", (F.length("text") + 1).cast("long").alias("n"), none.alias("perplexity"), none.alias("smoothed"), none.alias("threshold"), F.lit(True).alias("keep")).distinct()
     scored = stage(score(docs, *train(counts, head)), "kn-scores")
-    trusted = scored.join(F.broadcast(spark.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id", "left_semi")
+    trusted = stage(scored.join(trusted_docs(labels), "doc_id", "left_semi").select("lang", "n", "perplexity"), "kn-trusted")
     mean = trusted.agg(F.sum(F.col("n") * F.log("perplexity")) / F.sum("n")).first()[0]
     smoothed = F.exp((F.col("n") * F.log("perplexity") + prior * mean) / (F.col("n") + prior))
     scored, trusted = scored.withColumn("smoothed", smoothed), trusted.withColumn("smoothed", smoothed)

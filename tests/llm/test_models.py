@@ -161,6 +161,21 @@ def test_quality_on_held_out_labels(spark):
     assert kept[(1, 0)] > 0.99 and kept[(0, 0)] < 0.2, kept
 
 
+def test_quality_thresholds_take_all_trusted(spark):
+    rng = random.Random(5)
+    words = {"en": ["stone", "river", "falls", "rises"], "fr": ["pierre", "rivière", "tombe", "monte"]}
+    docs = [(i, " ".join(rng.choice(words["fr" if i % 2 else "en"]) for _ in range(30 + i % 7))) for i in range(160)]
+    df = frame(spark, docs).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "fr").otherwise("en"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(160)], LABELS)
+    out = quality.classify(df, labels, max_trusted=20, quantile=0.9).collect()  # fewer than ``least`` of a language train the model
+    mean = sum(r.n * math.log(r.perplexity) for r in out) / sum(r.n for r in out)
+    for lang in ("en", "fr"):
+        mine = [r for r in out if r.lang == lang]
+        smoothed = sorted(math.exp((r.n * math.log(r.perplexity) + quality.PRIOR * mean) / (r.n + quality.PRIOR)) for r in mine)
+        assert {round(r.threshold, 9) for r in mine} == {round(smoothed[math.ceil(0.9 * len(mine)) - 1] * quality.SLACK, 9)}
+    assert len({r.threshold for r in out}) == 2
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, None, None), (3, 1, 0), (4, 1, None), (4, 1, 1)], LABELS)
     assert quality.trusted_ids(labels) == [3]
