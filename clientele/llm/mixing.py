@@ -1,9 +1,10 @@
 """Operator 6 -- mixing to target weights by soft domain membership.
 
 Domains are the classes of the label table (``clean``, ``low`` quality, ``toxic``).
-A multinomial logistic classifier over hashed presence of words, their first four
-bytes and their shapes gives
-every document a posterior p over the domains.  With n its words and r its rate
+Two logistic classifiers over hashed presence of words, their first four bytes and
+their shapes, toxic against the rest and low against good quality, give every document
+a posterior p over the domains: toxic, else low, else clean.  A document that is both
+counts as toxic, and low wording says nothing against that.  With n its words and r its rate
 (expected copies), a domain's expected total is E_d = sum r n p_d.  The rates solve
 
     minimise  1/2 sum_d (E_d - T_d)^2 / (N S_d)  +  l/2 sum n/N (r - 1)^2,   0 <= r <= max_rate
@@ -20,8 +21,9 @@ are staged once as a few numbers per document; residuals are a few numbers per
 round.
 
 Defined cases.  A null or empty text has no words and posterior of the classifier's
-bias.  Labels with a null quality are left out, a null toxic mark is 0; of several
-label rows of a document the worst class counts.  Without labels every document
+bias.  A toxic mark counts whatever the quality; other labels with a null quality are
+left out, a null toxic mark is 0; of several label rows of a document the worst class
+counts.  Without labels every document
 is ``clean``.  Null and repeated doc_ids are rows like any other (each row has its
 own rate; the draw for fractions is by doc_id and text).  ``mix`` keeps all
 columns.  An empty table gives an empty result.
@@ -78,23 +80,23 @@ def features(text: bytes) -> tuple[int, np.ndarray]:
 
 @dataclass
 class Classifier:
-    weight: np.ndarray  # BUCKETS x domains
+    weight: np.ndarray  # BUCKETS x 2: log odds of toxic and of low
     bias: np.ndarray
 
     def posterior(self, found: np.ndarray) -> np.ndarray:
         z = self.bias + (self.weight[found].sum(axis=0) if len(found) else 0)
-        z = np.exp(z - z.max())
-        return z / z.sum()
+        toxic, low = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        return np.array([(1 - toxic) * (1 - low), (1 - toxic) * low, toxic])
 
 
 def fit(rows: list[tuple[int, np.ndarray]], n_classes: int, least_df: int = 4, least_z: float = 5.0, rounds: int = 200, rate: float = 0.1,
-        l2: float = 3e-4, balance: float = 0.25) -> Classifier:
-    """Full-batch logistic regression with Adam, over the buckets that stand in ``least_df``
+        l2: float = 3e-4, balance: float = 0.25) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and biases by class: full-batch logistic regression with Adam, over the buckets that stand in ``least_df``
     documents or more and whose presence tells some class apart (``least_z`` deviations)."""
     weight, bias = np.zeros((BUCKETS, n_classes)), np.zeros(n_classes)
     if not rows:
         bias[0] = 50.0
-        return Classifier(weight, bias)
+        return weight, bias
     seen = np.stack([np.bincount(np.concatenate([x for c, x in rows if c == k] or [[]]).astype(int), minlength=BUCKETS) for k in range(n_classes)], axis=1)
     df, of = seen.sum(axis=1, keepdims=True), np.bincount([c for c, _ in rows], minlength=n_classes)
     share = of / len(rows)
@@ -123,17 +125,24 @@ def fit(rows: list[tuple[int, np.ndarray]], n_classes: int, least_df: int = 4, l
             v[k] = 0.999 * v[k] + 0.001 * grad[k] ** 2
             x -= rate * (m[k] / (1 - 0.9 ** t)) / (np.sqrt(v[k] / (1 - 0.999 ** t)) + 1e-8)
     weight[used] = w
-    return Classifier(weight.astype(np.float32), b)
+    return weight, b
+
+
+def odds(rows: list[tuple[int, np.ndarray]]) -> Classifier:
+    """Rows of (mark, feature buckets); a mark is 0 good, 1 low, 2 unknown quality, and 3 more if toxic."""
+    made = [fit([(k // 3, x) for k, x in rows], 2), fit([(k % 3, x) for k, x in rows if k % 3 < 2], 2)]
+    return Classifier(np.stack([w[:, 1] - w[:, 0] for w, _ in made], axis=1).astype(np.float32), np.array([b[1] - b[0] for _, b in made]))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS) -> Classifier:
     spark = docs.sparkSession
-    kind = F.when(F.col("quality") == 0, 1).when(F.coalesce(F.col("toxic"), F.lit(0)) == 1, 2).otherwise(0)
-    of = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), kind.alias("kind")) \
-        .groupBy("doc_id").agg(F.max("kind").alias("kind"))
-    wanted = {}
+    of = labels.where("doc_id is not null and (quality is not null or toxic = 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")) \
+        .agg((F.max(F.coalesce("toxic", F.lit(0))) == 1).alias("toxic"), F.min("quality").alias("quality"))
+    low = F.when(F.col("quality") == 0, 1).when(F.col("quality").isNull(), 2).otherwise(0)
+    kind = F.when(F.col("toxic"), 2).when(F.col("quality") == 0, 1).otherwise(0)
+    of, wanted = of.select("doc_id", kind.alias("kind"), (F.col("toxic").cast("int") * 3 + low).alias("mark")), {}
     for k in range(len(DOMAINS)):
-        wanted |= {r.doc_id: k for r in of.where(F.col("kind") == k).orderBy(F.xxhash64("doc_id")).limit(max_per_class).collect()}
+        wanted |= {r.doc_id: r.mark for r in of.where(F.col("kind") == k).orderBy(F.xxhash64("doc_id")).limit(max_per_class).collect()}
     sent = ship(spark, (np.array(sorted(wanted), np.int64), np.array([wanted[d] for d in sorted(wanted)], np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +153,11 @@ def train(docs: DataFrame, labels: DataFrame, max_per_class: int = MAX_PER_CLASS
             out = [(int(kinds[np.searchsorted(ids, doc[i])]), features(batch.column(1)[int(i)].as_py())[1].tobytes()) for i in mine]
             yield pa.RecordBatch.from_arrays([pa.array([int(doc[i]) for i in mine], pa.int64()), pa.array([k for k, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["doc_id", "kind", "found"])
     if not wanted:
-        return fit([], len(DOMAINS))
+        return odds([])
     got = docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, "doc_id long, kind int, found binary")
     got = got.groupBy("doc_id").agg(F.max("kind").alias("kind"), F.max("found").alias("found"))  # one row where rows share an id
     rows = [(r.kind, np.frombuffer(r.found, np.int32)) for r in got.orderBy("doc_id").toLocalIterator()]
-    return fit(rows, len(DOMAINS))
+    return odds(rows)
 
 
 def _measured(text: bytes, model: Classifier) -> tuple[int, np.ndarray]:

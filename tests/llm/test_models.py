@@ -92,6 +92,35 @@ def test_mixing_classifier_on_held_out_labels(spark):
         assert (held.best[held.truth == d] == d).mean() >= least, d
 
 
+def test_mixing_toxic_mark_counts_whatever_the_quality(spark):
+    rng = random.Random(3)
+    common = [f"word{i}" for i in range(50)]
+
+    def text(*marks):
+        return " ".join(rng.choice(common) for _ in range(40)) + " " + " ".join(marks)
+    made = [(1, 0, ()), (0, 0, ("zzz", "qqq")), (1, 1, ("vile", "curse")), (0, 1, ("zzz", "qqq", "vile", "curse")), (None, 1, ("vile", "curse"))]
+    docs, labels = [], []
+    for i in range(400):
+        quality_mark, toxic, marks = made[i % len(made)]
+        docs.append((i, text(*marks)))
+        labels.append((i, quality_mark, toxic))
+    labels = spark.createDataFrame(labels, LABELS)
+    out = mixing.rates(frame(spark, docs), labels, mixing.weights(clean=1.0)).join(labels, "doc_id")
+    recall = {(r.quality, r.toxic): r.p for r in out.groupBy("quality", "toxic").agg(F.min("p_toxic").alias("p")).collect()}
+    assert all((p > 0.5) == (toxic == 1) for (_, toxic), p in recall.items()), recall
+    mixed = mixing.mix(frame(spark, docs), labels, mixing.multiples(clean=1.3, low=1.3, toxic=0.0), max_rate=1.0).join(labels, "doc_id")
+    assert mixed.where("toxic = 1").count() <= 0.05 * labels.where("toxic = 1").count()
+
+
+def test_mixing_recall_of_all_toxic_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").withColumn("side", F.col("doc_id") % 2)
+    out = mixing.rates(docs, labels.where("side = 0"), mixing.weights(clean=1.0)).join(labels.where("side = 1 and toxic = 1"), "doc_id")
+    found = {r.quality: r.share for r in out.groupBy("quality").agg(F.avg((F.expr("p_toxic > p_clean and p_toxic > p_low")).cast("int")).alias("share")).collect()}
+    print("recall of toxic labels by quality", found)
+    assert found[1] >= 0.9 and found[0] >= 0.35, found  # noise has taken the wording of many low ones
+
+
 def test_mixing_edges(spark):
     labels = spark.createDataFrame([(1, None, None), (4, 0, None), (4, 1, 0), (3, 1, None)], LABELS)
     for lab in (labels, labels.limit(0)):
