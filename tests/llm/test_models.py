@@ -66,6 +66,11 @@ def test_lm_is_normalised_and_learns(spark):
     assert math.isclose(sum((c[w] + 1) / outside for w in (b"b", b"c", b"new")), 1)
 
 
+def test_lm_beats_the_base_score_at_production_size(spark):
+    got = lm_score.score(table(spark, "/root/testdata/sf0.01", "documents")).where("held_out").agg(F.sum("base_score"), F.sum("score"), F.sum("n_tokens")).first()
+    assert (got[1] - got[0]) / got[2] > 0.05  # in log10 a token
+
+
 # 6 ------------------------------------------------------------------------------------------------------------------
 
 def test_mixing_hits_targets(spark):
