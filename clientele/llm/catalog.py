@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from clientele.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, quality, simhash, substring_dedup, token_files, topk
+from clientele.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, prefix_trie, quality, simhash, substring_dedup, token_files, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_quality_classifier": quality.op8_quality_classifier,
     "op9_token_files": token_files.op9_token_files,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op7_topk_search": topk.SQL,
+    "op11_prefix_trie": prefix_trie.SQL,
 }
