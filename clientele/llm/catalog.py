@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from clientele.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, prefix_trie, quality, simhash, substring_dedup, token_files, topk
+from clientele.llm import decontaminate, license_scan, line_dedup, lm_score, mixing, prefix_trie, quality, simhash, spelling, substring_dedup, token_files, topk, url_filter
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_token_files": token_files.op9_token_files,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_url_filter": url_filter.op12_url_filter,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +26,5 @@ ORACLES = {
     "op1_line_dedup": line_dedup.SQL,
     "op7_topk_search": topk.SQL,
     "op11_prefix_trie": prefix_trie.SQL,
+    "op13_spelling_variants": spelling.SQL,
 }
