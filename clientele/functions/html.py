@@ -2,22 +2,23 @@
 
 ``page_text`` follows the parse-tree rule of the reference: drop the elements
 ``script style nav footer head noscript svg iframe`` with their content, take every
-remaining text node, decode entities, strip it, drop empty ones, join with newlines
-and collapse 3+ newlines to 2.
+remaining text node, decode its character references, strip it, drop empty ones, join
+with newlines and collapse 3+ newlines to 2.
 
 Ordinary pages need no parse: comments, the doctype, dropped elements and every tag
 become a marker, and the text is split on it.  Pages where that would go wrong
-(``irregular``: a dropped element that nests, repeats or lacks a tag, a ``>`` inside
-an attribute) are cut into tags and texts and folded in order, with the open elements
-of the dropped region as state.  Both are JVM expressions.  Named entities outside
-``ENTITIES`` stay as they are.
+(``irregular``: dropped elements that cross, hold their own kind or lack a tag, a ``>``
+inside an attribute) are cut into tags and texts and folded in order, with the open
+elements of the dropped region as state.  The fold goes block by block, so its work grows with
+the number of tags and texts, not with its square.  Both are JVM expressions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from .text import ustrip
+from . import charrefs
+from .text import bind, ustrip
 
 MARK = "\u0001"
 DROPPED = ("script", "style", "nav", "footer", "head", "noscript", "svg", "iframe")
@@ -25,15 +26,9 @@ COMMENT_OR_DOCTYPE = r"(?is)<!--.*?-->|<!doctype[^>]*>"
 DROPPED_ELEMENT = r"(?is)<(" + "|".join(DROPPED) + r")\b[^>]*>.*?</\1\s*>"
 ANY_TAG = r"(?s)</?[a-zA-Z][^>]*>"
 
-# Named entities decoded natively, ``&amp;`` last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"),
-            ("&middot;", "·"), ("&amp;", "&"))
-
 
 def decode_entities(c: Column) -> Column:
-    for ent, ch in ENTITIES:
-        c = F.replace(c, F.lit(ent), F.lit(ch))
-    return c
+    return charrefs.decode(c)
 
 
 def text_nodes(html: Column) -> Column:
@@ -41,7 +36,7 @@ def text_nodes(html: Column) -> Column:
     s = F.regexp_replace(html, COMMENT_OR_DOCTYPE, MARK)
     s = F.regexp_replace(s, DROPPED_ELEMENT, MARK)
     s = F.regexp_replace(s, ANY_TAG, MARK)
-    parts = F.transform(F.split(s, MARK), lambda p: ustrip(decode_entities(p)))
+    parts = F.transform(F.split(decode_entities(s), MARK), ustrip)  # no reference decodes to the marker
     return F.filter(parts, lambda p: p != F.lit(""))
 
 
@@ -50,8 +45,18 @@ NESTING = ("nav", "footer", "head", "svg")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr")
 IN_HEAD = ("title", "meta", "link", "base", "template")
 CONTAINERS = ("html", "body", "main", "div", "section", "article", "aside", "header", "form", "table", "tr", "td")
-TAG = r"</?[a-zA-Z](?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-COMMENT_OR_RAW = (r"(?is)<!--.*?(?:-->|\z)|<!doctype[^>]*>|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\z)")
+ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+TAG = r"</?[a-zA-Z]" + ATTRIBUTES + ">"
+TEXT = r"[^<\x01]++(?:<(?![a-zA-Z/!])[^<\x01]*+)*+|<"
+COMMENT_OR_RAW = r"(?is)<!--.*?(?:-->|\z)|<!doctype[^>]*>|<(" + "|".join(RAW) + r")\b" + ATTRIBUTES + r">.*?(?:</\1\s*>|\z)"
+BLOCK = 512
+
+
+def _tag(token: Column) -> Column:
+    """A token as (name or null for a text, closing, alone)."""
+    name = F.lower(F.regexp_extract(token, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+    return bind(name, lambda n: F.struct(F.nullif(n, F.lit("")).alias("name"), token.startswith("</").alias("closing"),
+                                          (n.isin(*VOID) | token.endswith("/>")).alias("alone")))
 
 
 def _open_after(opened: Column, tag: Column) -> Column:
@@ -59,30 +64,46 @@ def _open_after(opened: Column, tag: Column) -> Column:
 
     A closing tag closes what was opened inside it; one that closes an enclosing
     container ends the region; anything but head content ends an open head."""
-    name = F.lower(F.regexp_extract(tag, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
-    none = F.array().cast("array<string>")
+    name, none = tag["name"], F.array().cast("array<string>")
     at = F.array_position(F.reverse(opened), name)
     closed = (F.when(at > 0, F.slice(opened, F.lit(1), F.greatest(F.size(opened) - at.cast("int"), F.lit(0))))
                .when(name.isin(*CONTAINERS), none).otherwise(opened))
     enters = F.when(name.isin(*NESTING), F.array(name)).otherwise(none)
     leaves_head = (F.get(opened, 0) == "head") & ~name.isin(*IN_HEAD)
     grown = (F.when((F.size(opened) == 0) | leaves_head, enters).otherwise(F.concat(opened, F.array(name))))
-    alone = name.isin(*VOID) | tag.endswith("/>")
-    return F.when(tag.startswith("</"), closed).when(alone, F.when(leaves_head & (F.size(opened) > 0) & ~name.isin(*VOID), none).otherwise(opened)).otherwise(grown)
+    alone = F.when(leaves_head & (F.size(opened) > 0) & ~name.isin(*VOID), none).otherwise(opened)
+    return F.when(tag["closing"], F.when(F.size(opened) == 0, opened).otherwise(closed)).when(tag["alone"], alone).otherwise(grown)
+
+
+def _kept(tags: Column) -> Column:
+    """For every token whether it is a text outside the dropped regions.
+
+    Two folds, one over blocks of ``BLOCK`` tokens and one inside a block: appending to an
+    array copies it, and so the copied arrays stay short."""
+    no_flags, no_names = F.array().cast("array<boolean>"), F.array().cast("array<string>")
+    last = F.floor((F.size(tags) - 1) / F.lit(BLOCK)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda b: F.slice(tags, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def step(state: Column, tag: Column) -> Column:
+        text = tag["name"].isNull()
+        return F.struct(F.when(text, state["open"]).otherwise(_open_after(state["open"], tag)).alias("open"),
+                        F.concat(state["keep"], F.array(text & (F.size(state["open"]) == 0))).alias("keep"))
+
+    def block(state: Column, some: Column) -> Column:
+        inner = F.aggregate(some, F.struct(state["open"].alias("open"), no_flags.alias("keep")), step)
+        return bind(inner, lambda r: F.struct(r["open"].alias("open"), F.concat(state["keep"], F.array(r["keep"])).alias("keep")))
+    start = F.struct(no_names.alias("open"), F.array().cast("array<array<boolean>>").alias("keep"))
+    return F.aggregate(blocks, start, block, lambda state: F.flatten(state["keep"]))
 
 
 def folded_text_nodes(html: Column) -> Column:
     """``text_nodes`` by a fold over the page's tags and texts in order."""
-    tokens = F.regexp_extract_all(F.regexp_replace(html, COMMENT_OR_RAW, MARK), F.lit("(?s)" + TAG + r"|[^<\x01]+(?:<(?![a-zA-Z/!])[^<\x01]*)*|<"), 0)
-    empty = F.struct(F.array().cast("array<string>").alias("open"), F.array().cast("array<string>").alias("out"))
+    tokens = F.regexp_extract_all(F.regexp_replace(html, COMMENT_OR_RAW, MARK), F.lit(f"(?s){TAG}|{TEXT}"), 0)
 
-    def step(state: Column, token: Column) -> Column:
-        tag = token.rlike(r"^</?[a-zA-Z]")
-        text = ustrip(decode_entities(token))
-        kept = ~tag & (F.size(state["open"]) == 0) & (text != "")
-        return F.struct(F.when(tag, _open_after(state["open"], token)).otherwise(state["open"]).alias("open"),
-                        F.when(kept, F.concat(state["out"], F.array(text))).otherwise(state["out"]).alias("out"))
-    return F.aggregate(tokens, empty, step, lambda state: state["out"])
+    def texts(tokens: Column) -> Column:
+        keep = bind(F.transform(tokens, _tag), _kept)
+        return F.zip_with(tokens, keep, lambda token, k: F.when(k, ustrip(decode_entities(token))))
+    return F.filter(bind(tokens, texts), lambda t: t != F.lit(""))
 
 
 def page_text(html: Column, max_chars: int | None = None) -> Column:
@@ -92,27 +113,43 @@ def page_text(html: Column, max_chars: int | None = None) -> Column:
     return t if max_chars is None else F.substring(t, 1, max_chars)
 
 
-def _occurrences(hay: Column, needle: str) -> Column:
-    """Occurrences of a literal, by length difference (no regex, no arrays)."""
-    return (F.length(hay) - F.length(F.replace(hay, F.lit(needle), F.lit("")))) / F.lit(len(needle))
+# the names of the dropped elements' tags in a row: elements side by side, with elements of other kinds inside
+REGULAR = r"^(?:<([a-z]+)(?=<)(?:<(?!\1<)([a-z]+)(?=<)</\2(?=<|$))*+</\1(?=<|$))*+$"
 
 
 def irregular(html: Column) -> Column:
-    """True when the marker recipe may differ from a parse.  Counting uses plain
-    ``replace``, so the check stays cheap next to the text extraction itself."""
-    low = F.lower(html)
+    """True when the marker recipe may differ from a parse."""
     odd = html.rlike(r"=\s*(\"[^\"<]*>|'[^'<]*>)")
-    for tag in DROPPED:
-        opens = _occurrences(low, f"<{tag}")
-        odd = odd | (opens != _occurrences(low, f"</{tag}"))
-        if tag in NESTING and tag != "head":
-            odd = odd | (opens > 1)
-    return F.coalesce(odd, F.lit(False))
+    names = F.regexp_extract_all(html, F.lit(r"(?i)</?(?:" + "|".join(DROPPED) + r")\b"), 0)
+    return F.coalesce(odd | ~F.lower(F.array_join(names, "")).rlike(REGULAR), F.lit(False))
+
+
+def tags(html: Column, element: str) -> Column:
+    """The start tags of an element in page order, outside comments and raw content."""
+    return F.regexp_extract_all(F.regexp_replace(html, COMMENT_OR_RAW, " "), F.lit(rf"(?is)<{element}(?=[\s/>]){ATTRIBUTES}>"), 0)
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The decoded value of a tag's attribute, whatever its quotes, case and place; null if absent."""
+    others = rf"(?:[\s/]++(?!{name}[\s=/>])[^\s=/>]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>]++))?+)*+"
+    found = rf"(?is)^<[a-z][^\s/>]*+{others}[\s/]++{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    value = F.concat(*(F.regexp_extract(tag, found, i) for i in (1, 2, 3)))
+    return F.when(tag.rlike(found), charrefs.decode(value, in_attribute=True))
+
+
+def attributes(html: Column, element: str, name: str) -> Column:
+    """The values of an attribute over all tags of an element that have it."""
+    return F.filter(F.transform(tags(html, element), lambda t: attribute(t, name)), lambda v: v.isNotNull())
 
 
 def hrefs(html: Column) -> Column:
-    """Raw ``href`` values of anchors, in page order."""
-    return F.regexp_extract_all(html, F.lit(r'<a href="([^"]*)"'), 1)
+    """``href`` values of anchors, in page order."""
+    return attributes(html, "a", "href")
+
+
+def base_href(html: Column) -> Column:
+    """The ``href`` of the page's first ``base`` element that has one."""
+    return F.get(attributes(html, "base", "href"), 0)
 
 
 def list_items(html: Column) -> Column:
@@ -122,7 +159,7 @@ def list_items(html: Column) -> Column:
 
 def image_alts(html: Column) -> Column:
     """``alt`` texts of images (logo walls)."""
-    return F.regexp_extract_all(html, F.lit(r'(?is)<img\b[^>]*\balt="([^"]*)"'), 1)
+    return attributes(html, "img", "alt")
 
 
 def strip_tags(c: Column) -> Column:

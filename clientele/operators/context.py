@@ -10,6 +10,7 @@ from .. import schemas
 from ..functions import html as H
 from .dedupe import keep_first
 from .ordinal import ordinal
+from .redirects import redirect_ends
 
 
 def dedupe_urls(cands: DataFrame, company: str = "netloc") -> DataFrame:
@@ -45,28 +46,54 @@ def with_fallback(cands: DataFrame, companies: DataFrame, company: str = "netloc
     return cands.select(company, "url", "type", "seq", F.lit(False).alias("is_fallback")).unionByName(fb)
 
 
-def fetch(cands: DataFrame, pages: DataFrame, company: str = "netloc") -> DataFrame:
-    """Join the candidates with the crawled pages on URL.
+def parsed_pages(pages: DataFrame, with_text: bool = True, fields: dict[str, Column] | None = None) -> DataFrame:
+    """P9 and ``fields`` (columns over ``html``), once per page: (page_url, code, text, n_chars, ...).
+
+    Of several rows of one URL the one with the lowest code, then the smallest text, counts.
+    ``http_status`` of the page table is optional.  Pages that answered 400 or more have
+    no text; without ``with_text`` only its length is kept."""
+    code = (F.col("http_status") if "http_status" in pages.columns else F.lit(200)).cast("int")
+    good = F.coalesce(code, F.lit(200)) < 400
+    x = pages.select(F.col("url").alias("page_url"), code.alias("code"), F.when(good, H.page_text(F.col("html"))).alias("text"),
+                     *(F.when(good, c).alias(name) for name, c in (fields or {}).items()))
+    x = x.withColumn("n_chars", F.length("text").cast("long"))
+    x = x if with_text else x.drop("text")
+    order = F.struct(F.coalesce("code", F.lit(200)), "text" if with_text else "n_chars")
+    return keep_first(x.filter(F.col("page_url").isNotNull()), ["page_url"], order)
+
+
+def fetch(cands: DataFrame, pages: DataFrame, company: str = "netloc", redirects: DataFrame | None = None,
+          with_text: bool = True, fields: dict[str, Column] | None = None) -> DataFrame:
+    """Join the candidates with the crawled pages on the URL that their
+    redirects end at.
 
     Status per candidate: ``skipped`` (not http), ``ok`` (page present; whole text
     by P9), ``http`` (the page answered 400 or more, ``http_code``), ``failed`` (no
-    page).  ``http_status`` of the page table is optional.  Only the columns named
-    here are read and the html is dropped right after P9."""
-    code = F.col("http_status") if "http_status" in pages.columns else F.lit(200)
-    pg = pages.select(F.col("url").alias("_page_url"), "html", code.cast("int").alias("_code"))
-    j = cands.join(pg, (F.col("url") == F.col("_page_url")) & F.col("url").startswith("http"), "left")
-    bad = F.coalesce(F.col("_code") >= 400, F.lit(False))
-    status = (F.when(~F.col("url").startswith("http"), F.lit("skipped"))
+    page), ``failed(loop)`` and ``failed(redirects)`` (redirects that never end, or more
+    than a client follows).  ``final_url`` is the URL that answered, so two candidates may share
+    it.  ``redirects``: from_url, to_url.  Pages are parsed before the join, so each one once."""
+    asked = F.col("url").startswith("http")
+    if redirects is not None:
+        ends = redirect_ends(redirects).select(F.col("url").alias("_from"), F.col("final_url").alias("_end"), "outcome")
+        cands = cands.join(ends, (F.col("url") == F.col("_from")) & asked, "left")
+        target = F.when(F.col("outcome").isNull(), F.col("url")).otherwise(F.col("_end"))
+        lost = F.when(F.col("outcome") != "ok", F.concat(F.lit("failed("), F.col("outcome"), F.lit(")")))
+    else:
+        target, lost = F.col("url"), F.lit(None).cast("string")
+    cands = cands.withColumn("_lost", lost).withColumn("_target", F.when(asked, target))
+    pg = parsed_pages(pages, with_text, fields)
+    j = cands.join(pg, F.col("_target") == F.col("page_url"), "left")
+    bad = F.coalesce(F.col("code") >= 400, F.lit(False))
+    status = (F.when(~asked, F.lit("skipped"))
+               .when(F.col("_lost").isNotNull(), F.col("_lost"))
                .when(bad, F.lit("http"))
-               .when(F.col("_page_url").isNotNull(), F.lit("ok"))
+               .when(F.col("page_url").isNotNull(), F.lit("ok"))
                .otherwise(F.lit("failed")))
     return (j.withColumn("status", status)
-             .withColumn("http_code", F.when(bad, F.col("_code")))
+             .withColumn("http_code", F.when(bad, F.col("code")))
              .withColumn("type", F.coalesce("type", F.lit("unknown")))
-             .withColumn("text", F.when(F.col("status") == "ok", H.page_text(F.col("html"))))
-             .withColumn("final_url", F.when(F.col("status") == "ok", F.col("_page_url")))
-             .withColumn("n_chars", F.length("text").cast("long"))
-             .drop("_page_url", "html", "_code"))
+             .withColumn("final_url", F.when(F.col("status") == "ok", F.col("page_url")))
+             .drop("page_url", "code", "_from", "_end", "outcome", "_lost", "_target"))
 
 
 def fetch_counts(fetched: DataFrame, company: str = "netloc") -> DataFrame:

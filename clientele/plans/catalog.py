@@ -257,7 +257,7 @@ def company_detail(spark, sf):
 # ---------------------------------------------------------------------------
 
 from ..functions import html as H  # noqa: E402
-from ..operators import context  # noqa: E402
+from ..operators import context, frontier as FR, redirects  # noqa: E402
 
 
 @query("url_dedupe")
@@ -286,7 +286,13 @@ def candidate_fallback(spark, sf):
 
 
 def _fetched(spark, sf):
-    return context.fetch(context.dedupe_urls(fx.page_candidates(spark, sf)), fx.crawl(spark, sf))
+    return context.fetch(context.dedupe_urls(fx.page_candidates(spark, sf)), fx.crawl(spark, sf), redirects=fx.redirects(spark, sf), with_text=False)
+
+
+@query("redirect_ends")
+def redirect_ends(spark, sf):
+    """S1 + P30: the end of every redirect chain, its hops, loops and chains that are too long."""
+    return redirects.redirect_ends(fx.redirects(spark, sf))
 
 
 @query("fetch_status")
@@ -304,7 +310,7 @@ def fetch_status_counts(spark, sf):
 @query("page_text")
 def page_text(spark, sf):
     """Whole readable text of every crawled page."""
-    t = table(spark, sf, "pages").select("page_id", H.page_text(F.col("html")).alias("text"))
+    t = fx.reference_pages(spark, sf).select("page_id", H.page_text(F.col("html")).alias("text"))
     return t.withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -555,8 +561,18 @@ def stream_upsert(spark, sf):
 
 @query("stream_dedupe")
 def stream_dedupe(spark, sf):
-    """ST2: stream dedupe of (user, event type) within a 40-day watermark."""
-    return ST.run_stream_dedupe(spark, sf).select("user_id", "event_type")
+    """ST2: stream dedupe of (user, event type) within a 4-day watermark over four arrivals by
+    time; rows that arrive behind the watermark are set aside."""
+    return ST.run_stream_dedupe(spark, sf).select("user_id", "event_type", F.date_format("ts", TS_FMT).alias("ts"), "is_late")
+
+
+@query("stream_reply_join")
+def stream_reply_join(spark, sf):
+    """J6 incremental: requests and replies as two streams; a reply that does not come within
+    ten minutes is an error row."""
+    out = ST.run_stream_replies(spark, _customer_requests(spark, sf), fx.model_responses(spark, sf))
+    err = F.when(~F.col("has_reply"), F.lit("no reply")).otherwise(R.reply_error(F.col("http_status"), F.col("reply_body")))
+    return out.select("request_id", "has_reply", "http_status", err.alias("error"))
 
 
 # ---------------------------------------------------------------------------
@@ -578,18 +594,22 @@ def page_types(spark, sf):
 
 @query("link_discovery")
 def link_discovery(spark, sf):
-    """Outlinks of every page in order, made absolute, same-host flag, type."""
-    p = _pages(spark, sf).select("page_id", "url", F.posexplode(H.hrefs(F.col("html"))).alias("i", "href"))
-    scheme = F.regexp_extract("url", r"^([a-zA-Z]+)://", 1)
-    host = urls.netloc(F.col("url"))
-    href = F.col("href")
-    absu = (F.when(href.rlike(r"^https?://"), href)
-             .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-             .when(href.startswith("/"), F.concat(scheme, F.lit("://"), host, href)))
-    out = p.select("page_id", (F.col("i") + 1).cast("long").alias("link_pos"), "href", absu.alias("abs_url"), host.alias("host"))
-    return out.select("page_id", "link_pos", "href", "abs_url",
-                      (F.lower(urls.netloc(F.col("abs_url"))) == F.lower(F.col("host"))).alias("same_host"),
-                      F.when(F.col("abs_url").isNotNull(), urls.page_type(F.col("abs_url"))).alias("link_type"))
+    """Outlinks of every page in order, resolved against its base, same-host flag, type."""
+    links = FR.page_links(_pages(spark, sf), "page_id")
+    host = F.lower(urls.netloc(F.col("from_url")))
+    return links.select("page_id", F.col("pos").alias("link_pos"), "href", F.col("to_url").alias("abs_url"),
+                        (F.lower(urls.netloc(F.col("to_url"))) == host).alias("same_host"),
+                        F.when(F.col("to_url").isNotNull(), urls.page_type(F.col("to_url"))).alias("link_type"))
+
+
+@query("frontier")
+def frontier(spark, sf):
+    """X2 + A1: the pages of each company that can be reached from the first page of its
+    sites over links to known page types, hop by hop until nothing new is found."""
+    site = fx.linked_site(spark, sf)
+    seeds = site.where(F.col("r") == 1).select(FR.company_of(F.col("url")).alias("company_key"), "url")
+    found = FR.frontier(seeds, FR.site_links(site.select("url", "html")))
+    return found.select("company_key", "url", "hop", "via_url", urls.page_type(F.col("url")).alias("type"))
 
 
 def _list_names(spark, sf):
@@ -646,7 +666,7 @@ def headline_clients(spark, sf):
 
 @query("logo_names")
 def logo_names(spark, sf):
-    """Image alt texts as logo-wall names of the sites."""
+    """Image alt texts as logo-wall names of the sites, whatever their quotes and case."""
     from ..functions.text import ustrip
     p = _pages(spark, sf).select("page_id", F.posexplode(H.image_alts(F.col("html"))).alias("i", "alt"))
     return (p.select("page_id", (F.col("i") + 1).cast("long").alias("pos"), ustrip(F.col("alt")).alias("name"))
@@ -674,19 +694,19 @@ def _e1_inputs(spark, sf):
     replies = _discovery_replies(spark, sf)
     inputs = replies.select(F.col("netloc").alias("input_url")).distinct()
     of = replies.withColumn("company_key", urls.company_key(urls.strip_www(F.col("netloc"))))
-    return inputs, *jobs.discovery_results(of.select("company_key", "chunk", "reply"))
+    return inputs, *jobs.discovery_results(of.select("company_key", F.col("netloc").alias("reply_id"), "chunk", "reply"))
 
 
 def _e1(spark, sf):
     inputs, said, cands = _e1_inputs(spark, sf)
-    return jobs.build_repository(inputs, cands, fx.crawl(spark, sf), None, SCRAPED_AT, said=said)
+    return jobs.build_repository(inputs, cands, fx.crawl(spark, sf), None, SCRAPED_AT, said=said, redirects=fx.redirects(spark, sf))
 
 
 @query("build_repository")
 def build_repository(spark, sf):
     """Every company's document, built from candidates, pages and replies."""
     d = _e1(spark, sf)
-    return d.select("company_key", F.col("document.company_name").alias("company_name"),
+    return d.select("company_key", "part", F.col("document.company_name").alias("company_name"),
                     F.size("document.clients").cast("long").alias("n_clients"),
                     F.size(F.filter("document.clients", lambda c: c["source"] == "technology_partner"))
                     .cast("long").alias("n_partners"),
@@ -697,14 +717,13 @@ def build_repository(spark, sf):
 
 @query("apply_results")
 def apply_results(spark, sf):
-    """E1 results upserted (tenant by key hash) into the repository state
+    """E1 results upserted (tenant by length of the key) into the repository state
     of the write log, with the compat error policy."""
     d = _e1(spark, sf).withColumn(
-        "email", F.concat(F.lit("user"), F.pmod(F.xxhash64("company_key"), F.lit(15)).cast("string"),
-                          F.lit("@example.com")))
+        "email", F.concat(F.lit("user"), (F.length("company_key") % 15).cast("string"), F.lit("@example.com")))
     repo = _repo_state(spark, sf)
     out = jobs.apply_results(repo, d, "2024-02-01 00:00:00")
-    return _fmt_ts(out.select(*KEYS, "data", "updated_at", "seq"))
+    return _fmt_ts(out.select(*KEYS, "part", "data", "updated_at", "seq"))
 
 
 @query("repository_export")

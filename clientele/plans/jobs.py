@@ -5,8 +5,8 @@ its two model calls into materialisable steps (requests -> replies ->
 results) so each can be restarted on its own:
 
     companies --P1-P7--> identity, locale
-    discovery candidates --A1--> unique --F9--> fallback
-      --J2/P9--> fetched text (S11 status)        [html dropped right after P9]
+    discovery candidates (+ X2 frontier) --A1--> unique --F9--> fallback
+      --S1--> ends of redirects --J2/P9--> fetched text (S11 status)   [html dropped right after P9]
       --W4/W3/A8--> context in parts --P19/P20--> analysis requests
     replies (J6 table, or U2 model step) --P10-P12--> decoded
       --P15/P16/SO1--> records --F2/A2--> clean clients --A9--> document
@@ -22,6 +22,8 @@ from .. import schemas
 from ..functions import extract as X, html as H, replies as R, urls
 from ..operators import context, udfs
 from ..operators.dedupe import keep_first
+from ..operators.frontier import frontier
+from ..operators.ordinal import ordinal
 from ..sources import store as S
 from ..functions.text import ustrip
 from ..session import ensure_checkpoint_dir
@@ -38,11 +40,20 @@ def company_inputs(inputs: DataFrame, url_col: str = "input_url") -> DataFrame:
                     urls.default_company_name(F.col("domain")).alias("default_name"))
 
 
-def fetched_pages(companies: DataFrame, candidates: DataFrame, pages: DataFrame) -> DataFrame:
+def page_items() -> Column:
+    """Candidate names of a page in order -- list items, image texts, the headline's client."""
+    html = F.col("html")
+    return F.concat(F.transform(H.list_items(html), lambda x: H.strip_tags(x)), H.image_alts(html),
+                    F.array(X.headline_client(H.title(html))))
+
+
+def fetched_pages(companies: DataFrame, candidates: DataFrame, pages: DataFrame, redirects: DataFrame | None = None,
+                  fields: dict[str, Column] | None = None) -> DataFrame:
     """A1 -> F9 -> J2/P9: the fetched pages of every company, in the order of ``seq``
     (the fallback page stands alone).
 
-    ``candidates``: ``company_key, url, type, description, seq``."""
+    ``candidates``: ``company_key, url, type, description, seq`` with ``seq`` unique in a
+    company; ``fields``: columns over ``html`` to keep, computed where the page is parsed."""
     uniq = keep_first(candidates.filter(F.coalesce(F.col("url") != "", F.lit(False))),
                       ["company_key", "url"], F.col("seq"))
     fb = (companies.select("company_key", F.col("url_norm").alias("url"))
@@ -50,22 +61,38 @@ def fetched_pages(companies: DataFrame, candidates: DataFrame, pages: DataFrame)
                    .select("company_key", "url", F.lit("homepage").alias("type"),
                            F.lit("direct input").alias("description"), F.lit(0).cast("long").alias("seq")))
     cands = uniq.select("company_key", "url", "type", "description", "seq").unionByName(fb)
-    return context.fetch(cands, pages, company="company_key")
+    return context.fetch(cands, pages, company="company_key", redirects=redirects, fields=fields)
 
 
 def discovery_results(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What discovery replies (``company_key, chunk, reply``) say.
+    """What discovery replies (``company_key, reply_id, chunk, reply``) say.
 
     Returns the companies' names and descriptions (first chunk that has one) and the
-    candidates in reply order.  A reply that does not decode gives neither: its
-    company keeps its default name and its own URL as the only page (F9)."""
+    candidates, numbered over all replies of a company by (chunk, reply_id, place in the reply).
+    (reply_id, chunk) names a reply; without a ``reply_id`` a company has one per chunk.  A reply that
+    does not decode gives neither: its company keeps its default name and its own URL as the only page (F9)."""
+    if "reply_id" not in replies.columns:
+        replies = replies.withColumn("reply_id", F.lit(""))
     d = replies.withColumn("_r", F.from_json(R.first_json_object(F.col("reply")), schemas.DISCOVERY_REPLY))
+    place = F.struct("chunk", "reply_id")
     said = d.groupBy("company_key").agg(
-        *[F.min_by(F.col(f"_r.{c}"), F.when(F.col(f"_r.{c}") != "", F.col("chunk"))).alias(c) for c in ("company_name", "company_description")])
-    x = d.select("company_key", "chunk", F.posexplode("_r.pages").alias("i", "c"))
-    order = F.col("chunk") * F.lit(1 << 32) + F.col("i") + 1
-    cands = x.select("company_key", *R.candidate_defaults(F.col("c")), order.alias("seq"))
-    return said, cands
+        *[F.min_by(F.col(f"_r.{c}"), F.when(F.col(f"_r.{c}") != "", place)).alias(c) for c in ("company_name", "company_description")])
+    x = d.select("company_key", "chunk", "reply_id", F.posexplode("_r.pages").alias("i", "c"))
+    x = x.select("company_key", "chunk", "reply_id", "i", *R.candidate_defaults(F.col("c")))
+    cands = ordinal(x, ["company_key"], [F.col("chunk"), F.col("reply_id"), F.col("i")], "seq")
+    return said, cands.select("company_key", "url", "type", "description", "seq")
+
+
+def with_linked_pages(candidates: DataFrame, links: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """The candidates and then every page that links of the site (``frontier.site_links``) reach
+    from them, by hops; ``seq`` goes on where the candidates end."""
+    found = frontier(candidates, links, max_rounds).filter(F.col("hop") > 0)
+    none = F.lit(None).cast("string")
+    old = candidates.select("company_key", "url", "type", "description", F.lit(0).cast("long").alias("hop"), F.col("seq").alias("n"), none.alias("at"))
+    new = found.select("company_key", "url", urls.page_type(F.col("url")).alias("type"), F.concat(F.lit("link on "), "via_url").alias("description"),
+                       "hop", F.lit(0).cast("long").alias("n"), F.col("url").alias("at"))
+    both = ordinal(old.unionByName(new), ["company_key"], [F.col("hop"), F.col("n"), F.col("at")], "seq")
+    return both.select("company_key", "url", "type", "description", "seq")
 
 
 def page_parts(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,22 +117,18 @@ def analysis_requests(companies: DataFrame, fetched: DataFrame, parts: tuple[Dat
                     R.request_body(prompt, schemas.ANALYSIS_MAX_TOKENS, False).alias("body"))
 
 
-def rule_based_replies(fetched: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFrame:
+def rule_based_replies(fetched: DataFrame, blocks: DataFrame) -> DataFrame:
     """Offline stand-in for the analysis model (X3-X10): candidate names from
-    list items, logo alts and headlines of each company's fetched pages,
-    normalised, split into clients and vendors, stop words and the own
+    list items, logo alts and headlines of each company's fetched pages (``page_items`` as
+    column ``items``), normalised, split into clients and vendors, stop words and the own
     name removed, with an evidence sentence; emitted as the JSON replies a
     model would give (so the decode path is the same), one per request: a page
-    answers in the part where its block starts."""
+    answers in the part where its block starts, and a part without a name answers with
+    empty lists."""
     first = blocks.where(F.col("piece_from") == 1).select("company_key", "seq", "part")
-    ok = (fetched.filter(F.col("status") == "ok").select("company_key", "seq", "final_url", "type", "text")
-                 .join(first, ["company_key", "seq"]))
-    html = pages.select(F.col("url").alias("final_url"), "html")
-    j = ok.join(html, "final_url")
-    items = F.concat(
-        F.transform(H.list_items(F.col("html")), lambda x: H.strip_tags(x)),
-        H.image_alts(F.col("html")),
-        F.array(X.headline_client(H.title(F.col("html")))))
+    j = (fetched.filter(F.col("status") == "ok").select("company_key", "seq", "type", "text", "items")
+                .join(first, ["company_key", "seq"]))
+    items = F.col("items")
     c = (j.select("company_key", "part", "seq", "type", "text", F.posexplode(items).alias("i", "raw"))
           .withColumn("name", X.normalize_name(F.col("raw")))
           .filter(F.col("name").isNotNull() & (F.col("name") != "") & ~X.is_stop_name(F.col("name"))))
@@ -122,8 +145,10 @@ def rule_based_replies(fetched: DataFrame, pages: DataFrame, blocks: DataFrame)
     g = c.groupBy("company_key", "part").agg(
         F.array_sort(F.collect_list(F.when(~F.col("vendor"), F.struct(order.alias("o"), client.alias("c"))))).alias("cl"),
         F.array_sort(F.collect_list(F.when(F.col("vendor"), F.struct(order.alias("o"), partner.alias("p"))))).alias("pl"))
-    doc = F.struct(F.transform("cl", lambda x: x["c"]).alias("clients"),
-                   F.transform("pl", lambda x: x["p"]).alias("technology_partners"))
+    g = blocks.select("company_key", "part").distinct().join(g, ["company_key", "part"], "left")
+    none = F.array()
+    doc = F.struct(F.coalesce(F.transform("cl", lambda x: x["c"]), none).alias("clients"),
+                   F.coalesce(F.transform("pl", lambda x: x["p"]), none).alias("technology_partners"))
     reply = F.concat(F.lit("```json\n"), F.to_json(doc), F.lit("\n```"))
     env = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), reply.alias("text"))).alias("content")))
     return g.select(request_id(F.col("company_key"), F.col("part")).alias("reply_id"), F.lit(200).alias("http_status"), env.alias("body"))
@@ -190,26 +215,39 @@ def decode_results(replies: DataFrame, strict_null: bool = False) -> tuple[DataF
     return clean, errors
 
 
+PART_ROWS = 1000  # clients, and sources, in one part of a company's document
+
+
 def build_documents(companies: DataFrame, fetched: DataFrame, clean: DataFrame, errors: DataFrame,
-                    scraped_at: str, said: DataFrame | None = None) -> DataFrame:
-    """The company document, one per input company; name and description
-    come from the discovery (``said``) where it gave them.
+                    scraped_at: str, said: DataFrame | None = None, part_rows: int = PART_ROWS) -> DataFrame:
+    """The company document, for each input company (company_key, part, n_parts,
+    document, n_bad_names); name and description come from the discovery (``said``) where it gave them.
+
+    A company's clients and sources are numbered by the skew-safe ordinal and laid into parts
+    of ``part_rows`` each, so no group grows with a company; a company with no more than
+    that has part 0 only.  Every part repeats the head of the document.
 
     Zero fetched pages -> empty clients and no error (Q6); a failed
     analysis -> empty clients with the error."""
-    src = (fetched.filter(F.col("status") == "ok")
-                  .groupBy("company_key")
-                  .agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "final_url"))),
-                                   lambda x: x["final_url"]).alias("sources_checked")))
+    def part_of(n: str) -> Column:
+        return F.floor((F.col(n) - 1) / F.lit(part_rows)).cast("long")
+
+    ok = fetched.filter(F.col("status") == "ok").select("company_key", "seq", "final_url")
+    src = (ordinal(ok, ["company_key"], [F.col("seq")], "n").groupBy("company_key", part_of("n").alias("part"))
+           .agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "final_url"))), lambda x: x["final_url"]).alias("sources_checked")))
     rec = F.struct("name", "industry", "country", "source", "ai_note", "confidence")
-    cl = (clean.groupBy(F.col("request_id").alias("company_key"))
-               .agg(F.array_sort(F.collect_list(F.struct(F.struct("section", "part", "pos").alias("o"), rec.alias("c"))))
-                    .alias("items"))
-               .select("company_key", F.transform("items", lambda x: x["c"]).alias("clients")))
+    rows = clean.select(F.col("request_id").alias("company_key"), F.struct("section", "part", "pos").alias("o"), rec.alias("c"))
+    cl = (ordinal(rows, ["company_key"], [F.col("o")], "n").groupBy("company_key", part_of("n").alias("part"))
+          .agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "c"))), lambda x: x["c"]).alias("clients")))
+    first = companies.select("company_key", F.lit(0).cast("long").alias("part"))
+    parts = first.unionByName(src.select("company_key", "part")).unionByName(cl.select("company_key", "part")).distinct()
+    n_parts = parts.groupBy("company_key").agg((F.max("part") + 1).alias("n_parts"))
     err = errors.select(F.col("request_id").alias("company_key"), "error", "n_bad_names")
-    j = (companies.join(src, "company_key", "left").join(cl, "company_key", "left").join(err, "company_key", "left"))
+    has = src.filter(F.col("part") == 0).select("company_key", F.lit(True).alias("has_sources"))
+    head = companies.join(n_parts, "company_key").join(err, "company_key", "left").join(has, "company_key", "left")
     none = F.lit(None).cast("string")
-    j = j.join(said, "company_key", "left") if said is not None else j.withColumn("company_name", none).withColumn("company_description", none)
+    head = head.join(said, "company_key", "left") if said is not None else head.withColumn("company_name", none).withColumn("company_description", none)
+    j = parts.join(head, "company_key").join(src, ["company_key", "part"], "left").join(cl, ["company_key", "part"], "left")
     empty_clients = F.array().cast(schemas.COMPANY_DOCUMENT["clients"].dataType)
     doc = F.struct(
         F.col("company_key").alias("key"),
@@ -221,52 +259,57 @@ def build_documents(companies: DataFrame, fetched: DataFrame, clean: DataFrame,
         F.coalesce(F.col("sources_checked"), F.array().cast("array<string>")).alias("sources_checked"),
         F.lit(scraped_at).alias("scraped_at"),
         F.lit(True).alias("ai_cleaned"),
-        F.when(F.col("sources_checked").isNotNull(), F.col("error")).alias("error"))
-    return j.select("company_key", doc.alias("document"),
+        F.when(F.col("has_sources"), F.col("error")).alias("error"))
+    return j.select("company_key", "part", "n_parts", doc.alias("document"),
                     F.coalesce("n_bad_names", F.lit(0)).cast("long").alias("n_bad_names"))
 
 
 def build_repository(inputs: DataFrame, candidates: DataFrame, pages: DataFrame,
                      replies: DataFrame | None, scraped_at: str, strict_null: bool = False,
-                     said: DataFrame | None = None) -> DataFrame:
+                     said: DataFrame | None = None, redirects: DataFrame | None = None, part_rows: int = PART_ROWS) -> DataFrame:
     """E1.  ``inputs``: input_url; ``candidates``: company_key, url, type,
     description, seq; ``said``: company_key, company_name, company_description
     (both as ``discovery_results`` gives them); ``replies``: request_id, http_status,
-    reply_body (None = the offline rule-based step)."""
+    reply_body (None = the offline rule-based step); ``redirects``: from_url, to_url."""
     comps = company_inputs(inputs)
     # Materialisation point (the fetched-pages table): three consumers read
     # it, and a reliable checkpoint in the shared ``spark.checkpoint.dir``
     # cuts the lineage, so a lost executor re-reads the table instead of
-    # re-fetching and re-parsing.
+    # re-fetching and re-parsing.  The rules' names are taken in the pass that parses the page.
     ensure_checkpoint_dir(inputs.sparkSession)
-    fetched = fetched_pages(comps, candidates, pages).checkpoint(eager=True)
+    fields = {"items": page_items()} if replies is None else None
+    fetched = fetched_pages(comps, candidates, pages, redirects, fields).checkpoint(eager=True)
     if replies is None:
         ok, blocks = page_parts(fetched)
         reqs = analysis_requests(comps, fetched, (ok, blocks))
-        replies = udfs.replies_from_table(reqs, rule_based_replies(fetched, pages, blocks)).drop("has_reply")
+        replies = udfs.replies_from_table(reqs, rule_based_replies(fetched, blocks)).drop("has_reply")
         replies = replies.join(reqs.select("request_id", "company_key", "part"), "request_id")
-        # second materialisation point (the replies table; one row per company),
+        # second materialisation point (the replies table; one row per request),
         # read by the record, error and bad-name branches of the decode
         replies = replies.checkpoint(eager=True)
     clean, errors = decode_results(replies, strict_null)
-    return build_documents(comps, fetched, clean, errors, scraped_at, said)
+    return build_documents(comps, fetched, clean, errors, scraped_at, said, part_rows)
 
 
 def apply_results(repo: DataFrame, results: DataFrame, stamp: str, on_error: str = "overwrite") -> DataFrame:
     """E2 (S5 + Q7): upsert result documents into the repository with
-    last write wins.  ``on_error='keep'`` does not let an error result
-    replace an existing good row (the reference overwrites)."""
-    new = results.select("email", "company_key", F.to_json("document").alias("data"),
-                         F.lit(stamp).cast("timestamp_ntz").alias("updated_at"),
-                         F.lit(None).cast("long").alias("seq"),
+    last write wins per (email, company_key, part); parts that a company no longer has
+    are deleted.  Without ``part`` and ``n_parts`` rows are part 0 of 1.  ``on_error='keep'`` does not let
+    an error result replace an existing good row (the reference overwrites)."""
+    def parted(df: DataFrame, **missing: int) -> DataFrame:
+        return df.withColumns({c: F.lit(v).cast("long") for c, v in missing.items() if c not in df.columns})
+    repo, results = parted(repo, part=0), parted(results, part=0, n_parts=1)
+    key = ["email", "company_key"]
+    new = results.select(*key, "part", "n_parts", F.to_json("document").alias("data"),
                          F.col("document.error").isNotNull().alias("_is_error"))
     if on_error == "keep":
-        existing = repo.select("email", "company_key")
-        blocked = new.filter("_is_error").join(existing, ["email", "company_key"], "left_semi")
-        new = new.join(blocked.select("email", "company_key"), ["email", "company_key"], "left_anti")
-    log = new.drop("_is_error").withColumn("op", F.lit("upsert"))
-    return S.apply_log(log, ["email", "company_key"], ["updated_at", "seq"], repo.select(
-        "email", "company_key", "data", "updated_at", "seq"))
+        blocked = new.filter("_is_error").join(repo.select(*key), key, "left_semi")
+        new = new.join(blocked.select(*key), key, "left_anti")
+    gone = (repo.filter(F.col("part") > 0).select(*key, "part").join(new.select(*key, "n_parts").distinct(), key)
+                .filter(F.col("part") >= F.col("n_parts")).select(*key, "part", F.lit(None).cast("string").alias("data"), F.lit("delete").alias("op")))
+    log = new.select(*key, "part", "data", F.lit("upsert").alias("op")).unionByName(gone)
+    log = log.withColumns({"updated_at": F.lit(stamp).cast("timestamp_ntz"), "seq": F.lit(None).cast("long")})
+    return S.apply_log(log, [*key, "part"], ["updated_at", "seq"], repo.select(*key, "part", "data", "updated_at", "seq"))
 
 
 def repository_export(repo: DataFrame, chunk_size: int = 1000) -> DataFrame:
@@ -276,7 +319,6 @@ def repository_export(repo: DataFrame, chunk_size: int = 1000) -> DataFrame:
     chunks of ``chunk_size`` companies (skew-safe numbering by key).  A row
     whose document is not valid JSON is left out of the map and counted in
     ``n_quarantined``."""
-    from ..operators.ordinal import ordinal
     n = ordinal(repo, ["email"], [F.col("company_key")], "_n")
     good = F.try_parse_json("data").isNotNull()
     g = (n.withColumn("chunk", F.floor((F.col("_n") - 1) / F.lit(chunk_size)).cast("long"))

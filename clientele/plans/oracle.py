@@ -95,7 +95,7 @@ WHERE rn = 1
 
 
 def with_ctes(*ctes: str, body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
 
 
 KEYS = f"""company_keys AS (SELECT DISTINCT email, {ckey('netloc')} AS company_key FROM company_rows)"""
@@ -349,12 +349,34 @@ def page_text_sql(html: str) -> str:
     return f"regexp_replace(array_to_string({parts}, chr(10)), '\\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
-SQL["fetch_status"] = with_ctes(PAGE_CANDIDATES, DEDUPED, f"""fetched AS (
+# the chains step by step, each with the URLs it has seen
+REDIRECT_ENDS = """redirects AS (
+SELECT p.url AS from_url, t.url AS to_url FROM (
+  SELECT *, CASE WHEN page_id % 100 = 80 THEN page_id + 2 WHEN page_id % 100 = 95 THEN page_id WHEN page_id % 100 = 90 THEN -1
+                 WHEN page_id % 10 BETWEEN 1 AND 3 OR page_id % 100 BETWEEN 41 AND 75 THEN page_id - 1 END AS to_id FROM pages) p JOIN pages t ON t.page_id = p.to_id
+UNION ALL SELECT url, 'https://gone.example.org/' FROM pages WHERE page_id % 100 = 90
+), chain AS (
+SELECT from_url AS url, to_url AS reached, CAST(1 AS BIGINT) AS hops, [from_url] AS seen, to_url = from_url AS looped FROM redirects
+UNION ALL
+SELECT c.url, r.to_url, c.hops + 1, list_append(c.seen, c.reached), list_contains(list_append(c.seen, c.reached), r.to_url)
+FROM chain c JOIN redirects r ON r.from_url = c.reached WHERE NOT c.looped
+), ends AS (
+SELECT url, CASE WHEN looped THEN 'loop' WHEN hops > 30 THEN 'redirects' ELSE 'ok' END AS outcome, reached, hops
+FROM (SELECT url, arg_max(reached, hops) AS reached, max(hops) AS hops, bool_or(looped) AS looped FROM chain GROUP BY url)
+)"""
+
+SQL["redirect_ends"] = with_ctes(REDIRECT_ENDS, body="""
+SELECT url, CASE WHEN outcome = 'ok' THEN reached END AS final_url, CASE WHEN outcome <> 'loop' THEN hops END AS hops, outcome FROM ends""")
+
+SQL["fetch_status"] = with_ctes(PAGE_CANDIDATES, DEDUPED, REDIRECT_ENDS, f"""asked AS (
+SELECT c.*, CASE WHEN e.outcome <> 'ok' THEN concat('failed(', e.outcome, ')') END AS lost, CASE WHEN e.url IS NULL THEN c.url ELSE e.reached END AS target
+FROM deduped c LEFT JOIN ends e ON e.url = c.url AND starts_with(c.url, 'http')
+), fetched AS (
 SELECT c.netloc, c.seq, c.url, c.type,
-  CASE WHEN NOT starts_with(c.url, 'http') THEN 'skipped' WHEN p.code >= 400 THEN 'http' WHEN p.url IS NOT NULL THEN 'ok' ELSE 'failed' END AS status,
+  CASE WHEN NOT starts_with(c.url, 'http') THEN 'skipped' WHEN c.lost IS NOT NULL THEN c.lost WHEN p.code >= 400 THEN 'http' WHEN p.url IS NOT NULL THEN 'ok' ELSE 'failed' END AS status,
   CASE WHEN p.code >= 400 THEN p.code END AS http_code,
   CASE WHEN p.code < 400 THEN p.url END AS final_url, CASE WHEN p.code < 400 THEN {page_text_sql('p.html')} END AS text
-FROM deduped c LEFT JOIN (SELECT *, CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 23 = 0 THEN 503 ELSE 200 END AS code FROM pages) p ON c.url = p.url AND starts_with(c.url, 'http')
+FROM asked c LEFT JOIN (SELECT *, CASE WHEN page_id % 17 = 0 THEN 404 WHEN page_id % 23 = 0 THEN 503 ELSE 200 END AS code FROM pages) p ON c.target = p.url AND starts_with(c.url, 'http') AND c.lost IS NULL
 )""", body="SELECT netloc, seq, url, type, status, http_code, final_url, CAST(length(text) AS BIGINT) AS n_chars FROM fetched")
 
 SQL["fetch_status_counts"] = SQL["fetch_status"].replace(
@@ -363,7 +385,11 @@ SQL["fetch_status_counts"] = SQL["fetch_status"].replace(
     "FROM fetched GROUP BY netloc, status, http_code")
 
 SQL["page_text"] = f"""
-SELECT page_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT page_id, {page_text_sql('html')} AS text FROM pages)"""
+SELECT page_id, text, CAST(length(text) AS BIGINT) AS n_chars FROM (SELECT page_id, {page_text_sql('html')} AS text FROM (
+  -- what the references and the menu inside a menu of the given pages must read as, written out
+  SELECT page_id, replace(html, '<body>', concat('<body>', CASE page_id % 4
+    WHEN 0 THEN concat('<p>Café ''Zoo'' – 5', chr(160), '€…</p>') WHEN 1 THEN '<p>a€b ¬it; &lt;i&gt; &amp;amp; &amp;bogus; © 2024 ∳</p>'
+    WHEN 3 THEN '<p>Über</p>' ELSE '' END)) AS html FROM pages))"""
 
 BLOCKS = """laid AS (
 SELECT *, CAST(sum(block_chars) OVER (PARTITION BY company_key ORDER BY page_no) - block_chars AS BIGINT) AS start_char FROM (
@@ -538,7 +564,34 @@ UNION ALL SELECT 'bad_source', count(*) FILTER (WHERE NOT coalesce(source_type I
   'testimonial', 'blog', 'job_listing', 'technology_partner'), false)) FROM client_rows
 UNION ALL SELECT 'null_confidence', count(*) FILTER (WHERE confidence IS NULL) FROM client_rows""")
 
-SQL["stream_dedupe"] = "SELECT DISTINCT user_id, event_type FROM events"
+# arrivals by time; a key's state goes after the first arrival (with its closing batch) whose latest time, less
+# the delay, has reached the kept row's time plus the delay
+SQL["stream_dedupe"] = with_ctes("""bounds AS (SELECT min(ts) AS lo, max(ts) AS hi FROM events), arrived AS (
+SELECT e.*, CASE WHEN event_id % 50 = 0 THEN 3 ELSE CAST(floor(CAST((epoch_us(ts) - epoch_us(lo)) * 4 AS DOUBLE) / (epoch_us(hi) - epoch_us(lo) + 1)) AS BIGINT) END AS part
+FROM events e, bounds
+), tops AS (
+SELECT part, max(max(ts)) OVER (ORDER BY part) AS top FROM arrived GROUP BY part
+), judged AS (
+SELECT a.*, coalesce(a.ts <= t.top - INTERVAL 4 DAY, false) AS is_late FROM arrived a LEFT JOIN tops t ON t.part = a.part - 1
+), firsts AS (
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type, part ORDER BY ts, event_id) AS rn FROM judged WHERE NOT is_late) WHERE rn = 1
+), kept AS (
+SELECT user_id, event_type, part, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY part) AS k FROM firsts) WHERE k = 1
+UNION ALL
+SELECT f.user_id, f.event_type, f.part, f.ts FROM kept c JOIN firsts f USING (user_id, event_type)
+WHERE f.part = (SELECT min(g.part) FROM firsts g WHERE g.user_id = c.user_id AND g.event_type = c.event_type
+                AND g.part > (SELECT min(t.part) FROM tops t WHERE t.part >= c.part AND t.top - INTERVAL 4 DAY >= c.ts + INTERVAL 4 DAY))
+)""", body=f"""
+SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, false AS is_late FROM kept
+UNION ALL SELECT user_id, event_type, strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), true FROM judged WHERE is_late""")
+
+SQL["model_step"] = """
+SELECT c_custkey AS request_id, 200 AS http_status, c_name AS first_client, '2024-02-01T00:00:00' AS scraped_at FROM customer"""
+
+SQL["stream_reply_join"] = with_ctes(MODEL_REPLIES, RESPONSES, body="""
+SELECT c.c_custkey AS request_id, r.reply_id IS NOT NULL AS has_reply, coalesce(r.http_status, 0) AS http_status,
+  CASE WHEN r.reply_id IS NULL THEN 'no reply' ELSE r.api_error END AS error
+FROM customer c LEFT JOIN responses r ON r.reply_id = c.c_custkey AND r.reply_id % 13 <= 10""")
 
 # ---------------------------------------------------------------------------
 # Extraction rules
@@ -583,29 +636,57 @@ SELECT page_id, CASE WHEN page_id % 9 < 7 THEN concat(regexp_extract(url, '^http
     ['/case-studies/shop', '/reference', '/blog/launch', '/karriere', '/partners', '/testimonials', '/'][(page_id % 9 + 1)::INT]) ELSE url END AS url,
   replace(replace(html, '<title>', CASE page_id % 5 WHEN 0 THEN concat('<title>How Acme Foods ', page_id, ' grew ')
       WHEN 1 THEN concat('<title>New shop for Nordica ', page_id, ' ') ELSE '<title>' END),
-    '<body>', CASE WHEN page_id % 3 = 0 THEN concat('<body><img src="l.png" alt=" Client ', page_id,
-      ' "><ul><li>SAP</li><li> Home</li><li><b>ACME</b> FOODS.</li></ul><a href="https://other.example.org/clients/">x</a>')
+    '<body>', CASE WHEN page_id % 3 = 0 THEN concat('<body><img src="l.png" alt="', CASE WHEN page_id % 6 = 0 THEN concat(' Client ', page_id, ' ') ELSE concat('Café ', page_id) END,
+      '"><ul><li>SAP</li><li> Home</li><li><b>ACME</b> FOODS.</li></ul><a href="https://other.example.org/clients/">x</a>')
       ELSE '<body>' END) AS html
 FROM pages)"""
 
 SQL["page_types"] = f"WITH {SITE_PAGES} SELECT page_id, url, {page_type('url')} AS page_type FROM site_pages"
 
 SQL["link_discovery"] = f"""
-WITH {SITE_PAGES}, l AS (
+WITH {SITE_PAGES}, places AS (
+  SELECT page_id, url, regexp_extract(url, '^https?://[^/?#]*') AS root, regexp_replace(url, '[?#].*$', '') AS file,
+    regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') AS dir FROM site_pages
+), first_links AS (
+  -- the added link of each page and the URL it means, written out
+  SELECT page_id, url, 1 AS link_pos, CASE page_id % 6 WHEN 0 THEN '../reference/a.html' WHEN 1 THEN concat(regexp_replace(root, '^https?:', ''), '/partners/?a=1&b=2&copy=3#top')
+      WHEN 2 THEN '?page=2' WHEN 3 THEN ' ./x/./y/../z ' WHEN 4 THEN 'mailto:info@x.si' ELSE '/reference/list' END AS href,
+    CASE page_id % 6 WHEN 0 THEN CASE WHEN page_id % 10 = 0 THEN concat(root, '/sub/reference/a.html')
+        WHEN dir = concat(root, '/') THEN concat(dir, 'reference/a.html') ELSE concat(regexp_replace(dir, '[^/]+/$', ''), 'reference/a.html') END
+      WHEN 1 THEN concat(root, '/partners/?a=1&b=2&copy=3') WHEN 2 THEN concat(CASE WHEN page_id % 10 = 0 THEN concat(root, '/sub/dir/') ELSE file END, '?page=2')
+      WHEN 3 THEN concat(dir, 'x/z') WHEN 4 THEN 'mailto:info@x.si' ELSE concat(root, '/reference/list') END AS abs_url
+  FROM places
+), l AS (
   SELECT page_id, url, unnest(generate_series(1, len(h))) AS link_pos, unnest(h) AS href
   FROM (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS h FROM site_pages)
 ), a AS (
-  SELECT *, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host,
+  SELECT page_id, url, link_pos + 1 AS link_pos, href,
     CASE WHEN regexp_matches(href, '^https?://') THEN href
          WHEN starts_with(href, '//') THEN concat(regexp_extract(url, '^([a-zA-Z]+)://', 1), ':', href)
          WHEN starts_with(href, '/') THEN concat(regexp_extract(url, '^([a-zA-Z]+)://', 1), '://',
                                                  regexp_extract(url, '^https?://([^/?#]*)', 1), href) END AS abs_url
-  FROM l
+  FROM l UNION ALL SELECT * FROM first_links
 )
 SELECT page_id, CAST(link_pos AS BIGINT) AS link_pos, href, abs_url,
-  lower(regexp_extract(abs_url, '^https?://([^/?#]*)', 1)) = lower(host) AS same_host,
+  lower(regexp_extract(abs_url, '^https?://([^/?#]*)', 1)) = lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) AS same_host,
   CASE WHEN abs_url IS NOT NULL THEN {page_type('abs_url')} END AS link_type FROM a"""
 
+
+def site_path(r: str) -> str:
+    return (f"concat(['/case-studies/', '/reference/', '/blog/', '/partners/', '/about/'][({r} % 5 + 1)::INT], {r}, "
+            f"CASE WHEN {r} % 2 = 1 THEN '.html' ELSE '/' END)")
+
+
+# the links between the pages as numbers, without their html
+SQL["frontier"] = with_ctes("""sites AS (SELECT regexp_extract(url, '^https?://[^/?#]*') AS root, count(*) AS n FROM pages GROUP BY 1)""", """reached AS (
+SELECT root, n, CAST(1 AS BIGINT) AS r, CAST(0 AS BIGINT) AS hop, CAST(NULL AS BIGINT) AS via FROM sites
+UNION ALL
+SELECT root, n, child, hop + 1, r FROM (SELECT *, unnest([2 * r, 2 * r + 1]) AS child FROM reached WHERE r <= n) WHERE child % 5 <> 4
+)""", body=f"""
+SELECT {ckey("regexp_replace(root, '^https?://', '')")} AS company_key, concat(root, {site_path('r')}) AS url, hop,
+  CASE WHEN via IS NOT NULL THEN concat(root, {site_path('via')}) END AS via_url,
+  ['case_study', 'reference_list', 'blog_post', 'partners'][(r % 5 + 1)::INT] AS type FROM reached""")
+
 LIST_NAMES = SITE_PAGES + f""", list_names AS (
 SELECT page_id, url, item_pos, name FROM (
   SELECT page_id, url, CAST(item_pos AS BIGINT) AS item_pos, {strip_tags_sql('item')} AS name FROM (
@@ -674,3 +755,78 @@ SELECT email, chunk, count(*) FILTER (json_valid(data)) AS n_companies, count(*)
     FILTER (json_valid(data))))::VARCHAR, '{}') AS export
 FROM (SELECT *, CAST((row_number() OVER (PARTITION BY email ORDER BY company_key) - 1) // 1000 AS BIGINT) AS chunk FROM state)
 GROUP BY email, chunk""")
+
+
+# ---------------------------------------------------------------------------
+# E1 and E2
+# ---------------------------------------------------------------------------
+_NAME = f"({normalize_sql('raw')})"
+_E1_SOURCE = ("CASE WHEN type IN ('case_study', 'case_studies_index') THEN 'case_study' WHEN type = 'testimonials' THEN 'testimonial' "
+              "WHEN type = 'blog_post' THEN 'blog' WHEN type = 'job_listing' THEN 'job_listing' ELSE 'reference_list' END")
+_KEY_OF = ckey("ltrim(netloc, 'w.')")
+
+E1 = [PAGE_CANDIDATES, REDIRECT_ENDS, LOCALE, f"""replied AS (
+SELECT {_KEY_OF} AS company_key, netloc, CAST(floor(seq / 300) AS BIGINT) AS chunk, seq AS place, url, CASE WHEN type <> 'partners' THEN type ELSE 'unknown' END AS type
+FROM page_candidates
+), numbered AS (
+SELECT *, row_number() OVER (PARTITION BY company_key ORDER BY chunk, netloc, place) AS seq FROM replied
+), wanted AS (
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY company_key, url ORDER BY seq) AS rn FROM numbered WHERE url <> '') WHERE rn = 1
+), aimed AS (
+SELECT w.*, CASE WHEN e.url IS NULL THEN w.url WHEN e.outcome = 'ok' THEN e.reached END AS target FROM wanted w LEFT JOIN ends e ON e.url = w.url
+), got AS (
+SELECT a.company_key, a.seq, a.type, p.url AS final_url, p.html, {page_text_sql('p.html')} AS text,
+  {strip_tags_sql("regexp_extract(p.html, '(?is)<title[^>]*>(.*?)</title>', 1)")} AS title
+FROM aimed a JOIN pages p ON p.url = a.target AND starts_with(a.url, 'http') WHERE p.page_id % 17 <> 0 AND p.page_id % 23 <> 0
+), items AS (
+SELECT *, list_concat(list_concat(list_transform(regexp_extract_all(html, '(?is)<li\\b[^>]*>(.*?)</li>', 1), lambda x: {strip_tags_sql('x')}),
+  list_transform(regexp_extract_all(html, '(?is)<img\\b[^>]*\\balt="([^"]*)"', 1), lambda x: {decode_sql('x')})), [coalesce({_HEAD})]) AS raws FROM got
+), named AS (
+SELECT company_key, seq, type, text, i, {_NAME} AS name FROM (
+  SELECT company_key, seq, type, text, unnest(generate_series(1, len(raws))) AS i, unnest(raws) AS raw FROM items) WHERE {_NAME} <> ''
+), said AS (
+SELECT *, lower({normalize_sql('name')}) IN ({_VENDORS}) AS vendor FROM named
+WHERE NOT (lower({ustrip('name')}) IN ({_STOP})) AND lower(name) <> lower({default_name('company_key')})
+), records AS (
+SELECT company_key, {ustrip('name')} AS name, CASE WHEN vendor THEN 'Technology vendor' ELSE '' END AS industry, '' AS country,
+  CASE WHEN vendor THEN 'technology_partner' ELSE {_E1_SOURCE} END AS source,
+  CASE WHEN vendor THEN 'technology partner' ELSE coalesce(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
+    lambda s: contains(lower(s), lower(name)))[1], '') END AS ai_note,
+  CAST(CASE WHEN vendor THEN 99 ELSE 80 END AS BIGINT) AS confidence, row_number() OVER (PARTITION BY company_key ORDER BY vendor, seq, i) AS o FROM said
+), kept AS (
+SELECT *, row_number() OVER (PARTITION BY company_key ORDER BY o) AS n FROM (
+  SELECT *, row_number() OVER (PARTITION BY company_key, lower(name) ORDER BY o) AS rn FROM records) WHERE rn = 1
+), clients AS (
+SELECT company_key, CAST((n - 1) // 1000 AS BIGINT) AS part, list({{'name': name, 'industry': industry, 'country': country, 'source': source,
+  'ai_note': ai_note, 'confidence': confidence}} ORDER BY n) AS clients FROM kept GROUP BY ALL
+), sources AS (
+SELECT company_key, CAST((n - 1) // 1000 AS BIGINT) AS part, list(final_url ORDER BY n) AS urls FROM (
+  SELECT *, row_number() OVER (PARTITION BY company_key ORDER BY seq) AS n FROM got) GROUP BY ALL
+), hosts AS (
+SELECT company_key, arg_max(netloc, concat('https://', netloc)) AS netloc FROM replied GROUP BY company_key
+), first_names AS (
+SELECT company_key, arg_min(netloc, {{'c': chunk, 'n': netloc}}) AS netloc FROM replied GROUP BY company_key
+), parts AS (
+SELECT company_key, CAST(0 AS BIGINT) AS part FROM hosts UNION SELECT company_key, part FROM clients UNION SELECT company_key, part FROM sources
+), results AS (
+SELECT p.company_key, p.part, {default_name("ltrim(f.netloc, 'w.')")} AS company_name, ltrim(h.netloc, 'w.') AS domain,
+  coalesce(l.map_language, 'english') AS detected_language, coalesce(m.map_country, '') AS detected_country,
+  coalesce(c.clients, []) AS clients, coalesce(s.urls, []) AS urls
+FROM parts p JOIN hosts h USING (company_key) JOIN first_names f USING (company_key)
+LEFT JOIN clients c USING (company_key, part) LEFT JOIN sources s USING (company_key, part)
+LEFT JOIN lang_map l ON l.tld = {tld("ltrim(h.netloc, 'w.')")} LEFT JOIN country_map m ON m.tld = {tld("ltrim(h.netloc, 'w.')")}
+), documents_made AS (
+SELECT *, to_json({{'key': company_key, 'company_name': company_name, 'company_domain': domain, 'company_description': '', 'detected_language': detected_language,
+  'detected_country': detected_country, 'clients': clients, 'sources_checked': urls, 'scraped_at': '2024-02-01T00:00:00', 'ai_cleaned': true}})::VARCHAR AS document FROM results
+)"""]
+
+SQL["build_repository"] = with_ctes(*E1, body="""
+SELECT company_key, part, company_name, CAST(len(clients) AS BIGINT) AS n_clients,
+  CAST(len(list_filter(clients, lambda c: c.source = 'technology_partner')) AS BIGINT) AS n_partners, CAST(len(urls) AS BIGINT) AS n_sources,
+  CAST(NULL AS VARCHAR) AS error, CAST(0 AS BIGINT) AS n_bad_names, document FROM documents_made""")
+
+SQL["apply_results"] = with_ctes(UPSERT_LOG, STATE, *E1, body=f"""
+SELECT email, company_key, CAST(0 AS BIGINT) AS part, data, {TS} AS updated_at, seq FROM state
+WHERE (email, company_key) NOT IN (SELECT concat('user', length(company_key) % 15, '@example.com'), company_key FROM documents_made)
+UNION ALL
+SELECT concat('user', length(company_key) % 15, '@example.com'), company_key, part, document, '2024-02-01 00:00:00.000000', NULL FROM documents_made""")

@@ -157,10 +157,34 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("url", "html", status.alias("http_status"))
 
 
+def redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The redirect table of the crawl (from_url, to_url): short chains, one of 35 steps, loops, a
+    page that points to itself and one that points to a page nobody crawled."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    k = F.col("page_id")
+    m = k % 100
+    to = (F.when(m == 80, k + 2).when(m == 95, k).when(m == 90, F.lit(-1))
+           .when((k % 10).between(1, 3) | m.between(41, 75), k - 1))
+    ends = p.select(k.alias("to_id"), F.col("url").alias("to_url"))
+    known = p.withColumn("to_id", to).join(ends, "to_id").select(F.col("url").alias("from_url"), "to_url")
+    return known.unionByName(p.where(m == 90).select(F.col("url").alias("from_url"), F.lit("https://gone.example.org/").alias("to_url")))
+
+
+def reference_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with character references of every kind, and a quarter of them with dropped
+    elements inside each other and a ``>`` inside an attribute."""
+    k = F.col("page_id")
+    extra = (F.when(k % 4 == 0, "<p>Caf&eacute; &#39;Zoo&#39; &#x2013; 5&nbsp;&euro;&hellip;</p>")
+              .when(k % 4 == 1, "<p>a&#128;b &notit; &lt;i&gt; &amp;amp; &bogus; &copy 2024 &CounterClockwiseContourIntegral;</p>")
+              .when(k % 4 == 3, "<nav>menu<nav>sub</nav>rest</nav><p title=\"x>y\">&Uuml;ber</p>").otherwise(""))
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("<body>"), F.concat(F.lit("<body>"), extra)).alias("html"))
+
+
 def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The crawled pages as company sites, so that every extraction rule meets cases that
     fit and cases that do not: paths of the known page types, customer headlines, logo
-    images, list items that are vendors, navigation words and shouted names."""
+    images, list items that are vendors, navigation words and shouted names, and one link in
+    each way of writing one (relative, host or query only, any quotes and case, a comment before it)."""
     p = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     k = F.col("page_id")
     root = F.regexp_extract("url", r"^https?://[^/?#]*", 0)
@@ -169,12 +193,41 @@ def site_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     headline = F.when(k % 5 == 0, F.concat(F.lit("<title>How Acme Foods "), k.cast("string"), F.lit(" grew "))) \
                 .when(k % 5 == 1, F.concat(F.lit("<title>New shop for Nordica "), k.cast("string"), F.lit(" "))) \
                 .otherwise(F.lit("<title>"))
+    headline = F.concat(F.when(k % 10 == 0, F.lit('<base target=_top><BASE href="/sub/dir/">')).otherwise(F.lit("")), headline)
+    logo = F.when(k % 6 == 0, F.concat(F.lit('<img src="l.png" alt=" Client '), k.cast("string"), F.lit(' ">'))) \
+            .otherwise(F.concat(F.lit("<IMG title='a>b' ALT='Caf&eacute; "), k.cast("string"), F.lit("' src=x>")))
+    link = (F.when(k % 6 == 0, '<a class="x" href="../reference/a.html">')
+             .when(k % 6 == 1, F.concat(F.lit("<A HREF='"), F.regexp_replace(root, "^https?:", ""), F.lit("/partners/?a=1&amp;b=2&copy=3#top'>")))
+             .when(k % 6 == 2, '<a data-href="/no" href=?page=2>')
+             .when(k % 6 == 3, '<a title="a>b" href=" ./x/./y/../z ">')
+             .when(k % 6 == 4, '<a\nhref = "mailto:info@x.si">')
+             .otherwise('<!-- <a href="/hidden"> --><a href="&#47;reference&#x2F;list">'))
     extra = F.when(k % 3 == 0, F.concat(
-        F.lit('<body><img src="l.png" alt=" Client '), k.cast("string"),
-        F.lit(' "><ul><li>SAP</li><li> Home</li><li><b>ACME</b> FOODS.</li></ul><a href="https://other.example.org/clients/">x</a>'))) \
-        .otherwise(F.lit("<body>"))
+        logo, F.lit('<ul><li>SAP</li><li> Home</li><li><b>ACME</b> FOODS.</li></ul><a href="https://other.example.org/clients/">x</a>'))) \
+        .otherwise(F.lit(""))
     return p.select("page_id", F.coalesce(F.concat(root, path), F.col("url")).alias("url"),
-                    F.replace(F.replace("html", F.lit("<title>"), headline), F.lit("<body>"), extra).alias("html"))
+                    F.replace(F.replace("html", F.lit("<title>"), headline), F.lit("<body>"), F.concat(F.lit("<body>"), link, extra)).alias("html"))
+
+
+def linked_site(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of every host as a site whose r-th page links to pages 2r and 2r+1 (some of
+    them never crawled) and to another host; every fifth path names no page type.  (root, r, url, html)."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^https?://[^/?#]*", 0).alias("root"))
+    p = ordinal(p, ["root"], [F.col("page_id")], "r")
+
+    def path(r: Column) -> Column:
+        kind = F.when(r % 5 == 0, "/case-studies/").when(r % 5 == 1, "/reference/").when(r % 5 == 2, "/blog/").when(r % 5 == 3, "/partners/").otherwise("/about/")
+        return F.concat(kind, r.cast("string"), F.when(r % 2 == 1, F.lit(".html")).otherwise(F.lit("/")))
+
+    def anchor(to: Column) -> Column:
+        r = F.col("r")
+        return (F.when(r % 4 == 0, F.concat(F.lit('<a href="'), to, F.lit('#x">')))
+                 .when(r % 4 == 1, F.concat(F.lit("<A class=k HREF='../.."), to, F.lit("'>")))
+                 .when(r % 4 == 2, F.concat(F.lit('<a data-x="1" href='), F.regexp_replace("root", "^https?:", ""), to, F.lit(">")))
+                 .otherwise(F.concat(F.lit('<a href="'), F.col("root"), F.lit("/."), to, F.lit('">'))))
+    html = F.concat(F.lit("<html><body>"), anchor(path(F.col("r") * 2)), anchor(path(F.col("r") * 2 + 1)),
+                    F.lit('<a href="https://other.example.org/reference/1">x</a><a href="'), path(F.col("r")), F.lit('">self</a></body></html>'))
+    return p.select("root", "r", F.concat("root", path(F.col("r"))).alias("url"), html.alias("html"))
 
 
 def doc_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

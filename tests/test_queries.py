@@ -10,7 +10,7 @@ from clientele.plans.catalog import QUERIES as CATALOG
 from clientele.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-ROWS_ONLY = {"model_step", "build_repository", "apply_results"}  # without an oracle yet
+ROWS_ONLY: set[str] = set()  # queries without an oracle
 
 
 def norm(v):
@@ -61,3 +61,13 @@ def test_rules_meet_cases_that_fit_and_that_do_not(spark):
     assert {r.same_host for r in q["link_discovery"] if r.abs_url} == {True, False}
     assert {r.quarantined for r in q["repo_decode"]} == {True, False}
     assert {r.n_total == 0 for r in q["companies_ranked"]} == {True, False}
+
+
+def test_page_path_meets_its_cases(spark):
+    q = {n: E.queries()[n](spark, SF).collect() for n in ("redirect_ends", "fetch_status", "frontier", "link_discovery", "stream_dedupe")}
+    assert {r.outcome for r in q["redirect_ends"]} == {"ok", "loop", "redirects"} and max(r.hops or 0 for r in q["redirect_ends"]) > 30
+    assert {"ok", "failed", "failed(loop)", "failed(redirects)", "http", "skipped"} == {r.status for r in q["fetch_status"]}
+    ends = [r.final_url for r in q["fetch_status"] if r.status == "ok"]
+    assert len(set(ends)) < len(ends)  # two candidates end at one page
+    assert max(r.hop for r in q["frontier"]) >= 2 and {r.abs_url is None for r in q["link_discovery"]} == {False}
+    assert {r.is_late for r in q["stream_dedupe"]} == {True, False}

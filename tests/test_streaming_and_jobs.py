@@ -28,16 +28,47 @@ def test_stream_reads_files_and_folders(spark, sf, tmp_path):
         assert spark.read.parquet(out).count() == events.count()
 
 
-def test_stream_dedupe_keys(spark, sf):
-    got = ST.run_stream_dedupe(spark, sf)
-    ev = spark.read.parquet(f"{sf}/events.parquet")
-    assert got.count() == ev.select("user_id", "event_type").distinct().count()
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string"
+
+
+def test_stream_dedupe_with_late_rows_and_eviction(spark, tmp_path):
+    from datetime import datetime
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    arrivals = [[(1, day(1), 7, "a"), (2, day(1, 1), 7, "a"), (3, day(2), 8, "a")],
+                [(4, day(3), 7, "a"), (5, day(9), 9, "a")],                           # 4: repeat within the watermark
+                [(6, day(4), 7, "b"), (7, day(12), 9, "b")],                          # 6: behind the watermark of day 9 - 4
+                [(8, day(14), 7, "a"), (9, day(14), 9, "b"), (10, day(20), 1, "c")]]  # 8: the first one's state is gone; 9: not yet
+
+    def arrived():
+        for rows in arrivals:
+            spark.createDataFrame(rows, EVENTS).write.mode("append").parquet(str(tmp_path / "in"))
+            yield str(tmp_path / "in")
+    schema = spark.createDataFrame([], EVENTS).schema
+    figures = ST.dedupe_arrivals(arrived(), schema, ["user_id", "event_type"], "ts", "event_id", "4 days", str(tmp_path))
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "unique")).collect()) == [1, 3, 5, 7, 8, 10]
+    assert [r.event_id for r in spark.read.schema(schema).parquet(str(tmp_path / "late/*")).collect()] == [6]
+    assert sum(f["evicted"] for f in figures) >= 2 and all(f["late"] == 0 for f in figures) and max(f["held"] for f in figures) < 6
+
+
+def test_replies_that_come_late_or_never(spark, tmp_path):
+    from datetime import datetime
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    requests, replies = str(tmp_path / "requests"), str(tmp_path / "replies")
+    req, rep = "request_id long, asked_at timestamp", "reply_id long, http_status int, body string, answered_at timestamp"
+    turns = [([(1, at(0)), (2, at(1)), (3, at(2))], [(1, 200, "x", at(3))]), ([], [(2, 200, "late", at(12))]), ([(9, at(59))], [(8, 200, "end", at(59))])]
+    seen = []
+    for asked, said in turns:
+        spark.createDataFrame(asked, req).write.mode("append").parquet(requests)
+        spark.createDataFrame(said, rep).write.mode("append").parquet(replies)
+        ST.stream_replies(spark.readStream.schema(req).parquet(requests), spark.readStream.schema(rep).parquet(replies), "10 minutes", str(tmp_path / "out"), str(tmp_path / "ck"))
+        seen.append({r.request_id: (r.has_reply, r.http_status) for r in spark.read.parquet(str(tmp_path / "out")).collect()})
+    assert seen[0] == {1: (True, 200)} and seen[-1] == {1: (True, 200), 2: (False, 0), 3: (False, 0)}
 
 
 def test_build_repository_invariants(spark, sf):
-    docs = C._e1(spark, sf).select("company_key", "document.*").collect()
+    docs = C._e1(spark, sf).select("company_key", "part", "document.*").collect()
     assert docs
-    assert len({d.company_key for d in docs}) == len(docs)
+    assert len({(d.company_key, d.part) for d in docs}) == len(docs)
     for d in docs:
         names = [c.name.lower() for c in d.clients]
         assert len(names) == len(set(names))                    # A2
