@@ -72,13 +72,17 @@ def fingerprint(text: bytes, n: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): one row per document."""
+    """(doc_id, tie, fp): one row per document; ``tie`` tells texts of one doc_id apart."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_caches()
         for batch in batches:
-            fps = [fingerprint(x.as_py(), shingle) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("long"), utf8().alias("text")).mapInArrow(run, "doc_id long, fp long")
+            fps = [fingerprint(x.as_py(), shingle) for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(fps, pa.int64())], ["doc_id", "tie", "fp"])
+    return docs.select(F.col("doc_id").cast("long"), _tie().alias("tie"), utf8().alias("text")).mapInArrow(run, "doc_id long, tie long, fp long")
+
+
+def _tie():
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def covering_masks(radius: int) -> list[int]:
@@ -183,23 +187,28 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document."""
+    """(doc_id, tie, fp, component_id): one row per document."""
     fps = stage(fingerprints(docs, shingle), "fingerprints")
     nodes = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     roots = components(links(nodes, radius, bucket_limit)).select(F.col("node").alias("fp"), "root")
     grouped = nodes.join(roots, "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_fp = stage(grouped.join(named, "root").select("fp", "component_id"), "components")
-    return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    of_fp = stage(grouped.join(named, "root").select("fp", F.col("root").alias("component"), "component_id"), "components")
+    return fps.join(of_fp, "fp").select("doc_id", "tie", "fp", "component_id", "component")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The documents without near duplicates: of each component the document
-    with the smallest doc_id stays (one row, where rows repeat it).  Rows
-    without a doc_id stay."""
-    stay = near_duplicates(docs, shingle, radius).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """The documents without near duplicates: of each component the document with the
+    smallest doc_id stays, of its texts the one with the smallest hash, and of rows that repeat
+    both the first by their columns as JSON.  The choice is made on fingerprint rows, so a
+    doc_id with several texts loses none that is alone in its component.  Rows without a doc_id stay."""
+    known = near_duplicates(docs, shingle, radius).where(F.col("doc_id").isNotNull())
+    chosen = known.groupBy("component").agg(F.min(F.struct("doc_id", "tie")).alias("c"), F.count(F.lit(1)).alias("n")).select("c.*", "n")
+    chosen = chosen.select(F.col("doc_id").alias("_stay_id"), F.col("tie").alias("_stay_tie"), (F.col("n") > 1).alias("_several"))
+    kept = docs.join(chosen, (F.col("doc_id").cast("long") == F.col("_stay_id")) & (_tie() == F.col("_stay_tie")))
+    row = F.struct(*docs.columns)
+    several = kept.where("_several").groupBy("_stay_id", "_stay_tie").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return kept.where("NOT _several").select(docs.columns).unionByName(several).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:

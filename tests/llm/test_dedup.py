@@ -131,4 +131,18 @@ def test_deduplicate_keeps_columns(spark):
     assert out.columns == SCHEMA.names
     ids = [r.doc_id for r in out.collect()]
     want = {d for d, _, c in brute.near_duplicates(docs) if d == c and d is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 2
+    assert {i for i in ids if i is not None} == want and ids.count(None) == 2
+    # an id with texts of several components stays once in each
+    components = simhash.near_duplicates(frame(spark, docs)).where("doc_id IS NOT NULL").select("component").distinct().count()
+    assert len(ids) == components + 2
+
+
+def test_deduplicate_keeps_a_text_that_shares_its_id(spark):
+    a, b = "one two three four five", "quite another text about nothing at all"
+    rows = [(1, a, "x"), (5, a, "x"), (5, b, "y"), (7, b, "z"), (9, None, "n"), (9, "", "m"), (None, a, "x"), (11, "same words here", "q"), (11, "same words here", "p"), (11, "same words here", "p")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for parts in (1, 3, 7):
+        got = simhash.deduplicate(df.repartition(parts))
+        assert got.columns == df.columns
+        kept = sorted(map(tuple, got.collect()), key=repr)
+        assert kept == sorted([(1, a, "x"), (5, b, "y"), (9, None, "n"), (None, a, "x"), (11, "same words here", "p")], key=repr)
