@@ -20,8 +20,8 @@ Scale.  Texts are range-partitioned by doc_id (and a hash of the text, so rows
 sharing an id can be spread), so files are written by many tasks; each file is
 written under another name and then renamed, under a name that depends only on
 its place, so a repeated task replaces its own files.  Where a document starts
-among all ids is its place in the file plus the sizes of the files before it: a
-running sum over one row per file.  Files are read back with Spark's binary
+among all ids is its place in the file plus the sizes of the files before it: running
+sums over the files of a part and over the parts.  Files are read back with Spark's binary
 reader.  Encoding is cached by space-delimited piece, which cannot change ids:
 this tokenizer's pre-tokens never span a single space between two other
 characters.
@@ -218,7 +218,7 @@ def _written(spec: str, folder: str, bits: int, end_id: int, file_ids: int):
             with store.open_output_stream(draft) as out:
                 out.write(data)
             store.move(draft, f"{path}/{name}")
-            return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(docs)], "n_ids": [size], "n_bytes": [len(data)]})
+            return pa.RecordBatch.from_pydict({"file": [name], "part": [part], "seq": [seq], "n_docs": [len(docs)], "n_ids": [size], "n_bytes": [len(data)]})
         end = np.array([end_id], np.uint32)
         store.create_dir(path, recursive=True)
         for batch in batches:
@@ -238,7 +238,7 @@ def _written(spec: str, folder: str, bits: int, end_id: int, file_ids: int):
 
 
 def write_tokens(docs: DataFrame, spec: str, folder: str, bits: int | None = None, end_id: int = 0, file_ids: int = FILE_IDS) -> DataFrame:
-    """Write the files and return their manifest (file, n_docs, n_ids, n_bytes).
+    """Write the files and return their manifest (file, part, seq, n_docs, n_ids, n_bytes).
     ``spec``: the tokenizer's JSON.  ``bits``: default, the fewest for its ids."""
     if bits is None:
         from tokenizers import Tokenizer
@@ -246,7 +246,15 @@ def write_tokens(docs: DataFrame, spec: str, folder: str, bits: int | None = Non
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     texts = texts.withColumn("tie", F.xxhash64("text"))
     ordered = texts.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    return stage(ordered.mapInArrow(_written(spec, folder, bits, end_id, file_ids), "file string, n_docs long, n_ids long, n_bytes long"), "token-manifest")
+    return stage(ordered.mapInArrow(_written(spec, folder, bits, end_id, file_ids), "file string, part long, seq long, n_docs long, n_ids long, n_bytes long"), "token-manifest")
+
+
+def ids_before(manifest: DataFrame) -> DataFrame:
+    """(file, before): the ids of all files before each, by the numbers of part and file: a sum
+    within each part, and one over the parts."""
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("of_part")).selectExpr("part", "sum(of_part) over (order by part) - of_part as before_part")
+    return (manifest.selectExpr("file", "part", "sum(n_ids) over (partition by part order by seq) - n_ids as inside")
+            .join(parts, "part").select("file", (F.col("before_part") + F.col("inside")).alias("before")))
 
 
 def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -269,8 +277,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame, with_ids:
         return spark.createDataFrame([], kind).drop("file").withColumnRenamed("at", "start")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.tok").load(folder)
     found = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, kind)
-    before = manifest.selectExpr("file", "sum(n_ids) over (order by file) - n_ids as before")
-    return found.join(before, "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * with_ids))
+    return found.join(ids_before(manifest), "file").select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * with_ids))
 
 
 def tokenizer_spec(path: str | None = None) -> str:

@@ -295,8 +295,20 @@ def test_decontaminate(spark, given):
     assert Counter(r.doc_id for r in clean.collect()) == Counter(d for d, _ in docs if d not in {d for d, _ in want})
     none = items.limit(0)
     assert decontaminate.leaks(frame(spark, docs), none).count() == 0 and decontaminate.decontaminate(frame(spark, ODD), none).count() == len(ODD)
-    empty = spark.createDataFrame([(1, None), (None, ""), (2, "one")], "item_id long, text string")
-    assert decontaminate.leaks(frame(spark, [(1, "one two"), (2, None)]), empty).select("doc_id", "item_id").collect() == [(1, 2)]
+    empty = spark.createDataFrame([(1, None), (None, ""), (2, "one"), (3, "one two")], "item_id long, text string")
+    few = frame(spark, [(1, "one two"), (2, None), (3, "this one is clean"), (4, "One!"), (5, "one two three four five six")])
+    assert sorted(map(tuple, decontaminate.leaks(few, empty).select("doc_id", "item_id").collect())) == [(1, 3), (4, 2)]
+
+
+def test_a_long_item_does_not_widen_the_others(spark):
+    words = [f"w{i}" for i in range(4000)]
+    item = words[:16]
+    scattered = " ".join(x for w in item for x in [w, *(f"f{w}{k}" for k in range(60))])  # every word, far apart
+    docs = frame(spark, [(1, " ".join(item)), (2, scattered), (3, " ".join(words[2000:2040] + item + words[2040:2080]))])
+    short = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    both = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(f"l{w}" for w in words))], "item_id long, text string")
+    for items in (short, both):
+        assert sorted(r.doc_id for r in decontaminate.leaks(docs, items).collect()) == [1, 3]
 
 
 # the pipeline -------------------------------------------------------------------------------------------------------
@@ -332,3 +344,10 @@ def test_pipeline(spark):
     last = {(r.doc_id, r.n_tokens, r.ids_crc32) for r in seen["token_output"][1].collect()}
     want = plain_tokens([(r.doc_id, r.text) for r in seen["token_output"][0].collect()])
     assert last == {(d, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for d, x in want}
+
+
+def test_file_order_beyond_ten_thousand_files(spark):
+    rows = [(f"part-{p:06d}-{q:04d}.tok", p, q, 1, 2, 3) for p, n in ((0, 10_001), (2, 3), (1_000_000, 2), (999_999, 1)) for q in range(n)]
+    manifest = spark.createDataFrame(rows, "file string, part long, seq long, n_docs long, n_ids long, n_bytes long").repartition(5)
+    got = {r.file: r.before for r in token_files.ids_before(manifest).collect()}
+    assert got == {f: 2 * i for i, (f, *_) in enumerate(sorted(rows, key=lambda r: r[1:3]))}
