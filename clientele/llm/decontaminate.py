@@ -13,16 +13,18 @@ largest impacts per block of items rule out blocks; in a block that is left, cur
 stand on the posting lists, and the pivot is the first item that the lists' maxima
 allow.
 
-A retrieved item is verified: its question (all but its last sentence; for a
-single sentence the first three quarters of its words) and its answer (the rest)
-each need ``overlap`` of their word trigrams in the passage.
+A retrieved item is verified in windows of twice its own words within the passage: its
+question (all but its last sentence; for a single sentence the first three quarters of
+its words) and its answer (the rest) each need ``overlap`` of their word trigrams in one
+window, so a long item beside it widens nothing.  Items of fewer than ``LEAST`` words are not
+searched; they leak only into a text that consists of their words.
 
 Scale.  One pass over the training texts, no shuffle of texts.  The index is
 broadcast in parts of at most ``items_per_index`` items; inverse document
 frequencies come from all items.
 
 Defined cases.  Null and empty texts hold no words, so they neither leak nor are
-leaked; items whose words are fewer than three are matched by their whole word
+leaked.  A question or answer of fewer than three words is matched by its whole
 sequence.  Items with a null id are searched but reported with a null item_id.
 Repeated items and repeated documents give one row per (doc_id, item_id) with the
 best score.  ``decontaminate`` decides row by row and keeps all columns, so null
@@ -52,6 +54,7 @@ DENSE = 1 << 22  # cells of a table of block maxima; larger ones are kept by wor
 THRESHOLD, OVERLAP = 0.6, 0.6
 ITEMS_PER_INDEX = 20_000
 LONG = 1 << 22
+LEAST = 5  # words of the shortest item that is searched
 
 
 def parts_of(text: bytes) -> tuple[list[bytes], list[bytes]]:
@@ -81,10 +84,14 @@ class BlockMaxIndex:
 
     def __init__(self, texts: list[tuple[int | None, bytes]], idf: dict[bytes, float], mean: float):
         self.items, self.lists = [], {}
+        self.short: dict[tuple[bytes, ...], list[int]] = {}
         for item_id, text in texts:
             question, answer = parts_of(text)
             words = question + answer
-            if not words:
+            if len(words) < LEAST:
+                if words:
+                    self.short.setdefault(tuple(words), []).append(len(self.items))
+                    self.items.append(Item(item_id, set(), set(), len(words)))
                 continue
             tf = Counter(words)
             impact = {w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * len(words) / mean)) for w, f in tf.items()}
@@ -165,6 +172,8 @@ class BlockMaxIndex:
         out: dict[int, tuple[float, float, float]] = {}
         most, step = self.most, self.longest
         for words in _stretches(text, 2 * step):
+            if self.short and len(words) < LEAST and len(text) <= LONG:
+                out.update((i, (1.0, 1.0, 1.0)) for i in self.short.get(tuple(words), ()))
             held = [self.known.intersection(words[i: i + step]) for i in range(0, len(words), step)]
             bound = [sum(map(most.__getitem__, x)) for x in held]
             for k in range(max(1, len(held) - 1) if held else 0):
@@ -176,13 +185,23 @@ class BlockMaxIndex:
                 hits = self.search(terms, threshold)
                 if hits:
                     passage = words[start: start + 2 * step]
-                    by = {n: grams(passage, n) for n in (1, 2, 3)}
                     for item, score in hits:
-                        share = [sum(g in by[len(g)] for g in part) / len(part) if part else 1.0 for part in (self.items[item].question, self.items[item].answer)]
+                        share = self._overlap(self.items[item], passage)
                         if min(share) >= overlap:
                             out[item] = max(out.get(item, (0.0, 0.0, 0.0)), (score, *share))
         return out
 
+    @staticmethod
+    def _overlap(item: Item, passage: list[bytes]) -> tuple[float, float]:
+        """The shares of question and answer in the passage's best window."""
+        best = 0.0, 0.0
+        for at in range(0, max(1, len(passage) - item.n_words), item.n_words):
+            window = passage[at: at + 2 * item.n_words]
+            by = {n: grams(window, n) for n in (1, 2, 3)}
+            share = [sum(g in by[len(g)] for g in part) / len(part) if part else 1.0 for part in (item.question, item.answer)]
+            best = max(best, (share[0], share[1]), key=lambda x: (min(x), x))
+        return best
+
 
 def _stretches(text: bytes, width: int) -> Iterator[list[bytes]]:
     """The text's words; a very long text comes in stretches that share ``width`` words."""

@@ -17,8 +17,8 @@ a run.  Page text is the html without ``<...>``, lower-cased, in runs of letters
 scripts count too.  Word weights are whole multiples of 2^-20, so sums do not
 depend on their order.
 
-Scale.  Hosts and runs are made distinct before they are joined, so a frequent host is
-one row.  The dictionary is joined by piece, not broadcast; pieces of up to three letters, which
+Scale.  Hosts and runs are made distinct before they are joined, and urls meet the rules of
+their host salted by path.  The dictionary is joined by piece, not broadcast; pieces of up to three letters, which
 most runs hold, are salted.  Runs that make up more than 1/1024 of all runs (1024
 at most) are broadcast with their weights, the others joined.  A run has at most
 63 * 20 pieces.
@@ -80,7 +80,10 @@ def best_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]]) -> DataFr
     suffixes = F.array_distinct(F.array(*(F.substring_index("host", ".", -k) for k in range(1, deepest + 1))))
     fits = (urls.select("host").distinct().select("host", F.explode(suffixes).alias("suffix")).join(table_, "suffix")
             .groupBy("host").agg(F.collect_list(F.struct("size", "host_size", "says", "rule", "at")).alias("fits")))
-    out = urls.join(fits, "host", "left")
+    # hosts that some rule fits, once per salt: a frequent host is spread by its paths
+    fits = fits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = urls.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    out = salted.join(fits, ["host", "salt"], "left").drop("salt")
     return out.withColumn("best", F.array_max(F.filter("fits", lambda r: F.startswith(F.col("path"), r["at"])))).drop("fits")
 
 
