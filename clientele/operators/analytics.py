@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from . import search_index
 from .ordinal import ordinal
 
 
@@ -138,6 +139,34 @@ def repo_totals(names: DataFrame, companies: DataFrame) -> DataFrame:
                    .withColumn("summary", repo_summary(F.col("n_companies"), F.col("n_clients"))))
 
 
+SKETCH_K = 14  # 2^14 registers: a standard error of about 0.8 %
+
+
+def company_sketches(clients: DataFrame) -> DataFrame:
+    """Mergeable distinct counts -- HyperLogLog sketches of a batch's real clients per company:
+    names, industries and countries.  One aggregation, no shuffle by value."""
+    real = clients.filter(~F.col("is_partner"))
+    return real.groupBy("email", "company_key").agg(
+        F.hll_sketch_agg(F.lower(F.col("name")), SKETCH_K).alias("names"),
+        *(F.hll_sketch_agg(F.nullif(F.col(c), F.lit("")), SKETCH_K).alias(to) for c, to in (("industry", "industries"), ("country", "countries"))))
+
+
+SKETCHES = ("names", "industries", "countries")
+
+
+def merge_sketches(*stored: DataFrame) -> DataFrame:
+    """The sketches of several batches as one per company; the work grows with companies, not clients."""
+    rows = stored[0]
+    for more in stored[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("email", "company_key").agg(*(F.hll_union_agg(c).alias(c) for c in SKETCHES))
+
+
+def sketch_counts(sketches: DataFrame, keys: tuple[str, ...] = ("email",)) -> DataFrame:
+    """Estimated distinct names, industries and countries per tenant (or other ``keys``)."""
+    return sketches.groupBy(*keys).agg(*(F.hll_sketch_estimate(F.hll_union_agg(c)).alias(f"n_{c}") for c in SKETCHES))
+
+
 def client_search(clients: DataFrame, q: str) -> DataFrame:
     """Clients matching q in name, industry, country or note; caption per company."""
     g = (clients.withColumn("hit", client_hit(q))
@@ -219,6 +248,15 @@ def company_search(companies: DataFrame, names: DataFrame, q: str) -> DataFrame:
     return j.filter(F.contains(F.lower(F.col("company_name")), F.lit(q.lower())) | F.coalesce("hit", F.lit(False))).drop("hit")
 
 
+def indexed_company_search(companies: DataFrame, names: DataFrame, q: str, path: str) -> DataFrame:
+    """F5/J4 by the trigram index of the client names under ``path`` (``search_index.write_index``): the
+    index gives the matching names, and only companies that hold one are looked up."""
+    found = search_index.find(companies.sparkSession, path, q).select(F.col("text").alias("name_key"))
+    hit = names.join(found, "name_key", "left_semi").select("email", "company_key").distinct().withColumn("hit", F.lit(True))
+    j = companies.join(hit, ["email", "company_key"], "left")
+    return j.filter(F.contains(F.lower(F.col("company_name")), F.lit(q.lower())) | F.coalesce("hit", F.lit(False))).drop("hit")
+
+
 def repository_overview(companies: DataFrame, names: DataFrame, facet_col: str = "detected_country",
                         facet: str = "all", q: str = "") -> DataFrame:
     """Facet filter, search, real-client counts, ranking and the place line."""

@@ -239,6 +239,35 @@ def company_search_count(spark, sf):
     return hits.groupBy("email").agg(F.count(F.lit(1)).alias("n_companies"))
 
 
+@query("indexed_company_search")
+def indexed_company_search(spark, sf):
+    """F5 + J4 by a stored trigram index of the distinct client names."""
+    from ..operators import search_index
+    from ..session import scratch
+    path, names = scratch(spark, "names"), _names(spark, sf)
+    search_index.write_index(names, path, "name_key")
+    return analytics.indexed_company_search(_companies(spark, sf), names, COMPANY_Q, path).select("email", "company_key", "company_name")
+
+
+@query("tenant_sketches")
+def tenant_sketches(spark, sf):
+    """A5 + A6 by stored sketches: two batches of clients, merged per company and then per tenant, beside the
+    exact counts; true where the estimate is within 4 % and two of them."""
+    from ..session import scratch
+    path, c = scratch(spark, "sketches"), _clean(spark, sf, "industry", "country")
+    batch = F.pmod(F.crc32(F.col("name").cast("binary")), F.lit(2))
+    for i in range(2):
+        analytics.company_sketches(c.filter(batch == i)).write.parquet(f"{path}/batch={i}")
+    stored = [spark.read.parquet(f"{path}/batch={i}") for i in range(2)]
+    guess = analytics.sketch_counts(analytics.merge_sketches(*stored))
+    real = c.filter(~F.col("is_partner"))
+    exact = real.groupBy("email").agg(F.count_distinct(F.lower("name")).alias("n_clients"), F.count_distinct(F.nullif("industry", F.lit(""))).alias("n_kinds"),
+                                      F.count_distinct(F.nullif("country", F.lit(""))).alias("n_places"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.col(b) * 0.04 + 2
+    return exact.join(guess, "email").select("email", "n_clients", "n_kinds", "n_places", near("n_names", "n_clients").alias("names_near"),
+                                             near("n_industries", "n_kinds").alias("kinds_near"), near("n_countries", "n_places").alias("places_near"))
+
+
 @query("repository_overview")
 def repository_overview(spark, sf):
     """The sidebar -- facet 'all', no query; ranked with place line."""
@@ -541,7 +570,7 @@ def contract_check(spark, sf):
     repo = _repo_state(spark, sf)
     v = S.contract_violations(repo, ["email", "company_key", "data"], KEYS)
     allowed = list(schemas.CLIENT_SOURCE_TYPES) + [schemas.PARTNER_SOURCE]
-    rows = fx.client_rows(spark, sf)
+    rows = fx.client_rows(spark, sf).withColumn("source_type", F.when(F.col("ord.l_orderkey") % 97 == 0, F.lit("newsletter")).otherwise(F.col("source_type")))
     extra = rows.agg(
         F.count_if(~F.coalesce(F.col("source_type").isin(allowed), F.lit(False))).cast("long").alias("bad_source"),
         F.count_if(F.col("confidence").isNull()).cast("long").alias("null_confidence"))
@@ -552,6 +581,39 @@ def contract_check(spark, sf):
     return v.unionByName(extra)
 
 
+CONTRACT_NOW = "2024-02-01 00:00:00"
+
+
+@query("contract_write")
+def contract_write(spark, sf):
+    """Settings and repository rows written through their contracts in one pass each: defaults
+    for a missing value and time, rejects with their reason."""
+    from ..session import scratch
+    base, parts = scratch(spark, "contracts"), []
+    for name, rows, key, value in (("settings", fx.settings_rows(spark, sf), "name", "value"), ("repos", fx.repository_rows(spark, sf), "company_key", "updated_at")):
+        S.write_checked(rows, name, f"{base}/{name}", CONTRACT_NOW)
+        shown = F.date_format(value, TS_FMT) if value == "updated_at" else F.col(value)
+        parts.append(S.read_checked(spark, name, f"{base}/{name}").select(
+            F.lit(name).alias("contract"), "email", F.col(key).alias("row_key"), shown.alias("value"), "rejected", "reason"))
+    return parts[0].unionByName(parts[1])
+
+
+@query("document_store")
+def document_store(spark, sf):
+    """S9 + M1 + M5: company documents parsed once into VARIANT and read back typed; a missing
+    description differs from a null one, text that is no document is in the quarantine."""
+    from ..session import scratch
+    path = scratch(spark, "documents")
+    S.write_documents(fx.stored_documents(spark, sf), path)
+    d = S.read_documents(spark, path).select("company_key", S.typed(F.col("document")).alias("t"), S.field_state(F.col("document"), "company_description").alias("description_state"))
+    good = d.select("company_key", F.lit(False).alias("quarantined"), "description_state", F.col("t.company_description").alias("description"),
+                    F.size("t.clients").cast("long").alias("n_clients"), F.get("t.clients", 0)["confidence"].alias("confidence"),
+                    F.col("t.ai_cleaned").alias("ai_cleaned"), F.lit(None).cast("string").alias("raw"))
+    none = {c: F.lit(None).cast(t) for c, t in (("description_state", "string"), ("description", "string"), ("n_clients", "long"), ("confidence", "long"), ("ai_cleaned", "boolean"))}
+    bad = S.read_documents(spark, path, quarantined=True).withColumns(none).withColumn("quarantined", F.lit(True))
+    return good.unionByName(bad.select(good.columns))
+
+
 @query("stream_upsert")
 def stream_upsert(spark, sf):
     """ST1: the write log as a stream, applied per micro-batch to the
@@ -675,8 +737,11 @@ def logo_names(spark, sf):
 
 @query("evidence_sentences")
 def evidence_sentences(spark, sf):
-    """First sentence of each client's note that names the client."""
+    """First sentence of each client's note that names the client; every note gets a sentence
+    before and one after, and some notes do not name it."""
     c = _clean(spark, sf, "ai_note")
+    named = F.when(F.col("name").rlike("[02468]$"), F.col("ai_note")).otherwise(F.replace("ai_note", F.col("name"), F.lit("a client")))
+    c = c.withColumn("ai_note", F.concat(F.lit("The work took v1.5 months. "), named, F.lit("!  And "), F.col("name"), F.lit(" stayed? Yes.")))
     return c.select("email", "company_key", "name", X.evidence_sentence(F.col("ai_note"), F.col("name")).alias("evidence"))
 
 

@@ -280,6 +280,12 @@ SELECT * FROM companies c WHERE contains(lower(c.company_name), '{COMPANY_Q}')
 SQL["company_search"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, LOCALE, COMPANIES, SEARCH, body="""
 SELECT email, company_key, company_name FROM hits""")
 
+SQL["indexed_company_search"] = SQL["company_search"]
+
+SQL["tenant_sketches"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body="""
+SELECT email, count(DISTINCT lower(name)) AS n_clients, count(DISTINCT nullif(industry, '')) AS n_kinds, count(DISTINCT nullif(country, '')) AS n_places,
+  true AS names_near, true AS kinds_near, true AS places_near FROM clean WHERE NOT is_partner GROUP BY email""")
+
 SQL["company_search_count"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, LOCALE, COMPANIES, SEARCH, body="""
 SELECT email, count(*) AS n_companies FROM hits GROUP BY email""")
 
@@ -560,8 +566,7 @@ UNION ALL SELECT 'null_company_key', count(*) FILTER (WHERE company_key IS NULL)
 UNION ALL SELECT 'null_data', count(*) FILTER (WHERE data IS NULL) FROM state
 UNION ALL SELECT 'duplicate_key', CAST(coalesce(sum(c - 1), 0) AS BIGINT) FROM (
   SELECT count(*) AS c FROM state GROUP BY email, company_key HAVING count(*) > 1)
-UNION ALL SELECT 'bad_source', count(*) FILTER (WHERE NOT coalesce(source_type IN ('case_study', 'reference_list', 'logo',
-  'testimonial', 'blog', 'job_listing', 'technology_partner'), false)) FROM client_rows
+UNION ALL SELECT 'bad_source', (SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 97 = 0)
 UNION ALL SELECT 'null_confidence', count(*) FILTER (WHERE confidence IS NULL) FROM client_rows""")
 
 # arrivals by time; a key's state goes after the first arrival (with its closing batch) whose latest time, less
@@ -728,10 +733,12 @@ WITH {SITE_PAGES} SELECT page_id, CAST(pos AS BIGINT) AS pos, name FROM (
     FROM (SELECT page_id, regexp_extract_all(html, '(?is)<img\\b[^>]*\\balt="([^"]*)"', 1) AS a FROM site_pages)))
 WHERE name <> ''"""
 
+# the sentence that must come out, written out: the note's own one, or the one after it
 SQL["evidence_sentences"] = with_ctes(CLIENT_ROWS, RECS, CLEAN, body="""
-SELECT email, company_key, name,
-  list_filter(string_split(regexp_replace(coalesce(ai_note, ''), '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)),
-              lambda s: contains(lower(s), lower(name)))[1] AS evidence FROM clean""")
+SELECT email, company_key, name, CASE WHEN (regexp_matches(name, '[02468]$') AND contains(lower(ai_note), lower(name)))
+    OR (NOT regexp_matches(name, '[02468]$') AND contains(lower(replace(ai_note, name, 'a client')), lower(name)))
+  THEN concat(CASE WHEN regexp_matches(name, '[02468]$') THEN ai_note ELSE replace(ai_note, name, 'a client') END, '!')
+  ELSE concat('And ', name, ' stayed?') END AS evidence FROM clean""")
 
 SQL["discovery_candidates"] = with_ctes(PAGE_CANDIDATES, f"""r AS (
 SELECT netloc, chunk, to_json({{'company_name': {default_name("ltrim(netloc, 'w.')")},
@@ -749,6 +756,26 @@ SELECT email, company_key,
   CASE WHEN coalesce(json_valid(data) AND starts_with(data, '{'), false) THEN TRY_CAST(json_extract(data, '$.k') AS INTEGER) END AS k,
   NOT coalesce(json_valid(data) AND starts_with(data, '{'), false) AS quarantined FROM state""")
 
+SQL["contract_write"] = """
+WITH settings AS (
+SELECT CASE WHEN event_id % 97 <> 0 THEN concat('user', user_id % 15, '@example.com') END AS email, concat(event_type, '-', event_id) AS row_key,
+  CASE WHEN event_id % 9 <> 0 THEN props ELSE '' END AS value FROM events
+), repos AS (
+SELECT concat('co-', event_id) AS row_key, CASE WHEN event_id % 11 = 0 THEN '2024-02-01 00:00:00.000000' WHEN event_id % 13 = 0 THEN NULL
+    ELSE strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S.%f') END AS value, CASE WHEN event_id % 17 = 0 THEN 'data is missing'
+    WHEN event_id % 11 <> 0 AND event_id % 13 = 0 THEN 'updated_at is no timestamp_ntz' END AS reason FROM events
+)
+SELECT 'settings' AS contract, email, row_key, value, email IS NULL AS rejected, CASE WHEN email IS NULL THEN 'email is missing' END AS reason FROM settings
+UNION ALL SELECT 'repos', 'a@example.com', row_key, value, reason IS NOT NULL, reason FROM repos"""
+
+SQL["document_store"] = """
+SELECT concat('k', s_suppkey) AS company_key, s_suppkey % 7 = 0 AS quarantined,
+  CASE WHEN s_suppkey % 7 <> 0 THEN CASE s_suppkey % 4 WHEN 0 THEN 'missing' WHEN 1 THEN 'null' ELSE 'set' END END AS description_state,
+  CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey % 4 > 1 THEN concat('from ', s_nationkey) END AS description,
+  CASE WHEN s_suppkey % 7 <> 0 THEN CAST(2 AS BIGINT) END AS n_clients, CASE WHEN s_suppkey % 7 <> 0 AND s_suppkey % 3 <> 0 THEN CAST(95 AS BIGINT) END AS confidence,
+  CASE WHEN s_suppkey % 7 <> 0 THEN true END AS ai_cleaned, CASE WHEN s_suppkey % 7 = 0 THEN left(concat('{"key":"k', s_suppkey, '"', CASE s_suppkey % 4 WHEN 0 THEN ''
+    WHEN 1 THEN ',"company_description":null' ELSE concat(',"company_description":"from ', s_nationkey, '"') END, ',"clients":[{"name":"Acme"'), 20) END AS raw FROM supplier"""
+
 SQL["repository_export"] = with_ctes(UPSERT_LOG, STATE, body="""
 SELECT email, chunk, count(*) FILTER (json_valid(data)) AS n_companies, count(*) FILTER (NOT json_valid(data)) AS n_quarantined,
   coalesce(to_json(map_from_entries(list({'key': company_key, 'value': CASE WHEN json_valid(data) THEN json(data) END} ORDER BY company_key)

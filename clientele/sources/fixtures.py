@@ -274,3 +274,33 @@ def model_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(k % 23 == 0, F.lit('{"type":"error","error":{}}'))
              .otherwise(F.to_json(F.struct(blocks.alias("content")))))
     return r.select("reply_id", status.alias("http_status"), body.alias("body"))
+
+
+def settings_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings as they arrive: some without a tenant, some without a value, and a column the table does not have."""
+    k = F.col("event_id")
+    return table(spark, sf_dir, "events").select(
+        F.when(k % 97 != 0, F.concat(F.lit("user"), (F.col("user_id") % 15).cast("string"), F.lit("@example.com"))).alias("email"),
+        F.concat("event_type", F.lit("-"), k.cast("string")).alias("name"), F.when(k % 9 != 0, F.col("props")).alias("value"), F.col("value").alias("weight"))
+
+
+def repository_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repository rows as text: some without a document, without a time, or with one that is no time."""
+    k = F.col("event_id")
+    at = F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, F.lit("yesterday")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return table(spark, sf_dir, "events").select(
+        F.lit("a@example.com").alias("email"), F.concat(F.lit("co-"), k.cast("string")).alias("company_key"),
+        F.when(k % 17 != 0, F.col("props")).alias("data"), at.alias("updated_at"))
+
+
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Company documents as JSON text, one a supplier: descriptions that are missing, null or set, clients
+    without a confidence, and every seventh document cut short."""
+    k = F.col("s_suppkey")
+    description = F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.lit(',"company_description":null')) \
+                   .otherwise(F.concat(F.lit(',"company_description":"from '), F.col("s_nationkey").cast("string"), F.lit('"')))
+    confidence = F.when(k % 3 == 0, F.lit("")).otherwise(F.lit(',"confidence":95'))
+    doc = F.concat(F.lit('{"key":"k'), k.cast("string"), F.lit('"'), description, F.lit(',"clients":[{"name":"Acme","source":"logo"'), confidence,
+                   F.lit('},{"name":"SAP"}],"ai_cleaned":true,"error":null}'))
+    return table(spark, sf_dir, "supplier").select(F.lit("a@example.com").alias("email"), F.concat(F.lit("k"), k.cast("string")).alias("company_key"),
+                                                   F.when(k % 7 == 0, F.substring(doc, 1, 20)).otherwise(doc).alias("data"))

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
+from .. import schemas
 from ..operators.dedupe import keep_first
 
 DEFAULT_BUCKETS = 64
@@ -123,3 +124,81 @@ def append_log(batch: DataFrame, path: str, batch_id: int, buckets: int = DEFAUL
 def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
     """The whole log; a filter on ``bucket`` prunes folders."""
     return spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])).option("basePath", path).parquet(path)
+
+
+# ---------------------------------------------------------------------------
+# Contracts enforced in the writing pass
+# ---------------------------------------------------------------------------
+
+def conform(df: DataFrame, contract: str, now: str | None = None) -> DataFrame:
+    """``df`` with the columns of a stored table (``schemas.CONTRACTS``) in its types, its defaults
+    for missing columns and nulls (``now``: the time that the default ``now`` stands for, else the
+    current one), and ``reason``: the first required column that is null or cannot be read as its
+    type, null for a row that fits.  Columns the table does not have are dropped."""
+    schema, _, defaults = schemas.CONTRACTS[contract]
+    cols, reasons = [], []
+    for f in schema.fields:
+        given = F.col(f"`{f.name}`") if f.name in df.columns else F.lit(None)
+        value = given.try_cast(f.dataType)
+        if f.name in defaults:
+            d = defaults[f.name]
+            default = (F.lit(now) if now else F.current_timestamp()) if d == "now" else F.lit(d)
+            value = F.when(given.isNull(), default.cast(f.dataType)).otherwise(value)
+        cols.append(value.alias(f.name))
+        if f.name in df.columns or f.name in defaults or not f.nullable:
+            unread = given.isNotNull() & value.isNull()
+            reasons.append(F.when(unread, F.lit(f"{f.name} is no {f.dataType.simpleString()}")))
+        if not f.nullable:
+            reasons.append(F.when(value.isNull(), F.lit(f"{f.name} is missing")))
+    return df.select(*cols, F.coalesce(*reasons, F.lit(None).cast("string")).alias("reason"))
+
+
+def write_checked(df: DataFrame, contract: str, path: str, now: str | None = None) -> dict:
+    """One pass that conforms, counts and writes: rows that fit below ``path/rejected=false``, the
+    others with their reason below ``path/rejected=true``.  Returns the counts that the pass
+    observed (``rows``, ``rejected``, and ``defaulted_<column>``)."""
+    _, _, defaults = schemas.CONTRACTS[contract]
+    given, seen = Observation(), Observation()
+    gaps = [F.count_if(F.col(f"`{c}`").isNull() if c in df.columns else F.lit(True)).alias(f"defaulted_{c}") for c in defaults]
+    counted = df.observe(given, F.count(F.lit(1)).alias("rows"), *gaps)
+    checked = conform(counted, contract, now).withColumn("rejected", F.col("reason").isNotNull())
+    checked = checked.observe(seen, F.count_if("rejected").alias("rejected"))
+    checked.write.mode("overwrite").partitionBy("rejected").parquet(path)
+    return {**given.get, **seen.get}
+
+
+def read_checked(spark: SparkSession, contract: str, path: str) -> DataFrame:
+    """The rows of a checked table and its rejects (``rejected``, ``reason``)."""
+    schema, _, _ = schemas.CONTRACTS[contract]
+    fields = [T.StructField(f.name, f.dataType) for f in schema.fields]
+    return spark.read.schema(T.StructType([*fields, T.StructField("reason", T.StringType()), T.StructField("rejected", T.BooleanType())])).parquet(path)
+
+
+# ---------------------------------------------------------------------------
+# Documents parsed once, stored as VARIANT
+# ---------------------------------------------------------------------------
+
+def write_documents(rows: DataFrame, path: str, data: str = "data") -> None:
+    """Stores JSON documents parsed, as VARIANT; text that is no JSON object goes
+    unchanged to the quarantine (``path/quarantined=true``) in the same pass."""
+    doc = F.try_parse_json(F.col(data))
+    bad = ~F.coalesce(F.startswith(F.ltrim(F.col(data)), F.lit("{")), F.lit(False)) | doc.isNull()
+    rest = [c for c in rows.columns if c != data]
+    out = rows.select(*rest, F.when(~bad, doc).alias("document"), F.when(bad, F.col(data)).alias("raw"), bad.alias("quarantined"))
+    out.write.mode("overwrite").partitionBy("quarantined").parquet(path)
+
+
+def read_documents(spark: SparkSession, path: str, quarantined: bool = False) -> DataFrame:
+    """The stored documents (column ``document``), or the quarantine (column ``raw``)."""
+    return spark.read.parquet(path).where(F.col("quarantined") == quarantined).drop("quarantined", "document" if quarantined else "raw")
+
+
+def field_state(document: Column, name: str) -> Column:
+    """``set``, ``null`` or ``missing``: VARIANT keeps an explicit null apart from a missing key."""
+    value = F.variant_get(document, f"$.{name}", "variant")
+    return F.when(value.isNull(), F.lit("missing")).when(F.is_variant_null(value), F.lit("null")).otherwise(F.lit("set"))
+
+
+def typed(document: Column, schema: T.StructType = schemas.COMPANY_DOCUMENT) -> Column:
+    """A document as a struct; fields it lacks, or holds in another type, are null."""
+    return F.struct(*(F.try_variant_get(document, f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema.fields))

@@ -10,21 +10,16 @@ replayed micro-batch is skipped by its batch id.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.dedupe import keep_first
-from ..session import ensure_checkpoint_dir
+from ..session import scratch
 from ..sources import fixtures
 from ..sources.store import append_log, apply_log, read_log
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/clientele-{name}-{uuid.uuid4().hex[:12]}"
-
-
 def events_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
     """An ``events`` table as a file stream, whether it is one file or a folder
     (schema taken from the batch table)."""
@@ -132,7 +127,7 @@ def arrivals(spark: SparkSession, sf_dir: str, folder: str) -> str:
 
 
 def run_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _scratch(spark, "repo")
+    base = scratch(spark, "repo")
     stream = fixtures.as_upsert_log(events_stream(spark, arrivals(spark, sf_dir, f"{base}/arrivals"), max_files=1))
     stream_upsert(stream, f"{base}/log", f"{base}/_checkpoint")
     log = read_log(spark, f"{base}/log", stream.schema).drop("bucket", "batch")
@@ -156,7 +151,7 @@ def timed_arrivals(spark: SparkSession, sf_dir: str, folder: str):
 
 def run_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, event_type, ts, late): the unique rows, and the late ones."""
-    base = _scratch(spark, "dedupe")
+    base = scratch(spark, "dedupe")
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
     dedupe_arrivals(timed_arrivals(spark, sf_dir, f"{base}/arrivals"), schema, ["user_id", "event_type"], "ts", "event_id", DELAY, base)
     unique = spark.read.schema(schema).parquet(f"{base}/unique")
@@ -179,7 +174,7 @@ def reply_times(request_id: Column, reply_id: Column) -> tuple[Column, Column]:
 def run_stream_replies(spark: SparkSession, requests: DataFrame, replies: DataFrame) -> DataFrame:
     """Requests and replies in four arrivals by their times, then one of a later time that
     closes the stream (its row is left out)."""
-    base = _scratch(spark, "replies")
+    base = scratch(spark, "replies")
     asked, said = reply_times(F.col("request_id"), F.col("reply_id"))
     req = requests.select("request_id", asked.alias("asked_at"))
     rep = replies.select("reply_id", "http_status", "body", said.alias("answered_at"))
