@@ -33,15 +33,16 @@ def redirect_ends(redirects: DataFrame, max_hops: int = MAX_REDIRECTS) -> DataFr
              .agg(F.min("to_url").alias("at"), F.lit(1).cast("long").alias("hops"), F.lit(False).alias("done"))
              .checkpoint(eager=True))
     finished = -1
-    while (now := state.where("done").count()) > finished:
+    while True:
+        now, total = state.agg(F.count_if("done"), F.count(F.lit(1))).first()
+        if now == total or now == finished:
+            break
         finished = now
         step = state.select(F.col("url").alias("_from"), F.col("at").alias("_at"), F.col("hops").alias("_hops"), F.col("done").alias("_done"))
         jumped = state.where("NOT done").join(step, F.col("at") == F.col("_from"), "left").select(
             "url", F.coalesce("_at", "at").alias("at"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
             F.coalesce("_done", F.lit(True)).alias("done"))
         state = state.where("done").unionByName(jumped).checkpoint(eager=True)
-        if state.where("NOT done").isEmpty():
-            break
     outcome = F.when(~F.col("done"), F.lit("loop")).when(F.col("hops") > max_hops, F.lit("redirects")).otherwise(F.lit("ok"))
     return state.select("url", F.when(outcome == "ok", F.col("at")).alias("final_url"),
                         F.when(F.col("done"), F.col("hops")).alias("hops"), outcome.alias("outcome"))
