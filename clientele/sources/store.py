@@ -121,9 +121,52 @@ def append_log(batch: DataFrame, path: str, batch_id: int, buckets: int = DEFAUL
           .write.mode("overwrite").partitionBy("bucket").parquet(f"{path.rstrip('/')}/batch={int(batch_id)}"))
 
 
+def _folders(spark: SparkSession, path: str) -> tuple[int, list[int]]:
+    """The number of the newest whole base (-1: none) and the numbers of the batches after it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(hadoop)] if fs.exists(hadoop) else []
+    whole = lambda name: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{name}/_SUCCESS"))
+    base = max((int(n[5:]) for n in names if n.startswith("base=") and whole(n)), default=-1)
+    return base, sorted(int(n[6:]) for n in names if n.startswith("batch=") and int(n[6:]) > base)
+
+
 def read_log(spark: SparkSession, path: str, schema) -> DataFrame:
-    """The whole log; a filter on ``bucket`` prunes folders."""
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])).option("basePath", path).parquet(path)
+    """The log: its newest base and the batches after it; a filter on ``bucket`` prunes folders."""
+    base, batches = _folders(spark, path)
+    root = path.rstrip("/")
+    kind = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    out = spark.read.schema(kind).parquet(f"{root}/base={base}") if base >= 0 else spark.createDataFrame([], kind)
+    if batches:
+        numbered = T.StructType([*kind.fields, T.StructField("batch", T.LongType())])
+        log = spark.read.schema(numbered).option("basePath", root).parquet(*(f"{root}/batch={n}" for n in batches)).drop("batch")
+        out = out.unionByName(log) if base >= 0 else log
+    return out
+
+
+def fold_log(spark: SparkSession, path: str, schema, keys: Sequence[str], order: Sequence[str], buckets: int = DEFAULT_BUCKETS) -> int:
+    """Fold the base and all batches into a new base: the last write of every key, deletes kept as
+    rows with their order values, so a late, older upsert still cannot bring a key back.  Returns
+    the base's number.  A base counts once it is written whole; what it replaces stays on
+    disk, unread, for readers that began before, until ``drop_folded``."""
+    base, batches = _folders(spark, path)
+    if not batches:
+        return base
+    last = latest_per_key(read_log(spark, path, schema).drop("bucket"), keys, order)
+    (last.withColumn("bucket", bucket_of(F.col("email"), buckets)).hint("rebalance", "bucket")
+         .write.mode("overwrite").partitionBy("bucket").parquet(f"{path.rstrip('/')}/base={batches[-1]}"))
+    return batches[-1]
+
+
+def drop_folded(spark: SparkSession, path: str) -> None:
+    """Delete the batches and bases that the newest base replaces."""
+    base, _ = _folders(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(hadoop):
+        kind, _, n = status.getPath().getName().partition("=")
+        if (kind == "batch" and int(n) <= base) or (kind == "base" and int(n) < base):
+            fs.delete(status.getPath(), True)
 
 
 # ---------------------------------------------------------------------------

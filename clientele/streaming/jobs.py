@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..operators.dedupe import keep_first
 from ..session import scratch
 from ..sources import fixtures
-from ..sources.store import append_log, apply_log, read_log
+from ..sources.store import append_log, apply_log, fold_log, read_log
 
 
 def events_stream(spark: SparkSession, path: str, max_files: int = 1) -> DataFrame:
@@ -130,8 +130,9 @@ def run_stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch(spark, "repo")
     stream = fixtures.as_upsert_log(events_stream(spark, arrivals(spark, sf_dir, f"{base}/arrivals"), max_files=1))
     stream_upsert(stream, f"{base}/log", f"{base}/_checkpoint")
-    log = read_log(spark, f"{base}/log", stream.schema).drop("bucket", "batch")
-    return apply_log(log, ["email", "company_key"], ["updated_at", "seq"])
+    keys, order = ["email", "company_key"], ["updated_at", "seq"]
+    fold_log(spark, f"{base}/log", stream.schema, keys, order)
+    return apply_log(read_log(spark, f"{base}/log", stream.schema).drop("bucket"), keys, order)
 
 
 DELAY = "4 days"

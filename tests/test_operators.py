@@ -120,5 +120,19 @@ def test_log_keeps_deletes_and_replays(spark, tmp_path):
     scan = S.tenant_scan(log, "b@x", 4)
     assert scan.count() == 3
     assert "PartitionFilters: [isnotnull(bucket" in scan._jdf.queryExecution().executedPlan().toString()
+    # folded after two batches, the third one late; a half-written base does not count
+    again = str(tmp_path / "folded")
+    for i in (0, 1):
+        S.append_log(spark.createDataFrame(batches[i], schema), again, i, buckets=4)
+    assert S.fold_log(spark, again, schema, keys, order, buckets=4) == 1
+    (tmp_path / "folded" / "base=7").mkdir()
+    S.append_log(spark.createDataFrame(batches[2], schema), again, 2, buckets=4)
+    for _ in range(2):
+        log = S.read_log(spark, again, schema)
+        assert log.count() == 5 and {(r.email, r.company_key): r.data for r in S.apply_log(log.drop("bucket"), keys, order).collect()} == want
+        S.drop_folded(spark, again)
+    assert not (tmp_path / "folded" / "batch=0").exists() and (tmp_path / "folded" / "batch=2").exists()
+    assert S.fold_log(spark, again, schema, keys, order, buckets=4) == 2 == S.fold_log(spark, again, schema, keys, order, buckets=4)
+    assert S.read_log(spark, again, schema).count() == 3 and S.read_log(spark, str(tmp_path / "none"), schema).count() == 0
 
 
