@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import ensure_checkpoint_dir
 from . import search_index
 from .ordinal import ordinal
 
@@ -269,27 +270,19 @@ def company_detail(clients: DataFrame, companies: DataFrame, q: str = "") -> Dat
     """One summary row per company -- badges in order, distinct industry / country
     counts and the search caption; companies without clients included.
 
-    One pass over the clients: counts per (company, label, industry, country) are
-    folded into the company's figures.  The badge list of a company holds its
-    distinct source labels."""
-    from pyspark.sql import Window
-    real = ~F.col("is_partner")
-    g = (clients.withColumn("label", badge_label(F.col("source")))
-                .groupBy("email", "company_key", "label",
-                         F.when(real, F.nullif("industry", F.lit(""))).alias("industry"),
-                         F.when(real, F.nullif("country", F.lit(""))).alias("country"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first_ord"),
-                     F.count_if(real).alias("n_total"), F.count_if(real & client_hit(q)).alias("n_match")))
-    by_label = (g.groupBy("email", "company_key", "label")
-                 .agg(F.sum("n").alias("n"), F.min("first_ord").alias("first_ord"), F.sum("n_total").alias("n_total"),
-                      F.sum("n_match").alias("n_match"), F.collect_set("industry").alias("industries"), F.collect_set("country").alias("countries")))
-    w = Window.partitionBy("email", "company_key").orderBy(F.col("n").desc(), F.col("first_ord").asc())
-    badge = F.struct(F.row_number().over(w).alias("badge_rank"), badge_text(F.col("n"), F.col("label")).alias("badge"))
-    out = (by_label.withColumn("b", badge).groupBy("email", "company_key")
-                   .agg(F.array_join(F.transform(F.array_sort(F.collect_list("b")), lambda x: x["badge"]), " | ").alias("badges"),
-                        F.sum("n_total").alias("n_total"), F.sum("n_match").alias("n_match"),
-                        F.size(F.array_distinct(F.flatten(F.collect_list("industries")))).cast("long").alias("n_industries"),
-                        F.size(F.array_distinct(F.flatten(F.collect_list("countries")))).cast("long").alias("n_countries")))
+    The clients are narrowed to what the figures need and staged once (a reliable checkpoint, so a
+    lost executor re-reads it); three aggregations read that.  Distinct values are counted by
+    shuffles of their own, never collected; the badge list of a company holds its distinct
+    source labels."""
+    ensure_checkpoint_dir(clients.sparkSession)
+    real, key = ~F.col("is_partner"), ["email", "company_key"]
+    v = clients.select(*key, "source", "ord", "is_partner", client_hit(q).alias("hit"),
+                       *(F.when(real, F.nullif(c, F.lit(""))).alias(c) for c in ("industry", "country"))).checkpoint(eager=True)
+    badges = (source_badges(v).groupBy(*key)
+              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("badge_rank", "badge"))), lambda x: x["badge"]), " | ").alias("badges")))
+    totals = v.groupBy(*key).agg(F.count_if(real).alias("n_total"), F.count_if(real & F.col("hit")).alias("n_match"))
+    values = v.groupBy(*key).agg(F.count_distinct("industry").alias("n_industries"), F.count_distinct("country").alias("n_countries"))
+    out = badges.join(totals, key).join(values, key)
     return (every_company(companies, out).fillna("", ["badges"])
             .select("email", "company_key", "badges", "n_total", "n_industries", "n_countries",
                     count_caption(F.col("n_match"), F.col("n_total"), q).alias("caption")))
