@@ -86,6 +86,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return local
 
 
+_SCRATCH: dict[str, SparkSession] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder name below the shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/clientele-{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder name below the shared checkpoint folder; deleted when the driver's Python ends."""
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/clientele-{spark.sparkContext.applicationId}"
+    if root not in _SCRATCH:
+        _SCRATCH[root] = spark
+        atexit.register(_drop_scratch, root)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _drop_scratch(root: str) -> None:
+    spark = _SCRATCH.pop(root, None)
+    if spark is None or spark.sparkContext._jsc is None:  # the session has ended before
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
