@@ -16,16 +16,18 @@ sort is a most-significant-digit radix sort over the cluster:
    in a bitmap.  The bitmap has a fixed size whatever the corpus
    (``bitmap_bits``), so it may be broadcast; a fuller bitmap lets more runs
    through and costs time, never a result.
-2. *Further digits.*  The runs that are left are exchanged by minimizer, each
-   content once per task with the documents and places that hold it.  Within a
+2. *Further digits.*  The runs that are left are exchanged by the first bits of
+   their minimizer, packed and compressed, each content once per flush of a task
+   with the documents and places that hold it.  Within a
    minimizer the windows are refined eight bytes at a time; a window alone in
    its class leaves the sort, and after the last digit each class is exactly one
    repeated window, whose smallest doc_id is known.
 3. *Coverage.*  Windows whose smallest doc_id is smaller than the document's own
    become byte intervals, gathered per document and cut out.
 
-A minimizer with more than ``group_limit`` contents is not held in one task: its
-windows are refined instead as a Spark aggregation over their 128-bit hashes.
+A minimizer with more than ``group_limit`` contents, or eight times as many places,
+is not held in one task: the smallest document of its windows is found by a Spark
+aggregation over their 128-bit hashes, and joined back to contents and places.
 
 Defined cases.  A null or empty text has no bytes.  Rows that share a doc_id are
 cut each by its own text; they are not smaller than each other.  Rows with a
@@ -51,7 +53,8 @@ PIECE = 64            # windows in one run at most
 SEGMENT = 1 << 19     # bytes worked on at a time
 FLUSH = 1 << 21       # minimizers kept in a task before they are sent
 BITMAP_BITS = 28
-GROUP_LIMIT = 200_000
+GROUP_LIMIT = 200_000  # contents, or eight times as many places
+SLICE = 1 << 20       # windows of places expanded at a time
 _B = 0x9E3779B97F4A7C15
 
 
@@ -217,39 +220,100 @@ def repeated_bitmap(docs: DataFrame, width: int, bits: int) -> bytes:
 
 
 PLACE = np.dtype([("doc", "<i8"), ("tag", "<i4"), ("at", "<i4")])
-
-
-def _contents(width: int, bits: int, bitmap):
-    """(h, content, places): the runs that may repeat; each content once per flush."""
-    def sent(found: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.array([h for h, _ in found.values()], np.uint64).view(np.int64)), pa.array(list(found), pa.binary()),
-            pa.array([np.array(p, PLACE).tobytes() for _, p in found.values()], pa.binary())], ["h", "content", "places"])
+KEY = 6               # bytes of a minimizer that are sent: equal ones stay together, unequal ones may meet
+
+
+def _planes(x: np.ndarray, size: int = 0) -> bytes:
+    """The ``size`` highest bytes of each number (default all), place by place, so that they compress."""
+    raw = x.view(np.uint8).reshape(len(x), -1)
+    return np.ascontiguousarray(raw[:, raw.shape[1] - size if size else 0:].T).tobytes()
+
+
+def _numbers(data: bytes, at: int, n: int, kind: str, size: int = 0) -> tuple[np.ndarray, int]:
+    """The numbers that ``_planes`` wrote at a place, and the place behind them."""
+    whole = np.dtype(kind).itemsize
+    size = size or whole
+    out = np.zeros((n, whole), np.uint8)
+    out[:, whole - size:] = np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T
+    return out.view(kind).ravel(), at + n * size
+
+
+def _contents(width: int, bits: int, bitmap, shards: int):
+    """(shard, runs): the runs that may repeat, by the first bits of their minimizers,
+    packed and compressed; each content stands once per flush with all its places."""
+    shift = np.uint64(64 - int(np.log2(shards)))
+
+    def sent(found: dict, rows: list) -> pa.RecordBatch:
+        import zstandard
+        pack = zstandard.ZstdCompressor(level=1).compress
+        h, of, doc, tag, at = (np.concatenate(x) for x in zip(*rows))
+        order = np.lexsort((of, h))
+        h, of, doc, tag, at = (x[order] for x in (h, of, doc, tag, at))
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])      # a content has one minimizer
+        last = np.r_[first[1:], len(of)]
+        contents, key = list(found), h[first]
+        cut = np.r_[np.searchsorted(key >> shift, np.arange(shards, dtype=np.uint64)), len(key)]
+        out = [[], []]
+        for s in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+            a, b = cut[s], cut[s + 1]
+            p, q = first[a], last[b - 1]
+            texts = [contents[i] for i in of[first[a:b]].tolist()]
+            size = np.fromiter(map(len, texts), np.uint32, len(texts))
+            out[0].append(s)
+            out[1].append(pack(b"".join([
+                np.array([b - a, q - p], "<u4").tobytes(), _planes(key[a:b], KEY), _planes(size), _planes((last - first)[a:b].astype("<u4")),
+                _planes(doc[p:q]), _planes(tag[p:q]), _planes(at[p:q]), *texts])))
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary())], ["shard", "runs"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(bitmap.value, np.uint8)
-        found, size = {}, 0
+        found, rows, size = {}, [], 0
         for buf, offsets, held in segments(batches, width):
             start, count, h, doc = runs(buf, offsets, width)
             at = h >> np.uint64(64 - bits)
             may = (marks[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1) > 0
-            start, count, h, doc = start[may], count[may], h[may], doc[may]
-            whole = buf.tobytes()
-            for s, n, x, d in zip(start.tolist(), count.tolist(), h.tolist(), doc.tolist()):
-                doc_id, tag, base = held[d]
-                base += s - int(offsets[d])
-                for cut in range(0, n, PIECE):
-                    content = whole[s + cut: s + min(n, cut + PIECE) + width - 1]
-                    found.setdefault(content, (x, []))[1].append((doc_id, tag, base + cut))
-                    size += 1
+            pieces = -(-count[may] // PIECE)
+            row = np.repeat(np.flatnonzero(may), pieces)
+            cut = PIECE * (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+            lo, doc = start[row] + cut, doc[row]
+            hi = lo + np.minimum(PIECE, count[row] - cut) + width - 1
+            whole, number = buf.tobytes(), found.setdefault
+            of = np.array([number(whole[x:y], len(found)) for x, y in zip(lo.tolist(), hi.tolist())], np.int64)
+            ids, tags, bases = (np.array(x, kind) for x, kind in zip(zip(*held), ("<i8", "<i4", "<i8")))
+            rows.append((h[row], of, ids[doc], tags[doc], (bases[doc] + lo - offsets[doc]).astype("<i4")))
+            size += len(row)
             if size >= 150_000:
-                yield sent(found)
-                found, size = {}, 0
-        if found:
-            yield sent(found)
+                yield sent(found, rows)
+                found, rows, size = {}, [], 0
+        if size:
+            yield sent(found, rows)
     return run
 
 
+def _unpacked_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, content, places), one row for each content of a flush."""
+    import zstandard
+    unpack = zstandard.ZstdDecompressor().decompress
+
+    def column(offsets: np.ndarray, data: bytes) -> pa.Array:
+        return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)])
+    for batch in batches:
+        for blob in batch.column(1):
+            data = unpack(blob.as_py())
+            n, n_places = (int(x) for x in np.frombuffer(data, "<u4", 2))
+            h, at = _numbers(data, 8, n, "<i8", KEY)
+            size, at = _numbers(data, at, n, "<u4")
+            count, at = _numbers(data, at, n, "<u4")
+            places = np.empty(n_places, PLACE)
+            for name, kind in (("doc", "<i8"), ("tag", "<i4"), ("at", "<i4")):
+                places[name], at = _numbers(data, at, n_places, kind)
+            ends = np.r_[0, np.cumsum(count.astype(np.int64))] * PLACE.itemsize
+            rows = pa.RecordBatch.from_arrays([pa.array(h), column(np.r_[0, np.cumsum(size.astype(np.int64))], data[at:]), column(ends, places.tobytes())],
+                                              ["h", "content", "places"])
+            for i in range(0, n, 10_000):
+                yield rows.slice(i, 10_000)
+
+
 def radix_classes(buf: np.ndarray, at: np.ndarray, group: np.ndarray, width: int) -> np.ndarray:
     """A class number for each window start ``at``: windows of one group have the
     same class exactly when their ``width`` bytes are equal."""
@@ -293,16 +357,24 @@ def _intervals(keys: list[int], contents: list[bytes], places: list[np.ndarray],
         low = np.full(len(pick), np.iinfo(np.int64).max)
         np.minimum.at(low, classes, smallest[pick])
         smallest[pick] = low[classes]
-    # every place of a content against its windows' smallest documents
-    content = np.repeat(np.arange(len(contents)), n_places)
-    steps = count[content]
-    row = np.repeat(np.arange(len(flat)), steps)
-    step = np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps)
-    gone = smallest[begin[content][row] + step] < flat["doc"][row]
-    edge = np.flatnonzero(gone & np.r_[True, ~gone[:-1] | (row[1:] != row[:-1])])
-    last = np.flatnonzero(gone & np.r_[~gone[1:] | (row[1:] != row[:-1]), True])
-    p = flat[row[edge]]
-    return p["doc"], p["tag"], p["at"] + step[edge], p["at"] + step[last] + width
+    yield from _gone(smallest, begin, count, np.repeat(np.arange(len(contents)), n_places), flat, width)
+
+
+def _gone(smallest: np.ndarray, begin: np.ndarray, count: np.ndarray, content: np.ndarray, flat: np.ndarray, width: int):
+    """(doc, tag, lo, hi) of each place's windows that a smaller document holds too;
+    ``content``: the content of each place.  A bounded number of windows at a time."""
+    width_of = count[content]
+    upto = np.cumsum(width_of)
+    edges = np.unique(np.r_[0, np.searchsorted(upto, np.arange(SLICE, int(upto[-1]), SLICE)), len(flat)])
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        steps, places = width_of[a:b], flat[a:b]
+        row = np.repeat(np.arange(b - a), steps)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(steps) - steps, steps)
+        gone = smallest[begin[content[a:b]][row] + step] < places["doc"][row]
+        edge = np.flatnonzero(gone & np.r_[True, ~gone[:-1] | (row[1:] != row[:-1])])
+        last = np.flatnonzero(gone & np.r_[~gone[1:] | (row[1:] != row[:-1]), True])
+        p = places[row[edge]]
+        yield p["doc"], p["tag"], p["at"] + step[edge], p["at"] + step[last] + width
 
 
 OUT = "doc_id long, tag int, lo int, hi int, content binary, places binary"
@@ -313,20 +385,20 @@ def _judged(width: int, limit: int):
     through unjudged, for ``_large``."""
     kind = pa.schema([("doc_id", pa.int64()), ("tag", pa.int32()), ("lo", pa.int32()), ("hi", pa.int32()), ("content", pa.binary()), ("places", pa.binary())])
 
-    def judged(rows) -> pa.RecordBatch:
+    def judged(rows) -> Iterator[pa.RecordBatch]:
         merged: dict[bytes, list] = {}
         for h, content, p in rows:
             merged.setdefault(content, [h, []])[1].append(p)
-        doc, tag, lo, hi = _intervals([h for h, _ in merged.values()], list(merged), [np.frombuffer(b"".join(p), PLACE) for _, p in merged.values()], width)
-        none = pa.nulls(len(doc), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), none, none], schema=kind)
+        for doc, tag, lo, hi in _intervals([h for h, _ in merged.values()], list(merged), [np.frombuffer(b"".join(p), PLACE) for _, p in merged.values()], width):
+            none = pa.nulls(len(doc), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), none, none], schema=kind)
 
     def passed(rows) -> pa.RecordBatch:
         n = pa.nulls(len(rows), pa.int32())
         return pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int64()), n, n, n, pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, open_, key, over, size = [], [], None, False, 0
+        done, open_, key, over, size, held = [], [], None, False, 0, 0
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if row[0] != key:
@@ -335,49 +407,63 @@ def _judged(width: int, limit: int):
                             yield passed(open_)
                     else:
                         done += open_
-                    open_, key, over = [], row[0], False
+                    open_, key, over, held = [], row[0], False, 0
                     if size >= 60_000:
                         if done:
-                            yield judged(done)
+                            yield from judged(done)
                         done, size = [], 0
                 open_.append(row)
                 size += 1 + len(row[2]) // 512
-                if len(open_) > limit or over and len(open_) >= 10_000:
+                held += len(row[2]) // PLACE.itemsize
+                if len(open_) > limit or held > 8 * limit or over and len(open_) >= 10_000:
                     over = True
                     yield passed(open_)
-                    open_, size = [], 0
+                    open_, size, held = [], 0, 0
         if over and open_:
             yield passed(open_)
         elif not over:
             done += open_
         if done:
-            yield judged(done)
+            yield from judged(done)
     return run
 
 
 def _windows(width: int):
+    """(id1, id2, j, k1, k2, least): each window of a row once, whatever its places."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = (1 << 64) - 1
         for batch in batches:
-            for content, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for id1, id2, content, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 n = len(content) - width + 1
                 keys = [xxhash.xxh3_128_intdigest(content[j: j + width]) for j in range(n)]
                 k1, k2 = (np.array(x, np.uint64).view(np.int64) for x in ([k >> 64 for k in keys], [k & low for k in keys]))
-                p = np.frombuffer(places, PLACE)
-                for lo in range(0, len(p), 4096):
-                    q = p[lo: lo + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(k1, len(q))), pa.array(np.tile(k2, len(q))), pa.array(np.repeat(q["doc"], n)),
-                                                      pa.array(np.repeat(q["tag"], n)), pa.array((q["at"][:, None] + np.arange(n, dtype=np.int32)[None, :]).ravel())],
-                                                     ["k1", "k2", "doc_id", "tag", "at"])
+                least = int(np.frombuffer(places, PLACE)["doc"].min())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, id1)), pa.array(np.full(n, id2)), pa.array(np.arange(n, dtype=np.int32)), pa.array(k1), pa.array(k2),
+                                                  pa.array(np.full(n, least))], ["id1", "id2", "j", "k1", "k2", "least"])
+    return run
+
+
+def _large_spans(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for least, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                smallest = np.array([x["least"] for x in sorted(least, key=lambda x: x["j"])], np.int64)
+                flat = np.frombuffer(places, PLACE)
+                for doc, tag, lo, hi in _gone(smallest, np.zeros(1, np.int64), np.array([len(smallest)]), np.zeros(len(flat), np.int64), flat, width):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(tag, pa.int32()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
+                                                     ["doc_id", "tag", "lo", "hi"])
     return run
 
 
 def _large(groups: DataFrame, width: int) -> DataFrame:
-    """The same judgement for contents of oversized groups, window by window."""
-    windows = groups.mapInArrow(_windows(width), "k1 long, k2 long, doc_id long, tag int, at int")
-    least = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
-    return (windows.join(least, ["k1", "k2"]).where("least < doc_id")
-            .select("doc_id", "tag", F.col("at").alias("lo"), (F.col("at") + width).alias("hi")))
+    """The same judgement for oversized groups: the smallest document of every window by
+    an aggregation over the contents' windows, sent back to each row of content and
+    places.  A row's places are those of one flush, so no task holds all of a passage."""
+    rows = groups.select(F.xxhash64("content", "places").alias("id1"), F.xxhash64(F.lit(1), "places", "content").alias("id2"), "content", "places")
+    windows = rows.mapInArrow(_windows(width), "id1 long, id2 long, j int, k1 long, k2 long, least long")
+    least = windows.groupBy("k1", "k2").agg(F.min("least").alias("least"))
+    back = windows.drop("least").join(least, ["k1", "k2"]).groupBy("id1", "id2").agg(F.collect_list(F.struct("j", "least")).alias("windows"))
+    return rows.join(back, ["id1", "id2"]).select("windows", "places").mapInArrow(_large_spans(width), "doc_id long, tag int, lo int, hi int")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,8 +494,10 @@ def dedup_substrings(docs: DataFrame, width: int = 50, bitmap_bits: int = BITMAP
     texts = docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), utf8().alias("text"))
     known = texts.where(F.col("doc_id").isNotNull())
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(known, width, bitmap_bits))
-    found = known.mapInArrow(_contents(width, bitmap_bits, bitmap), "h long, content binary, places binary")
-    judged = stage(found.repartition("h").sortWithinPartitions("h").mapInArrow(_judged(width, group_limit), OUT), "substring-intervals")
+    shards = 1 << max(6, (2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    packed = known.mapInArrow(_contents(width, bitmap_bits, bitmap, shards), "shard int, runs binary")
+    found = packed.repartition("shard").mapInArrow(_unpacked_runs, "h long, content binary, places binary")
+    judged = stage(found.sortWithinPartitions("h").mapInArrow(_judged(width, group_limit), OUT), "substring-intervals")
     gone = judged.where(F.col("content").isNull()).select("doc_id", "tag", "lo", "hi") \
         .unionByName(_large(judged.where(F.col("content").isNotNull()).select("content", "places"), width))
     cuts = gone.groupBy("doc_id", "tag").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))

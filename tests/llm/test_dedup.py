@@ -58,6 +58,33 @@ def test_brute_force(spark, sample, which):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.substrings(docs)))
 
 
+def test_passage_of_many_documents_and_long_text(spark):
+    # one passage in every document: few contents, many places; texts longer than a segment
+    rng = np.random.default_rng(5)
+    passage = "the same passage of well over fifty bytes that each of the documents holds, word by word"
+    docs = [(i, f"{rng.integers(1 << 60):x} {passage} {rng.integers(1 << 60):x}") for i in range(300)]
+    long = "".join(map(chr, rng.integers(97, 123, substring_dedup.SEGMENT + 1000)))
+    docs += [(300, long), (301, long[:200] + passage), (302, "x" + long[-700:]), (303, "y" + long[substring_dedup.SEGMENT - 300:][:600])]
+    df = frame(spark, docs)
+    for limit in (substring_dedup.GROUP_LIMIT, 20):
+        got = substring_dedup.dedup_substrings(df, bitmap_bits=20, group_limit=limit) \
+            .select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.substrings(docs)))
+
+
+def test_places_are_expanded_in_slices(monkeypatch):
+    flat = np.array([(d, 0, 10 * d) for d in range(40)], substring_dedup.PLACE)
+    content = np.repeat([0, 1], 20)
+    args = np.array([0] * 5 + [30] * 3), np.array([0, 5]), np.array([5, 3]), content, flat, 50
+
+    def spans():
+        return [tuple(map(int, x)) for part in substring_dedup._gone(*args) for x in zip(*part)]
+    whole = spans()
+    assert whole == [(d, 0, 10 * d, 10 * d + (54 if d < 20 else 52)) for d in range(40) if d and not 20 <= d <= 30]
+    monkeypatch.setattr(substring_dedup, "SLICE", 7)
+    assert spans() == whole
+
+
 def test_line_index_is_reversible(spark):
     docs = [d for d in edge_docs() if d[0] is not None]
     df = frame(spark, docs)
