@@ -494,9 +494,11 @@ def dedup_substrings(docs: DataFrame, width: int = 50, bitmap_bits: int = BITMAP
     texts = docs.select(F.col("doc_id").cast("long"), tag.alias("tag"), utf8().alias("text"))
     known = texts.where(F.col("doc_id").isNotNull())
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(known, width, bitmap_bits))
-    shards = 1 << max(6, (2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = 1 << max(6, (2 * tasks - 1).bit_length())
     packed = known.mapInArrow(_contents(width, bitmap_bits, bitmap, shards), "shard int, runs binary")
-    found = packed.repartition("shard").mapInArrow(_unpacked_runs, "h long, content binary, places binary")
+    # a fixed number of tasks: joined by their compressed sizes, they would sort several times as much
+    found = packed.repartition(tasks, "shard").mapInArrow(_unpacked_runs, "h long, content binary, places binary")
     judged = stage(found.sortWithinPartitions("h").mapInArrow(_judged(width, group_limit), OUT), "substring-intervals")
     gone = judged.where(F.col("content").isNull()).select("doc_id", "tag", "lo", "hi") \
         .unionByName(_large(judged.where(F.col("content").isNotNull()).select("content", "places"), width))
