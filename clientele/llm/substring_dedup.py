@@ -129,7 +129,10 @@ def runs(buf: np.ndarray, offsets: np.ndarray, width: int):
     count = np.diff(np.r_[start, len(low)])
     doc = np.searchsorted(offsets, start, side="right") - 1
     inside = start < tails[doc]
-    return start[inside], count[inside], low[start[inside]], doc[inside]
+    # a smallest hash is seldom a large one: mixed again, so that first bits fill shards and bitmap evenly
+    h = low[start[inside]]
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(_B)
+    return start[inside], count[inside], h ^ (h >> np.uint64(29)), doc[inside]
 
 
 def _anchors(width: int, bits: int, shards: int):

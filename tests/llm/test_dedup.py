@@ -72,6 +72,13 @@ def test_passage_of_many_documents_and_long_text(spark):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, brute.substrings(docs)))
 
 
+def test_minimizers_fill_shards_evenly():
+    buf = np.random.default_rng(1).integers(97, 123, 1 << 20).astype(np.uint8)
+    h = substring_dedup.runs(buf, np.array([0, len(buf)]), 50)[2]
+    n = np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=64)
+    assert n.max() < 1.2 * n.mean() and n.min() > 0.8 * n.mean()
+
+
 def test_places_are_expanded_in_slices(monkeypatch):
     flat = np.array([(d, 0, 10 * d) for d in range(40)], substring_dedup.PLACE)
     content = np.repeat([0, 1], 20)
