@@ -53,11 +53,13 @@ MAGIC = b"CLTOK001"
 HEADER = "<8sIIQQQ"
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 22
-CACHE = 350_000       # pieces kept by the encoder, and half as many pre-tokens
+CACHE = 900_000       # pieces kept by the encoder
+WORDS = 175_000       # pre-tokens kept besides
 CUT = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: how the byte-level tokenizer splits a text.
 LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LIMIT = "\u0250"
+SPACE = "\u0120"  # the letter of the byte 32
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -148,7 +150,10 @@ class Encoder:
         return np.frombuffer(b"".join([b"".join(x) for x in self._stretches(text)]), "<u4")
 
     def _word(self, word: str) -> bytes:
-        mapped = word.encode().decode("latin-1").translate(self.letters)
+        if word[0] == " " and word.isascii() and word[1:].isalnum():
+            mapped = SPACE + word[1:]  # all but the space are their own letters
+        else:
+            mapped = word.encode().decode("latin-1").translate(self.letters)
         ids = [x.id for x in self.model.tokenize(mapped)]
         packed = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
         return packed
@@ -171,7 +176,7 @@ class Encoder:
                 cached[piece] = ids
             else:
                 cached[piece] = b"".join([get(x) or word(x) for x in split(text)])
-        if len(self.words) > CACHE // 2:
+        if len(self.words) > WORDS:
             self.words.clear()
 
     def _stretches(self, text: str) -> Iterator[list[bytes]]:
