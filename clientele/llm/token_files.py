@@ -53,8 +53,8 @@ MAGIC = b"CLTOK001"
 HEADER = "<8sIIQQQ"
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 22
-CACHE = 900_000       # pieces kept by the encoder
-WORDS = 175_000       # pre-tokens kept besides
+CACHE = 450_000       # pieces kept by the encoder; none that holds a line end
+WORDS = 350_000       # pre-tokens kept besides
 CUT = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: how the byte-level tokenizer splits a text.
 LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -150,18 +150,28 @@ class Encoder:
         return np.frombuffer(b"".join([b"".join(x) for x in self._stretches(text)]), "<u4")
 
     def _word(self, word: str) -> bytes:
-        if word[0] == " " and word.isascii() and word[1:].isalnum():
-            mapped = SPACE + word[1:]  # all but the space are their own letters
+        if word.isascii() and (word[1:] if word[0] == " " else word).isalnum():
+            mapped = SPACE + word[1:] if word[0] == " " else word  # all but the space are their own letters
         else:
             mapped = word.encode().decode("latin-1").translate(self.letters)
         ids = [x.id for x in self.model.tokenize(mapped)]
         packed = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
         return packed
 
-    def _new(self, pieces: list[str]) -> None:
-        """Cache pieces that hold no space, as they stand behind one."""
-        get, word, cached, split = self.words.get, self._word, self.pieces, LATIN.findall
+    def _leading(self, piece: str) -> bytes:
+        """A piece at the start of a text, with no space before it."""
+        if not (piece.isascii() and piece.isalpha()):
+            return self._plain(piece)
+        if len(self.words) > WORDS:
+            self.words.clear()
+        return self.words.get(piece) or self._word(piece)
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        """Cache pieces that hold no space, as they stand behind one.  Those that hold a line
+        end are returned instead: two words met by chance, which seldom come again."""
+        get, word, split, once = self.words.get, self._word, LATIN.findall, {}
         for piece in pieces:
+            cached = once if "\n" in piece else self.pieces
             if not piece.isascii() and max(piece) >= LIMIT:
                 # beyond the Latin letters two Unicode versions might class a character differently
                 cached[piece] = self._plain(" " + piece)
@@ -174,10 +184,17 @@ class Encoder:
                     end = text[len(core):]
                     ids += get(end) or word(end)
                 cached[piece] = ids
+                continue
+            before, line, after = text.partition("\n")
+            head, tail = before.rstrip(".,"), after.rstrip(".,")
+            if line and head[1:].isalpha() and tail.isalpha():  # one line end between two such words
+                parts = (head, before[len(head):], line, tail, after[len(tail):])
+                cached[piece] = b"".join([get(x) or word(x) for x in parts if x])
             else:
                 cached[piece] = b"".join([get(x) or word(x) for x in split(text)])
         if len(self.words) > WORDS:
             self.words.clear()
+        return once
 
     def _stretches(self, text: str) -> Iterator[list[bytes]]:
         """Encoded pieces, about a million characters of text at a time."""
@@ -199,13 +216,13 @@ class Encoder:
                     first = [] if lead else [words.pop(0)]
                     missing, got = range(len(words)), [None] * len(words)
                     new = [w for w in dict.fromkeys(words) if w not in cached]
-                self._new([w for w in new if " " not in w])
+                once = self._new([w for w in new if " " not in w])
                 for w in new:
                     if " " in w:
                         cached[w] = self._plain(" " + w)
                 for i in missing:
-                    got[i] = cached[words[i]]
-            yield [self._plain(w) for w in first] + got
+                    got[i] = cached.get(words[i]) or once[words[i]]
+            yield [self._leading(w) for w in first] + got
             at, lead = end + 1, True
 
 
