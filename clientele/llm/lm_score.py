@@ -34,6 +34,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -127,7 +128,11 @@ class Params:
         up = (q * self.Q[y]).sum(axis=1) + self.b[y] - log_share[y] - shift
         down = q @ self.Q[noise].T + (self.b[noise] - log_share[noise] - shift)
         g_up = 1 / (1 + np.exp(np.clip(up, -30, 30)))              # towards the data
-        g_down = -1 / (1 + np.exp(-np.clip(down, -30, 30)))        # away from the noise
+        np.clip(down, -30, 30, out=down)
+        np.negative(down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        g_down = np.divide(-1, down, out=down)                     # away from the noise; in place, as it is large
         g_q = g_up[:, None] * self.Q[y] + g_down @ self.Q[noise]
         d_q = _summed(len(self.Q), y, g_up[:, None] * q) + _summed(len(self.Q), noise, g_down.T @ q)
         d_b = np.bincount(y, g_up, len(self.b)) + np.bincount(noise, g_down.sum(axis=0), len(self.b))
@@ -157,12 +162,8 @@ class Params:
 
 def _summed(n: int, at: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Rows of x added up by their place among n."""
-    order = np.argsort(at, kind="stable")
-    place = at[order]
-    first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-    out = np.zeros((n, x.shape[1]), x.dtype)
-    out[place[first]] = np.add.reduceat(x[order], first, axis=0)
-    return out
+    m = x.shape[1]
+    return np.bincount((at[:, None] * m + np.arange(m)).ravel(), x.ravel(), n * m).reshape(n, m)
 
 
 def _contexts(ids: np.ndarray, starts: np.ndarray, before: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +183,7 @@ def _numbered(batches, number, vocab: int, text_at: int) -> Iterator[tuple[np.nd
         for text in batch.column(text_at):
             starts.append(len(ids))
             for words in token_pieces(text.as_py()):
-                ids.extend(number(w, vocab - 1) for w in words)
+                ids.extend(map(number, words, repeat(vocab - 1)))
             if len(ids) >= FLUSH:
                 yield np.array(ids), np.array(starts)
                 ids, starts = [], []
@@ -233,15 +234,16 @@ class Scorer:
     base: np.ndarray             # log10 base probability by place
     tail: np.ndarray             # log10 share among the tokens outside the vocabulary, 0 inside
 
-    def run(self, texts: list[bytes]):
-        """Per text (tokens, tokens in the head, base, model), and the counts of the rest."""
+    def run(self, texts: list[bytes], rest_too: bool = True):
+        """Per text (tokens, tokens in the head, base, model), and the counts of the rest
+        (empty without ``rest_too``)."""
         ids, starts, rest = [], [], []
         for text in texts:
             starts.append(len(ids))
             others = Counter()
             for words in token_pieces(text):
-                found = [self.head.get(w, -1) for w in words]
-                if -1 in found:
+                found = list(map(self.head.get, words, repeat(-1)))
+                if rest_too and -1 in found:
                     others.update(w for w, i in zip(words, found) if i < 0)
                 ids += found
             rest.append(others)
@@ -276,14 +278,14 @@ def _scored(sent, tails: bool):
                     for text in held:
                         c = Counter()
                         for words in token_pieces(text):
-                            c.update(w for w in words if w not in scorer.head)
+                            c.update(filterfalse(scorer.head.__contains__, words))
                         rest.append(c)
                     doc = pa.array(np.repeat(np.arange(len(rest)), [len(c) for c in rest]))
                     tokens = [w for c in rest for w in c]
                     yield pa.RecordBatch.from_arrays([part.column(0).take(doc), part.column(1).take(doc), pa.array(tokens, pa.binary()), pa.array([n for c in rest for n in c.values()], pa.int64())],
                                                      ["doc_id", "tag", "token", "tf"])
                 else:
-                    n, known, base, model, _ = scorer.run(held)
+                    n, known, base, model, _ = scorer.run(held, rest_too=False)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(n), pa.array(known), pa.array(base), pa.array(model)],
                                                      ["doc_id", "tag", "held_out", "n_tokens", "n_known", "base", "model"])
                 held = []
