@@ -81,3 +81,15 @@ def test_detail_from_clients_that_carry_hit(spark, sf, q):
     a = analytics.company_detail(lean, companies, q)
     b = analytics.company_detail(clients.clean_clients(rows), companies, q)
     assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
+def test_equal_mentions_keep_the_highest_position(spark, sf, monkeypatch):
+    from clientele.plans import catalog
+    real = fx.table
+    twice = lambda s, d, name: real(s, d, name).unionByName(real(s, d, name)) if name == "lineitem" else real(s, d, name)
+    monkeypatch.setattr(fx, "table", twice)
+    ranked = catalog._recs(spark, sf, fields=()).select("email", "company_key", F.lower("name").alias("k"), "pos", "ord")
+    first = ranked.groupBy("email", "company_key", "k").agg(F.min(F.struct("ord", (-F.col("pos")).alias("later"))).alias("f"))
+    want = first.select("email", "company_key", "k", (-F.col("f.later")).alias("pos"))
+    got = catalog._clean_pos(spark, sf).select("email", "company_key", F.lower("name").alias("k"), "pos")
+    assert got.exceptAll(want).isEmpty() and got.count() == want.count()
