@@ -46,7 +46,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clientele.llm.common import stage, table, utf8
+from clientele.llm.common import give_back, lean, stage, table, utf8
 
 GRAM = 20
 PIECE = 64            # windows in one run at most
@@ -55,6 +55,7 @@ FLUSH = 1 << 21       # minimizers kept in a task before they are sent
 BITMAP_BITS = 28
 GROUP_LIMIT = 200_000  # contents, or eight times as many places
 SLICE = 1 << 20       # windows of places expanded at a time
+JUDGED = 30_000       # contents judged at a time, whole groups
 _B = 0x9E3779B97F4A7C15
 
 
@@ -204,7 +205,10 @@ def _marked(bits: int, shards: int):
         # a minimizer may be alone in one task and stand among several in another
         part = np.zeros(1 << own, bool)
         part[(np.concatenate([twice, many]) >> np.uint64(40 - own)).astype(np.int64)] = True
-        return pa.table({"shard": group["shard"].slice(0, 1), "part": pa.array([zlib.compress(np.packbits(part).tobytes(), 1)], pa.binary())})
+        out = pa.table({"shard": group["shard"].slice(0, 1), "part": pa.array([zlib.compress(np.packbits(part).tobytes(), 1)], pa.binary())})
+        del alone, twice, many, part
+        give_back()
+        return out
     return run
 
 
@@ -213,7 +217,7 @@ def repeated_bitmap(docs: DataFrame, width: int, bits: int) -> bytes:
     import zlib
     wanted = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = 1 << min(bits - 8, 14, max(6, (wanted - 1).bit_length()))
-    parts = (docs.mapInArrow(_anchors(width, bits, shards), "shard int, alone binary, many binary")
+    parts = (docs.mapInArrow(lean(_anchors(width, bits, shards)), "shard int, alone binary, many binary")
              .groupBy("shard").applyInArrow(_marked(bits, shards), "shard int, part binary"))
     size = (1 << bits) // 8 // shards
     out = bytearray(size * shards)
@@ -411,7 +415,7 @@ def _judged(width: int, limit: int):
                     else:
                         done += open_
                     open_, key, over, held = [], row[0], False, 0
-                    if size >= 60_000:
+                    if size >= JUDGED:
                         if done:
                             yield from judged(done)
                         done, size = [], 0
@@ -463,10 +467,10 @@ def _large(groups: DataFrame, width: int) -> DataFrame:
     an aggregation over the contents' windows, sent back to each row of content and
     places.  A row's places are those of one flush, so no task holds all of a passage."""
     rows = groups.select(F.xxhash64("content", "places").alias("id1"), F.xxhash64(F.lit(1), "places", "content").alias("id2"), "content", "places")
-    windows = rows.mapInArrow(_windows(width), "id1 long, id2 long, j int, k1 long, k2 long, least long")
+    windows = rows.mapInArrow(lean(_windows(width)), "id1 long, id2 long, j int, k1 long, k2 long, least long")
     least = windows.groupBy("k1", "k2").agg(F.min("least").alias("least"))
     back = windows.drop("least").join(least, ["k1", "k2"]).groupBy("id1", "id2").agg(F.collect_list(F.struct("j", "least")).alias("windows"))
-    return rows.join(back, ["id1", "id2"]).select("windows", "places").mapInArrow(_large_spans(width), "doc_id long, tag int, lo int, hi int")
+    return rows.join(back, ["id1", "id2"]).select("windows", "places").mapInArrow(lean(_large_spans(width)), "doc_id long, tag int, lo int, hi int")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,15 +503,15 @@ def dedup_substrings(docs: DataFrame, width: int = 50, bitmap_bits: int = BITMAP
     bitmap = docs.sparkSession.sparkContext.broadcast(repeated_bitmap(known, width, bitmap_bits))
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shards = 1 << max(6, (2 * tasks - 1).bit_length())
-    packed = known.mapInArrow(_contents(width, bitmap_bits, bitmap, shards), "shard int, runs binary")
+    packed = known.mapInArrow(lean(_contents(width, bitmap_bits, bitmap, shards)), "shard int, runs binary")
     # a fixed number of tasks: joined by their compressed sizes, they would sort several times as much
-    found = packed.repartition(tasks, "shard").mapInArrow(_unpacked_runs, "h long, content binary, places binary")
-    judged = stage(found.sortWithinPartitions("h").mapInArrow(_judged(width, group_limit), OUT), "substring-intervals")
+    found = packed.repartition(tasks, "shard").mapInArrow(lean(_unpacked_runs), "h long, content binary, places binary")
+    judged = stage(found.sortWithinPartitions("h").mapInArrow(lean(_judged(width, group_limit)), OUT), "substring-intervals")
     gone = judged.where(F.col("content").isNull()).select("doc_id", "tag", "lo", "hi") \
         .unionByName(_large(judged.where(F.col("content").isNotNull()).select("content", "places"), width))
     cuts = gone.groupBy("doc_id", "tag").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     both = texts.join(cuts, ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "lo", "hi")
-    return both.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
