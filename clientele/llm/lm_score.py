@@ -124,7 +124,7 @@ class Params:
         noise = np.searchsorted(np.cumsum(np.exp(log_share)), rng.random(NOISE)).clip(max=len(log_share) - 1)
         e1, e2 = self.R[c1], self.R[c2]
         q = e1 @ self.C[0] + e2 @ self.C[1]
-        shift = np.log(NOISE)
+        shift = float(np.log(NOISE))                               # a numpy double would turn all that follows into doubles
         up = (q * self.Q[y]).sum(axis=1) + self.b[y] - log_share[y] - shift
         down = q @ self.Q[noise].T + (self.b[noise] - log_share[noise] - shift)
         g_up = 1 / (1 + np.exp(np.clip(up, -30, 30)))              # towards the data
@@ -146,17 +146,23 @@ class Params:
     def log_probs(self, c1: np.ndarray, c2: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of y after (c1, c2)."""
         n = len(self.R)
-        pair, at = np.unique(c1.astype(np.int64) * n + c2, return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        edges = np.searchsorted(at[order], np.arange(len(pair) + 1))
+        key = c1.astype(np.int64) * n + c2
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.empty(0, bool)
+        edges = np.r_[np.flatnonzero(new), len(key)]
+        pair, at = key[edges[:-1]], np.cumsum(new) - 1
         out = np.empty(len(y), np.float64)
+        held = np.empty((2, min(1024, len(pair)), len(self.b)), np.float32)
         for lo in range(0, len(pair), 1024):
             hi = min(lo + 1024, len(pair))
-            z = (self.R[pair[lo:hi] // n] @ self.C[0] + self.R[pair[lo:hi] % n] @ self.C[1]) @ self.Q.T + self.b
+            z, e = held[:, : hi - lo]
+            np.matmul(self.R[pair[lo:hi] // n] @ self.C[0] + self.R[pair[lo:hi] % n] @ self.C[1], self.Q.T, out=z)
+            z += self.b
             z -= z.max(axis=1, keepdims=True)
-            z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-            mine = order[edges[lo]: edges[hi]]
-            out[mine] = z[at[mine] - lo, y[mine]]
+            total = np.log(np.exp(z, out=e).sum(axis=1))
+            mine, row = order[edges[lo]: edges[hi]], at[edges[lo]: edges[hi]] - lo
+            out[mine] = z[row, y[mine]] - total[row]
         return out
 
 

@@ -3,7 +3,29 @@
 import numpy as np
 import pyarrow as pa
 
-from clientele.llm import common, substring_dedup
+from clientele.llm import common, lm_score, substring_dedup
+
+
+def test_training_step_stays_in_single_precision(monkeypatch):
+    kinds, exp = [], np.exp
+    share = np.full(8, 1 / 8)
+    p, rng = lm_score.Params.start(share, 4), np.random.default_rng(1)
+    ids = rng.integers(0, 8, 50)
+    log_share = np.log(share).astype(np.float32)
+    monkeypatch.setattr(np, "exp", lambda x, **k: kinds.append(x.dtype) or exp(x, **k))
+    p.step(ids, ids, ids, log_share, rng, 0.05, [np.full(x.shape, 1e-8, np.float32) for x in (p.R, p.Q, p.C, p.b)])
+    assert kinds and set(kinds) == {np.dtype(np.float32)}
+
+
+def test_log_probs_by_their_definition():
+    rng, v = np.random.default_rng(2), 40
+    p = lm_score.Params.start(np.full(v, 1 / v), 6)
+    c1, c2, y = rng.integers(0, v + 1, 3000), rng.integers(0, v + 1, 3000), rng.integers(0, v, 3000)
+    z = ((p.R[c1] @ p.C[0] + p.R[c2] @ p.C[1]) @ p.Q.T + p.b).astype(float)
+    want = z[np.arange(3000), y] - np.log(np.exp(z).sum(axis=1))
+    assert np.allclose(p.log_probs(c1, c2, y), want, atol=1e-5)
+    none = np.empty(0, np.int64)
+    assert len(p.log_probs(none, none, none)) == 0
 
 
 def test_a_lean_task_gives_memory_back_after_its_last_batch(monkeypatch):
