@@ -35,6 +35,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,9 +53,24 @@ REPEAT = re.compile(rb"(.)\1+", re.S)
 PIECE = 1 << 20
 
 
+def _buckets(w: bytes, shapes: dict, heads: dict) -> tuple[int, int, int]:
+    """Buckets of a word, of its first four bytes and of its shape; the last two recur and are looked up."""
+    form = w.translate(SHAPE)
+    shape = shapes.get(form)
+    if shape is None:
+        shape = shapes[form] = zlib.crc32(REPEAT.sub(rb"\1", form)[:32], 77) % BUCKETS
+    word = w.lower().strip(b".,;:!?()[]\"'")
+    start = word[:4]
+    head = heads.get(start)
+    if head is None:
+        head = heads[start] = zlib.crc32(start, 99) % BUCKETS
+    return zlib.crc32(word) % BUCKETS, head, shape
+
+
 def features(text: bytes) -> tuple[int, np.ndarray]:
     """(number of words, distinct feature buckets) of a text."""
     cache = worker_cache("mixing-features")
+    known, shapes, heads = (cache.setdefault(k, {}) for k in ("words", "shapes", "heads"))
     n, found = 0, set()
     at = 0
     while at < len(text):
@@ -63,17 +79,19 @@ def features(text: bytes) -> tuple[int, np.ndarray]:
             end += 1
         words = text[at:end].split()
         n += len(words)
-        for w in set(words):
-            pair = cache.get(w)
-            if pair is None:
-                shape = REPEAT.sub(rb"\1", w.translate(SHAPE))[:32]
-                word = w.lower().strip(b".,;:!?()[]\"'")
-                pair = zlib.crc32(word) % BUCKETS, zlib.crc32(word[:4], 99) % BUCKETS, zlib.crc32(shape, 77) % BUCKETS
-                if len(cache) > 150_000:
-                    cache.clear()
-                if len(w) < 64:
-                    cache[w] = pair
-            found.update(pair)
+        words = set(words)
+        new = words.difference(known)
+        if max(len(known) + len(new), len(shapes), len(heads)) > 150_000:
+            for held in (known, shapes, heads):
+                held.clear()
+            new = set(words)
+        for w in new:
+            if len(w) < 64:
+                known[w] = _buckets(w, shapes, heads)
+            else:
+                found.update(_buckets(w, {}, {}))
+                words.discard(w)
+        found.update(chain.from_iterable(map(known.__getitem__, words)))
         at = end
     return n, np.fromiter(found, np.int32, len(found))
 

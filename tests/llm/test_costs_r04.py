@@ -1,9 +1,42 @@
 """Operators 4, 5 and 6: cheaper steps give what the plain ones give, and tasks keep no memory."""
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 
-from clientele.llm import common, lm_score, substring_dedup
+from clientele.llm import common, lm_score, mixing, substring_dedup
+
+
+class Counted:
+    def __init__(self, pattern):
+        self.pattern, self.calls = pattern, 0
+
+    def sub(self, *a):
+        self.calls += 1
+        return self.pattern.sub(*a)
+
+
+def test_shape_of_a_word_is_worked_out_once_for_its_form(monkeypatch):
+    shapes = Counted(mixing.REPEAT)
+    monkeypatch.setattr(mixing, "REPEAT", shapes)
+    mixing.worker_cache("mixing-features").clear()
+    words = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    mixing.features(" ".join(words).encode())
+    assert shapes.calls == 1
+
+
+def test_features_by_their_definition():
+    def plain(text):
+        found = set()
+        for w in text.split():
+            word, shape = w.lower().strip(b".,;:!?()[]\"'"), mixing.REPEAT.sub(rb"\1", w.translate(mixing.SHAPE))[:32]
+            found |= {zlib.crc32(word) % mixing.BUCKETS, zlib.crc32(word[:4], 99) % mixing.BUCKETS, zlib.crc32(shape, 77) % mixing.BUCKETS}
+        return len(text.split()), found
+    for text in (b"", b" \n", b"One one, (one) 12 a1b22", "\u00c4rger \u00e4rger".encode(), b"x" * 63 + b" " + b"Y" * 64 + b" z " + b"9" * 300,
+                 b" ".join(b"%d" % i for i in range(160_000)), b"One again"):
+        n, found = mixing.features(text)
+        assert (n, set(found.tolist())) == plain(text) and len(set(found.tolist())) == len(found)
 
 
 def test_training_step_stays_in_single_precision(monkeypatch):
