@@ -26,7 +26,7 @@ from ..operators.frontier import frontier
 from ..operators.ordinal import ordinal
 from ..sources import store as S
 from ..functions.text import ustrip
-from ..session import ensure_checkpoint_dir
+from ..session import staged
 
 
 def company_inputs(inputs: DataFrame, url_col: str = "input_url") -> DataFrame:
@@ -272,13 +272,12 @@ def build_repository(inputs: DataFrame, candidates: DataFrame, pages: DataFrame,
     (both as ``discovery_results`` gives them); ``replies``: request_id, http_status,
     reply_body (None = the offline rule-based step); ``redirects``: from_url, to_url."""
     comps = company_inputs(inputs)
-    # Materialisation point (the fetched-pages table): three consumers read
-    # it, and a reliable checkpoint in the shared ``spark.checkpoint.dir``
-    # cuts the lineage, so a lost executor re-reads the table instead of
+    # Materialisation point (the fetched-pages table): several consumers read it, each its
+    # columns (only two need the texts), and a table in the shared ``spark.checkpoint.dir``
+    # cuts the lineage, so a lost executor re-reads it instead of
     # re-fetching and re-parsing.  The rules' names are taken in the pass that parses the page.
-    ensure_checkpoint_dir(inputs.sparkSession)
     fields = {"items": page_items()} if replies is None else None
-    fetched = fetched_pages(comps, candidates, pages, redirects, fields).checkpoint(eager=True)
+    fetched = staged(fetched_pages(comps, candidates, pages, redirects, fields), "fetched")
     if replies is None:
         ok, blocks = page_parts(fetched)
         reqs = analysis_requests(comps, fetched, (ok, blocks))
@@ -286,7 +285,7 @@ def build_repository(inputs: DataFrame, candidates: DataFrame, pages: DataFrame,
         replies = replies.join(reqs.select("request_id", "company_key", "part"), "request_id")
         # second materialisation point (the replies table; one row per request),
         # read by the record, error and bad-name branches of the decode
-        replies = replies.checkpoint(eager=True)
+        replies = staged(replies, "replies")
     clean, errors = decode_results(replies, strict_null)
     return build_documents(comps, fetched, clean, errors, scraped_at, said, part_rows)
 

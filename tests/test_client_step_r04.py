@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from clientele.operators import analytics, clients
 from clientele.operators.ordinal import ordinal
+from clientele.plans import jobs
 from clientele.session import staged
 from clientele.sources import fixtures as fx
 
@@ -66,3 +67,15 @@ def test_a_search_stages_the_rows_it_leaves(spark):
         assert analytics.client_table(c, q="none").count() == 0 and analytics.client_table(c).count() == 1 and len(kept) == 2
     finally:
         analytics.staged = plain
+
+
+def test_the_repository_stages_its_pages_and_replies(spark):
+    pages = spark.createDataFrame([("http://a.si/", "<html><body><p>Text</p></body></html>")], "url string, html string")
+    cands = spark.createDataFrame([("a.si", "http://a.si/", "homepage", "", 0)], "company_key string, url string, type string, description string, seq long")
+    kept, plain = [], jobs.staged
+    jobs.staged = lambda df, name: kept.append(name) or plain(df, name)
+    try:
+        out = jobs.build_repository(spark.createDataFrame([("http://a.si/",)], "input_url string"), cands, pages, None, "now")
+        assert kept == ["fetched", "replies"] and [r.document.sources_checked for r in out.collect()] == [["http://a.si/"]]
+    finally:
+        jobs.staged = plain
