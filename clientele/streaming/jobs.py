@@ -11,6 +11,7 @@ replayed micro-batch is skipped by its batch id.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -97,19 +98,42 @@ def dedupe_arrivals(arrived: Iterable[str], schema: T.StructType, keys: list[str
     return figures
 
 
-def stream_replies(requests: DataFrame, replies: DataFrame, patience: str, out_dir: str, checkpoint: str) -> None:
+STATE_BYTES = 64 << 20  # of both sides, for each partition of the state
+
+
+@contextmanager
+def shuffled_into(spark: SparkSession, n: int | None):
+    """Streams started inside deal their state into ``n`` partitions (default: as the session says)."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        if n:
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def state_partitions(spark: SparkSession, n_bytes: int) -> int:
+    """Partitions for a state of ``n_bytes`` at most: each micro-batch opens and commits the stores of
+    every one, so there are only as many as the bytes need, or the cores can use."""
+    cores = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(cores, -(-n_bytes // STATE_BYTES))
+
+
+def stream_replies(requests: DataFrame, replies: DataFrame, patience: str, out_dir: str, checkpoint: str, partitions: int | None = None) -> None:
     """J6 as a stream: requests (``request_id, asked_at``) joined with the replies (``reply_id,
     http_status, body, answered_at``) that come within ``patience``.  A request whose reply never comes, or
     comes later, becomes a row without one as soon as the watermarks pass its time;
-    until then Spark holds both sides as state."""
+    until then Spark holds both sides as state, in ``partitions`` (fixed by the first run of a checkpoint)."""
     asked = requests.withWatermark("asked_at", "0 seconds")
     said = replies.withWatermark("answered_at", "0 seconds")
     in_time = F.expr(f"request_id = reply_id AND answered_at >= asked_at AND answered_at <= asked_at + interval {patience}")
     out = asked.join(said, in_time, "leftOuter").select(
         "request_id", "asked_at", F.coalesce("http_status", F.lit(0)).alias("http_status"), F.coalesce("body", F.lit("no reply")).alias("reply_body"),
         F.col("reply_id").isNotNull().alias("has_reply"))
-    q = (out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
+    with shuffled_into(out.sparkSession, partitions):
+        q = (out.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
+                .outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
 
 
@@ -161,6 +185,7 @@ def run_stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PATIENCE = "10 minutes"
+ROW_BYTES = 200  # of a row in the state, besides its body
 _DAY0 = "2024-01-01 00:00:00"
 
 
@@ -179,7 +204,10 @@ def run_stream_replies(spark: SparkSession, requests: DataFrame, replies: DataFr
     asked, said = reply_times(F.col("request_id"), F.col("reply_id"))
     req = requests.select("request_id", asked.alias("asked_at"))
     rep = replies.select("reply_id", "http_status", "body", said.alias("answered_at"))
-    top = F.lit(req.agg(F.max("asked_at")).first()[0]).cast("timestamp")
+    last, n_asked = req.agg(F.max("asked_at"), F.count(F.lit(1))).first()
+    top = F.lit(last).cast("timestamp")
+    said_bytes = rep.agg(F.sum(F.coalesce(F.octet_length("body"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+    partitions = state_partitions(spark, n_asked * ROW_BYTES + said_bytes)
     start = F.unix_micros(F.lit(_DAY0).cast("timestamp"))
 
     def part(at: Column) -> Column:
@@ -195,6 +223,6 @@ def run_stream_replies(spark: SparkSession, requests: DataFrame, replies: DataFr
             end.select((F.col("id") - 1).alias("reply_id"), F.lit(0).alias("http_status"), F.lit("").alias("body"), F.col("at").alias("answered_at")) \
                 .write.mode("append").parquet(f"{base}/replies")
         stream_replies(spark.readStream.schema(req.schema).parquet(f"{base}/requests"), spark.readStream.schema(rep.schema).parquet(f"{base}/replies"),
-                       PATIENCE, f"{base}/out", f"{base}/_checkpoint")
+                       PATIENCE, f"{base}/out", f"{base}/_checkpoint", partitions)
     out = "request_id long, asked_at timestamp, http_status int, reply_body string, has_reply boolean"
     return spark.read.schema(out).parquet(f"{base}/out").where("request_id >= 0")

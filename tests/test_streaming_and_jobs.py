@@ -156,3 +156,23 @@ def test_null_names_dropped_and_counted(spark):  # Q8
     assert e.error is None and e.n_bad_names == 2
     clean_s, errors_s = J.decode_results(df, strict_null=True)
     assert clean_s.count() == 0 and errors_s.first().error == "client name is not a string"
+
+
+def test_reply_state_has_partitions_by_its_size(spark, tmp_path, monkeypatch):
+    import os
+    monkeypatch.setattr(ST, "scratch", lambda spark, name: str(tmp_path))
+    requests = spark.range(40).select(F.col("id").alias("request_id"))
+    replies = spark.range(40).select(F.col("id").alias("reply_id"), F.lit(200).alias("http_status"), F.lit("x").alias("body"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = {r.request_id: r.has_reply for r in ST.run_stream_replies(spark, requests, replies).collect()}
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "60"
+        cores = spark.sparkContext.defaultParallelism
+        assert len([x for x in os.listdir(tmp_path / "_checkpoint/state/0") if x.isdigit()]) == cores < 60
+        assert ST.state_partitions(spark, 1000 * ST.STATE_BYTES) == 1000    # a larger state has more
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        assert ST.state_partitions(spark, 1) == 2
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {k: k % 13 <= 10 for k in range(40)}
