@@ -53,8 +53,8 @@ MAGIC = b"CLTOK001"
 HEADER = "<8sIIQQQ"
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 22
-CACHE = 450_000       # pieces kept by the encoder; none that holds a line end
-WORDS = 350_000       # pre-tokens kept besides
+CACHE = 650_000       # pieces kept by the encoder; none that holds a line end
+WORDS = 100_000       # pre-tokens kept besides: those that are no piece
 CUT = re.compile(r"(?<=\S) (?=\S)")
 # Fixed value: how the byte-level tokenizer splits a text.
 LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -123,19 +123,21 @@ class Encoder:
     """The tokenizer with caches over pieces between single spaces and over pre-tokens.
 
     A new piece is split into pre-tokens, and new pre-tokens go through the library's
-    model."""
+    model.  A word behind a space is a piece itself, kept once."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
         held = worker_cache(f"tokens-{zlib.crc32(spec.encode())}")
         self.tokenizer = held.get("tokenizer") or held.setdefault("tokenizer", Tokenizer.from_str(spec))
         self.pieces, self.words = held.setdefault("pieces", {}), held.setdefault("words", {})
-        parsed = json.loads(spec)
-        self.special = [t["content"] for t in parsed.get("added_tokens", [])]
-        kind = parsed.get("pre_tokenizer") or {}
-        # only where pre-tokens are known to end at such spaces
-        self.cut = (parsed.get("normalizer") is None and parsed.get("post_processor") is None and kind.get("type") == "ByteLevel"
-                    and kind.get("use_regex", True) and not kind.get("add_prefix_space"))
+        if "special" not in held:  # once a worker: every task makes an encoder
+            parsed = json.loads(spec)
+            kind = parsed.get("pre_tokenizer") or {}
+            held["special"] = [t["content"] for t in parsed.get("added_tokens", [])]
+            # only where pre-tokens are known to end at such spaces
+            held["cut"] = (parsed.get("normalizer") is None and parsed.get("post_processor") is None and kind.get("type") == "ByteLevel"
+                           and kind.get("use_regex", True) and not kind.get("add_prefix_space"))
+        self.special, self.cut = held["special"], held["cut"]
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
         rest = [b for b in range(256) if b not in plain]
@@ -149,14 +151,21 @@ class Encoder:
             return np.frombuffer(self._plain(text), "<u4")
         return np.frombuffer(b"".join([b"".join(x) for x in self._stretches(text)]), "<u4")
 
-    def _word(self, word: str) -> bytes:
+    def _ids(self, word: str) -> bytes:
         if word.isascii() and (word[1:] if word[0] == " " else word).isalnum():
             mapped = SPACE + word[1:] if word[0] == " " else word  # all but the space are their own letters
         else:
             mapped = word.encode().decode("latin-1").translate(self.letters)
         ids = [x.id for x in self.model.tokenize(mapped)]
-        packed = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return packed
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _word(self, word: str) -> bytes:
+        ids = self.words[word] = self._ids(word)
+        return ids
+
+    def _behind_space(self, word: str) -> bytes:
+        ids = self.pieces[word] = self._ids(" " + word)
+        return ids
 
     def _leading(self, piece: str) -> bytes:
         """A piece at the start of a text, with no space before it."""
@@ -170,28 +179,27 @@ class Encoder:
         """Cache pieces that hold no space, as they stand behind one.  Those that hold a line
         end are returned instead: two words met by chance, which seldom come again."""
         get, word, split, once = self.words.get, self._word, LATIN.findall, {}
+        kept, behind = self.pieces.get, self._behind_space
         for piece in pieces:
             cached = once if "\n" in piece else self.pieces
             if not piece.isascii() and max(piece) >= LIMIT:
                 # beyond the Latin letters two Unicode versions might class a character differently
                 cached[piece] = self._plain(" " + piece)
                 continue
-            text = " " + piece
-            core = text.rstrip(".,")
-            if core[1:].isalpha():  # a word and what ends it: no other split is possible
-                ids = get(core) or word(core)
-                if len(core) < len(text):
-                    end = text[len(core):]
-                    ids += get(end) or word(end)
-                cached[piece] = ids
+            core = piece.rstrip(".,")
+            if core.isalpha():  # a word and what ends it: no other split is possible
+                ids = kept(core) or behind(core)
+                if len(core) < len(piece):
+                    end = piece[len(core):]
+                    cached[piece] = ids + (get(end) or word(end))
                 continue
-            before, line, after = text.partition("\n")
+            before, line, after = piece.partition("\n")
             head, tail = before.rstrip(".,"), after.rstrip(".,")
-            if line and head[1:].isalpha() and tail.isalpha():  # one line end between two such words
-                parts = (head, before[len(head):], line, tail, after[len(tail):])
-                cached[piece] = b"".join([get(x) or word(x) for x in parts if x])
+            if line and head.isalpha() and tail.isalpha():  # one line end between two such words
+                parts = (before[len(head):], line, tail, after[len(tail):])
+                cached[piece] = b"".join([kept(head) or behind(head), *[get(x) or word(x) for x in parts if x]])
             else:
-                cached[piece] = b"".join([get(x) or word(x) for x in split(text)])
+                cached[piece] = b"".join([get(x) or word(x) for x in split(" " + piece)])
         if len(self.words) > WORDS:
             self.words.clear()
         return once
